@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, quality_rules, substring_dedup, suffix_dedup
+from . import chat_format, decontaminate, jaccard_join, line_dedup, quality_rules, substring_dedup, suffix_dedup
 from .common import table
 
 
@@ -44,7 +44,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_substring_dedup, op4_chat_format, op5_line_dedup, op6_quality_rules, op9_decontaminate)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_substring_dedup, op4_chat_format, op5_line_dedup, op6_quality_rules, op9_decontaminate, op10_jaccard_join)}
 
 _SPACE = "[ \\t\\n\\x0B\\f\\r]"
 
@@ -114,4 +118,16 @@ SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-ORACLE_SQL = {"op4_chat_format": _OP4, "op5_line_dedup": _OP5, "op6_quality_rules": _OP6, "op9_decontaminate": _OP9}
+_OP10 = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 4 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[s:s + 3], ' ') END AS sh
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - 3) + 1)) AS s FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM g a JOIN g b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * shared >= 85 * (nx.n + ny.n - shared)),
+u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (WITH RECURSIVE t(doc_id, c) AS (SELECT doc_id, doc_id FROM w UNION SELECT u.y, t.c FROM t JOIN u ON u.x = t.doc_id) SELECT doc_id, min(c) AS c FROM t GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, r.c AS component_id FROM w LEFT JOIN n USING (doc_id) JOIN r USING (doc_id)
+"""
+
+ORACLE_SQL = {"op10_jaccard_join": _OP10, "op4_chat_format": _OP4, "op5_line_dedup": _OP5, "op6_quality_rules": _OP6, "op9_decontaminate": _OP9}
