@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, line_dedup, quality_rules, substring_dedup, suffix_dedup
+from . import chat_format, decontaminate, jaccard_join, line_dedup, packing, quality_rules, substring_dedup, suffix_dedup
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
     found = decontaminate.decontaminate(docs, items)
@@ -48,7 +52,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_substring_dedup, op4_chat_format, op5_line_dedup, op6_quality_rules, op9_decontaminate, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_substring_dedup, op4_chat_format, op5_line_dedup, op6_quality_rules, op8_packing, op9_decontaminate, op10_jaccard_join)}
 
 _SPACE = "[ \\t\\n\\x0B\\f\\r]"
 
