@@ -1,7 +1,8 @@
 """Line deduplication with DataFrame operations only.
 
-Lines travel as 128-bit hashes.  Hashes are range-partitioned with a secondary
-sort by document and position, a running window streams the first occurrence of
+Lines travel as 128-bit hashes, written once to the shared folder.  They are dealt
+out by 4096 equal ranges of the hash (hashes are uniform, so the splitters need no
+sample) with a secondary sort by document and position; a running window streams the first occurrence of
 every hash, and what comes back per document is a sparse bitmap of dropped lines
 (one 64-bit mask for each 64 lines that lose any), never text.
 
@@ -16,10 +17,10 @@ dropped gets the empty text; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ascii_lower, row_key
+from .common import ASCII_LOWER, ASCII_SPACE, ASCII_UPPER, materialise, row_key
 
 HOT_KEYS = 1000
 MIN_CHARS = 10
@@ -29,23 +30,37 @@ def _lines(text: str = "text"):
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
 
+def line_key(line: Column) -> Column:
+    """The line without ASCII white space at its ends, A-Z lower-cased.
+
+    Trimming and character-wise translation scan every character, so both are kept
+    to the lines that need them: those with white space at an end, and those with
+    an upper-case letter beyond ASCII, which ``lower`` would change too.
+    """
+    ends = F.lit(False)
+    for c in ASCII_SPACE:
+        ends = ends | F.startswith(line, F.lit(c)) | F.endswith(line, F.lit(c))
+    trimmed = F.when(ends, F.btrim(line, F.lit(ASCII_SPACE))).otherwise(line)
+    plain = F.when(F.octet_length(trimmed) == F.length(trimmed), F.lit(True)).otherwise(~trimmed.rlike(r"[[\p{javaUpperCase}\p{javaTitleCase}]&&[^A-Z]]"))
+    return F.when(plain, F.lower(trimmed)).otherwise(F.translate(trimmed, ASCII_UPPER, ASCII_LOWER))
+
+
 def line_occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(hash, doc_id, text_key, pos) of every line whose key has ``min_chars`` code points."""
     lines = docs.where(F.col("doc_id").isNotNull()).select(*row_key(), F.posexplode(_lines()).alias("pos", "line"))
-    key = ascii_lower(F.btrim(F.col("line"), F.lit(ASCII_SPACE)))
-    return lines.withColumn("key", key).where(F.length("key") >= min_chars).select(F.unhex(F.md5("key")).alias("hash"), "doc_id", "text_key", "pos")
+    return lines.select("doc_id", "text_key", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars).select(F.unhex(F.md5("key")).alias("hash"), "doc_id", "text_key", "pos")
 
 
 def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, text_key, masks map<word, bits>, n_dropped) for documents that lose lines."""
-    occ = line_occurrences(docs, min_chars)
+    occ = materialise(line_occurrences(docs, min_chars), "line-dedup").withColumn("range", F.conv(F.substring(F.hex("hash"), 1, 3), 16, 10).cast("int"))
     hot = occ.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("hot_doc"))
     hot = hot.orderBy(F.desc("n"), "hash").limit(HOT_KEYS).select("hash", "hot_doc")
     marked = occ.join(F.broadcast(hot), "hash", "left")
     dropped_hot = marked.where(F.col("hot_doc") < F.col("doc_id")).select("doc_id", "text_key", "pos")
     cold = marked.where(F.col("hot_doc").isNull()).drop("hot_doc")
-    ordered = cold.repartitionByRange("hash").sortWithinPartitions("hash", "doc_id", "pos")
-    first = F.first("doc_id").over(Window.partitionBy("hash").orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, 0))
+    ordered = cold.repartition("range").sortWithinPartitions("range", "hash", "doc_id", "pos")
+    first = F.first("doc_id").over(Window.partitionBy("range", "hash").orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, 0))
     dropped_cold = ordered.withColumn("first_doc", first).where("first_doc < doc_id").select("doc_id", "text_key", "pos")
     bits = dropped_hot.unionByName(dropped_cold).groupBy("doc_id", "text_key", F.expr("pos div 64").cast("int").alias("word"))
     words = bits.agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("mask"))
