@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, line_dedup, packing, quality_rules, substring_dedup, suffix_dedup
+from . import chat_format, decontaminate, jaccard_join, line_dedup, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, warc_index
 from .common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    return quality_classifier.score(docs, quality_classifier.fit_sample(docs, labels))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -37,6 +42,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    directory = warc_index.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc_index.read_archives(directory).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -52,7 +62,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_substring_dedup, op4_chat_format, op5_line_dedup, op6_quality_rules, op8_packing, op9_decontaminate, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_suffix_dedup, op3_substring_dedup, op4_chat_format, op5_line_dedup, op6_quality_rules, op7_warc_index, op8_packing, op9_decontaminate, op10_jaccard_join)}
 
 _SPACE = "[ \\t\\n\\x0B\\f\\r]"
 
