@@ -283,8 +283,8 @@ def _next_pairs(first: int, stop: int):
     return pairs
 
 
-def join_components(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id."""
+def link_components(docs: DataFrame) -> DataFrame:
+    """(id, component) for every doc_id with a link: the smallest id reachable."""
     blocks, n_blocks = repeats.into_blocks(docs)
     n_buckets, n_docs = max(4, n_blocks // 2), max(1, docs.count())
     plans = []
@@ -316,6 +316,12 @@ def join_components(docs: DataFrame) -> DataFrame:
         links = links.unionByName(fresh) if grown else links
         if not grown and split.where("lo < hi").where(F.size("members") > first + 1).isEmpty():
             break
+    return parts
+
+
+def join_components(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id."""
+    parts = link_components(docs)
     labelled = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_count_shingles, "doc_id long, n_shingles long")
     return labelled.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
