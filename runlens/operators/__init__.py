@@ -1 +1 @@
-
+"""Operators on frames of runs."""

@@ -1 +1 @@
-
+"""Plans: context paths, the pivot, SQL over the relations, and the cost schedule."""

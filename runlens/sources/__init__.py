@@ -1 +1 @@
-
+"""Where logs and loops come from and go to."""

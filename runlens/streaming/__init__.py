@@ -1 +1 @@
-
+"""Incremental ingestion with Structured Streaming."""
