@@ -24,12 +24,28 @@ from .common import ascii_lower, row_key
 
 WINDOW = 10
 BROADCAST_ROWS = 200_000
-#: ASCII letters, digits and everything beyond ASCII; A-Z are lower-cased word by word.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Everything but ASCII letters, digits and what lies beyond ASCII; A-Z are lower-cased word by word.
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def raw_words(text: str = "text") -> Column:
-    return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0))
+def _parts(text: str = "text") -> Column:
+    """Words, with an empty one before a leading and behind a trailing separator.
+
+    Splitting is several times cheaper than extracting matches.
+    """
+    return F.split(F.coalesce(F.col(text), F.lit("")), SEPARATORS, -1)
+
+
+def _lead(text: str = "text") -> Column:
+    """1 where the first part is empty because the text begins with a separator."""
+    return F.coalesce(F.col(text), F.lit("")).rlike("^" + SEPARATORS).cast("int")
+
+
+def raw_words(parts: str) -> Column:
+    """A column of parts without the empty ones at its ends."""
+    lead = F.when(F.col(parts)[0] == "", 1).otherwise(0)
+    trail = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
+    return F.slice(parts, 1 + lead, F.greatest(F.size(parts) - lead - trail, F.lit(0)))
 
 
 def _sized(df: DataFrame, rows: int) -> DataFrame:
@@ -38,7 +54,8 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Distinct windows: (words array, items array of ids as strings)."""
-    words = items.where(F.col("item_id").isNotNull()).select("item_id", F.transform(raw_words(), ascii_lower).alias("w")).where(F.size("w") > 0)
+    words = items.where(F.col("item_id").isNotNull()).select("item_id", _parts().alias("p"))
+    words = words.select("item_id", F.transform(raw_words("p"), ascii_lower).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (window - 1)))
     cut = words.select("item_id", "w", F.explode(starts).alias("s")).select("item_id", F.slice("w", F.col("s"), F.lit(window)).alias("words"))
     return cut.groupBy("words").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
@@ -46,8 +63,10 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def document_words(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, pos, word) of every word of every document."""
-    exploded = docs.where(F.col("doc_id").isNotNull()).select(*row_key(), F.posexplode(raw_words()).alias("pos", "raw"))
-    return exploded.select("doc_id", "text_key", "pos", ascii_lower(F.col("raw")).alias("word"))
+    # keys come first: computed beside the generator, they would make it copy the text to every word
+    keyed = docs.where(F.col("doc_id").isNotNull()).select(*row_key(), _lead().alias("lead"), "text")
+    exploded = keyed.select("doc_id", "text_key", "lead", F.posexplode(_parts()).alias("at", "raw"))
+    return exploded.where("raw <> ''").select("doc_id", "text_key", (F.col("at") - F.col("lead")).alias("pos"), ascii_lower(F.col("raw")).alias("word"))
 
 
 def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -64,9 +83,12 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFr
     probes = document_words(docs).join(_sized(prefixes, n_windows), "word").where(F.col("pos") >= F.col("at"))
     candidate = F.struct((F.col("pos") - F.col("at")).alias("start"), "words", "items")
     candidates = probes.groupBy("doc_id", "text_key").agg(F.collect_list(candidate).alias("cand"))
-    texts = docs.select("doc_id", "text", row_key()[1]).join(candidates, ["doc_id", "text_key"], "left").withColumn("w", raw_words())
+    texts = docs.select("doc_id", "text", row_key()[1]).join(candidates, ["doc_id", "text_key"], "left")
+    texts = texts.select("doc_id", "text_key", "cand", _parts().alias("p")).select("doc_id", "text_key", "cand", raw_words("p").alias("w"))
     texts = texts.select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"), "cand", F.when(F.col("cand").isNotNull(), F.transform("w", ascii_lower)).alias("lw"))
-    verified = F.expr("filter(cand, c -> c.start + size(c.words) <= n_words and slice(lw, c.start + 1, size(c.words)) = c.words)")
+    # element by element, as slicing would copy the whole document for each candidate; two uses of
+    # lw keep the optimizer from inlining it, that is from lower-casing the document for each element
+    verified = F.expr("filter(cand, c -> c.start + size(c.words) <= size(lw) and forall(transform(c.words, (w, k) -> lw[c.start + k] = w), same -> same))")
     found = texts.select("doc_id", "text_key", "n_words", F.when(F.col("cand").isNotNull(), verified).alias("found"))
     n_hit = F.expr("size(array_distinct(flatten(transform(found, m -> sequence(m.start, m.start + size(m.words) - 1)))))")
     ids = F.array_sort(F.array_distinct(F.flatten(F.col("found.items"))))
