@@ -30,6 +30,7 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -98,14 +99,28 @@ def parse_record(member: bytes) -> dict:
     }
 
 
-def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, html and refers_to: the smallest id with the same payload, where that is another."""
-    payload = F.coalesce("html", F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long"), "url", "html", F.sha1(payload).alias("sha"), F.octet_length(payload).alias("n"))
-    firsts = rows.where((F.col("n") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("sha").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
+CAPTURES = "key string, page_id long, url string, payload binary, sha binary, n long"
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """Keyed pages with their payload compressed, so the two shuffles to come carry little."""
+    schema = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("sha", pa.binary()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            urls, raw = batch.column("url").to_pylist(), [(h or "").encode("utf-8", "surrogatepass") for h in batch.column("html").to_pylist()]
+            columns = [[url_key(u) for u in urls], batch.column("page_id"), urls, [zlib.compress(r, 1) for r in raw], [hashlib.sha1(r).digest() for r in raw], [len(r) for r in raw]]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
+
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, CAPTURES)
+
+
+def mark_revisits(found: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """Captures with refers_to: the smallest id with the same payload, where that is another."""
+    firsts = found.where((F.col("n") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("sha").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
     firsts = firsts.where("first < last").drop("last")
-    joined = rows.join(firsts, "sha", "left")
-    return joined.select("page_id", "url", "html", F.when((F.col("n") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    refers_to = F.when((F.col("n") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
+    return found.join(firsts, "sha", "left").select("key", "page_id", "url", "payload", refers_to.alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) -> DataFrame:
@@ -113,11 +128,6 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     schema = pa.schema([("first_key", pa.string()), ("archive", pa.string()), ("blocks", pa.string()), ("place", pa.int64()), ("length", pa.int64()), ("n_lines", pa.int32())])
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = pa.array([url_key(u) for u in batch.column("url").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([keys, *batch.columns], names=["key", *batch.schema.names])
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = archive = None
         name = uuid.uuid4().hex  # a task that runs again writes files of its own
@@ -130,12 +140,12 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
             lines.clear()
 
         for batch in batches:
-            for key, page_id, url, html, refers_to in zip(*(batch.column(c).to_pylist() for c in ("key", "page_id", "url", "html", "refers_to"))):
+            for key, page_id, url, packed, refers_to in zip(*(batch.column(c).to_pylist() for c in ("key", "page_id", "url", "payload", "refers_to"))):
                 if archive is None:
                     target, path = fs.FileSystem.from_uri(folder)
                     target.create_dir(path, recursive=True)
                     archive = target.open_output_stream(f"{path}/{name}.warc.gz", compression=None)
-                payload = (html or "").encode("utf-8", "surrogatepass")
+                payload = zlib.decompress(packed)
                 member = gzip.compress(_record(page_id, url, payload, refers_to, digest(payload)), 3, mtime=0)
                 archive.write(member)
                 lines.append((key, f"{key} {'' if page_id is None else page_id} {place} {len(member)}\n"))
@@ -151,8 +161,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
                     index.write(packed)
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 
-    marked = mark_revisits(pages, min_bytes)
-    rows = marked.mapInArrow(keyed, "key string, page_id long, url string, html string, refers_to long")
+    rows = mark_revisits(captures(pages), min_bytes)
     ordered = rows.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
     directory = ordered.mapInArrow(write, DIRECTORY).select("first_key", F.concat(F.lit(folder + "/"), "archive").alias("archive"), F.concat(F.lit(folder + "/"), "blocks").alias("blocks"), "place", "length", "n_lines")
     path = f"{folder}/directory"
