@@ -46,7 +46,7 @@ class Shape:
 
 
 def _step(loop: str, field: str) -> Column:
-    return F.filter("path", lambda s: s["name"] == F.lit(loop))[0][field]
+    return F.get(F.filter("path", lambda s: s["name"] == F.lit(loop)), F.lit(0))[field]
 
 
 def _check_names(names: list[str], loop_columns: list[str]) -> None:
