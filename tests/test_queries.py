@@ -1,7 +1,7 @@
 """Every registered core query against its SQL on the smallest tables."""
 
 import pytest
-from conftest import canonical, oracle_rows
+from support import canonical, oracle_rows
 
 from runlens import queries
 
