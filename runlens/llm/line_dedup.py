@@ -47,7 +47,7 @@ def line_key(line: Column) -> Column:
 
 def line_occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(hash, doc_id, text_key, pos) of every line whose key has ``min_chars`` code points."""
-    lines = docs.where(F.col("doc_id").isNotNull()).select(*row_key(), F.posexplode(_lines()).alias("pos", "line"))
+    lines = docs.where(F.col("doc_id").isNotNull()).select(*row_key(), "text").select("doc_id", "text_key", F.posexplode(_lines()).alias("pos", "line"))
     return lines.select("doc_id", "text_key", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars).select(F.unhex(F.md5("key")).alias("hash"), "doc_id", "text_key", "pos")
 
 
@@ -70,12 +70,12 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` plus ``n_lines``, ``n_dropped`` and ``kept_text``.
+    """``docs`` plus ``n_lines``, ``n_dropped`` and ``kept_text``; columns of these names are replaced.
 
     A key of at least ``min_chars`` code points found in two documents or more
     loses all its lines but those of the smallest doc_id that holds it.
     """
-    extra = [c for c in docs.columns if c not in ("doc_id", "text")]
+    extra = [c for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_dropped", "kept_text")]
     packed = docs.select("doc_id", "text", *([F.struct(*[F.col(f"`{c}`") for c in extra]).alias("_rest")] if extra else []), row_key()[1])
     joined = packed.join(drop_bitmaps(docs, min_chars), ["doc_id", "text_key"], "left")
     joined = joined.withColumn("_lines", _lines())
