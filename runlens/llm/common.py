@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import materialise, shared_dir
+
+__all__ = ["ascii_lower", "input_bytes", "materialise", "row_key", "shared_dir", "table"]
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Space and the five control characters from tab to carriage return.
@@ -18,18 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+UNKNOWN_BYTES = 1 << 45
+
+
 def input_bytes(df: DataFrame) -> int:
     """Size of the scanned files as the optimizer knows it; no job runs.
 
-    Derived frames report Spark's own (over)estimate, so it is used only to pick
-    numbers of partitions, never to decide what is computed.
+    Where it doesn't know (frames that don't come from files), the texts are measured.
+    Used only to pick numbers of partitions, never to decide what is computed.
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(size, 1 << 50)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if size < UNKNOWN_BYTES:
+        return size
+    return (df.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
 
 
 def ascii_lower(c: Column) -> Column:
@@ -37,39 +39,6 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, ASCII_UPPER, ASCII_LOWER))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (tests, notebooks on one machine) a folder
-    of the session's own warehouse is taken.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = set_already.get() if set_already.isDefined() else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_runlens"
-    return found.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # the session may be gone at exit; the folder is scratch space
-        pass
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame once to the shared folder and read it back: lineage ends there.
-
-    A lost executor then costs a re-read of files, never a recomputation.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """Identity of a row: its id and a hash of its text.
 

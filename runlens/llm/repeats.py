@@ -22,8 +22,11 @@ Hashes only filter; windows are compared by content.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,16 +39,32 @@ _POS = np.uint64((1 << 28) - 1)
 LAST_ID = (1 << 63) - 1
 
 
-def into_blocks(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(block, doc_id, text), and the number of blocks."""
+def into_blocks(docs: DataFrame, packed: bool = False) -> tuple[DataFrame, int]:
+    """(block, doc_id, text), and the number of blocks.
+
+    With ``packed`` the texts are compressed ahead of the shuffles, as ``packed``.
+    """
     n = max(4, -(-input_bytes(docs) // BLOCK_BYTES))
     block = F.pmod(F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))), F.lit(n)).cast("int")
-    return docs.select(block.alias("block"), F.col("doc_id").cast("long"), "text"), n
+    rows = docs.select(block.alias("block"), F.col("doc_id").cast("long"), "text")
+    return (rows.mapInArrow(_pack_texts, "block int, doc_id long, packed binary") if packed else rows), n
+
+
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = [None if t is None else pack(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("doc_id"), pa.array(texts, pa.binary())], names=["block", "doc_id", "packed"])
 
 
 def ordered(block: pa.Table) -> list[tuple]:
     """(id or None, text) of a block's rows in an order that its content fixes."""
-    rows = zip(block.column("doc_id").to_pylist(), block.column("text").to_pylist())
+    if "packed" in block.schema.names:
+        unpack = zstandard.ZstdDecompressor().decompress
+        texts = [None if t is None else unpack(t).decode("utf-8", "surrogatepass") for t in block.column("packed").to_pylist()]
+    else:
+        texts = block.column("text").to_pylist()
+    rows = zip(block.column("doc_id").to_pylist(), texts)
     return sorted(((i, t or "") for i, t in rows), key=lambda r: (LAST_ID if r[0] is None else r[0], r[1]))
 
 
@@ -137,12 +156,10 @@ def spread(hashes: np.ndarray, many: np.ndarray, n_buckets: int, block: int) ->
     code = ((again & np.uint64((1 << 39) - 1)) << np.uint64(1)) | many.astype(np.uint64)
     order = np.lexsort((code, bucket))
     bucket, code = bucket[order].astype(np.int64), code[order]
-    edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
     raw = code.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    used = np.flatnonzero(edges[1:] > edges[:-1])
-    return pa.table(
-        {"bucket": pa.array(used, pa.int32()), "block": pa.array(np.full(len(used), block), pa.int32()), "payload": pa.array([raw[edges[b] : edges[b + 1]].tobytes() for b in used], pa.binary())}
-    )
+    used, at = np.unique(bucket, return_index=True)
+    payload = [raw[a:z].tobytes() for a, z in zip(at, np.r_[at[1:], len(bucket)])]
+    return pa.table({"bucket": pa.array(used, pa.int32()), "block": pa.array(np.full(len(used), block), pa.int32()), "payload": pa.array(payload, pa.binary())})
 
 
 def _codes(payload: bytes) -> np.ndarray:
