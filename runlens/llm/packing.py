@@ -24,15 +24,19 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import os
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import materialise
 from .repeats import flatten_ranges
@@ -47,27 +51,19 @@ FULL, TAIL, FREQUENCY = 0, 1, 2
 
 
 def vocabulary_path(name: str) -> str:
-    import public_tokenizers
-
     return public_tokenizers.path(name)
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
     """text -> ids as uint16, for the byte-level vocabulary file at ``path``."""
-    from tokenizers import Tokenizer
-
-    exact = Tokenizer.from_file(path)
-    try:
-        import public_tokenizers
-        import tiktoken
-
-        lines = open(path.removesuffix(".json") + ".tiktoken", "rb")
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    exact, quick = Tokenizer.from_file(path), None
+    ranked = path.removesuffix(".json") + ".tiktoken"
+    if os.path.exists(ranked):
+        with open(ranked, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         special = {t.content: i for i, t in exact.get_added_tokens_decoder().items()}
         quick = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    except (ImportError, OSError):
-        quick = None
 
     def encode(text: str) -> np.ndarray:
         if quick is None or _OTHER.search(text):

@@ -87,17 +87,17 @@ def measure_documents(docs: DataFrame) -> DataFrame:
 def apply_rules(docs: DataFrame, max_line_docs: int = MAX_LINE_DOCS, min_left: float = MIN_LEFT, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per row of ``docs``: the measures, n_removed_words, base_failed, kept."""
     measured = materialise(measure_documents(docs), "quality-rules")
-    base = measured.drop("line_hashes", "line_words")
+    base, repeated = measured.drop("line_hashes", "line_words"), _repeats_ids(measured)
     lines = measured.where(F.col("doc_id").isNotNull()).select("doc_id", "text_key", "host", F.explode(F.arrays_zip("line_hashes", "line_words")).alias("l"))
     lines = lines.select("doc_id", "text_key", "host", F.col("l.line_hashes").alias("hash"), F.col("l.line_words").alias("words"))
     per_doc = lines.groupBy("doc_id", "text_key", "host", "hash").agg(F.max("words").alias("words"), F.count("*").alias("times"))
     # repeated rows double "times"; the share below is taken of the same doubled total
-    docs_of = per_doc.select("host", "hash", "doc_id").distinct() if _repeats_ids(measured) else per_doc
+    docs_of = per_doc.select("host", "hash", "doc_id").distinct() if repeated else per_doc
     frequent = docs_of.groupBy("host", "hash").agg(F.count("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc")).where(F.col("n_docs") > max_line_docs).drop("n_docs")
     removed = per_doc.join(frequent, ["host", "hash"]).where("doc_id > first_doc")
     removed = removed.groupBy("doc_id", "text_key", "host").agg(F.sum(F.col("words") * F.col("times")).alias("removed"))
-    copies = base.groupBy("doc_id", "text_key", "host").agg(F.count("*").alias("copies")) if _repeats_ids(measured) else None
-    if copies is not None:
+    if repeated:
+        copies = base.groupBy("doc_id", "text_key", "host").agg(F.count("*").alias("copies"))
         removed = removed.join(copies, ["doc_id", "text_key", "host"]).withColumn("removed", F.col("removed") / F.col("copies")).drop("copies")
     out = base.join(removed, ["doc_id", "text_key", "host"], "left").withColumn("n_removed_words", F.coalesce("removed", F.lit(0)).cast("long")).drop("removed")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
