@@ -7,19 +7,21 @@ smaller partner, in the next one's.  For each band at most ``H`` shingles differ
 between linked sets.  Its layout splits the universe of shingle hashes into ``m``
 segments; ``x`` of them also index their one-deletion neighbourhood, so they still
 match when one shingle differs.  With ``m + x = H + 1 + slack`` allotted, linked sets
-agree on a total weight above ``slack``, and empty segments need no index entry in
-documents with at most ``slack`` weight in them (the few others index those, too).
+agree on a total weight above ``slack``, and segments of under ``LEAST`` shingles, which
+unlinked sets often share, need no index entry in documents with at most ``slack``
+weight in them (the few others index those, too).
 ``layout`` picks ``m``, ``x`` and ``slack`` of least cost: index entries a document
 against false candidates expected at the corpus's size.
 
 Documents are handled in blocks (see ``repeats``): a block sends each signature of a
 set once, seven bytes each, with the signatures of equal sets collapsed.  Buckets
 return the groups that share one.  Within groups no all-pairs list is made: one
-leader is verified against the others, links are joined into components, and only
-groups still split between components go on, with two more leaders, then four, ...,
-against members of other components, until every group is one component or every
-member has led.  So no link between components is missed.  Verification is exact,
-on the words themselves.
+leader is verified against the others and links are joined into components.  Groups
+still split between components then compare bitmaps of shingle hashes across them;
+a bitmap's differing bits bound the differing shingles from below, so what is ruled
+out is no link.  What remains is verified exactly, on the words; a member that meets
+many of one likely component puts pairs off to a further round, which comes only
+while its group is still split, with eight times as many.  No link is missed.
 
 Edge cases: null or blank texts have no shingles and no links; a text of fewer words
 than a shingle is one shingle; rows without a doc_id are never linked and have a null
@@ -35,6 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,8 @@ from .common import materialise
 from .repeats import flatten_ranges, mixed
 
 SHINGLE, PERCENT = 4, 85
+#: Segments of fewer shingles say little and are not indexed where the slack allows it.
+LEAST = 2
 #: Chance that two shingles drawn from the corpus are equal, for the cost model only.
 REPEAT_CHANCE = 1e-3
 _K = [np.uint64(k) for k in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -66,19 +71,28 @@ def differing(high: int, percent: int = PERCENT) -> int:
     return 2 * high * (100 - percent) // (100 + percent)
 
 
+def _at_most(k: int, mean: float) -> float:
+    """Chance that a Poisson variable is at most ``k``."""
+    term = total = math.exp(-mean)
+    for j in range(1, k + 1):
+        term *= mean / j
+        total += term
+    return total
+
+
 def layout(low: int, high: int, n_docs: int, percent: int = PERCENT) -> tuple[int, int, int]:
     """(segments, how many of them index deletions, slack) of least cost for a band."""
     best = None
     must = differing(high, percent) + 1
-    for slack in range(4):
+    for slack in sorted({0, 1, 2, 3, *(must // k for k in (20, 12, 10, 8, 7, 6, 5, 4))}):
         weight = must + slack
         for m in range(-(-weight // 2), weight + 1):
             x, size = weight - m, low / m
-            none = math.exp(-size)
-            lost = (m - x) * none + x * (2 + size) * none
-            stay = math.exp(-lost) * sum(lost**k / math.factorial(k) for k in range(slack + 1))
-            false = n_docs * (REPEAT_CHANCE * (m + 3 * x) * size * size * none * none + m * none * max(0.0, 1 - stay) ** 2)
-            cost = m + x * size + 10 * false
+            none, few = math.exp(-size), _at_most(LEAST - 1, size)
+            edge = _at_most(LEAST, size) - few
+            stay = _at_most(slack, (m - x) * few + x * (2 * few + edge))
+            false = n_docs * (REPEAT_CHANCE**LEAST * (m + 3 * x) * edge + m * none * (1 - stay) ** 2)
+            cost = m * (1 - few) + x * size + 10 * false
             if m == 1 and slack == 0:
                 cost = 1 + x * low  # the whole set: never empty
             if best is None or cost < best[0]:
@@ -125,34 +139,60 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray, plans: list) -> tuple[np.n
         total = np.zeros(len(chosen) * m, np.uint64)
         total[count > 0] = np.add.reduceat(value[order], np.r_[0, np.cumsum(count[count > 0])[:-1]])
         place = np.tile(np.arange(m), len(chosen))
-        weight = np.where(place < x, np.where(count == 0, 2, np.where(count == 1, 1, 0)), count == 0)
+        weight = np.where(place < x, np.where(count < LEAST, 2, np.where(count == LEAST, 1, 0)), count < LEAST)
         lost = weight.reshape(len(chosen), m).sum(1)
-        full = np.repeat(lost > slack, m)  # these index empty sets, too
+        full = np.repeat(lost > slack, m)  # these index small and empty segments, too
         salt = lambda seg: _salt(2, b) ^ (seg.astype(np.uint64) * _K[3])
-        keep = np.flatnonzero((count > 0) | full)
+        keep = np.flatnonzero((count >= LEAST) | full)
         sigs.append(mixed(mixed(total[keep]) + salt(place[keep])))
         docs.append(chosen[keep // m])
-        less = np.flatnonzero((segment < x) & ((count[cell] > 1) | full[cell]))
+        less = np.flatnonzero((segment < x) & ((count[cell] > LEAST) | full[cell]))
         if len(less):
             sigs.append(mixed(mixed(total[cell[less]] - value[less]) + salt(segment[less])))
             docs.append(chosen[doc[less]])
     return np.concatenate(sigs), np.concatenate(docs)
 
 
+#: Kinds of rows that the first pass returns.
+GROUP, LINKS, NODES = 0, 1, 2
+NODE = np.dtype([("id", "<i8"), ("none", "?"), ("n", "<i8"), ("digest", "S16"), ("bytes", "<i4")])
+
+
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """One bit a shingle, in eight to sixteen times as many bits, half that for large sets."""
+    bits = max(64, 1 << ((8 if len(hashes) <= 1024 else 4) * len(hashes) - 1).bit_length()) if len(hashes) else 64
+    out = np.zeros(bits, np.uint8)
+    out[(hashes & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little")
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The bitmap over fewer bits, as ``bitmap`` would have set them."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
+
+
+def may_link(one: np.ndarray, n_one: int, others: np.ndarray, n_others: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """False only for pairs that aren't linked: each bit that differs is a shingle that does."""
+    differ = np.maximum(np.bitwise_count(others ^ one).sum(1, dtype=np.int64), np.abs(n_others - n_one))
+    return (100 + percent) * differ <= (100 - percent) * (n_others + n_one)
+
+
 def _send(plans: list, n_buckets: int):
     def send(block: pa.Table) -> pa.Table:
         number, rows = block.column("block")[0].as_py(), repeats.ordered(block)
         hashes, sizes = _sets([t for _, t in rows])
         ends = np.cumsum(sizes)
-        lead, links = {}, []
+        lead, links, nodes, bitmaps = {}, [], np.zeros(len(rows), NODE), []
         for k, (doc_id, _) in enumerate(rows):  # equal sets of the block are linked here and index once
-            if not sizes[k] or doc_id is None:
-                sizes[k] = -sizes[k]
-                continue
-            digest = hashlib.blake2b(hashes[ends[k] - sizes[k] : ends[k]].tobytes(), digest_size=16).digest()
-            first = lead.setdefault(digest, k)
+            own = hashes[ends[k] - sizes[k] : ends[k]]
+            digest, bits = hashlib.blake2b(own.tobytes(), digest_size=16).digest(), bitmap(own).tobytes()
+            nodes[k] = (doc_id or 0, doc_id is None, sizes[k], digest, len(bits))
+            bitmaps.append(bits)
+            first = lead.setdefault(digest, k) if sizes[k] and doc_id is not None else -1
             if first != k:
-                links.append((rows[first][0], doc_id))
+                links += [(rows[first][0], doc_id)] if first >= 0 else []
                 sizes[k] = -sizes[k]
         kept = np.flatnonzero(sizes > 0)
         own = hashes[flatten_ranges((ends - np.abs(sizes))[kept], sizes[kept])]
@@ -163,25 +203,27 @@ def _send(plans: list, n_buckets: int):
         order = np.lexsort((code, bucket))
         bucket, code, doc = bucket[order], code[order], kept[doc[order]]
         raw = np.concatenate([code.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5], doc.astype("<u2").view(np.uint8).reshape(-1, 2)], 1)
-        edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
-        used = np.flatnonzero(edges[1:] > edges[:-1])
-        payload = [raw[edges[b] : edges[b + 1]].tobytes() for b in used]
-        buckets = [*used.tolist(), *([-1 - number] if links else [])]
-        payload += [np.array(links, "<i8").tobytes()] if links else []
+        used, at = np.unique(bucket, return_index=True)
+        payload = [raw[a:z].tobytes() for a, z in zip(at, np.r_[at[1:], len(bucket)])]
+        # what concerns the block alone goes to buckets of its own
+        buckets = [*used.tolist(), *([-1 - 2 * number] if links else []), -2 - 2 * number]
+        payload += [*([np.array(links, "<i8").tobytes()] if links else []), nodes.tobytes() + b"".join(bitmaps) + len(nodes).to_bytes(4, "little")]
         return pa.table({"bucket": pa.array(buckets, pa.int32()), "block": pa.array([number] * len(buckets), pa.int32()), "payload": pa.array(payload, pa.binary())})
 
     return send
 
 
-GROUP_SCHEMA = "refs array<long>, links binary"
+
+
+FOUND = "kind int, block int, refs array<long>, payload binary"
 
 
 def _groups(bucket: pa.Table) -> pa.Table:
     """The bucket's distinct groups of documents (block * 65536 + place) that share a signature."""
-    schema = pa.schema([("refs", pa.list_(pa.int64())), ("links", pa.binary())])
-    payload = bucket.column("payload").to_pylist()
-    if bucket.column("bucket")[0].as_py() < 0:
-        return pa.table({"refs": [None] * len(payload), "links": payload}, schema=schema)
+    schema = pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("refs", pa.list_(pa.int64())), ("payload", pa.binary())])
+    payload, number = bucket.column("payload").to_pylist(), bucket.column("bucket")[0].as_py()
+    if number < 0:
+        return pa.table([pa.array([LINKS if number % 2 else NODES] * len(payload), pa.int32()), bucket.column("block"), pa.array([None] * len(payload), pa.list_(pa.int64())), bucket.column("payload")], schema=schema)
     raw = [np.frombuffer(p, np.uint8).reshape(-1, 7) for p in payload]
     ref = np.repeat(bucket.column("block").to_numpy().astype(np.int64) << 16, [len(r) for r in raw])
     raw = np.concatenate(raw)
@@ -200,14 +242,15 @@ def _groups(bucket: pa.Table) -> pa.Table:
     lists = [np.frombuffer(s, np.int64) for s in seen]
     flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
     offsets = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
-    return pa.table([pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([None] * len(lists), pa.binary())], schema=schema)
+    refs, n = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), len(lists)
+    return pa.table([pa.array([GROUP] * n, pa.int32()), pa.array([None] * n, pa.int32()), refs, pa.array([None] * n, pa.binary())], schema=schema)
 
 
 def _fetch(block: pa.Table, wanted: pa.Table) -> pa.Table:
+    """Wanted documents' texts, compressed."""
     rows = repeats.ordered(block) if wanted.num_rows else []
-    refs = sorted(wanted.column("ref").to_pylist())
-    picked = [rows[r & 0xFFFF] for r in refs]
-    return pa.table({"ref": pa.array(refs, pa.int64()), "id": pa.array([i for i, _ in picked], pa.int64()), "text": pa.array([t for _, t in picked], pa.string())})
+    pack, refs = zstandard.ZstdCompressor(level=3).compress, sorted(wanted.column("ref").to_pylist())
+    return pa.table({"ref": pa.array(refs, pa.int64()), "packed": pa.array([pack(rows[r & 0xFFFF][1].encode("utf-8", "surrogatepass")) for r in refs], pa.binary())})
 
 
 def linked(left: str, right: str, n: int = SHINGLE, percent: int = PERCENT) -> bool:
@@ -228,17 +271,46 @@ def linked(left: str, right: str, n: int = SHINGLE, percent: int = PERCENT) -> b
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (a, b) by doc_id among pairs (left, right) of refs."""
-    a, b = (nodes.select(F.col("ref").alias(side), F.col("id").alias(f"{side}_id"), F.col("text").alias(f"{side}_text")) for side in ("left", "right"))
+def _sides(nodes: DataFrame, fields: list) -> list[DataFrame]:
+    return [nodes.select(F.col("ref").alias(side), *(F.col(f).alias(f"{side}_{f}") for f in fields)) for side in ("left", "right")]
+
+
+def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        good = []
+        for x, n_x, y, n_y in zip(*(batch.column(c).to_pylist() for c in ("left_bits", "left_n", "right_bits", "right_n"))):
+            size = min(len(x), len(y))
+            one, other = (folded(np.frombuffer(v, np.uint8), size) for v in (x, y))
+            good.append(bool(may_link(one, n_x, other[None, :], np.array([n_y]))[0]))
+        mask = pa.array(good, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("left", "right", "left_id", "right_id", "same")], names=["left", "right", "left_id", "right_id", "same"])
+
+
+def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        texts = ([unpack(t).decode("utf-8", "surrogatepass") for t in batch.column(c).to_pylist()] for c in ("left_packed", "right_packed"))
+        mask = pa.array([linked(x, y) for x, y in zip(*texts)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("left_id").filter(mask), batch.column("right_id").filter(mask)], names=["a", "b"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [linked(x, y) for x, y in zip(batch.column("left_text").to_pylist(), batch.column("right_text").to_pylist())]
-            mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("left_id").filter(mask), batch.column("right_id").filter(mask)], names=["a", "b"])
 
-    return pairs.join(a, "left").join(b, "right").select("left_id", "left_text", "right_id", "right_text").mapInArrow(check, "a long, b long")
+def screen(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (left, right) of refs that bitmaps don't rule out, with ids, and whether the sets are equal."""
+    a, b = _sides(nodes, ["id", "n", "bits", "digest"])
+    met = pairs.join(b, "right").join(a, "left").withColumn("same", F.col("left_digest") == F.col("right_digest")).drop("left_digest", "right_digest")
+    return materialise(met.mapInArrow(_screen, "left long, right long, left_id long, right_id long, same boolean"), "likely")
+
+
+def verify(likely: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Links (a, b) by doc_id: equal sets, and pairs whose words show it."""
+    links, open_pairs = likely.where("same").select(F.col("left_id").alias("a"), F.col("right_id").alias("b")), likely.where("not same")
+    if open_pairs.isEmpty():
+        return links
+    wanted = open_pairs.select(F.col("left").alias("ref")).union(open_pairs.select("right")).distinct().select(F.shiftright("ref", 16).cast("int").alias("block"), "ref")
+    texts = materialise(blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_fetch, "ref long, packed binary"), "texts")
+    a, b = _sides(texts, ["packed"])
+    read = open_pairs.join(b, "right").join(a, "left").select("left_id", "left_packed", "right_id", "right_packed")
+    return links.unionByName(materialise(read.mapInArrow(_check, "a long, b long"), "verified"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -264,75 +336,123 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _next_pairs(first: int, stop: int):
-    """Pairs of the leaders at places [first, stop) with later members of other components."""
+#: Bitmaps compared at once.
+COMPARED_BYTES = 1 << 22
+
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for members in batch.column("members").to_pylist():
-                ref = np.array([m["ref"] for m in members])
-                part = np.array([m["part"] for m in members])
-                order = np.argsort(ref)
-                ref, part = ref[order], part[order]
-                for k in range(first, min(stop, len(ref) - 1)):
-                    other = ref[k + 1 :][part[k + 1 :] != part[k]]
-                    left.append(np.full(len(other), ref[k])), right.append(other)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["left", "right"])
+def cross_pairs(part: np.ndarray, n: np.ndarray, bits: np.ndarray, most: int) -> tuple[list, bool]:
+    """Likely pairs (i, j) of members of different components, and whether any was put off.
+
+    A member pairs up with at most ``most`` others of one provisional component (likely
+    pairs taken as links); once they are verified, the rest is mostly settled.
+    """
+    provisional, out, put_off = part.copy(), [], False
+    step = max(1, COMPARED_BYTES // max(1, bits[0].nbytes))
+    for i in range(len(part) - 1):
+        others = i + 1 + np.flatnonzero(part[i + 1 :] != part[i])
+        chunks = [others[a : a + step] for a in range(0, len(others), step)]
+        others = np.concatenate([c[may_link(bits[i], n[i], bits[c], n[c])] for c in chunks] or [others])
+        if not len(others):
+            continue
+        by = np.argsort(provisional[others], kind="stable")
+        labels = provisional[others[by]]
+        starts = np.flatnonzero(np.r_[True, labels[1:] != labels[:-1]])
+        nth = np.arange(len(by)) - np.repeat(starts, np.diff(np.r_[starts, len(by)]))
+        put_off = put_off or bool((nth >= most).any())
+        out += [(i, j) for j in others[by[nth < most]].tolist()]
+        provisional[np.isin(provisional, labels[starts])] = provisional[i]
+    return out, put_off
+
+
+LIKELY = "left long, right long, left_id long, right_id long, same boolean, put_off boolean"
+
+
+def _likely(most: int):
+    """Likely pairs within one group, as ``screen`` returns them; a row of nulls if some were put off."""
+
+    def pairs(group: pa.Table) -> pa.Table:
+        order = np.argsort(group.column("ref").to_numpy())
+        ref, ids, part, n = (group.column(c).to_numpy()[order] for c in ("ref", "id", "part", "n"))
+        raw = group.column("bits").to_pylist()
+        size, digest = min(map(len, raw)), group.column("digest").to_pylist()
+        bits = np.stack([folded(np.frombuffer(raw[k], np.uint8), size) for k in order]).view(np.uint64)
+        found, put_off = cross_pairs(part, n, bits, most)
+        i, j = np.array(found, np.int64).reshape(-1, 2).T
+        same = [digest[order[a]] == digest[order[b]] for a, b in found]
+        columns = [ref[i].tolist(), ref[j].tolist(), ids[i].tolist(), ids[j].tolist(), same, [False] * len(found)]
+        if put_off:
+            columns = [[*c, v] for c, v in zip(columns, (None, None, None, None, None, True))]
+        kinds = [pa.int64()] * 4 + [pa.bool_()] * 2
+        return pa.table({f.split()[0]: pa.array(c, k) for f, c, k in zip(LIKELY.split(", "), columns, kinds)})
 
     return pairs
 
 
-def link_components(docs: DataFrame) -> DataFrame:
-    """(id, component) for every doc_id with a link: the smallest id reachable."""
-    blocks, n_blocks = repeats.into_blocks(docs)
-    n_buckets, n_docs = max(4, n_blocks // 2), max(1, docs.count())
-    plans = []
+def _index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents by block, and the first pass over them (see ``FOUND``), written once."""
+    blocks, n_blocks = repeats.into_blocks(docs, packed=True)
+    n_docs, plans = max(1, docs.count()), []
     for low, high in bands(most=1 << 26):
         plans.append((low, high, *(layout(low, high, n_docs) if low < 20_000 else (differing(high) + 1, 0, 0))))
-    sent = blocks.groupBy("block").applyInArrow(_send(plans, n_buckets), repeats.FILTER_SCHEMA)
-    found = materialise(sent.groupBy("bucket").applyInArrow(_groups, GROUP_SCHEMA), "groups")
-    groups = found.where(F.col("refs").isNotNull()).groupBy("refs").agg(F.lit(1).alias("one")).select("refs", F.xxhash64("refs").alias("gid"))
-    groups = materialise(groups, "groups")
-    local = found.where(F.col("links").isNotNull()).mapInArrow(_unpack_links, "a long, b long")
-    members = groups.select("gid", F.explode("refs").alias("ref"), F.col("refs")[0].alias("left"), F.size("refs").alias("n"))
-    wanted = members.select("ref").distinct().select(F.shiftright("ref", 16).cast("int").alias("block"), "ref")
-    nodes = materialise(blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_fetch, "ref long, id long, text string"), "nodes")
-    pairs = members.where("ref <> left").select("left", F.col("ref").alias("right")).distinct()
-    links = materialise(local.unionByName(verify(pairs, nodes)), "verified")
-    first, count = 1, 2
+    sent = blocks.groupBy("block").applyInArrow(_send(plans, max(4, n_blocks // 2)), repeats.FILTER_SCHEMA)
+    return blocks, materialise(sent.groupBy("bucket").applyInArrow(_groups, FOUND), "groups")
+
+
+def _nodes(found: DataFrame) -> DataFrame:
+    return found.where(F.col("kind") == NODES).select("block", "payload").mapInArrow(_unpack_nodes, "ref long, id long, n long, digest binary, bits binary")
+
+
+def _components(blocks: DataFrame, found: DataFrame) -> DataFrame:
+    groups = found.where(F.col("kind") == GROUP).groupBy("refs").agg(F.lit(1).alias("one"))
+    groups = materialise(groups.select("refs", F.xxhash64("refs").alias("gid"), F.size("refs").alias("n")), "groups")
+    local = found.where(F.col("kind") == LINKS).select("payload").mapInArrow(_unpack_links, "a long, b long")
+    members = groups.select("gid", "n", F.explode("refs").alias("ref"), F.col("refs")[0].alias("left"))
+    nodes = materialise(_nodes(found).join(members.select("ref").distinct(), "ref", "left_semi"), "nodes")
+    tested = materialise(members.where("ref <> left").select("left", F.col("ref").alias("right")).distinct(), "pairs")
+    links = local.unionByName(verify(screen(tested, nodes), blocks))
+    parts, most = components(links), 4
     while True:
-        parts = components(links)
-        if first == 1:
-            largest = groups.agg(F.max(F.size("refs"))).first()[0] or 0
-        if first >= largest - 1:
-            break
-        named = nodes.select("ref", "id").join(parts, "id", "left").select("ref", F.coalesce("component", "id").alias("part"))
-        split = members.where(F.col("n") > first + 1).join(named, "ref").groupBy("gid").agg(F.collect_list(F.struct("ref", "part")).alias("members"), F.min("part").alias("lo"), F.max("part").alias("hi"))
-        more = split.where("lo < hi").select("members").mapInArrow(_next_pairs(first, first + count), "left long, right long").distinct()
-        fresh = materialise(verify(more, nodes), "verified")
-        grown = fresh.count()
-        first, count = first + count, count * 2
-        links = links.unionByName(fresh) if grown else links
-        if not grown and split.where("lo < hi").where(F.size("members") > first + 1).isEmpty():
-            break
-    return parts
+        named = nodes.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+        split = members.where("n > 2").join(named.select("ref", "part"), "ref").groupBy("gid").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
+        rows = members.where("n > 2").select("gid", "ref").join(split.select("gid"), "gid", "left_semi").join(named, "ref")
+        found = materialise(rows.groupBy("gid").applyInArrow(_likely(most), LIKELY), "likely")
+        likely = found.where("not put_off").drop("put_off").distinct().join(tested, ["left", "right"], "left_anti")
+        likely = materialise(likely.select("left", "right", "left_id", "right_id", "same"), "likely")
+        grown = verify(likely, blocks)
+        if not grown.isEmpty():
+            links = links.unionByName(grown)
+            parts = components(links)
+        if found.where("put_off").isEmpty():
+            return parts
+        tested, most = tested.unionByName(likely.select("left", "right")), most * 8
+
+
+def link_components(docs: DataFrame) -> DataFrame:
+    """(id, component) for every doc_id with a link: the smallest id reachable."""
+    return _components(*_index(docs))
 
 
 def join_components(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
-    parts = link_components(docs)
-    labelled = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_count_shingles, "doc_id long, n_shingles long")
-    return labelled.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    blocks, found = _index(docs)
+    counted = _nodes(found).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"))
+    parts = _components(blocks, found).withColumnRenamed("id", "doc_id")
+    return counted.join(parts, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def _unpack_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        both = np.concatenate([np.empty((0, 2), np.int64), *(np.frombuffer(p, "<i8").reshape(-1, 2) for p in batch.column("links").to_pylist())])
+        both = np.concatenate([np.empty((0, 2), np.int64), *(np.frombuffer(p, "<i8").reshape(-1, 2) for p in batch.column("payload").to_pylist())])
         yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
-def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unpack_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        _, sizes = _sets(batch.column("text").to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64())], names=["doc_id", "n_shingles"])
+        for number, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist()):
+            count = int.from_bytes(payload[-4:], "little")
+            rows = np.frombuffer(payload, NODE, count)
+            ends = count * NODE.itemsize + np.r_[0, np.cumsum(rows["bytes"])]
+            bits = [payload[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            digests = [payload[k * NODE.itemsize + 17 : k * NODE.itemsize + 33] for k in range(count)]
+            columns = [pa.array((number << 16) + np.arange(count)), pa.array(rows["id"], pa.int64(), mask=rows["none"]), pa.array(rows["n"], pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["ref", "id", "n", "digest", "bits"])
