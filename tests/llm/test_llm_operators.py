@@ -387,6 +387,42 @@ def test_packing_prefers_lexical_neighbours():
     assert len([d for d in full if d % 2 == min(full) % 2]) >= 3
 
 
+def test_packing_finds_neighbours_across_the_corpus(spark, monkeypatch):
+    """Far more tails than a shard holds, a few of each subject: they meet all the same."""
+    monkeypatch.setattr(packing, "SHARD_DOCS", 32)
+    draw = random.Random(5)
+    words = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in "bdgklmnprst"]
+    subjects = [draw.sample(words, 40) for _ in range(100)]
+    rows = [(k, " ".join(draw.choice(subjects[k % 100]) for _ in range(150))) for k in range(1000)]
+    met = defaultdict(set)
+    for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        met[r["sequence_id"]].add(r["doc_id"])
+    with_own = {d for docs in met.values() for d in docs if any(o != d and o % 100 == d % 100 for o in docs)}
+    assert len(with_own) > 700
+
+
+def test_packing_scores_whole_texts(spark):
+    """A long text's tail is a few words that say nothing; its body decides."""
+    body = {s: [f"{s}{a}{b}" for a in "bdfgklmn" for b in "aeiou"] for s in ("qua", "zer")}
+    draw = random.Random(6)
+    many = lambda s, n: " ".join(draw.choice(body[s]) for _ in range(n))
+    encode = packing.encoder(packing.vocabulary_path("byte_bpe_50k.json"))
+
+    def cut(text, n):  # as many words as give some n tokens
+        parts = text.split(" ")
+        while len(encode(" ".join(parts))) > n:
+            parts.pop()
+        return " ".join(parts)
+
+    rows = [(0, cut(many("qua", 900), 900))] + [(k, cut(many("qua" if k % 2 else "zer", 900), 1010) + " the" * 50) for k in range(1, 9)]
+    rows = [(i, t) for i, t in rows if i == 0 or 1024 < len(encode(t)) + 1 < 1100]
+    assert len(rows) > 6
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    (own,) = {r["sequence_id"] for r in found if r["doc_id"] == 0}
+    others = {r["doc_id"] for r in found if r["sequence_id"] == own} - {0}
+    assert others and all(k % 2 for k in others)
+
+
 def junk(k):
     return " ".join(["### click", "|", "BUY NOW!!", "$$$"][(k + j) % 4] + str(j % 7) for j in range(80))
 
