@@ -7,6 +7,9 @@ folder and reads it again before the next stage.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,13 +28,29 @@ def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, without the lines above the limit of their host."""
     verdicts = quality_rules.apply_rules(docs.select("doc_id", "text", "source"))
-    rejected = verdicts.where(~F.col("kept"))
+    # written first: both uses below would measure the texts again
+    marked = verdicts.where(~F.col("kept") | F.col("removed_lines").isNotNull())
+    marked = materialise(marked.select("doc_id", "text_key", "host", "kept", "removed_lines"), "quality-verdicts").dropDuplicates(["doc_id", "text_key", "host"])
     own = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    gone = rejected.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key"), F.col("host").alias("_host")).distinct()
+    marked = marked.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key"), F.col("host").alias("_host"), F.col("kept").alias("_kept"), F.col("removed_lines").alias("_lines"))
     same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_gone_key")) & (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("_host"))
-    return own.join(gone, same, "left_anti").drop("_key")
+    kept = own.join(marked, same, "left").where(F.coalesce("_kept", F.lit(True)))
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    cut = kept.select(*docs.columns, "_lines").mapInArrow(_cut_lines, kept.select(*docs.columns, F.lit(True).alias("_cut")).schema)
+    out = {c: F.col(f"`{c}`") for c in [*rest, "text"]}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(F.col("_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return cut.select(*(out[c].alias(c) for c in docs.columns))
+
+
+def _cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        removed = batch.column("_lines").to_pylist()
+        texts = [quality_rules.without_lines(t, x) if x else t for t, x in zip(batch.column("text").to_pylist(), removed)]
+        columns = [pa.array(texts, batch.column(c).type) if c == "text" else batch.column(c) for c in batch.schema.names[:-1]]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([bool(x) for x in removed], pa.bool_())], names=[*batch.schema.names[:-1], "_cut"])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

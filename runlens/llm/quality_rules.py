@@ -3,7 +3,7 @@
 Each line is normalised (A-Z lower-cased, white space collapsed, digits to 0) and
 hashed to 128 bits.  A line found in more than ``max_line_docs`` distinct documents
 of its host is boilerplate: it is taken out of all of them but the document with
-the smallest id.  A document left with under ``min_left`` of its words is depleted
+the smallest id (``without_lines`` writes the text that is left).  A document left with under ``min_left`` of its words is depleted
 and rejected, as is one that fails the base rules (under 50 words, or more than
 half of the words in repeated three-word windows).
 
@@ -51,18 +51,30 @@ def repeated_words(words: list) -> int:
     return int(covered.sum())
 
 
+def line_key(line: str) -> tuple[bytes | None, int]:
+    """Hash of the normalised line, and its words; None for a blank one."""
+    parts = line.translate(_NORMAL).encode("utf-8", "surrogatepass").split()
+    return (xxhash.xxh3_128_digest(b" ".join(parts)) if parts else None), len(parts)
+
+
+def without_lines(text: str, removed: list) -> str:
+    """The text without the lines of these hashes; blank lines stay."""
+    gone = set(removed)
+    return "\n".join(line for line in text.split("\n") if line_key(line)[0] not in gone)
+
+
 def measure(text: str | None) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, [line hashes], [their words]."""
     text = text or ""
     words = text.encode("utf-8", "surrogatepass").split()
     seen, dup, hashes, sizes = set(), 0, [], []
     for line in text.split("\n"):
-        parts = line.translate(_NORMAL).encode("utf-8", "surrogatepass").split()
-        if parts:
+        key, size = line_key(line)
+        if size:
             dup += line in seen
             seen.add(line)
-            hashes.append(xxhash.xxh3_128_digest(b" ".join(parts)))
-            sizes.append(len(parts))
+            hashes.append(key)
+            sizes.append(size)
     blanks = sum(text.count(c) for c in " \t\n\x0b\x0c\r")
     return len(words), len(text) - blanks, sum(text.count(c) for c in SYMBOLS), dup, repeated_words(words), hashes, sizes
 
@@ -85,7 +97,7 @@ def measure_documents(docs: DataFrame) -> DataFrame:
 
 
 def apply_rules(docs: DataFrame, max_line_docs: int = MAX_LINE_DOCS, min_left: float = MIN_LEFT, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per row of ``docs``: the measures, n_removed_words, base_failed, kept."""
+    """One row per row of ``docs``: the measures, n_removed_words, removed_lines (hashes, null for none), base_failed, kept."""
     measured = materialise(measure_documents(docs), "quality-rules")
     base, repeated = measured.drop("line_hashes", "line_words"), _repeats_ids(measured)
     lines = measured.where(F.col("doc_id").isNotNull()).select("doc_id", "text_key", "host", F.explode(F.arrays_zip("line_hashes", "line_words")).alias("l"))
@@ -95,7 +107,7 @@ def apply_rules(docs: DataFrame, max_line_docs: int = MAX_LINE_DOCS, min_left: f
     docs_of = per_doc.select("host", "hash", "doc_id").distinct() if repeated else per_doc
     frequent = docs_of.groupBy("host", "hash").agg(F.count("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc")).where(F.col("n_docs") > max_line_docs).drop("n_docs")
     removed = per_doc.join(frequent, ["host", "hash"]).where("doc_id > first_doc")
-    removed = removed.groupBy("doc_id", "text_key", "host").agg(F.sum(F.col("words") * F.col("times")).alias("removed"))
+    removed = removed.groupBy("doc_id", "text_key", "host").agg(F.sum(F.col("words") * F.col("times")).alias("removed"), F.collect_list("hash").alias("removed_lines"))
     if repeated:
         copies = base.groupBy("doc_id", "text_key", "host").agg(F.count("*").alias("copies"))
         removed = removed.join(copies, ["doc_id", "text_key", "host"]).withColumn("removed", F.col("removed") / F.col("copies")).drop("copies")

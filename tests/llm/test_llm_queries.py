@@ -66,6 +66,22 @@ def test_pipeline_stages(spark, sf_dir):
     assert sorted(map(key, whole)) == sorted(map(key, pieces))
 
 
+def test_quality_stage_removes_frequent_lines(spark, sf_dir):
+    """Short lines and lines that differ in digits or inner white space, which line dedup leaves alone."""
+    import corpus_pipeline as pipeline
+
+    body = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    text = lambda k: f"Home\n{body(k)}\n\nPage {k + 10} of 80\nall  rights" + " " * (k % 3) + f" kept\nmine {'ab' * (k + 1)}"
+    rows = [(k, text(k), "s", len(text(k))) for k in range(25)] + [(k, text(k), "few", len(text(k))) for k in range(100, 110)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    found = pipeline.quality(spark, docs, sf_dir)
+    assert found.schema["n_chars"].dataType == docs.schema["n_chars"].dataType and found.columns == docs.columns
+    want = {i: t if i == 0 or s == "few" else f"{body(i)}\n\nmine {'ab' * (i + 1)}" for i, t, s, _ in rows}
+    after = found.collect()
+    assert {r["doc_id"]: r["text"] for r in after} == want and len(after) == len(rows)
+    assert all(r["n_chars"] == len(r["text"]) for r in after)
+
+
 def test_library_works_without_this_subpackage(tmp_path):
     """As after deletion of the folders: the entry module imports and registers the rest."""
     for item in ROOT.iterdir():
