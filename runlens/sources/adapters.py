@@ -72,10 +72,14 @@ def events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Conversations and their turns as nested loops, each with number and value."""
+    """Conversations and their turns as nested loops, each with number and value.
+
+    A conversation takes as many ids as the longest one needs, so that none meets another's.
+    """
     c = _read(spark, sf_dir, "conversations")
     keys = (F.lit("chat"), F.lit("2024-01-01 00:00:00"), F.lit("chat.py"))
-    top, turn = F.col("conv_id") * 1024, F.col("conv_id") * 1024 + F.col("turn") + 1
+    width = (c.agg(F.max("turn")).first()[0] or 0) + 2
+    top, turn = F.col("conv_id") * width, F.col("conv_id") * width + F.col("turn") + 1
     logs = _logs(c, keys, turn, {"role": F.col("role"), "text": F.col("text")})
     return logs, union(_loops(c, top, None, "conversation", F.col("conv_id"), None), _loops(c, turn, top, "turn", F.col("turn"), F.concat(F.lit("t"), F.col("turn"))))
 

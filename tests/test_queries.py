@@ -39,3 +39,15 @@ def test_entry_point_without_optional_part(monkeypatch):
     monkeypatch.setattr(importlib, "import_module", broken)
     with pytest.raises(ModuleNotFoundError):
         entry.queries()
+
+
+def test_conversations_of_any_length(spark, tmp_path):
+    """Turns of a long conversation don't take the next one's contexts."""
+    rows = [(c, t, "user", f"c{c}t{t}") for c, n in ((1, 3000), (2, 5), (3, 1)) for t in range(n)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    import __spark_entry__ as entry
+
+    found = entry.queries()["pivot_conversation"](spark, str(tmp_path)).select("conversation", "turn", "role", "text").collect()
+    assert sorted(map(tuple, found)) == sorted(rows)
+    files = entry.queries()["checkpoint_catalogue"](spark, str(tmp_path)).select("file").collect()
+    assert sorted(r["file"] for r in files) == sorted(f"model_conversation_{c}_turn_t{t}.pkl" for c, t, _, _ in rows)
