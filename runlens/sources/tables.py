@@ -40,10 +40,11 @@ class Store:
 
     def append(self, logs: DataFrame, loops: DataFrame) -> None:
         """Adds rows; contexts are deduplicated on the way in.  Rows of a name lie together,
-        so that a filter on names skips row groups."""
+        so that a filter on names skips row groups.  Loops come first: a run whose logs are
+        there has its contexts, and one that broke off before is still unseen."""
         ordered = logs.select(*(F.col(f.name).cast(f.dataType) for f in LOGS)).sortWithinPartitions("projid", "value_name")
-        ordered.write.mode("append").partitionBy("projid").parquet(self._path("logs"))
         loops.select(*(F.col(f.name).cast(f.dataType) for f in LOOPS)).dropDuplicates(["ctx_id"]).write.mode("append").parquet(self._path("loops"))
+        ordered.write.mode("append").partitionBy("projid").parquet(self._path("logs"))
 
     def compact_loops(self) -> None:
         """Rewrites ``loops`` without repeated rows."""
@@ -59,13 +60,17 @@ def known_stamps(logs: DataFrame) -> DataFrame:
     return logs.select("tstamp").distinct()
 
 
+RUN = ("projid", "tstamp", "filename")
+
+
 def unseen(incoming: DataFrame, logs: DataFrame, newer_only: bool = False) -> DataFrame:
-    """Incoming rows of runs that ``logs`` doesn't have yet.
+    """Incoming rows of runs that ``logs`` doesn't have yet; a run is a project, stamp and file.
 
     With ``newer_only``, runs older than the newest known one stay out, too, as if the
     history were walked from the newest run and left at the first known one.
     """
     if not newer_only:
-        return incoming.join(known_stamps(logs), "tstamp", "left_anti").select(*incoming.columns)
+        known = logs.select(*(F.col(c).alias(f"_{c}") for c in RUN)).distinct()
+        return incoming.join(known, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in RUN], "left_anti")
     met = incoming.select("tstamp").distinct().join(known_stamps(logs), "tstamp", "left_semi").agg(F.max("tstamp").alias("_met"))
     return incoming.join(F.broadcast(met), F.col("_met").isNull() | (F.col("tstamp") > F.col("_met")), "inner").drop("_met")

@@ -1,7 +1,7 @@
 """New run files into the store as they arrive.
 
 Replays write under their run's old time stamp, however late, so no watermark is set.
-A run is recognised by its stamp: a file that arrives twice adds nothing the second
+A run is recognised by its project, stamp and file name: a file that arrives twice adds nothing the second
 time, also when a micro-batch is run again after a failure.
 """
 

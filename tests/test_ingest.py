@@ -9,7 +9,7 @@ from runlens.plans import pivot
 from runlens.recorder import Recorder, settings_of
 from runlens.sources import checkpoints, runfiles
 from runlens.sources.tables import Store
-from runlens.streaming.ingest import watch
+from runlens.streaming.ingest import ingest, watch
 
 
 def run(stamp, epochs=2, **more):
@@ -39,6 +39,47 @@ def test_record_ingest_pivot(spark, tmp_path):
     assert store.loops().count() == store.loops().distinct().count() == 6
 
 
+def test_runs_of_one_second_are_told_apart(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store")).create()
+    stamp, folder = "2024-01-01T00:00:00", tmp_path / "runs"
+    folder.mkdir()
+    for k, (project, file) in enumerate([("proj", "train.py"), ("proj", "eval.py"), ("other", "train.py")]):
+        r = Recorder(project, file, tstamp=stamp)
+        r.log("acc", k)
+        r.commit(path=str(folder / f"{k}.json"))
+        watch(spark, store, str(folder), str(tmp_path / "check")).awaitTermination()
+    assert sorted((r["projid"], r["filename"], r["value"]) for r in store.logs().where("value_name = 'acc'").collect()) == [("other", "train.py", "2"), ("proj", "eval.py", "1"), ("proj", "train.py", "0")]
+
+
+def test_batch_that_broke_off_is_completed(spark, tmp_path):
+    """The second of the two tables can't be written the first time."""
+    folder, root = tmp_path / "runs", tmp_path / "store"
+    folder.mkdir()
+    run("2024-01-01T00:00:00").commit(path=str(folder / "1.json"))
+    store = Store(spark, str(root)).create()
+    texts = spark.read.format("text").option("wholetext", "true").load(str(folder))
+    path, asked = Store._path, []
+
+    class Breaks(Store):
+        def _path(self, name):
+            if name not in asked and root.joinpath(name).exists() and self.writing:
+                asked.append(name)
+                if len(asked) == 2:
+                    raise OSError("gone")
+            return path(self, name)
+
+        def append(self, logs, loops):
+            self.writing = True
+            super().append(logs, loops)
+
+    broken = Breaks(spark, str(root))
+    broken.writing = False
+    with pytest.raises(OSError):
+        ingest(broken, texts)
+    ingest(store, texts)
+    assert pivot.dataframe(store.logs(), store.loops(), "lr", "loss", "acc").count() == 4
+
+
 def test_late_replay_rows_join_their_run(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store")).create()
     first = run("2024-01-01T00:00:00")
