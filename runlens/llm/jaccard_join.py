@@ -14,7 +14,7 @@ weight in them (the few others index those, too).
 against false candidates expected at the corpus's size.
 
 Documents are handled in blocks (see ``repeats``): a block sends each signature of a
-set once, seven bytes each, with the signatures of equal sets collapsed.  Buckets
+set once, seven bytes each (nine in a block of over 65,536), with the signatures of equal sets collapsed.  Buckets
 return the groups that share one.  Within groups no all-pairs list is made: one
 leader is verified against the others and links are joined into components.  Groups
 still split between components then compare bitmaps of shingle hashes across them;
@@ -153,6 +153,8 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray, plans: list) -> tuple[np.n
     return np.concatenate(sigs), np.concatenate(docs)
 
 
+#: Documents in a block, on average at most, and bits of a document's place in its block.
+BLOCK_ROWS, PLACE_BITS = 1 << 15, 32
 #: Kinds of rows that the first pass returns.
 GROUP, LINKS, NODES = 0, 1, 2
 NODE = np.dtype([("id", "<i8"), ("none", "?"), ("n", "<i8"), ("digest", "S16"), ("bytes", "<i4")])
@@ -197,14 +199,14 @@ def _send(plans: list, n_buckets: int):
         kept = np.flatnonzero(sizes > 0)
         own = hashes[flatten_ranges((ends - np.abs(sizes))[kept], sizes[kept])]
         sig, doc = signatures(own, sizes[kept], plans)
-        assert len(rows) < 1 << 16, "a block holds under 65536 documents"
+        wide = len(rows) > 1 << 16  # many copies of a row share a block: four bytes a place instead of two
         bucket = ((sig >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64)
         code = sig & np.uint64((1 << 40) - 1)
         order = np.lexsort((code, bucket))
         bucket, code, doc = bucket[order], code[order], kept[doc[order]]
-        raw = np.concatenate([code.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5], doc.astype("<u2").view(np.uint8).reshape(-1, 2)], 1)
+        raw = np.concatenate([code.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5], doc.astype("<u4" if wide else "<u2").view(np.uint8).reshape(len(doc), -1)], 1)
         used, at = np.unique(bucket, return_index=True)
-        payload = [raw[a:z].tobytes() for a, z in zip(at, np.r_[at[1:], len(bucket)])]
+        payload = [bytes([raw.shape[1]]) + raw[a:z].tobytes() for a, z in zip(at, np.r_[at[1:], len(bucket)])]
         # what concerns the block alone goes to buckets of its own
         buckets = [*used.tolist(), *([-1 - 2 * number] if links else []), -2 - 2 * number]
         payload += [*([np.array(links, "<i8").tobytes()] if links else []), nodes.tobytes() + b"".join(bitmaps) + len(nodes).to_bytes(4, "little")]
@@ -219,18 +221,19 @@ FOUND = "kind int, block int, refs array<long>, payload binary"
 
 
 def _groups(bucket: pa.Table) -> pa.Table:
-    """The bucket's distinct groups of documents (block * 65536 + place) that share a signature."""
+    """The bucket's distinct groups of documents (block << PLACE_BITS | place) that share a signature."""
     schema = pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("refs", pa.list_(pa.int64())), ("payload", pa.binary())])
     payload, number = bucket.column("payload").to_pylist(), bucket.column("bucket")[0].as_py()
     if number < 0:
         return pa.table([pa.array([LINKS if number % 2 else NODES] * len(payload), pa.int32()), bucket.column("block"), pa.array([None] * len(payload), pa.list_(pa.int64())), bucket.column("payload")], schema=schema)
-    raw = [np.frombuffer(p, np.uint8).reshape(-1, 7) for p in payload]
-    ref = np.repeat(bucket.column("block").to_numpy().astype(np.int64) << 16, [len(r) for r in raw])
-    raw = np.concatenate(raw)
+    raw = [np.frombuffer(p, np.uint8, offset=1).reshape(-1, p[0]) for p in payload]
+    ref = np.repeat(bucket.column("block").to_numpy().astype(np.int64) << PLACE_BITS, [len(r) for r in raw])
+    place = np.concatenate([np.ascontiguousarray(r[:, 5:]).view(f"<u{r.shape[1] - 5}").ravel().astype(np.int64) for r in raw])
+    raw = np.concatenate([r[:, :5] for r in raw])
     code = np.zeros((len(raw), 8), np.uint8)
-    code[:, :5] = raw[:, :5]
+    code[:, :5] = raw
     code = code.view("<u8").ravel()
-    ref = ref | np.ascontiguousarray(raw[:, 5:7]).view("<u2").ravel()
+    ref = ref | place
     order = np.lexsort((ref, code))
     code, ref = code[order], ref[order]
     fresh = np.r_[True, (code[1:] != code[:-1]) | (ref[1:] != ref[:-1])]
@@ -250,7 +253,7 @@ def _fetch(block: pa.Table, wanted: pa.Table) -> pa.Table:
     """Wanted documents' texts, compressed."""
     rows = repeats.ordered(block) if wanted.num_rows else []
     pack, refs = zstandard.ZstdCompressor(level=3).compress, sorted(wanted.column("ref").to_pylist())
-    return pa.table({"ref": pa.array(refs, pa.int64()), "packed": pa.array([pack(rows[r & 0xFFFF][1].encode("utf-8", "surrogatepass")) for r in refs], pa.binary())})
+    return pa.table({"ref": pa.array(refs, pa.int64()), "packed": pa.array([pack(rows[r & ((1 << PLACE_BITS) - 1)][1].encode("utf-8", "surrogatepass")) for r in refs], pa.binary())})
 
 
 def linked(left: str, right: str, n: int = SHINGLE, percent: int = PERCENT) -> bool:
@@ -306,7 +309,7 @@ def verify(likely: DataFrame, blocks: DataFrame) -> DataFrame:
     links, open_pairs = likely.where("same").select(F.col("left_id").alias("a"), F.col("right_id").alias("b")), likely.where("not same")
     if open_pairs.isEmpty():
         return links
-    wanted = open_pairs.select(F.col("left").alias("ref")).union(open_pairs.select("right")).distinct().select(F.shiftright("ref", 16).cast("int").alias("block"), "ref")
+    wanted = open_pairs.select(F.col("left").alias("ref")).union(open_pairs.select("right")).distinct().select(F.shiftright("ref", PLACE_BITS).cast("int").alias("block"), "ref")
     texts = materialise(blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_fetch, "ref long, packed binary"), "texts")
     a, b = _sides(texts, ["packed"])
     read = open_pairs.join(b, "right").join(a, "left").select("left_id", "left_packed", "right_id", "right_packed")
@@ -390,8 +393,8 @@ def _likely(most: int):
 
 def _index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents by block, and the first pass over them (see ``FOUND``), written once."""
-    blocks, n_blocks = repeats.into_blocks(docs, packed=True)
     n_docs, plans = max(1, docs.count()), []
+    blocks, n_blocks = repeats.into_blocks(docs, packed=True, least=-(-n_docs // BLOCK_ROWS))
     for low, high in bands(most=1 << 26):
         plans.append((low, high, *(layout(low, high, n_docs) if low < 20_000 else (differing(high) + 1, 0, 0))))
     sent = blocks.groupBy("block").applyInArrow(_send(plans, max(4, n_blocks // 2)), repeats.FILTER_SCHEMA)
@@ -454,5 +457,5 @@ def _unpack_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             ends = count * NODE.itemsize + np.r_[0, np.cumsum(rows["bytes"])]
             bits = [payload[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist())]
             digests = [payload[k * NODE.itemsize + 17 : k * NODE.itemsize + 33] for k in range(count)]
-            columns = [pa.array((number << 16) + np.arange(count)), pa.array(rows["id"], pa.int64(), mask=rows["none"]), pa.array(rows["n"], pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary())]
+            columns = [pa.array((number << PLACE_BITS) + np.arange(count)), pa.array(rows["id"], pa.int64(), mask=rows["none"]), pa.array(rows["n"], pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["ref", "id", "n", "digest", "bits"])

@@ -39,12 +39,12 @@ _POS = np.uint64((1 << 28) - 1)
 LAST_ID = (1 << 63) - 1
 
 
-def into_blocks(docs: DataFrame, packed: bool = False) -> tuple[DataFrame, int]:
-    """(block, doc_id, text), and the number of blocks.
+def into_blocks(docs: DataFrame, packed: bool = False, least: int = 4) -> tuple[DataFrame, int]:
+    """(block, doc_id, text), and the number of blocks, which is ``least`` at least.
 
     With ``packed`` the texts are compressed ahead of the shuffles, as ``packed``.
     """
-    n = max(4, -(-input_bytes(docs) // BLOCK_BYTES))
+    n = max(4, least, -(-input_bytes(docs) // BLOCK_BYTES))
     block = F.pmod(F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))), F.lit(n)).cast("int")
     rows = docs.select(block.alias("block"), F.col("doc_id").cast("long"), "text")
     return (rows.mapInArrow(_pack_texts, "block int, doc_id long, packed binary") if packed else rows), n

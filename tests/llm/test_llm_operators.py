@@ -337,6 +337,16 @@ def test_warc_blocks_and_binary_search(spark, monkeypatch):
     assert sorted(c["page_id"] for c in lookup.find("http://h1.net/same")) == list(range(1000, 1020))
 
 
+def test_jaccard_blocks_of_many_rows(spark):
+    """Rows that hash alike share a block, whatever the number of blocks; pairs behind them are found."""
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    pairs = [(10**6 + k, text(k)) for k in range(40)] + [(2 * 10**6 + k, text(k) + " more") for k in range(40)]
+    empty = spark.range(70_000).selectExpr("CAST(1 AS long) AS doc_id", "'' AS text")
+    found = jaccard_join.join_components(empty.unionByName(spark.createDataFrame(pairs, "doc_id long, text string")))
+    counts = Counter((r["doc_id"], r["component_id"]) for r in found.collect())
+    assert counts == Counter({(1, 1): 70_000} | {(base + k, 10**6 + k): 1 for base in (10**6, 2 * 10**6) for k in range(40)})
+
+
 def test_packing(spark, docs, rows, none):
     import public_tokenizers
     from tokenizers import Tokenizer
