@@ -7,25 +7,33 @@ smaller partner, in the next one's.  For each band at most ``H`` shingles differ
 between linked sets.  Its layout splits the universe of shingle hashes into ``m``
 segments; ``x`` of them also index their one-deletion neighbourhood, so they still
 match when one shingle differs.  With ``m + x = H + 1 + slack`` allotted, linked sets
-agree on a total weight above ``slack``, and segments of under ``LEAST`` shingles, which
+agree on a total weight above ``slack``, and segments of under ``least`` shingles, which
 unlinked sets often share, need no index entry in documents with at most ``slack``
-weight in them (the few others index those, too).
-``layout`` picks ``m``, ``x`` and ``slack`` of least cost: index entries a document
-against false candidates expected at the corpus's size.
-
-Documents are handled in blocks (see ``repeats``): a block sends each signature of a
-set once, seven bytes each (nine in a block of over 65,536), with the signatures of equal sets collapsed.  Buckets
-return the groups that share one.  Within groups no all-pairs list is made: one
-leader is verified against the others and links are joined into components.  Groups
-still split between components then compare bitmaps of shingle hashes across them;
-a bitmap's differing bits bound the differing shingles from below, so what is ruled
-out is no link.  What remains is verified exactly, on the words; a member that meets
-many of one likely component puts pairs off to a further round, which comes only
-while its group is still split, with eight times as many.  No link is missed.
+weight in them (the few others index those, too).  ``layout`` picks ``m``, ``x``,
+``slack`` and ``least`` of least cost: index entries a document against false
+candidates expected at the corpus's size.
+
+The index goes out in two parts, over blocks of documents (see ``repeats``):
+
+1. Documents of the same words are one from here on (copies of a block at once, then
+   across blocks by a digest of the words).  Of each set, the last ``FIRST`` segments
+   are indexed; in the groups that share one, the first document is verified against
+   the others.  The links found join most near copies into components.
+2. The whole index follows, each entry with its component so far.  Buckets return only
+   groups that are still split between components, so copies and near copies, however
+   many, cause no rows here.  Members of different components compare bitmaps of
+   shingle hashes; a bitmap's differing bits bound the differing shingles from below,
+   so what is ruled out is no link.  What remains is verified exactly, on the words.
+   A large group is compared in tiles of ``TILE`` members, a task a pair of tiles.
+   A member that meets many of one likely component puts pairs off to a further
+   round, which comes only while its group is split, with sixteen times as many.
+
+No link between components is missed: the second part alone is complete.
 
 Edge cases: null or blank texts have no shingles and no links; a text of fewer words
 than a shingle is one shingle; rows without a doc_id are never linked and have a null
-component; rows that repeat an id are one node; an empty table gives an empty result.
+component; rows that repeat an id are one node; an empty table gives an empty result;
+further columns of the input, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -46,8 +54,6 @@ from .common import materialise
 from .repeats import flatten_ranges, mixed
 
 SHINGLE, PERCENT = 4, 85
-#: Segments of fewer shingles say little and are not indexed where the slack allows it.
-LEAST = 2
 #: Chance that two shingles drawn from the corpus are equal, for the cost model only.
 REPEAT_CHANCE = 1e-3
 _K = [np.uint64(k) for k in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -80,32 +86,52 @@ def _at_most(k: int, mean: float) -> float:
     return total
 
 
-def layout(low: int, high: int, n_docs: int, percent: int = PERCENT) -> tuple[int, int, int]:
-    """(segments, how many of them index deletions, slack) of least cost for a band."""
+def layout(low: int, high: int, n_docs: int, percent: int = PERCENT) -> tuple[int, int, int, int]:
+    """(segments, how many of them index deletions, slack, least) of least cost for a band."""
     best = None
     must = differing(high, percent) + 1
-    for slack in sorted({0, 1, 2, 3, *(must // k for k in (20, 12, 10, 8, 7, 6, 5, 4))}):
-        weight = must + slack
-        for m in range(-(-weight // 2), weight + 1):
-            x, size = weight - m, low / m
-            none, few = math.exp(-size), _at_most(LEAST - 1, size)
-            edge = _at_most(LEAST, size) - few
-            stay = _at_most(slack, (m - x) * few + x * (2 * few + edge))
-            false = n_docs * (REPEAT_CHANCE**LEAST * (m + 3 * x) * edge + m * none * (1 - stay) ** 2)
-            cost = m * (1 - few) + x * size + 10 * false
-            if m == 1 and slack == 0:
-                cost = 1 + x * low  # the whole set: never empty
-            if best is None or cost < best[0]:
-                best = (cost, m, x, slack)
+    for least in (2, 3, 4):
+        for slack in sorted({0, 1, 2, 3, *(must // k for k in (20, 12, 10, 8, 7, 6, 5, 4))}):
+            weight = must + slack
+            for m in sorted({*range(-(-weight // 2), weight, max(1, weight // 32)), weight}):
+                x, size = weight - m, low / m
+                none, few = math.exp(-size), _at_most(least - 1, size)
+                edge = _at_most(least, size) - few
+                stay = _at_most(slack, (m - x) * few + x * (2 * few + edge))
+                false = n_docs * (REPEAT_CHANCE**least * (m + 3 * x) * edge + m * none * (1 - stay) ** 2)
+                cost = m * (1 - few) + x * size + 10 * false
+                if m == 1 and slack == 0:
+                    cost = 1 + x * low  # the whole set: never empty
+                if best is None or cost < best[0]:
+                    best = (cost, m, x, slack, least)
     return best[1:]
 
 
+#: Bands from this size on take the plain layout of one segment more than can differ.
+PLAIN = 20_000
+
+
+def layouts(n_docs: int, percent: int = PERCENT) -> list[tuple]:
+    """(low, high, m, x, slack, least) of the bands below ``PLAIN``; ``reaching`` adds what a block needs beyond."""
+    return [(low, high, *layout(low, high, n_docs, percent)) for low, high in bands(percent, PLAIN - 1)]
+
+
+def reaching(plans: list, largest: int, percent: int = PERCENT) -> list[tuple]:
+    """The plans, carried on until sets of any size up to ``largest`` lie in a band."""
+    out = list(plans)
+    while not out or out[-1][1] < largest:
+        low = out[-1][1] + 1 if out else 1
+        high = max(low, low * 100 // percent)
+        out.append((low, high, differing(high, percent) + 1, 0, 0, 2))
+    return out
+
+
 def words_of(text: str | None) -> list:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _sets(texts: list, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, concatenated, and their numbers."""
+def _sets(texts: list, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, list]:
+    """Sorted distinct shingle hashes of each text, concatenated, their numbers, and digests of the words."""
     known: dict = {}
     words = [words_of(t) for t in texts]
     ids = np.fromiter((known.setdefault(w, len(known)) for doc in words for w in doc), np.int64)
@@ -117,36 +143,41 @@ def _sets(texts: list, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
         if 0 < len(own) < n:
             own = np.r_[own, np.zeros(n - len(own), np.uint64)]
         out.append(np.unique(repeats.gram_hashes(own, n)))
-    return np.concatenate(out or [np.empty(0, np.uint64)]), np.array([len(o) for o in out], np.int64)
+    digests = [hashlib.blake2b(b" ".join(doc), digest_size=16).digest() for doc in words]
+    return np.concatenate(out or [np.empty(0, np.uint64)]), np.array([len(o) for o in out], np.int64), digests
+
+
+#: Segments of each layout that the first part indexes.
+FIRST = 8
 
 
-def signatures(hashes: np.ndarray, sizes: np.ndarray, plans: list) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, document) index entries; ``plans`` has (low, high, m, x, slack) per band."""
+def signatures(hashes: np.ndarray, sizes: np.ndarray, plans: list, percent: int = PERCENT, first: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, document) index entries; with ``first`` those of the last ``FIRST`` segments alone."""
     ends = np.cumsum(sizes)
     sigs, docs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for b, (low, high, m, x, slack) in enumerate(plans):
-        if low > (sizes.max(initial=0) + 1) * 2:
-            break
-        chosen = np.flatnonzero((sizes * 100 >= PERCENT * low) & (sizes <= high) & (sizes > 0))
+    for b, (low, high, m, x, slack, least) in enumerate(reaching(plans, sizes.max(initial=0), percent)):
+        chosen = np.flatnonzero((sizes * 100 >= percent * low) & (sizes <= high) & (sizes > 0))
         if not len(chosen):
             continue
         h = hashes[flatten_ranges((ends - sizes)[chosen], sizes[chosen])]
         doc = np.repeat(np.arange(len(chosen)), sizes[chosen])
         segment = ((mixed(h ^ _salt(0, b + 1)) >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
+        if first and m > FIRST:
+            own = segment >= m - FIRST
+            h, doc, segment = h[own], doc[own], segment[own]
         value, cell = mixed(h * _K[1]), doc * m + segment
         count = np.bincount(cell, minlength=len(chosen) * m)
         order = np.argsort(cell, kind="stable")
         total = np.zeros(len(chosen) * m, np.uint64)
-        total[count > 0] = np.add.reduceat(value[order], np.r_[0, np.cumsum(count[count > 0])[:-1]])
+        total[count > 0] = np.add.reduceat(value[order], np.r_[0, np.cumsum(count[count > 0])[:-1]]) if len(order) else 0
         place = np.tile(np.arange(m), len(chosen))
-        weight = np.where(place < x, np.where(count < LEAST, 2, np.where(count == LEAST, 1, 0)), count < LEAST)
-        lost = weight.reshape(len(chosen), m).sum(1)
-        full = np.repeat(lost > slack, m)  # these index small and empty segments, too
+        weight = np.where(place < x, np.where(count < least, 2, np.where(count == least, 1, 0)), count < least)
+        full = np.repeat(weight.reshape(len(chosen), m).sum(1) > slack, m)  # these index small and empty segments, too
         salt = lambda seg: _salt(2, b) ^ (seg.astype(np.uint64) * _K[3])
-        keep = np.flatnonzero((count >= LEAST) | full)
+        keep = np.flatnonzero(count >= min(2, least) if first else (count >= least) | full)
         sigs.append(mixed(mixed(total[keep]) + salt(place[keep])))
         docs.append(chosen[keep // m])
-        less = np.flatnonzero((segment < x) & ((count[cell] > LEAST) | full[cell]))
+        less = np.empty(0, np.int64) if first else np.flatnonzero((segment < x) & ((count[cell] > least) | full[cell]))
         if len(less):
             sigs.append(mixed(mixed(total[cell[less]] - value[less]) + salt(segment[less])))
             docs.append(chosen[doc[less]])
@@ -155,9 +186,9 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray, plans: list) -> tuple[np.n
 
 #: Documents in a block, on average at most, and bits of a document's place in its block.
 BLOCK_ROWS, PLACE_BITS = 1 << 15, 32
-#: Kinds of rows that the first pass returns.
-GROUP, LINKS, NODES = 0, 1, 2
-NODE = np.dtype([("id", "<i8"), ("none", "?"), ("n", "<i8"), ("digest", "S16"), ("bytes", "<i4")])
+#: Kinds of rows that the first part returns.
+GROUP, NODES = 0, 1
+NODE = np.dtype([("id", "<i8"), ("none", "?"), ("n", "<i8"), ("digest", "S16"), ("first", "<i8"), ("bytes", "<i4")])
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
@@ -181,66 +212,110 @@ def may_link(one: np.ndarray, n_one: int, others: np.ndarray, n_others: np.ndarr
     return (100 + percent) * differ <= (100 - percent) * (n_others + n_one)
 
 
-def _send(plans: list, n_buckets: int):
+def _payloads(sig: np.ndarray, doc: np.ndarray, n_buckets: int, number: int, label: dict) -> tuple[list, list]:
+    """Index entries by bucket: buckets, and for each its entries in order of signature.
+
+    An entry is five bytes of the signature and the document's place; entries of
+    documents in a component add its id, eight bytes.
+    """
+    bucket = ((sig >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64)
+    code = sig & np.uint64((1 << 40) - 1)
+    order = np.lexsort((code, bucket))
+    bucket, code, doc = bucket[order], code[order], doc[order]
+    wide = 4 if len(doc) and doc.max() >= 1 << 16 else 2  # many copies of a row share a block
+    codes, places = code.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5], doc.astype(f"<u{wide}")
+    named = np.isin(doc, np.fromiter(label, np.int64, len(label)))
+    used, at = np.unique(bucket, return_index=True)
+    out = []
+    for a, z in zip(at, np.r_[at[1:], len(bucket)]):
+        has = named[a:z]
+        labels = np.fromiter((label[p] for p in doc[a:z][has].tolist()), np.int64, int(has.sum()))
+        out.append(bytes([wide]) + int(z - a).to_bytes(4, "little") + codes[a:z].tobytes() + places[a:z].tobytes() + np.packbits(has).tobytes() + labels.tobytes())
+    return used.tolist(), out
+
+
+def _entries(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, place, whether in a component, component) of one payload."""
+    wide, n = payload[0], int.from_bytes(payload[1:5], "little")
+    code = np.zeros((n, 8), np.uint8)
+    code[:, :5] = np.frombuffer(payload, np.uint8, 5 * n, 5).reshape(-1, 5)
+    at = 5 + 5 * n
+    place = np.frombuffer(payload, f"<u{wide}", n, at).astype(np.int64)
+    at += wide * n
+    named = np.unpackbits(np.frombuffer(payload, np.uint8, (n + 7) // 8, at), count=n).astype(bool)
+    label = np.zeros(n, np.int64)
+    label[named] = np.frombuffer(payload, "<i8", -1, at + (n + 7) // 8)
+    return code.view("<u8").ravel(), place, named, label
+
+
+def _index_table(number: int, buckets: list, payload: list) -> pa.Table:
+    return pa.table({"bucket": pa.array(buckets, pa.int32()), "block": pa.array([number] * len(buckets), pa.int32()), "payload": pa.array(payload, pa.binary())})
+
+
+def _send_first(plans: list, n_buckets: int, n: int, percent: int):
     def send(block: pa.Table) -> pa.Table:
         number, rows = block.column("block")[0].as_py(), repeats.ordered(block)
-        hashes, sizes = _sets([t for _, t in rows])
+        hashes, sizes, digests = _sets([t for _, t in rows], n)
         ends = np.cumsum(sizes)
-        lead, links, nodes, bitmaps = {}, [], np.zeros(len(rows), NODE), []
-        for k, (doc_id, _) in enumerate(rows):  # equal sets of the block are linked here and index once
+        lead, nodes, bitmaps = {}, np.zeros(len(rows), NODE), []
+        for k, (doc_id, _) in enumerate(rows):  # copies within the block index once
             own = hashes[ends[k] - sizes[k] : ends[k]]
-            digest, bits = hashlib.blake2b(own.tobytes(), digest_size=16).digest(), bitmap(own).tobytes()
-            nodes[k] = (doc_id or 0, doc_id is None, sizes[k], digest, len(bits))
+            first = lead.setdefault(digests[k], k) if sizes[k] and doc_id is not None else k
+            bits = bitmap(own).tobytes() if first == k else b""
+            nodes[k] = (doc_id or 0, doc_id is None, sizes[k], digests[k], first, len(bits))
             bitmaps.append(bits)
-            first = lead.setdefault(digest, k) if sizes[k] and doc_id is not None else -1
-            if first != k:
-                links += [(rows[first][0], doc_id)] if first >= 0 else []
-                sizes[k] = -sizes[k]
-        kept = np.flatnonzero(sizes > 0)
-        own = hashes[flatten_ranges((ends - np.abs(sizes))[kept], sizes[kept])]
-        sig, doc = signatures(own, sizes[kept], plans)
-        wide = len(rows) > 1 << 16  # many copies of a row share a block: four bytes a place instead of two
-        bucket = ((sig >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64)
-        code = sig & np.uint64((1 << 40) - 1)
-        order = np.lexsort((code, bucket))
-        bucket, code, doc = bucket[order], code[order], kept[doc[order]]
-        raw = np.concatenate([code.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5], doc.astype("<u4" if wide else "<u2").view(np.uint8).reshape(len(doc), -1)], 1)
-        used, at = np.unique(bucket, return_index=True)
-        payload = [bytes([raw.shape[1]]) + raw[a:z].tobytes() for a, z in zip(at, np.r_[at[1:], len(bucket)])]
-        # what concerns the block alone goes to buckets of its own
-        buckets = [*used.tolist(), *([-1 - 2 * number] if links else []), -2 - 2 * number]
-        payload += [*([np.array(links, "<i8").tobytes()] if links else []), nodes.tobytes() + b"".join(bitmaps) + len(nodes).to_bytes(4, "little")]
-        return pa.table({"bucket": pa.array(buckets, pa.int32()), "block": pa.array([number] * len(buckets), pa.int32()), "payload": pa.array(payload, pa.binary())})
+        kept = np.array(sorted(lead.values()), np.int64)
+        own = hashes[flatten_ranges((ends - sizes)[kept], sizes[kept])]
+        sig, doc = signatures(own, sizes[kept], plans, percent, first=True)
+        buckets, payload = _payloads(sig, kept[doc], n_buckets, number, {})
+        # the block's nodes go to a bucket of their own
+        return _index_table(number, [*buckets, -1 - number], [*payload, nodes.tobytes() + b"".join(bitmaps) + len(nodes).to_bytes(4, "little")])
 
     return send
 
 
+def _send_all(plans: list, n_buckets: int, n: int, percent: int):
+    def send(block: pa.Table, known: pa.Table) -> pa.Table:
+        if not block.num_rows:
+            return _index_table(0, [], [])
+        number, rows = block.column("block")[0].as_py(), repeats.ordered(block)
+        hashes, sizes, digests = _sets([t for _, t in rows], n)
+        ends, lead = np.cumsum(sizes), {}
+        for k, (doc_id, _) in enumerate(rows):
+            if sizes[k] and doc_id is not None:
+                lead.setdefault(digests[k], k)
+        places, away = (known.column("ref").to_numpy() & ((1 << PLACE_BITS) - 1)).tolist(), known.column("away").to_pylist()
+        label = dict(zip(places, known.column("label").to_pylist()))
+        gone = {p for p, a in zip(places, away) if a}  # another block has the same words and indexes them
+        kept = np.array(sorted(p for p in lead.values() if p not in gone), np.int64)
+        own = hashes[flatten_ranges((ends - sizes)[kept], sizes[kept])]
+        sig, doc = signatures(own, sizes[kept], plans, percent)
+        return _index_table(number, *_payloads(sig, kept[doc], n_buckets, number, label))
+
+    return send
 
 
 FOUND = "kind int, block int, refs array<long>, payload binary"
 
 
 def _groups(bucket: pa.Table) -> pa.Table:
-    """The bucket's distinct groups of documents (block << PLACE_BITS | place) that share a signature."""
+    """The bucket's distinct groups of documents (block << PLACE_BITS | place) that share a signature
+    and aren't known to be of one component."""
     schema = pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("refs", pa.list_(pa.int64())), ("payload", pa.binary())])
-    payload, number = bucket.column("payload").to_pylist(), bucket.column("bucket")[0].as_py()
-    if number < 0:
-        return pa.table([pa.array([LINKS if number % 2 else NODES] * len(payload), pa.int32()), bucket.column("block"), pa.array([None] * len(payload), pa.list_(pa.int64())), bucket.column("payload")], schema=schema)
-    raw = [np.frombuffer(p, np.uint8, offset=1).reshape(-1, p[0]) for p in payload]
-    ref = np.repeat(bucket.column("block").to_numpy().astype(np.int64) << PLACE_BITS, [len(r) for r in raw])
-    place = np.concatenate([np.ascontiguousarray(r[:, 5:]).view(f"<u{r.shape[1] - 5}").ravel().astype(np.int64) for r in raw])
-    raw = np.concatenate([r[:, :5] for r in raw])
-    code = np.zeros((len(raw), 8), np.uint8)
-    code[:, :5] = raw
-    code = code.view("<u8").ravel()
-    ref = ref | place
+    payload = bucket.column("payload").to_pylist()
+    if bucket.column("bucket")[0].as_py() < 0:
+        return pa.table([pa.array([NODES] * len(payload), pa.int32()), bucket.column("block"), pa.array([None] * len(payload), pa.list_(pa.int64())), bucket.column("payload")], schema=schema)
+    parts = [_entries(p) for p in payload]
+    code, place, named, label = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    ref = (np.repeat(bucket.column("block").to_numpy().astype(np.int64) << PLACE_BITS, [len(p[0]) for p in parts])) | place
     order = np.lexsort((ref, code))
-    code, ref = code[order], ref[order]
+    code, ref, named, label = code[order], ref[order], named[order], label[order]
     fresh = np.r_[True, (code[1:] != code[:-1]) | (ref[1:] != ref[:-1])]
-    code, ref = code[fresh], ref[fresh]
+    code, ref, named, label = code[fresh], ref[fresh], named[fresh], label[fresh]
     starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
     counts = np.diff(np.r_[starts, len(code)])
-    many = np.flatnonzero(counts > 1)
+    one = np.minimum.reduceat(named, starts) & (np.minimum.reduceat(label, starts) == np.maximum.reduceat(label, starts))
+    many = np.flatnonzero((counts > 1) & ~one)
     seen = dict.fromkeys(ref[a : a + n].tobytes() for a, n in zip(starts[many].tolist(), counts[many].tolist()))
     lists = [np.frombuffer(s, np.int64) for s in seen]
     flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
@@ -278,42 +353,47 @@ def _sides(nodes: DataFrame, fields: list) -> list[DataFrame]:
     return [nodes.select(F.col("ref").alias(side), *(F.col(f).alias(f"{side}_{f}") for f in fields)) for side in ("left", "right")]
 
 
-def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        good = []
-        for x, n_x, y, n_y in zip(*(batch.column(c).to_pylist() for c in ("left_bits", "left_n", "right_bits", "right_n"))):
-            size = min(len(x), len(y))
-            one, other = (folded(np.frombuffer(v, np.uint8), size) for v in (x, y))
-            good.append(bool(may_link(one, n_x, other[None, :], np.array([n_y]))[0]))
-        mask = pa.array(good, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("left", "right", "left_id", "right_id", "same")], names=["left", "right", "left_id", "right_id", "same"])
+def _screen(percent: int):
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, n_x, y, n_y in zip(*(batch.column(c).to_pylist() for c in ("left_bits", "left_n", "right_bits", "right_n"))):
+                size = min(len(x), len(y))
+                one, other = (folded(np.frombuffer(v, np.uint8), size) for v in (x, y))
+                good.append(bool(may_link(one, n_x, other[None, :], np.array([n_y]), percent)[0]))
+            mask = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("left", "right", "left_id", "right_id")], names=["left", "right", "left_id", "right_id"])
 
+    return screen
 
-def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        texts = ([unpack(t).decode("utf-8", "surrogatepass") for t in batch.column(c).to_pylist()] for c in ("left_packed", "right_packed"))
-        mask = pa.array([linked(x, y) for x, y in zip(*texts)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("left_id").filter(mask), batch.column("right_id").filter(mask)], names=["a", "b"])
 
+def _check(n: int, percent: int):
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            texts = ([unpack(t).decode("utf-8", "surrogatepass") for t in batch.column(c).to_pylist()] for c in ("left_packed", "right_packed"))
+            mask = pa.array([linked(x, y, n, percent) for x, y in zip(*texts)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("left_id").filter(mask), batch.column("right_id").filter(mask)], names=["a", "b"])
+
+    return check
 
-def screen(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (left, right) of refs that bitmaps don't rule out, with ids, and whether the sets are equal."""
-    a, b = _sides(nodes, ["id", "n", "bits", "digest"])
-    met = pairs.join(b, "right").join(a, "left").withColumn("same", F.col("left_digest") == F.col("right_digest")).drop("left_digest", "right_digest")
-    return materialise(met.mapInArrow(_screen, "left long, right long, left_id long, right_id long, same boolean"), "likely")
 
+PAIRS = "left long, right long, left_id long, right_id long"
 
-def verify(likely: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Links (a, b) by doc_id: equal sets, and pairs whose words show it."""
-    links, open_pairs = likely.where("same").select(F.col("left_id").alias("a"), F.col("right_id").alias("b")), likely.where("not same")
-    if open_pairs.isEmpty():
-        return links
-    wanted = open_pairs.select(F.col("left").alias("ref")).union(open_pairs.select("right")).distinct().select(F.shiftright("ref", PLACE_BITS).cast("int").alias("block"), "ref")
+
+def screen(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (left, right) of refs that bitmaps don't rule out, with ids."""
+    a, b = _sides(nodes, ["id", "n", "bits"])
+    return pairs.join(b, "right").join(a, "left").mapInArrow(_screen(percent), PAIRS)
+
+
+def verify(likely: DataFrame, blocks: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) by doc_id: pairs whose words show it."""
+    wanted = likely.select(F.col("left").alias("ref")).union(likely.select("right")).distinct().select(F.shiftright("ref", PLACE_BITS).cast("int").alias("block"), "ref")
     texts = materialise(blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_fetch, "ref long, packed binary"), "texts")
     a, b = _sides(texts, ["packed"])
-    read = open_pairs.join(b, "right").join(a, "left").select("left_id", "left_packed", "right_id", "right_packed")
-    return links.unionByName(materialise(read.mapInArrow(_check, "a long, b long"), "verified"))
+    read = likely.join(b, "right").join(a, "left").select("left_id", "left_packed", "right_id", "right_packed")
+    return materialise(read.mapInArrow(_check(n, percent), "a long, b long"), "verified")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -343,18 +423,21 @@ def components(links: DataFrame) -> DataFrame:
 COMPARED_BYTES = 1 << 22
 
 
-def cross_pairs(part: np.ndarray, n: np.ndarray, bits: np.ndarray, most: int) -> tuple[list, bool]:
+def cross_pairs(part: np.ndarray, n: np.ndarray, bits: np.ndarray, most: int, percent: int = PERCENT, sides: np.ndarray | None = None) -> tuple[list, bool]:
     """Likely pairs (i, j) of members of different components, and whether any was put off.
 
+    With ``sides`` only pairs of members on different sides count.
+
     A member pairs up with at most ``most`` others of one provisional component (likely
     pairs taken as links); once they are verified, the rest is mostly settled.
     """
     provisional, out, put_off = part.copy(), [], False
     step = max(1, COMPARED_BYTES // max(1, bits[0].nbytes))
     for i in range(len(part) - 1):
-        others = i + 1 + np.flatnonzero(part[i + 1 :] != part[i])
+        apart = part[i + 1 :] != part[i]
+        others = i + 1 + np.flatnonzero(apart if sides is None else apart & (sides[i + 1 :] != sides[i]))
         chunks = [others[a : a + step] for a in range(0, len(others), step)]
-        others = np.concatenate([c[may_link(bits[i], n[i], bits[c], n[c])] for c in chunks] or [others])
+        others = np.concatenate([c[may_link(bits[i], n[i], bits[c], n[c], percent)] for c in chunks] or [others])
         if not len(others):
             continue
         by = np.argsort(provisional[others], kind="stable")
@@ -367,88 +450,131 @@ def cross_pairs(part: np.ndarray, n: np.ndarray, bits: np.ndarray, most: int) ->
     return out, put_off
 
 
-LIKELY = "left long, right long, left_id long, right_id long, same boolean, put_off boolean"
-
-
-def _likely(most: int):
-    """Likely pairs within one group, as ``screen`` returns them; a row of nulls if some were put off."""
-
-    def pairs(group: pa.Table) -> pa.Table:
-        order = np.argsort(group.column("ref").to_numpy())
-        ref, ids, part, n = (group.column(c).to_numpy()[order] for c in ("ref", "id", "part", "n"))
-        raw = group.column("bits").to_pylist()
-        size, digest = min(map(len, raw)), group.column("digest").to_pylist()
-        bits = np.stack([folded(np.frombuffer(raw[k], np.uint8), size) for k in order]).view(np.uint64)
-        found, put_off = cross_pairs(part, n, bits, most)
-        i, j = np.array(found, np.int64).reshape(-1, 2).T
-        same = [digest[order[a]] == digest[order[b]] for a, b in found]
-        columns = [ref[i].tolist(), ref[j].tolist(), ids[i].tolist(), ids[j].tolist(), same, [False] * len(found)]
-        if put_off:
-            columns = [[*c, v] for c, v in zip(columns, (None, None, None, None, None, True))]
-        kinds = [pa.int64()] * 4 + [pa.bool_()] * 2
+#: Members of a group that one task compares with each other, or with as many others, and
+#: members of groups of one head in a chunk, which one task takes.
+TILE, CHUNK_ROWS = 2048, 8192
+LIKELY = "left long, right long, left_id long, right_id long, gid long, low int, high int"
+
+
+def _likely(most: int, percent: int):
+    """Likely pairs within the units of a chunk, and the units (gid, low, high) of which some were put off."""
+
+    def pairs(chunk: pa.Table) -> pa.Table:
+        gid, low, high = (chunk.column(c).to_numpy() for c in ("gid", "low", "high"))
+        order = np.lexsort((chunk.column("ref").to_numpy(), high, low, gid))
+        gid, low, high = gid[order], low[order], high[order]
+        ref, ids, part, n, tile = (chunk.column(c).to_numpy()[order] for c in ("ref", "id", "part", "n", "tile"))
+        raw = chunk.column("bits").to_pylist()
+        out, put_off = [], []
+        starts = np.flatnonzero(np.r_[True, (gid[1:] != gid[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+        for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(gid)]):
+            size = min(len(raw[k]) for k in order[a:z])
+            bits = np.stack([folded(np.frombuffer(raw[k], np.uint8), size) for k in order[a:z]]).view(np.uint64)
+            sides = None if low[a] == high[a] else tile[a:z] == low[a]
+            found, more = cross_pairs(part[a:z], n[a:z], bits, most, percent, sides)
+            out += [(a + i, a + j) for i, j in found]
+            put_off += [a] if more else []
+        i, j = np.array(list({(ref[a], ref[z]): (a, z) for a, z in out}.values()), np.int64).reshape(-1, 2).T
+        columns = [[*c.tolist(), *[None] * len(put_off)] for c in (ref[i], ref[j], ids[i], ids[j])]
+        columns += [[*[None] * len(i), *c[put_off].tolist()] for c in (gid, low, high)]
+        kinds = [pa.int64()] * 5 + [pa.int32()] * 2
         return pa.table({f.split()[0]: pa.array(c, k) for f, c, k in zip(LIKELY.split(", "), columns, kinds)})
 
     return pairs
 
 
-def _index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents by block, and the first pass over them (see ``FOUND``), written once."""
-    n_docs, plans = max(1, docs.count()), []
-    blocks, n_blocks = repeats.into_blocks(docs, packed=True, least=-(-n_docs // BLOCK_ROWS))
-    for low, high in bands(most=1 << 26):
-        plans.append((low, high, *(layout(low, high, n_docs) if low < 20_000 else (differing(high) + 1, 0, 0))))
-    sent = blocks.groupBy("block").applyInArrow(_send(plans, max(4, n_blocks // 2)), repeats.FILTER_SCHEMA)
-    return blocks, materialise(sent.groupBy("bucket").applyInArrow(_groups, FOUND), "groups")
+def _nodes(found: DataFrame) -> DataFrame:
+    """(ref, id, n, digest, first, bits): every row; ``first`` is the ref of its block's first copy, which has the bitmap."""
+    return found.where(F.col("kind") == NODES).select("block", "payload").mapInArrow(_unpack_nodes, "ref long, id long, n long, digest binary, first long, bits binary")
 
 
-def _nodes(found: DataFrame) -> DataFrame:
-    return found.where(F.col("kind") == NODES).select("block", "payload").mapInArrow(_unpack_nodes, "ref long, id long, n long, digest binary, bits binary")
+def _blocks(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, list, int]:
+    """Documents by block, what the first part finds over them (see ``FOUND``), layouts and number of blocks."""
+    n_docs = max(1, docs.count())
+    blocks, n_blocks = repeats.into_blocks(docs, packed=True, least=-(-n_docs // BLOCK_ROWS))
+    plans = layouts(n_docs, percent)
+    sent = blocks.groupBy("block").applyInArrow(_send_first(plans, max(4, n_blocks // 8), n, percent), repeats.FILTER_SCHEMA)
+    return blocks, materialise(sent.groupBy("bucket").applyInArrow(_groups, FOUND), "groups"), plans, n_blocks
 
 
-def _components(blocks: DataFrame, found: DataFrame) -> DataFrame:
+def _distinct_groups(found: DataFrame) -> DataFrame:
     groups = found.where(F.col("kind") == GROUP).groupBy("refs").agg(F.lit(1).alias("one"))
-    groups = materialise(groups.select("refs", F.xxhash64("refs").alias("gid"), F.size("refs").alias("n")), "groups")
-    local = found.where(F.col("kind") == LINKS).select("payload").mapInArrow(_unpack_links, "a long, b long")
-    members = groups.select("gid", "n", F.explode("refs").alias("ref"), F.col("refs")[0].alias("left"))
-    nodes = materialise(_nodes(found).join(members.select("ref").distinct(), "ref", "left_semi"), "nodes")
-    tested = materialise(members.where("ref <> left").select("left", F.col("ref").alias("right")).distinct(), "pairs")
-    links = local.unionByName(verify(screen(tested, nodes), blocks))
-    parts, most = components(links), 4
+    return groups.select("refs", F.xxhash64("refs").alias("gid"), F.size("refs").alias("size"))
+
+
+def _copies(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between documents of the same words, and refs (ref) that another block's copy stands for."""
+    leads = nodes.where("ref = first and n > 0 and id is not null")
+    held = leads.groupBy("digest").agg(F.min("ref").alias("least"), F.min_by("id", "ref").alias("least_id"), F.count("*").alias("k")).where("k > 1")
+    across = materialise(leads.select("ref", "id", "digest").join(held, "digest").where("ref <> least").select("ref", "id", "least_id"), "copies")
+    inside = nodes.where("ref <> first").select("first", F.col("id").alias("b")).join(leads.select(F.col("ref").alias("first"), F.col("id").alias("a")), "first").select("a", "b")
+    return across.select(F.col("least_id").alias("a"), F.col("id").alias("b")).unionByName(inside), across.select("ref")
+
+
+def _components(blocks: DataFrame, found: DataFrame, plans: list, n_blocks: int, n: int, percent: int) -> DataFrame:
+    nodes = _nodes(found)
+    light = materialise(nodes.select("ref", "id", "n", "digest", "first"), "nodes")
+    copies, away = _copies(light)
+    # the first part: one leader against the rest of each group
+    groups = _distinct_groups(found)
+    members = groups.select(F.explode("refs").alias("right"), F.col("refs")[0].alias("left")).where("left <> right").distinct()
+    digests = [light.select(F.col("ref").alias(side), F.col("digest").alias(f"{side}_digest")) for side in ("left", "right")]
+    tested = materialise(members.join(digests[1], "right").join(digests[0], "left").where("left_digest <> right_digest").select("left", "right"), "pairs")
+    bitmaps = nodes.where("ref = first").select("ref", "id", "n", "bits")
+    likely = materialise(screen(tested, bitmaps, percent), "likely")
+    links = materialise(copies, "links").unionByName(verify(likely, blocks, n, percent))
+    parts = components(links)
+    # the second part: all index entries, with components
+    placed = light.where("ref = first").join(parts, "id", "left").select("ref", F.coalesce("component", "id").alias("label"), (F.col("component").isNotNull()).alias("in_one"))
+    known = placed.where("in_one").join(away.withColumn("away", F.lit(True)), "ref", "left").select(F.shiftright("ref", PLACE_BITS).cast("int").alias("block"), "ref", "label", F.coalesce("away", F.lit(False)).alias("away"))
+    sent = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_send_all(plans, max(4, n_blocks // 2), n, percent), repeats.FILTER_SCHEMA)
+    groups = materialise(_distinct_groups(materialise(sent.groupBy("bucket").applyInArrow(_groups, FOUND), "split")), "groups")
+    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    heads = groups.groupBy(F.col("refs")[0].alias("head")).agg(F.ceil(F.sum(F.col("size") * tiles) / CHUNK_ROWS).alias("pieces"))
+    groups = groups.withColumn("head", F.col("refs")[0]).join(heads, "head")
+    # groups of one head often meet the same pairs: they go to one chunk as far as its size allows
+    chunk = F.xxhash64("head", F.pmod("gid", "pieces"))
+    members = groups.select("gid", chunk.alias("chunk"), tiles.alias("tiles"), F.explode("refs").alias("ref")).withColumn("tile", F.pmod(F.xxhash64("ref", "gid"), F.col("tiles")).cast("int"))
+    units = members.select("gid", "chunk", "ref", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    units = materialise(units.select("gid", "chunk", "ref", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")), "units")
+    met = materialise(bitmaps.join(units.select("ref").distinct(), "ref", "left_semi"), "met")
+    key, chunks, most = ["gid", "low", "high"], max(4, -(-4 * units.count() // CHUNK_ROWS)), 16
     while True:
-        named = nodes.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
-        split = members.where("n > 2").join(named.select("ref", "part"), "ref").groupBy("gid").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
-        rows = members.where("n > 2").select("gid", "ref").join(split.select("gid"), "gid", "left_semi").join(named, "ref")
-        found = materialise(rows.groupBy("gid").applyInArrow(_likely(most), LIKELY), "likely")
-        likely = found.where("not put_off").drop("put_off").distinct().join(tested, ["left", "right"], "left_anti")
-        likely = materialise(likely.select("left", "right", "left_id", "right_id", "same"), "likely")
-        grown = verify(likely, blocks)
-        if not grown.isEmpty():
-            links = links.unionByName(grown)
-            parts = components(links)
-        if found.where("put_off").isEmpty():
+        named = met.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+        split = units.join(named.select("ref", "part"), "ref").groupBy(*key).agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select(*key)
+        rows = units.join(split, key, "left_semi").join(named, "ref").withColumn("chunk", F.pmod("chunk", F.lit(chunks)))
+        found = materialise(rows.groupBy("chunk").applyInArrow(_likely(most, percent), LIKELY), "likely")
+        likely = found.where("gid is null").select("left", "right", "left_id", "right_id").distinct().join(tested, ["left", "right"], "left_anti")
+        likely = materialise(likely.select("left", "right", "left_id", "right_id"), "likely")
+        if not likely.isEmpty():
+            grown = verify(likely, blocks, n, percent)
+            if not grown.isEmpty():
+                links = links.unionByName(grown)
+                parts = components(links)
+        put_off = found.where("gid is not null").select(*key)
+        if put_off.isEmpty():
             return parts
-        tested, most = tested.unionByName(likely.select("left", "right")), most * 8
+        units, tested, most = units.join(put_off, key, "left_semi"), tested.unionByName(likely.select("left", "right")), most * 16
+
 
 
-def link_components(docs: DataFrame) -> DataFrame:
-    """(id, component) for every doc_id with a link: the smallest id reachable."""
-    return _components(*_index(docs))
 
+def link_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(id, component) for every doc_id with a link: the smallest id reachable.
+
+    Sets hold shingles of ``n`` words; sets link from ``percent`` of 100 on.
+    """
+    return _components(*_blocks(docs, n, percent), n, percent)
 
-def join_components(docs: DataFrame) -> DataFrame:
+
+def join_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
-    blocks, found = _index(docs)
+    blocks, found, plans, n_blocks = _blocks(docs, n, percent)
     counted = _nodes(found).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"))
-    parts = _components(blocks, found).withColumnRenamed("id", "doc_id")
+    parts = _components(blocks, found, plans, n_blocks, n, percent).withColumnRenamed("id", "doc_id")
     return counted.join(parts, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _unpack_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        both = np.concatenate([np.empty((0, 2), np.int64), *(np.frombuffer(p, "<i8").reshape(-1, 2) for p in batch.column("payload").to_pylist())])
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-
 def _unpack_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for number, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist()):
@@ -456,6 +582,8 @@ def _unpack_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             rows = np.frombuffer(payload, NODE, count)
             ends = count * NODE.itemsize + np.r_[0, np.cumsum(rows["bytes"])]
             bits = [payload[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            digests = [payload[k * NODE.itemsize + 17 : k * NODE.itemsize + 33] for k in range(count)]
-            columns = [pa.array((number << PLACE_BITS) + np.arange(count)), pa.array(rows["id"], pa.int64(), mask=rows["none"]), pa.array(rows["n"], pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["ref", "id", "n", "digest", "bits"])
+            at = NODE.fields["digest"][1]
+            digests = [payload[k * NODE.itemsize + at : k * NODE.itemsize + at + 16] for k in range(count)]
+            base = number << PLACE_BITS
+            columns = [pa.array(base + np.arange(count)), pa.array(rows["id"], pa.int64(), mask=rows["none"]), pa.array(rows["n"], pa.int64()), pa.array(digests, pa.binary()), pa.array(base + rows["first"]), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["ref", "id", "n", "digest", "first", "bits"])
