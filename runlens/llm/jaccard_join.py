@@ -32,7 +32,8 @@ No link between components is missed: the second part alone is complete.
 
 Edge cases: null or blank texts have no shingles and no links; a text of fewer words
 than a shingle is one shingle; rows without a doc_id are never linked and have a null
-component; rows that repeat an id are one node; an empty table gives an empty result;
+component; every row is a document of its own, also where it repeats an id, and has the
+smallest doc_id of its own component; an empty table gives an empty result;
 further columns of the input, whatever their names, are not looked at.
 """
 
@@ -188,7 +189,7 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray, plans: list, percent: int
 BLOCK_ROWS, PLACE_BITS = 1 << 15, 32
 #: Kinds of rows that the first part returns.
 GROUP, NODES = 0, 1
-NODE = np.dtype([("id", "<i8"), ("none", "?"), ("n", "<i8"), ("digest", "S16"), ("first", "<i8"), ("bytes", "<i4")])
+NODE = np.dtype([("id", "<i8"), ("none", "?"), ("n", "<i8"), ("key", "<i8"), ("digest", "S16"), ("first", "<i8"), ("bytes", "<i4")])
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
@@ -248,6 +249,12 @@ def _entries(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return code.view("<u8").ravel(), place, named, label
 
 
+def text_key(text: str) -> int:
+    """As Spark's ``xxhash64`` of the text."""
+    key = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=42)
+    return key - (key >> 63 << 64)
+
+
 def _index_table(number: int, buckets: list, payload: list) -> pa.Table:
     return pa.table({"bucket": pa.array(buckets, pa.int32()), "block": pa.array([number] * len(buckets), pa.int32()), "payload": pa.array(payload, pa.binary())})
 
@@ -258,11 +265,11 @@ def _send_first(plans: list, n_buckets: int, n: int, percent: int):
         hashes, sizes, digests = _sets([t for _, t in rows], n)
         ends = np.cumsum(sizes)
         lead, nodes, bitmaps = {}, np.zeros(len(rows), NODE), []
-        for k, (doc_id, _) in enumerate(rows):  # copies within the block index once
+        for k, (doc_id, text) in enumerate(rows):  # copies within the block index once
             own = hashes[ends[k] - sizes[k] : ends[k]]
             first = lead.setdefault(digests[k], k) if sizes[k] and doc_id is not None else k
             bits = bitmap(own).tobytes() if first == k else b""
-            nodes[k] = (doc_id or 0, doc_id is None, sizes[k], digests[k], first, len(bits))
+            nodes[k] = (doc_id or 0, doc_id is None, sizes[k], text_key(text), digests[k], first, len(bits))
             bitmaps.append(bits)
         kept = np.array(sorted(lead.values()), np.int64)
         own = hashes[flatten_ranges((ends - sizes)[kept], sizes[kept])]
@@ -362,7 +369,7 @@ def _screen(percent: int):
                 one, other = (folded(np.frombuffer(v, np.uint8), size) for v in (x, y))
                 good.append(bool(may_link(one, n_x, other[None, :], np.array([n_y]), percent)[0]))
             mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("left", "right", "left_id", "right_id")], names=["left", "right", "left_id", "right_id"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("left", "right")], names=["left", "right"])
 
     return screen
 
@@ -373,26 +380,23 @@ def _check(n: int, percent: int):
         for batch in batches:
             texts = ([unpack(t).decode("utf-8", "surrogatepass") for t in batch.column(c).to_pylist()] for c in ("left_packed", "right_packed"))
             mask = pa.array([linked(x, y, n, percent) for x, y in zip(*texts)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("left_id").filter(mask), batch.column("right_id").filter(mask)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("left").filter(mask), batch.column("right").filter(mask)], names=["a", "b"])
 
     return check
 
 
-PAIRS = "left long, right long, left_id long, right_id long"
-
-
 def screen(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (left, right) of refs that bitmaps don't rule out, with ids."""
-    a, b = _sides(nodes, ["id", "n", "bits"])
-    return pairs.join(b, "right").join(a, "left").mapInArrow(_screen(percent), PAIRS)
+    """Pairs (left, right) of refs that bitmaps don't rule out."""
+    a, b = _sides(nodes, ["n", "bits"])
+    return pairs.join(b, "right").join(a, "left").mapInArrow(_screen(percent), "left long, right long")
 
 
 def verify(likely: DataFrame, blocks: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) by doc_id: pairs whose words show it."""
+    """Links (a, b): pairs of refs whose words show it."""
     wanted = likely.select(F.col("left").alias("ref")).union(likely.select("right")).distinct().select(F.shiftright("ref", PLACE_BITS).cast("int").alias("block"), "ref")
     texts = materialise(blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_fetch, "ref long, packed binary"), "texts")
     a, b = _sides(texts, ["packed"])
-    read = likely.join(b, "right").join(a, "left").select("left_id", "left_packed", "right_id", "right_packed")
+    read = likely.join(b, "right").join(a, "left").select("left", "left_packed", "right", "right_packed")
     return materialise(read.mapInArrow(_check(n, percent), "a long, b long"), "verified")
 
 
@@ -453,7 +457,7 @@ def cross_pairs(part: np.ndarray, n: np.ndarray, bits: np.ndarray, most: int, pe
 #: Members of a group that one task compares with each other, or with as many others, and
 #: members of groups of one head in a chunk, which one task takes.
 TILE, CHUNK_ROWS = 2048, 8192
-LIKELY = "left long, right long, left_id long, right_id long, gid long, low int, high int"
+LIKELY = "left long, right long, gid long, low int, high int"
 
 
 def _likely(most: int, percent: int):
@@ -463,7 +467,7 @@ def _likely(most: int, percent: int):
         gid, low, high = (chunk.column(c).to_numpy() for c in ("gid", "low", "high"))
         order = np.lexsort((chunk.column("ref").to_numpy(), high, low, gid))
         gid, low, high = gid[order], low[order], high[order]
-        ref, ids, part, n, tile = (chunk.column(c).to_numpy()[order] for c in ("ref", "id", "part", "n", "tile"))
+        ref, part, n, tile = (chunk.column(c).to_numpy()[order] for c in ("ref", "part", "n", "tile"))
         raw = chunk.column("bits").to_pylist()
         out, put_off = [], []
         starts = np.flatnonzero(np.r_[True, (gid[1:] != gid[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
@@ -475,17 +479,17 @@ def _likely(most: int, percent: int):
             out += [(a + i, a + j) for i, j in found]
             put_off += [a] if more else []
         i, j = np.array(list({(ref[a], ref[z]): (a, z) for a, z in out}.values()), np.int64).reshape(-1, 2).T
-        columns = [[*c.tolist(), *[None] * len(put_off)] for c in (ref[i], ref[j], ids[i], ids[j])]
+        columns = [[*c.tolist(), *[None] * len(put_off)] for c in (ref[i], ref[j])]
         columns += [[*[None] * len(i), *c[put_off].tolist()] for c in (gid, low, high)]
-        kinds = [pa.int64()] * 5 + [pa.int32()] * 2
+        kinds = [pa.int64()] * 3 + [pa.int32()] * 2
         return pa.table({f.split()[0]: pa.array(c, k) for f, c, k in zip(LIKELY.split(", "), columns, kinds)})
 
     return pairs
 
 
 def _nodes(found: DataFrame) -> DataFrame:
-    """(ref, id, n, digest, first, bits): every row; ``first`` is the ref of its block's first copy, which has the bitmap."""
-    return found.where(F.col("kind") == NODES).select("block", "payload").mapInArrow(_unpack_nodes, "ref long, id long, n long, digest binary, first long, bits binary")
+    """(ref, id, n, key, digest, first, bits): every row; ``first`` is the ref of its block's first copy, which has the bitmap."""
+    return found.where(F.col("kind") == NODES).select("block", "payload").mapInArrow(_unpack_nodes, "ref long, id long, n long, key long, digest binary, first long, bits binary")
 
 
 def _blocks(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, list, int]:
@@ -505,13 +509,14 @@ def _distinct_groups(found: DataFrame) -> DataFrame:
 def _copies(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between documents of the same words, and refs (ref) that another block's copy stands for."""
     leads = nodes.where("ref = first and n > 0 and id is not null")
-    held = leads.groupBy("digest").agg(F.min("ref").alias("least"), F.min_by("id", "ref").alias("least_id"), F.count("*").alias("k")).where("k > 1")
-    across = materialise(leads.select("ref", "id", "digest").join(held, "digest").where("ref <> least").select("ref", "id", "least_id"), "copies")
-    inside = nodes.where("ref <> first").select("first", F.col("id").alias("b")).join(leads.select(F.col("ref").alias("first"), F.col("id").alias("a")), "first").select("a", "b")
-    return across.select(F.col("least_id").alias("a"), F.col("id").alias("b")).unionByName(inside), across.select("ref")
+    held = leads.groupBy("digest").agg(F.min("ref").alias("least"), F.max("ref").alias("most")).where("least < most").drop("most")
+    across = materialise(leads.select("ref", "digest").join(held, "digest").where("ref <> least").select("least", "ref"), "copies")
+    inside = nodes.where("ref <> first").select(F.col("first").alias("a"), F.col("ref").alias("b"))
+    return across.select(F.col("least").alias("a"), F.col("ref").alias("b")).unionByName(inside), across.select("ref")
 
 
 def _components(blocks: DataFrame, found: DataFrame, plans: list, n_blocks: int, n: int, percent: int) -> DataFrame:
+    """(id, component), both refs, of every document that has a link."""
     nodes = _nodes(found)
     light = materialise(nodes.select("ref", "id", "n", "digest", "first"), "nodes")
     copies, away = _copies(light)
@@ -520,13 +525,13 @@ def _components(blocks: DataFrame, found: DataFrame, plans: list, n_blocks: int,
     members = groups.select(F.explode("refs").alias("right"), F.col("refs")[0].alias("left")).where("left <> right").distinct()
     digests = [light.select(F.col("ref").alias(side), F.col("digest").alias(f"{side}_digest")) for side in ("left", "right")]
     tested = materialise(members.join(digests[1], "right").join(digests[0], "left").where("left_digest <> right_digest").select("left", "right"), "pairs")
-    bitmaps = nodes.where("ref = first").select("ref", "id", "n", "bits")
+    bitmaps = nodes.where("ref = first").select("ref", "n", "bits")
     likely = materialise(screen(tested, bitmaps, percent), "likely")
     links = materialise(copies, "links").unionByName(verify(likely, blocks, n, percent))
     parts = components(links)
     # the second part: all index entries, with components
-    placed = light.where("ref = first").join(parts, "id", "left").select("ref", F.coalesce("component", "id").alias("label"), (F.col("component").isNotNull()).alias("in_one"))
-    known = placed.where("in_one").join(away.withColumn("away", F.lit(True)), "ref", "left").select(F.shiftright("ref", PLACE_BITS).cast("int").alias("block"), "ref", "label", F.coalesce("away", F.lit(False)).alias("away"))
+    placed = parts.select(F.col("id").alias("ref"), F.col("component").alias("label")).join(away.withColumn("away", F.lit(True)), "ref", "left")
+    known = placed.select(F.shiftright("ref", PLACE_BITS).cast("int").alias("block"), "ref", "label", F.coalesce("away", F.lit(False)).alias("away"))
     sent = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_send_all(plans, max(4, n_blocks // 2), n, percent), repeats.FILTER_SCHEMA)
     groups = materialise(_distinct_groups(materialise(sent.groupBy("bucket").applyInArrow(_groups, FOUND), "split")), "groups")
     tiles = F.ceil(F.col("size") / TILE).cast("int")
@@ -538,14 +543,14 @@ def _components(blocks: DataFrame, found: DataFrame, plans: list, n_blocks: int,
     units = members.select("gid", "chunk", "ref", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     units = materialise(units.select("gid", "chunk", "ref", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")), "units")
     met = materialise(bitmaps.join(units.select("ref").distinct(), "ref", "left_semi"), "met")
-    key, chunks, most = ["gid", "low", "high"], max(4, -(-4 * units.count() // CHUNK_ROWS)), 16
+    key, chunks, most = ["gid", "low", "high"], max(4, -(-8 * units.count() // CHUNK_ROWS)), 16
     while True:
-        named = met.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+        named = met.join(parts.withColumnRenamed("id", "ref"), "ref", "left").withColumn("part", F.coalesce("component", "ref")).drop("component")
         split = units.join(named.select("ref", "part"), "ref").groupBy(*key).agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select(*key)
         rows = units.join(split, key, "left_semi").join(named, "ref").withColumn("chunk", F.pmod("chunk", F.lit(chunks)))
         found = materialise(rows.groupBy("chunk").applyInArrow(_likely(most, percent), LIKELY), "likely")
-        likely = found.where("gid is null").select("left", "right", "left_id", "right_id").distinct().join(tested, ["left", "right"], "left_anti")
-        likely = materialise(likely.select("left", "right", "left_id", "right_id"), "likely")
+        likely = found.where("gid is null").select("left", "right").distinct().join(tested, ["left", "right"], "left_anti")
+        likely = materialise(likely, "likely")
         if not likely.isEmpty():
             grown = verify(likely, blocks, n, percent)
             if not grown.isEmpty():
@@ -554,25 +559,36 @@ def _components(blocks: DataFrame, found: DataFrame, plans: list, n_blocks: int,
         put_off = found.where("gid is not null").select(*key)
         if put_off.isEmpty():
             return parts
-        units, tested, most = units.join(put_off, key, "left_semi"), tested.unionByName(likely.select("left", "right")), most * 16
+        units, tested, most = units.join(put_off, key, "left_semi"), tested.unionByName(likely), most * 16
 
 
 
 
-def link_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(id, component) for every doc_id with a link: the smallest id reachable.
+def join_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
     Sets hold shingles of ``n`` words; sets link from ``percent`` of 100 on.
     """
-    return _components(*_blocks(docs, n, percent), n, percent)
+    blocks, found, plans, n_blocks = _blocks(docs, n, percent)
+    parts = _components(blocks, found, plans, n_blocks, n, percent).withColumnRenamed("id", "ref")
+    counted = _nodes(found).select("ref", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles")).join(parts, "ref", "left")
+    least = counted.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return counted.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def join_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id."""
+def copies_to_drop(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, text_key, kept, rows) of rows that are not to stay once each, if one document of each component does.
+
+    The one of the smallest doc_id stays.  ``kept`` is false where no row of this id and
+    text is to stay; ``rows`` is the number of rows that repeat both, of which one may.
+    Rows without a doc_id are linked with nothing and not listed.
+    """
     blocks, found, plans, n_blocks = _blocks(docs, n, percent)
-    counted = _nodes(found).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"))
-    parts = _components(blocks, found, plans, n_blocks, n, percent).withColumnRenamed("id", "doc_id")
-    return counted.join(parts, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    parts = _components(blocks, found, plans, n_blocks, n, percent).withColumnRenamed("id", "ref")
+    nodes = _nodes(found).where("id is not null").select("ref", "id", "key").join(parts, "ref", "left")
+    chosen = nodes.where("component is not null").groupBy("component").agg(F.min(F.struct("id", "ref")).alias("one"))
+    judged = nodes.join(chosen, "component", "left").withColumn("kept", F.coalesce(F.col("ref") == F.col("one.ref"), F.lit(True)))
+    return judged.groupBy(F.col("id").alias("doc_id"), F.col("key").alias("text_key")).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("rows")).where("not kept or rows > 1")
 
 
 def _unpack_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -585,5 +601,5 @@ def _unpack_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             at = NODE.fields["digest"][1]
             digests = [payload[k * NODE.itemsize + at : k * NODE.itemsize + at + 16] for k in range(count)]
             base = number << PLACE_BITS
-            columns = [pa.array(base + np.arange(count)), pa.array(rows["id"], pa.int64(), mask=rows["none"]), pa.array(rows["n"], pa.int64()), pa.array(digests, pa.binary()), pa.array(base + rows["first"]), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["ref", "id", "n", "digest", "first", "bits"])
+            columns = [pa.array(base + np.arange(count)), pa.array(rows["id"], pa.int64(), mask=rows["none"]), *(pa.array(rows[c], pa.int64()) for c in ("n", "key")), pa.array(digests, pa.binary()), pa.array(base + rows["first"]), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["ref", "id", "n", "key", "digest", "first", "bits"])
