@@ -43,8 +43,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    directory = warc_index.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return warc_index.read_archives(directory).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc_index.read_captures(warc_index.write_archives(pages), pages.select("url")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,15 @@
 ``write_archives`` sorts captures by their reversed-host URL key, range-partitioned
 by Spark, and each partition writes one archive of gzip members, one block file of
 its sorted index lines in compressed blocks of ``BLOCK_LINES``, and returns the
-sparse directory: the first key of each block, its file, place and length.  Records
-whose payload was seen with a smaller id become revisits.
+sparse directory: the first and last key of each block, its file, place and length.
+Records whose payload was seen with a smaller id become revisits.
 
-``Lookup`` answers single URLs: binary search in the directory, one range read for
-the block, binary search there, one range read for the record.  ``read_archives``
-reads everything back the same way in tasks: blocks, then records by range.
+``read_captures`` looks URLs up, all at once: a binary search among the archives' key
+ranges (one for each task that wrote, which is all that comes to the driver) sends each
+key to the archives that may hold it; there a binary search in the directory finds its
+blocks, one range read gets a block, a binary search finds the key's lines, and one
+range read each gets the records.  ``Lookup`` does the same for single URLs, and
+``read_archives`` reads everything without keys: blocks, then records by range.
 
 Files are reached through ``pyarrow.fs`` (local, HDFS, S3, ...) in the shared folder.
 
@@ -43,7 +46,9 @@ from .common import shared_dir
 
 BLOCK_LINES = 500
 DATE = "2024-01-01T00:00:00Z"
-DIRECTORY = "first_key string, archive string, blocks string, place long, length long, n_lines int"
+DIRECTORY = "first_key string, last_key string, archive string, blocks string, place long, length long, n_lines int"
+RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
+_RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())])
 _URL = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::(\d*))?([^#]*)", re.S)
 
 
@@ -126,7 +131,7 @@ def mark_revisits(found: DataFrame, min_bytes: int = 0) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) -> DataFrame:
     """Writes archives and index blocks; returns the sparse directory (see ``DIRECTORY``)."""
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    schema = pa.schema([("first_key", pa.string()), ("archive", pa.string()), ("blocks", pa.string()), ("place", pa.int64()), ("length", pa.int64()), ("n_lines", pa.int32())])
+    schema = pa.schema([("first_key", pa.string()), ("last_key", pa.string()), ("archive", pa.string()), ("blocks", pa.string()), ("place", pa.int64()), ("length", pa.int64()), ("n_lines", pa.int32())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = archive = None
@@ -135,7 +140,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
 
         def close_block() -> None:
             packed = gzip.compress("".join(x[1] for x in lines).encode("utf-8", "surrogatepass"), 6, mtime=0)
-            out.append((lines[0][0], f"{name}.warc.gz", f"{name}.idx.gz", sum(map(len, blocks)), len(packed), len(lines)))
+            out.append((lines[0][0], lines[-1][0], f"{name}.warc.gz", f"{name}.idx.gz", sum(map(len, blocks)), len(packed), len(lines)))
             blocks.append(packed)
             lines.clear()
 
@@ -163,7 +168,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
 
     rows = mark_revisits(captures(pages), min_bytes)
     ordered = rows.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
-    directory = ordered.mapInArrow(write, DIRECTORY).select("first_key", F.concat(F.lit(folder + "/"), "archive").alias("archive"), F.concat(F.lit(folder + "/"), "blocks").alias("blocks"), "place", "length", "n_lines")
+    directory = ordered.mapInArrow(write, DIRECTORY).select("first_key", "last_key", F.concat(F.lit(folder + "/"), "archive").alias("archive"), F.concat(F.lit(folder + "/"), "blocks").alias("blocks"), "place", "length", "n_lines")
     path = f"{folder}/directory"
     directory.write.parquet(path)  # only the files that this names are part of the result
     return pages.sparkSession.read.schema(DIRECTORY).parquet(path)
@@ -175,42 +180,91 @@ def _range(uri: str, place: int, length: int) -> bytes:
         return file.read_at(length, place)
 
 
+def _lines(blocks: str, place: int, length: int) -> list[list]:
+    """The index lines of a block: [key, page_id, place, length], all text, in order of keys."""
+    return [x.rsplit(" ", 3) for x in gzip.decompress(_range(blocks, place, length)).decode("utf-8", "surrogatepass").splitlines()]
+
+
+def _records(archive: str, lines: list) -> pa.RecordBatch:
+    source, path = fs.FileSystem.from_uri(archive)
+    with source.open_input_file(path) as file:
+        found = [parse_record(file.read_at(int(n), int(at))) for _, _, at, n in lines]
+    return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in zip(_RECORD.names, _RECORD.types)], schema=_RECORD)
+
+
+def _blocks_of(firsts: list, lasts: list, key: str) -> range:
+    """Places of the entries whose key range holds the key; both lists are sorted."""
+    return range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key))
+
+
+def archive_ranges(directory: DataFrame) -> list:
+    """(first key, last key, archive), sorted: one row for each task that wrote."""
+    ranges = directory.groupBy("archive").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last"))
+    return sorted((r["first"], r["last"], r["archive"]) for r in ranges.collect())
+
+
+def read_captures(directory: DataFrame, urls: DataFrame) -> DataFrame:
+    """Every record whose URL has the key of one in ``urls`` (column url), each once."""
+    ranges = archive_ranges(directory)
+    firsts, lasts, archives = ([r[k] for r in ranges] for k in range(3))
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = list(dict.fromkeys(url_key(u) for u in batch.column("url").to_pylist()))
+            found = [(archives[k], key) for key in keys for k in _blocks_of(firsts, lasts, key)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in range(2)], names=["archive", "key"])
+
+    def read(entries: pa.Table, wanted: pa.Table) -> pa.Table:
+        held = sorted(zip(*(entries.column(c).to_pylist() for c in ("first_key", "last_key", "archive", "blocks", "place", "length"))))
+        firsts, lasts = [e[0] for e in held], [e[1] for e in held]
+        keys_of: dict = {}
+        for key in sorted(set(wanted.column("key").to_pylist())):
+            for k in _blocks_of(firsts, lasts, key):
+                keys_of.setdefault(k, []).append(key)
+        out = []
+        for k, keys in keys_of.items():
+            lines = _lines(*held[k][3:6])
+            sorted_keys = [x[0] for x in lines]
+            chosen = [x for key in keys for x in lines[bisect.bisect_left(sorted_keys, key) : bisect.bisect_right(sorted_keys, key)]]
+            out.append(_records(held[k][2], chosen))
+        return pa.Table.from_batches(out, schema=_RECORD)
+
+    located = urls.select(F.col("url").cast("string")).mapInArrow(locate, "archive string, key string").distinct()
+    n = max(1, 2 * len(ranges))  # a number of tasks that doesn't depend on how little text names and keys are
+    return directory.repartition(n, "archive").groupBy("archive").cogroup(located.repartition(n, "archive").groupBy("archive")).applyInArrow(read, RECORD)
+
+
 def read_archives(directory: DataFrame) -> DataFrame:
     """Every record, by way of its index block: page_id, url, type, bytes, digest, refers_to."""
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive, blocks, place, length in zip(*(batch.column(c).to_pylist() for c in ("archive", "blocks", "place", "length"))):
-                lines = gzip.decompress(_range(blocks, place, length)).decode("utf-8", "surrogatepass").splitlines()
-                source, path = fs.FileSystem.from_uri(archive)
-                with source.open_input_file(path) as file:
-                    found = [parse_record(file.read_at(int(n), int(at))) for _, _, at, n in (x.rsplit(" ", 3) for x in lines)]
-                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in zip(schema.names, schema.types)], schema=schema)
+                yield _records(archive, _lines(blocks, place, length))
 
-    return directory.repartition(F.col("archive"), F.col("place")).mapInArrow(read, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long")
+    n = max(1, -(-directory.count() // 8))
+    return directory.repartition(n, "archive", "place").mapInArrow(read, RECORD)
 
 
 @dataclass
 class Lookup:
-    """Single captures from a directory held in memory (one entry per ``BLOCK_LINES`` captures)."""
+    """Single captures: the archives' key ranges in memory, their directory read by archive."""
 
-    entries: list
+    directory: DataFrame
+    ranges: list
 
     @classmethod
     def of(cls, directory: DataFrame) -> Lookup:
-        return cls(sorted(tuple(r) for r in directory.collect()))
+        return cls(directory, archive_ranges(directory))
 
     def find(self, url: str) -> list[dict]:
         """All captures of a URL."""
         key, out = url_key(url), []
-        firsts = [e[0] for e in self.entries]
-        at = max(0, bisect.bisect_left(firsts, key) - 1)
-        while at < len(self.entries) and firsts[at] <= key:
-            _, archive, blocks, place, length, _ = self.entries[at]
-            lines = [x.rsplit(" ", 3) for x in gzip.decompress(_range(blocks, place, length)).decode("utf-8", "surrogatepass").splitlines()]
+        near = [self.ranges[k][2] for k in _blocks_of([r[0] for r in self.ranges], [r[1] for r in self.ranges], key)]
+        held = self.directory.where(F.col("archive").isin(near) & (F.col("first_key") <= key) & (F.col("last_key") >= key))
+        for e in held.orderBy("first_key", "last_key", "place").collect() if near else []:
+            lines = _lines(e["blocks"], e["place"], e["length"])
             keys = [x[0] for x in lines]
             for k in range(bisect.bisect_left(keys, key), bisect.bisect_right(keys, key)):
-                out.append(parse_record(_range(archive, int(lines[k][2]), int(lines[k][3]))))
-            at += 1
+                out.append(parse_record(_range(e["archive"], int(lines[k][2]), int(lines[k][3]))))
         return out
