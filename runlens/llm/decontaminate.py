@@ -7,12 +7,13 @@ prefix of a window.  Only document words equal to such a word are probed; length
 and position bounds drop candidates that would leave the document, and the rest
 are verified word by word against the document.
 
-What is broadcast is checked first: a benchmark of more than ``BROADCAST_ROWS``
-distinct words or windows is joined by a shuffle instead.
+What is broadcast is measured first: windows of more than ``BROADCAST_BYTES`` with
+their items are joined by a shuffle instead.
 
 Edge cases: null texts have no words; items without words match nothing; items
-without an id are ignored; rows without a doc_id are returned with no hits;
-repeated rows get equal results; items that repeat an id count once.
+without an id are ignored; rows without a doc_id are judged like all others;
+repeated rows get equal results; items that repeat an id count once; an empty
+table of documents gives an empty result, one of items no hits.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, row_key
 
 WINDOW = 10
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 1 << 25
 #: Everything but ASCII letters, digits and what lies beyond ASCII; A-Z are lower-cased word by word.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -48,8 +49,8 @@ def raw_words(parts: str) -> Column:
     return F.slice(parts, 1 + lead, F.greatest(F.size(parts) - lead - trail, F.lit(0)))
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _sized(df: DataFrame, held: int) -> DataFrame:
+    return F.broadcast(df) if held <= BROADCAST_BYTES else df
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -64,7 +65,7 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 def document_words(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, pos, word) of every word of every document."""
     # keys come first: computed beside the generator, they would make it copy the text to every word
-    keyed = docs.where(F.col("doc_id").isNotNull()).select(*row_key(), _lead().alias("lead"), "text")
+    keyed = docs.select(*row_key(), _lead().alias("lead"), "text")
     exploded = keyed.select("doc_id", "text_key", "lead", F.posexplode(_parts()).alias("at", "raw"))
     return exploded.where("raw <> ''").select("doc_id", "text_key", (F.col("at") - F.col("lead")).alias("pos"), ascii_lower(F.col("raw")).alias("word"))
 
@@ -73,17 +74,21 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFr
     """(doc_id, text_key, n_words, n_hit, item_ids) for every row; item_ids are sorted strings."""
     windows = item_windows(items, window)
     vocabulary = windows.select(F.explode("words").alias("word")).distinct()
-    n_windows, n_vocabulary = windows.count(), vocabulary.count()
-    counts = document_words(docs).join(_sized(vocabulary, n_vocabulary), "word").groupBy("word").agg(F.count("*").alias("n"))
+    length = lambda c: F.octet_length(F.array_join(c, " "))
+    # words, windows and what is made of them below hold no more than a few times these bytes
+    held = windows.agg(F.sum(length("words") + length("items") + 64)).first()[0] or 0
+    counts = document_words(docs).join(_sized(vocabulary, held), "word").groupBy("word").agg(F.count("*").alias("n"))
     # the rarest word of each window, its place there, and the window's length
-    placed = windows.select("words", "items", F.posexplode("words").alias("at", "word")).join(_sized(counts, n_vocabulary), "word")
+    placed = windows.select("words", "items", F.posexplode("words").alias("at", "word")).join(_sized(counts, held), "word")
     # a window with a word that no document has can't occur; min_by's key breaks ties by word, then place
     prefixes = placed.groupBy("words", "items").agg(F.min_by(F.struct("word", "at"), F.struct("n", "word", "at")).alias("p"), F.count("*").alias("found"))
     prefixes = prefixes.where(F.col("found") == F.size("words")).select(F.col("p.word").alias("word"), F.col("p.at").alias("at"), "words", "items")
-    probes = document_words(docs).join(_sized(prefixes, n_windows), "word").where(F.col("pos") >= F.col("at"))
+    probes = document_words(docs).join(_sized(prefixes, held), "word").where(F.col("pos") >= F.col("at"))
     candidate = F.struct((F.col("pos") - F.col("at")).alias("start"), "words", "items")
-    candidates = probes.groupBy("doc_id", "text_key").agg(F.collect_list(candidate).alias("cand"))
-    texts = docs.select("doc_id", "text", row_key()[1]).join(candidates, ["doc_id", "text_key"], "left")
+    # a set, as rows that repeat id and text have the same candidates
+    candidates = probes.groupBy(F.col("doc_id").alias("at_id"), F.col("text_key").alias("at_key")).agg(F.collect_set(candidate).alias("cand"))
+    texts = docs.select("doc_id", "text", row_key()[1])
+    texts = texts.join(candidates, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("text_key") == F.col("at_key")), "left")
     texts = texts.select("doc_id", "text_key", "cand", _parts().alias("p")).select("doc_id", "text_key", "cand", raw_words("p").alias("w"))
     texts = texts.select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"), "cand", F.when(F.col("cand").isNotNull(), F.transform("w", ascii_lower)).alias("lw"))
     # element by element, as slicing would copy the whole document for each candidate; two uses of
