@@ -189,7 +189,7 @@ BENCH = [(1, "The of, and IS x1 longerword"), (2, "one"), (3, None), (4, "..."),
 
 def test_decontaminate(spark, rows, none):
     low = lambda t: [w for w in "".join(c.lower() if "A" <= c <= "Z" else c if c.isdigit() and c < "\x80" or "a" <= c <= "z" or c >= "\x80" else " " for c in t or "").split(" ") if w]
-    planted = [(200, "before. " + BENCH[5][1] + " after " * 3), (201, " ".join(BENCH[5][1].split(" ")[4:16])), (202, "The-of-and!is X1 longerWord"), (203, ", One;")]
+    planted = [(None, "a row without an id: " + BENCH[5][1]), (200, "before. " + BENCH[5][1] + " after " * 3), (201, " ".join(BENCH[5][1].split(" ")[4:16])), (202, "The-of-and!is X1 longerWord"), (203, ", One;")]
     every = [*rows, *planted]
     docs = spark.createDataFrame(every, "doc_id long, text string")
     items = spark.createDataFrame(BENCH, "item_id long, text string")
@@ -202,7 +202,7 @@ def test_decontaminate(spark, rows, none):
     for i, t in every:
         w, hit, ids = low(t), set(), set()
         for win, owners in windows.items():
-            for k in range(len(w) - len(win) + 1 if i is not None else 0):
+            for k in range(len(w) - len(win) + 1):
                 if tuple(w[k : k + len(win)]) == win:
                     hit |= set(range(k, k + len(win)))
                     ids |= owners
@@ -217,7 +217,7 @@ def test_decontaminate_without_broadcast(spark, docs, rows, monkeypatch):
     items = spark.createDataFrame(BENCH, "item_id long, text string")
     fields = ("doc_id", "n_words", "n_hit", "item_ids")
     small = by_row(decontaminate.decontaminate(docs, items), *fields)
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
     assert by_row(decontaminate.decontaminate(docs, items), *fields) == small
 
 
@@ -311,7 +311,6 @@ PAGES = [(5, "http://www.Example.com:8080/a b?Q=1#f", "<p>é</p>"), (2, "https:/
 def test_warc(spark):
     pages = spark.createDataFrame([(*p, "x", 1) for p in PAGES], "page_id long, url string, html string, key string, sha int")
     directory = warc_index.write_archives(pages)
-    found = warc_index.read_archives(directory).collect()
     first = {}
     for i, _, h in PAGES:
         if i is not None:
@@ -321,18 +320,25 @@ def test_warc(spark):
         raw, ref = (h or "").encode(), first.get(h or "")
         other = ref is not None and ref != i
         want.append((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if other else "response", ref if other else None))
-    assert sorted((tuple(r[f] for f in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in found), key=repr) == sorted(want, key=repr)
+    fields = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert by_row(warc_index.read_archives(directory), *fields) == sorted(want, key=repr)
+    assert by_row(warc_index.read_captures(directory, pages.select("url")), *fields) == sorted(want, key=repr)
+    one = spark.createDataFrame([("HTTPS://example.COM/",), ("http://absent.org/",)], "url string")
+    assert [r["page_id"] for r in warc_index.read_captures(directory, one).collect()] == [2]
     lookup = warc_index.Lookup.of(directory)
     assert [c["payload"].decode() for c in lookup.find("https://EXAMPLE.com/")] == ["<p>é</p>"]
     assert len(lookup.find("http://b.org/\nnew")) == 2 and lookup.find("http://absent.org/") == []
-    assert warc_index.read_archives(warc_index.write_archives(pages.limit(0))).collect() == []
+    empty = warc_index.write_archives(pages.limit(0))
+    assert warc_index.read_archives(empty).collect() == [] == warc_index.read_captures(empty, pages).collect()
 
 
 def test_warc_blocks_and_binary_search(spark, monkeypatch):
     monkeypatch.setattr(warc_index, "BLOCK_LINES", 7)
     pages = spark.createDataFrame([(k, f"http://h{k % 5}.net/p{k}", f"page {k}") for k in range(200)] + [(1000 + k, "http://h1.net/same", f"v{k}") for k in range(20)], "page_id long, url string, html string")
-    lookup = warc_index.Lookup.of(warc_index.write_archives(pages))
-    for k in range(0, 200, 13):
+    directory = warc_index.write_archives(pages)
+    assert directory.count() > 28 and sorted(r[0] for r in warc_index.read_captures(directory, pages.select("url")).select("page_id").collect()) == sorted(r[0] for r in pages.select("page_id").collect())
+    lookup = warc_index.Lookup.of(directory)
+    for k in range(0, 200, 67):
         assert [c["page_id"] for c in lookup.find(f"http://h{k % 5}.net/p{k}")] == [k]
     assert sorted(c["page_id"] for c in lookup.find("http://h1.net/same")) == list(range(1000, 1020))
 
@@ -453,3 +459,27 @@ def test_quality_classifier(spark):
     alone = quality_classifier.score(docs, quality_classifier.fit_sample(docs, labels.limit(0))).collect()
     assert {r["score"] for r in alone} == {0.5}
     assert quality_classifier.score(docs.limit(0), quality_classifier.fit_sample(docs.limit(0), labels)).collect() == []
+
+
+def test_jaccard_rows_that_share_an_id(spark):
+    """Documents of their own, each in its own component, which has the smallest doc_id in it."""
+    a, b = words(80), words(80)
+    rows = [(1, a), (3, a + " x"), (3, b), (3, b), (9, b + " y"), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_row(jaccard_join.join_components(docs), "doc_id", "component_id") == [(1, 1), (3, 1), (3, 3), (3, 3), (9, 3), (None, None)]
+    gone = {(r["doc_id"], r["kept"], r["rows"]) for r in jaccard_join.copies_to_drop(docs).collect()}
+    assert gone == {(3, False, 1), (3, True, 2), (9, False, 1)}
+
+
+def test_jaccard_large_groups_in_tiles(spark, monkeypatch):
+    """Unlinked texts that share much: more members than a tile, with pairs put off."""
+    monkeypatch.setattr(jaccard_join, "TILE", 3)
+    base = words(120).split(" ")
+    rows = [(k, " ".join(w if (j * 7 + k) % 40 else f"own{k}x{j}" for j, w in enumerate(base))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_row(jaccard_join.join_components(docs), "doc_id", "n_shingles", "component_id") == brute_components(rows)
+
+
+def test_layouts_reach_any_size():
+    plans = jaccard_join.reaching(jaccard_join.layouts(1000), 3_000_000)
+    assert plans[-1][1] >= 3_000_000 and all(a[1] + 1 == b[0] for a, b in zip(plans, plans[1:]))

@@ -82,6 +82,57 @@ def test_quality_stage_removes_frequent_lines(spark, sf_dir):
     assert all(r["n_chars"] == len(r["text"]) for r in after)
 
 
+NAMES = "_key string, _gone string, _nth string, row string, text_key string, kept string, rows string, host string, removed_lines string, cut_text string, n_dropped string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, repeated ids and rows, ties, empty and long texts, and clashing names."""
+    say = lambda k, n=60: " ".join(f"w{k}x{j}" for j in range(n))
+    body = say(1)
+    item = " ".join(f"b{j}" for j in range(12))
+    texts = [(1, body), (3, body + " x"), (3, say(2)), (3, say(2)), (4, None), (4, ""), (5, " \n\t"), (None, body), (None, None), (6, say(3) + " " + item), (None, say(4) + " " + item), (7, say(5, 40_000)), (8, say(5, 40_000) + " end"), (9, "a line of some length\n" + say(6)), (10, "a line of some length\n" + say(7)), (10, "A Line of some length \n" + say(8)), (11, "a line of some length")]
+    rows = [(i, t, None if k == 2 else "s", None if t is None else len(t), *(["x"] * 10), None) for k, (i, t) in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, " + NAMES).repartition(4), item
+
+
+def pairs(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+
+
+def test_stages_on_odd_rows(spark, tmp_path, odd):
+    import corpus_pipeline as pipeline
+    from test_llm_operators import shingles
+
+    docs, item = odd
+    spark.createDataFrame([(1, item), (None, "w1x0"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = docs.collect()
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+        assert all(r["_key"] == "x" and r["rows"] == "x" and (r["n_chars"] is None if r["text"] is None else r["n_chars"] == len(r["text"])) for r in out.collect())
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+    both = [(r["doc_id"], r["text"]) for r in rows]
+    # quality: 50 words at least, no text of repeated windows here
+    assert pairs(pipeline.quality(spark, docs, str(tmp_path))) == sorted(((i, t) for i, t in both if len((t or "").split()) >= 50), key=repr)
+    # decontamination: the item of twelve words is in two documents
+    assert pairs(pipeline.benchmark(spark, docs, str(tmp_path))) == sorted(((i, t) for i, t in both if item not in (t or "")), key=repr)
+    # near copies: by id and text, one of each group and of equal rows
+    kept = []
+    for i, t in sorted(both, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
+        own = shingles(t)
+        linked = any(j is not None and own and 100 * len(own & (x := shingles(u))) >= 85 * len(own | x) for j, u in kept)
+        if i is None or not (linked or (i, t or "") in ((j, u or "") for j, u in kept)):
+            kept.append((i, t))
+    found = pairs(pipeline.near_copies(spark, docs, str(tmp_path)))
+    assert sorted(((i, t or "") for i, t in found), key=repr) == sorted(((i, t or "") for i, t in kept), key=repr)
+    # lines: the first of its id and key stays
+    after = dict(pairs(pipeline.lines(spark, docs.where("doc_id in (9, 11)"), str(tmp_path))))
+    assert after == {9: next(t for i, t in both if i == 9), 11: ""}
+    pieces = pipeline.sequences(spark, docs.where("doc_id = 4 or doc_id is null"), str(tmp_path)).collect()
+    assert len(pieces) >= 5
+
+
 def test_library_works_without_this_subpackage(tmp_path):
     """As after deletion of the folders: the entry module imports and registers the rest."""
     for item in ROOT.iterdir():
