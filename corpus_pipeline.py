@@ -3,6 +3,10 @@
 Every stage takes ``(spark, docs, sf_dir)``, works on all rows it is given, and but
 for the last returns the columns of ``docs``; ``run`` writes each result to the shared
 folder and reads it again before the next stage.
+
+Rows are told apart by doc_id and text together, so documents that share an id are
+judged each for itself.  A row's other columns travel as one struct, so that they may
+have any names.  An empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.llm import decontaminate, jaccard_join, line_dedup, packing, quality_rules
@@ -20,70 +24,92 @@ from runlens.llm.common import materialise, table
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id and text are not among ``keys`` (doc_id, text_key), nulls compared as values."""
-    own = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    gone = keys.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key")).distinct()
-    return own.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_gone_key")), "left_anti").drop("_key")
+def _boxed(docs: DataFrame, **more: Column) -> DataFrame:
+    """(row, doc_id, text_key): each row as one column, beside what identifies it."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), *(c.alias(k) for k, c in more.items()))
+
+
+def _same(left: DataFrame, right: DataFrame, *more: str) -> Column:
+    """Join condition: equal id and text, missing ids equal to each other."""
+    same = left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_key"] == right["text_key"])
+    for c in more:
+        same = same & (left[c] == right[c])
+    return same
+
+
+def _with_text(docs: DataFrame, boxed: DataFrame, text: Column, changed: Column) -> DataFrame:
+    """The rows in ``row`` with another text, and n_chars to match, where ``changed``."""
+    out = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    out["text"] = F.when(changed, text).otherwise(out["text"])
+    if "n_chars" in out:
+        out["n_chars"] = F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return boxed.select(*(out[c].alias(c) for c in docs.columns))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, without the lines above the limit of their host."""
+    """Documents that the quality rules keep, without the lines above the limit of their host.
+
+    A null or empty text has no words and goes; a null source is a host of its own; rows
+    without a doc_id are judged by the base rules alone; of a frequent line the smallest
+    doc_id keeps its copy; repeated rows count once and stay or go together.
+    """
     verdicts = quality_rules.apply_rules(docs.select("doc_id", "text", "source"))
+    marked = verdicts.where(~F.col("kept") | F.col("removed_lines").isNotNull()).select("doc_id", "text_key", "host", "kept", "removed_lines")
     # written first: both uses below would measure the texts again
-    marked = verdicts.where(~F.col("kept") | F.col("removed_lines").isNotNull())
-    marked = materialise(marked.select("doc_id", "text_key", "host", "kept", "removed_lines"), "quality-verdicts").dropDuplicates(["doc_id", "text_key", "host"])
-    own = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    marked = marked.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key"), F.col("host").alias("_host"), F.col("kept").alias("_kept"), F.col("removed_lines").alias("_lines"))
-    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_gone_key")) & (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("_host"))
-    kept = own.join(marked, same, "left").where(F.coalesce("_kept", F.lit(True)))
-    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    cut = kept.select(*docs.columns, "_lines").mapInArrow(_cut_lines, kept.select(*docs.columns, F.lit(True).alias("_cut")).schema)
-    out = {c: F.col(f"`{c}`") for c in [*rest, "text"]}
-    if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return cut.select(*(out[c].alias(c) for c in docs.columns))
+    marked = materialise(marked, "quality-verdicts").dropDuplicates(["doc_id", "text_key", "host"])
+    own = _boxed(docs, host=F.coalesce(F.col("source").cast("string"), F.lit("")))
+    kept = own.join(marked, _same(own, marked, "host"), "left").where(F.coalesce("kept", F.lit(True))).select("row", "removed_lines")
+    cut = kept.select("row", F.when(F.col("removed_lines").isNotNull(), F.col("row.text")).alias("text"), "removed_lines")
+    cut = cut.mapInArrow(_cut_lines, cut.select("row", F.col("text").alias("cut_text")).schema)
+    return _with_text(docs, cut, F.col("cut_text"), F.col("cut_text").isNotNull())
 
 
 def _cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        removed = batch.column("_lines").to_pylist()
-        texts = [quality_rules.without_lines(t, x) if x else t for t, x in zip(batch.column("text").to_pylist(), removed)]
-        columns = [pa.array(texts, batch.column(c).type) if c == "text" else batch.column(c) for c in batch.schema.names[:-1]]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([bool(x) for x in removed], pa.bool_())], names=[*batch.schema.names[:-1], "_cut"])
+        both = zip(batch.column("text").to_pylist(), batch.column("removed_lines").to_pylist())
+        texts = [quality_rules.without_lines(t or "", x) if x else None for t, x in both]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "cut_text"])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that an earlier one has."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    found = line_dedup.dedup_lines(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("_columns")))
-    lost = F.col("n_dropped") > 0
-    out = {c: F.col(f"_columns.`{c}`") for c in docs.columns if c not in ("doc_id", "text")}
-    out |= {"doc_id": F.col("doc_id"), "text": F.when(lost, F.col("kept_text")).otherwise(F.col("text"))}
-    if "n_chars" in out:
-        out["n_chars"] = F.when(lost, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
-    return found.select(*(out[c].alias(c) for c in docs.columns))
+    """All documents, without the lines that an earlier one (by doc_id) has.
+
+    Rows without a doc_id keep their lines; so do all rows of the smallest doc_id that
+    holds a line; a null text stays null; a text that loses all its lines becomes empty.
+    """
+    found = line_dedup.dedup_lines(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")))
+    return _with_text(docs, found, F.col("kept_text"), F.col("n_dropped") > 0)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones, that of the smallest id."""
-    parts = jaccard_join.link_components(docs.select("doc_id", "text"))
-    others = parts.where("id <> component").select(F.col("id").alias("doc_id"))
-    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
-    # rows that repeat an id with the same text are copies, too
-    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy(F.lit(1)))
-    return kept.withColumn("_nth", F.when(F.col("doc_id").isNull(), 1).otherwise(nth)).where("_nth = 1").drop("_nth")
+    """One document of each group of linked ones, that of the smallest id.
+
+    Rows without a doc_id stay, as do texts without words; of rows that repeat id and
+    text one stays; rows that share an id but not the text are documents of their own.
+    Of several documents with the smallest id in a group, one stays.
+    """
+    marked = materialise(jaccard_join.copies_to_drop(docs.select("doc_id", "text")), "copies-to-drop")
+    own = _boxed(docs)
+    kept = own.join(marked, _same(own, marked), "left").where(F.coalesce("kept", F.lit(True))).select("row", own["doc_id"], own["text_key"], "rows")
+    once = kept.where("rows is null")
+    several = kept.where("rows is not null").dropDuplicates(["doc_id", "text_key"])
+    return once.unionByName(several).select("row.*")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item.
+
+    Null and empty texts hold no window and stay; repeated rows stay or go together.
+    """
     found = decontaminate.decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
     # written first: the optimizer would push the filter, and with it the verification, below the join
-    return _without(docs, materialise(found.select("doc_id", "text_key", "contaminated"), "contaminated").where("contaminated"))
+    hit = materialise(found.select("doc_id", "text_key", "contaminated"), "contaminated").where("contaminated")
+    own = _boxed(docs)
+    return own.join(hit, _same(own, hit), "left_anti").select("row.*")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences."""
+    """Pieces of packed sequences; a null text is packed as an empty one."""
     return packing.pack(docs.select("doc_id", "text"))
 
 
