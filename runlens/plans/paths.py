@@ -23,6 +23,7 @@ def context_paths(loops: DataFrame) -> DataFrame:
     are never reached.
     """
     own = distinct_loops(loops).select("ctx_id", "p_ctx_id", F.struct(F.col("l_name").alias("name"), F.col("iteration").cast("long").alias("iteration"), F.col("l_value").alias("value")).alias("step"))
+    own = materialise(own, "contexts")  # each level reads them again, without the deduplication
     nested = own.where(F.col("p_ctx_id").isNotNull())
     top = own.where(F.col("p_ctx_id").isNull()).select("ctx_id", F.lit(1).alias("depth"), F.array("step").alias("path"))
     out = frontier = top

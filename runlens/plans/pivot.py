@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -9,13 +10,21 @@ from pyspark.sql import functions as F
 
 from ..functions.inference import infer_types
 from ..schema import RUN_KEYS, USER
+from ..scratch import materialise
 from .paths import context_paths
 
 
+#: Most columns of a star pivot; a store with more names wants some of them asked for.
+MOST_NAMES = 10_000
+
+
 def star_names(logs: DataFrame) -> list[str]:
-    """User names logged outside of any loop."""
-    found = logs.where((F.col("value_type") == USER) & F.col("ctx_id").isNull()).select("value_name").distinct().collect()
-    return sorted(r[0] for r in found if r[0] is not None)
+    """User names logged outside of any loop, ``MOST_NAMES`` at most (each becomes a column)."""
+    names = logs.where((F.col("value_type") == USER) & F.col("ctx_id").isNull() & F.col("value_name").isNotNull()).select("value_name").distinct()
+    found = names.limit(MOST_NAMES + 1).collect()
+    if len(found) > MOST_NAMES:
+        raise ValueError(f"over {MOST_NAMES} names are logged at top level: name the columns that you want")
+    return sorted(r[0] for r in found)
 
 
 def star(logs: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -35,10 +44,11 @@ def star(logs: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 @dataclass(frozen=True)
 class Shape:
-    """What one name's frame looks like: its depth and its loop columns, outermost first."""
+    """What one name's frame looks like: its depth and its loop columns, outermost first; ``full`` ones hold no null."""
 
     depth: int
     columns: tuple[tuple[str, str, str], ...]  # (column, loop, field)
+    full: frozenset[str] = frozenset()
 
     @property
     def names(self) -> list[str]:
@@ -84,7 +94,10 @@ def shapes(rows: DataFrame, names: list[str]) -> dict[str, Shape]:
         own = [r for r in found if r["value_name"] == name]
         depth = max((r["depth"] for r in own), default=0)
         columns: list[tuple[str, str, str]] = []
-        for r in sorted((r for r in own if r["depth"] == depth and depth), key=lambda r: (r["pos"], r["loop"])):
+        deepest = [r for r in own if r["depth"] == depth and depth]
+        at = Counter(r["pos"] for r in deepest)
+        full = frozenset(r["loop"] for r in deepest if at[r["pos"]] == 1 and not r["no_number"])
+        for r in sorted(deepest, key=lambda r: (r["pos"], r["loop"])):
             if r["twice"]:
                 raise ValueError(f"{name!r} is logged in a loop nested in a loop of the same name")
             if r["no_number"] and r["no_value"]:
@@ -93,13 +106,17 @@ def shapes(rows: DataFrame, names: list[str]) -> dict[str, Shape]:
                 columns.append((r["loop"], r["loop"], "iteration"))
             if not r["no_value"]:
                 columns.append((f"{r['loop']}_value", r["loop"], "value"))
-        out[name] = Shape(depth, tuple(dict.fromkeys(columns)))
+        out[name] = Shape(depth, tuple(dict.fromkeys(columns)), full)
     return out
 
 
 def _single(rows: DataFrame, name: str, shape: Shape) -> DataFrame:
     own = rows.where((F.col("value_name") == name) & (F.col("depth") == shape.depth))
-    return own.select(*(_step(loop, field).alias(c) for c, loop, field in shape.columns), *RUN_KEYS, F.col("value").alias(name))
+    return own.select(*(_step(loop, field).alias(c) for c, loop, field in shape.columns), *RUN_KEYS, F.col("value").alias(name)).distinct()
+
+
+#: Column that tells whether a fused row has a value of the first name.
+_FIRST = "_has_first"
 
 
 def _fused(rows: DataFrame, names: list[str], shape: Shape) -> DataFrame:
@@ -112,12 +129,13 @@ def _fused(rows: DataFrame, names: list[str], shape: Shape) -> DataFrame:
     keyed = own.select(*(_step(loop, field).alias(c) for c, loop, field in shape.columns), *RUN_KEYS, "value_name", F.struct("value").alias("held"))
     sets = [F.collect_set(F.when(F.col("value_name") == n, F.col("held"))).alias(f"_set{k}") for k, n in enumerate(names)]
     keys = [*shape.names, *RUN_KEYS]
-    out = keyed.groupBy(*(F.col(f"`{c}`") for c in keys)).agg(*sets)
+    quoted = [F.col(f"`{c}`") for c in keys]
+    out = keyed.groupBy(*quoted).agg(*sets).withColumn(_FIRST, F.size("_set0") > 0)
     done: list[str] = []
     for k, n in enumerate(names):
         rest = [f"_set{j}" for j in range(k + 1, len(names))]
-        out = out.select(*(F.col(f"`{c}`") for c in [*keys, *done]), *rest, F.explode_outer(f"_set{k}").alias("_held"))
-        out = out.select(*(F.col(f"`{c}`") for c in [*keys, *done]), *rest, F.col("_held.value").alias(n))
+        out = out.select(*quoted, _FIRST, *(F.col(f"`{c}`") for c in done), *rest, F.explode_outer(f"_set{k}").alias("_held"))
+        out = out.select(*quoted, _FIRST, *(F.col(f"`{c}`") for c in done), *rest, F.col("_held.value").alias(n))
         done.append(n)
     return out
 
@@ -138,13 +156,16 @@ def dataframe(logs: DataFrame, loops: DataFrame, *names: str, typed: bool = Fals
 
     Of a name logged at several depths, the deepest rows stay.  Names are joined in
     call order by natural full outer joins.  Neighbouring names of one shape are fused
-    into one aggregation where that is equal to joining them: at the start, and later
-    where their key columns are all there already.  Values are text unless ``typed``.
+    into one aggregation where that is equal to joining them: at the start, where their
+    key columns are all there already, and where they bring a loop column without nulls
+    (rows without a value of the first of them then meet nothing that is there).  Every
+    part has distinct rows, and so has the result.  Values are text unless ``typed``.
     """
     if not names:
         return infer_types(star(logs)) if typed else star(logs)
     wanted = list(dict.fromkeys(names))
-    rows = resolved(logs, context_paths(loops) if paths is None else paths, wanted)
+    # written once: the shapes and every group of names read it again
+    rows = materialise(resolved(logs, context_paths(loops) if paths is None else paths, wanted), "pivot")
     found = shapes(rows, wanted)
     _check_names(wanted, [c for s in found.values() for c in s.names])
     groups: list[list[str]] = []
@@ -156,11 +177,17 @@ def dataframe(logs: DataFrame, loops: DataFrame, *names: str, typed: bool = Fals
     out = None
     for group in groups:
         shape = found[group[0]]
-        if len(group) > 1 and (out is None or set(shape.names) <= set(out.columns)):
-            parts = [_fused(rows, group, shape)]
+        there = set() if out is None else set(out.columns)
+        if len(group) == 1 or not (out is None or set(shape.names) <= there or shape.full - there):
+            for part in (_single(rows, n, found[n]) for n in group):
+                out = part if out is None else natural_full_join(out, part)
+            continue
+        fused = _fused(rows, group, shape)
+        if out is None or set(shape.names) <= there:
+            out = fused.drop(_FIRST) if out is None else natural_full_join(out, fused.drop(_FIRST))
         else:
-            parts = [_single(rows, n, found[n]) for n in group]
-        for part in parts:
-            out = part if out is None else natural_full_join(out, part)
-    out = out.select(*(F.col(f"`{c}`") for c in [*(c for c in out.columns if c not in wanted), *wanted])).distinct()
+            # names after the first join on the new loop column, too: a row without the first meets no earlier row
+            joined = natural_full_join(out, fused.where(_FIRST).drop(_FIRST))
+            out = joined.unionByName(fused.where(~F.col(_FIRST)).drop(_FIRST), allowMissingColumns=True)
+    out = out.select(*(F.col(f"`{c}`") for c in [*(c for c in out.columns if c not in wanted), *wanted]))
     return infer_types(out, wanted) if typed else out

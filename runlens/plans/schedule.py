@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import LOOP, PREFIX, RUN_KEYS, SUFFIX
-from .paths import context_paths
-from .pivot import dataframe, star
+from ..schema import LOOP, PREFIX, RUN_KEYS, SUFFIX, USER
+from .pivot import dataframe, star_names
 
 
 def _number(name: str) -> Column:
@@ -27,10 +26,32 @@ def nested_loops(logs: DataFrame, loops: DataFrame, outer: str = "epoch", paths:
     return wide.groupBy(*RUN_KEYS).agg(F.max(F.col(f"`{outer}`")).alias("num_epochs"), spent.alias("sum_nested_loops"))
 
 
-def root_loops(logs: DataFrame) -> DataFrame:
-    """Per run and root loop: its whole duration."""
-    rows = logs.where(F.col("ctx_id").isNull() & (F.col("value_name") == LOOP))
-    return rows.select(*RUN_KEYS, F.col("value").try_cast("double").alias("coarse_loop"))
+def run_timings(logs: DataFrame, timings: list[str]) -> DataFrame:
+    """Runs with a top-level user value: the star's columns and the run's own timings.
+
+    One aggregation over the run keys; of several values that a run logged for a
+    timing, every combination is a row, as in the pivot.  Rows have a value of one
+    timing at least.
+    """
+    names = star_names(logs)
+    clash = sorted({*names} & {*RUN_KEYS, *timings, COARSE})
+    if clash:
+        raise ValueError(f"logged names {clash} are also key or timing columns of the result")
+    user = F.col("value_type") == USER
+    own = logs.where(F.col("ctx_id").isNull() & (user | F.col("value_name").isin([*timings, LOOP])))
+    held = F.struct("value")
+    picked = [F.max(F.when(user & (F.col("value_name") == n), F.col("value"))).alias(n) for n in names]
+    sets = [F.collect_set(F.when(F.col("value_name") == t, held)).alias(f"_set{k}") for k, t in enumerate(timings)]
+    whole = F.collect_list(F.when(F.col("value_name") == LOOP, held)).alias("_whole")
+    out = own.groupBy(*RUN_KEYS).agg(*picked, *sets, whole, F.bool_or(user).alias("_user"))
+    out = out.where("_user").where(F.greatest(*(F.size(f"_set{k}") for k in range(len(timings))), F.lit(0)) > 0).drop("_user")
+    for k, t in enumerate(timings):
+        out = out.withColumn("_held", F.explode_outer(f"_set{k}")).withColumn(t, F.col("_held.value")).drop("_held", f"_set{k}")
+    return out
+
+
+#: Column of a root loop's whole duration.
+COARSE = "coarse_loop"
 
 
 def estimate(logs: DataFrame, loops: DataFrame, level: int, mark: str = "suffix", outer: str = "epoch", paths: DataFrame | None = None) -> DataFrame:
@@ -38,30 +59,24 @@ def estimate(logs: DataFrame, loops: DataFrame, level: int, mark: str = "suffix"
 
     Level 0 replays what stands before the loops (``mark`` "prefix") or also what
     follows them ("suffix"); level 1 the rounds of the outer loop without their
-    nested loops; level 2 everything.
+    nested loops; level 2 everything.  The run's own timings come from one aggregation,
+    which only the nested loops are joined to.
     """
     if mark not in ("prefix", "suffix"):
         raise ValueError("mark is 'prefix' or 'suffix'")
     if level not in (0, 1, 2):
         raise ValueError(f"no cost model for loops nested {level} deep")
-    paths = context_paths(loops) if paths is None else paths
-    runs = star(logs)
-    if level == 0 and mark == "prefix":
-        costs = dataframe(logs, loops, PREFIX, paths=paths).withColumn("composite", _number(PREFIX))
-        return runs.join(costs, RUN_KEYS, "inner")
-    ends = dataframe(logs, loops, PREFIX, SUFFIX, paths=paths)
+    runs = run_timings(logs, [PREFIX] if level == 0 and mark == "prefix" else [PREFIX, SUFFIX])
     if level == 0:
-        return runs.join(ends.withColumn("composite", _number(PREFIX) + _number(SUFFIX) + 1), RUN_KEYS, "inner")
-    nested = nested_loops(logs, loops, outer, paths)
-    whole = root_loops(logs)
+        costs = _number(PREFIX) if mark == "prefix" else _number(PREFIX) + _number(SUFFIX) + 1
+        return runs.drop("_whole").withColumn("composite", costs)
+    whole = runs.withColumn("_held", F.explode("_whole")).withColumn(COARSE, F.col("_held.value").try_cast("double")).drop("_whole", "_held")
+    costs = whole.join(nested_loops(logs, loops, outer, paths), RUN_KEYS, "inner")
+    ends = _number(PREFIX) + _number(SUFFIX)
     if level == 1:
-        part = whole.join(nested, RUN_KEYS, "inner").withColumn("marginal", F.col("coarse_loop") - F.col("sum_nested_loops"))
-        part = part.drop("coarse_loop", "sum_nested_loops").join(ends, RUN_KEYS, "inner")
-        costs = part.withColumn("composite", F.col("num_epochs") + F.col("marginal") + _number(PREFIX) + _number(SUFFIX))
-    else:
-        costs = whole.join(ends, RUN_KEYS, "inner").withColumn("composite", F.col("coarse_loop") + _number(PREFIX) + _number(SUFFIX))
-        costs = costs.join(nested.drop("sum_nested_loops"), RUN_KEYS, "inner")
-    return runs.join(costs, RUN_KEYS, "inner")
+        costs = costs.withColumn("marginal", F.col(COARSE) - F.col("sum_nested_loops")).drop(COARSE)
+        return costs.drop("sum_nested_loops").withColumn("composite", F.col("num_epochs") + F.col("marginal") + ends)
+    return costs.drop("sum_nested_loops").withColumn("composite", F.col(COARSE) + ends)
 
 
 def total_cost(schedule: DataFrame) -> DataFrame:
