@@ -35,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
     p = commands.add_parser("replay", help="cost and commands of replaying past runs")
     p.add_argument("names", type=lambda s: s.split(","))
     p.add_argument("where", nargs="?")
+    p.add_argument("--logged", type=lambda s: s.split(","), default=[], help="logged names that the condition uses")
     p.add_argument("--level", type=int, default=1)
     p.add_argument("--mark", choices=("prefix", "suffix"), default="suffix")
     return out
@@ -56,7 +57,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Da
         elif args.command == "dataframe":
             out = pivot.dataframe(store.logs(), store.loops(), *args.columns)
         else:
-            costs = schedule.where(schedule.estimate(store.logs(), store.loops(), args.level, args.mark), args.where)
+            costs = schedule.estimate(store.logs(), store.loops(), args.level, args.mark)
+            costs = schedule.where_logged(costs, store.logs(), store.loops(), args.logged, args.where) if args.where and args.logged else schedule.where(costs, args.where)
+            costs = schedule.lacking(costs, store.logs(), args.names)
             schedule.total_cost(costs).select("total", discretize(F.col("total")).alias("estimate")).show(truncate=False)
             out = schedule.replay_commands(costs, args.names, args.level)
     out.show(truncate=False)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,11 +49,6 @@ def trunc(c: Column) -> Column:
     return F.when(c < 0, F.ceil(c)).otherwise(F.floor(c))
 
 
-def like(c: Column, pattern: str) -> Column:
-    """LIKE without regard to case."""
-    return c.ilike(pattern)
-
-
 def glob(c: Column, pattern: str) -> Column:
     """GLOB: ``*``, ``?`` and ``[...]``, case-sensitive."""
     out = ""
@@ -66,13 +61,50 @@ def quote(c: Column) -> Column:
     return F.when(c.isNull(), F.lit("NULL")).otherwise(F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'")))
 
 
-def log10(c: Column) -> Column:
-    return F.log10(c)
-
-
 def json_group_array(c: Column) -> Column:
     return F.to_json(F.collect_list(c))
 
 
 def json_group_object(key: Column, value: Column) -> Column:
     return F.to_json(F.map_from_entries(F.collect_list(F.struct(key, value))))
+
+
+#: Names for SQL text, as temporary functions whose bodies Spark inlines: (signature, result, body).
+#: What its parser or aggregates can't take is spelled otherwise: ``x GLOB p`` as ``glob(p, x)``,
+#: ``LIKE`` without regard to case as ``ILIKE``, ``a / b`` of integers as ``int_div(a, b)``,
+#: ``max(a, b)`` as ``max2(a, b)``, ``CAST(x AS INTEGER)`` of any text as ``cast_integer(x)``,
+#: ``quote(x)`` as ``sql_quote(x)``, ``total(x)`` as ``coalesce(sum(cast_real(x)), 0.0D)``, ``group_concat(x)`` as ``listagg(x, ',')``.
+#: A text is compared with a number as a number where ``cast_real`` says so: ``cast_real(value) > 10``.
+SQL_FUNCTIONS = [
+    ("cast_integer(x STRING)", "BIGINT", r"if(x IS NULL, NULL, coalesce(try_cast(regexp_extract(trim(x), r'^[+-]?\d+', 0) AS BIGINT), 0L))"),
+    ("cast_real(x STRING)", "DOUBLE", r"if(x IS NULL, NULL, coalesce(try_cast(regexp_extract(trim(x), r'^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?', 0) AS DOUBLE), 0.0D))"),
+    ("int_div(a BIGINT, b BIGINT)", "BIGINT", "if(b = 0, NULL, a DIV b)"),
+    ("max2(a DOUBLE, b DOUBLE)", "DOUBLE", "if(a IS NULL OR b IS NULL, NULL, greatest(a, b))"),
+    ("min2(a DOUBLE, b DOUBLE)", "DOUBLE", "if(a IS NULL OR b IS NULL, NULL, least(a, b))"),
+    ("glob(p STRING, x STRING)", "BOOLEAN", r"x RLIKE concat('(?s)^', replace(replace(regexp_replace(p, r'([.+(){}|$\\])', r'\\$1'), '*', '.*'), '?', '.'), '$')"),
+    ("sql_quote(x STRING)", "STRING", """if(x IS NULL, 'NULL', concat("'", replace(x, "'", "''"), "'"))"""),
+    ("json_extract(j STRING, p STRING)", "STRING", "get_json_object(j, p)"),
+    ("json_valid(j STRING)", "INT", "if(j IS NULL, NULL, if(try_parse_json(j) IS NULL, 0, 1))"),
+    (
+        "json_type(j STRING)",
+        "STRING",
+        "CASE WHEN try_parse_json(j) IS NULL THEN NULL WHEN schema_of_variant(try_parse_json(j)) LIKE 'OBJECT%' THEN 'object' WHEN schema_of_variant(try_parse_json(j)) LIKE 'ARRAY%' THEN 'array' "
+        "WHEN schema_of_variant(try_parse_json(j)) = 'STRING' THEN 'text' WHEN schema_of_variant(try_parse_json(j)) = 'BOOLEAN' THEN trim(j) WHEN schema_of_variant(try_parse_json(j)) = 'BIGINT' THEN 'integer' "
+        "WHEN schema_of_variant(try_parse_json(j)) = 'VOID' THEN 'null' ELSE 'real' END",
+    ),
+    ("unixepoch(t TIMESTAMP_NTZ)", "BIGINT", "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', t)"),
+    ("julianday(t TIMESTAMP_NTZ)", "DOUBLE", "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', t) / 86400000000.0D + 2440587.5D"),
+    (
+        "strftime(f STRING, t TIMESTAMP_NTZ)",
+        "STRING",
+        "date_format(CAST(t AS TIMESTAMP), replace(replace(replace(replace(replace(replace(replace(f, '%Y', 'yyyy'), '%m', 'MM'), '%d', 'dd'), '%H', 'HH'), '%M', 'mm'), '%S', 'ss'), '%j', 'DDD'))",
+    ),
+]
+
+
+def register(spark: SparkSession) -> None:
+    """Makes ``SQL_FUNCTIONS`` known to the session, once."""
+    if spark.catalog.functionExists("cast_real") and spark.catalog.functionExists("strftime"):
+        return
+    for signature, result, body in SQL_FUNCTIONS:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS {result} RETURN {body}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import LOOP, PREFIX, RUN_KEYS, SUFFIX, USER
@@ -88,6 +88,30 @@ def where(schedule: DataFrame, clause: str | None) -> DataFrame:
     return schedule if clause is None else schedule.where(F.expr(clause))
 
 
+def where_logged(schedule: DataFrame, logs: DataFrame, loops: DataFrame, names: list[str], clause: str) -> DataFrame:
+    """The runs of which some row of the pivot of ``names`` satisfies the condition.
+
+    The condition may use these names, their loops' columns and the schedule's own;
+    values are typed as the pivot infers them.
+    """
+    wide = dataframe(logs, loops, *names, typed=True)
+    own = schedule.select(*RUN_KEYS, *(F.col(f"`{c}`") for c in schedule.columns if c not in wide.columns))
+    met = own.join(wide, RUN_KEYS, "left").where(F.expr(clause)).select(*RUN_KEYS).distinct()
+    return schedule.join(met, RUN_KEYS, "left_semi")
+
+
+def lacking(schedule: DataFrame, logs: DataFrame, names: list[str]) -> DataFrame:
+    """The runs that have not logged every one of the names yet, so replaying them adds something."""
+    held = logs.where(F.col("value_name").isin(names) & F.col("value").isNotNull()).groupBy(*RUN_KEYS).agg(F.count_distinct("value_name").alias("_n"))
+    return schedule.join(held.where(F.col("_n") >= len(set(names))).drop("_n"), RUN_KEYS, "left_anti")
+
+
+def after_replay(schedule: DataFrame, logs: DataFrame, loops: DataFrame, *names: str) -> DataFrame:
+    """The pivot of the names over the schedule's runs: what a replay of them ends with."""
+    own = logs.join(schedule.select(*RUN_KEYS).distinct(), RUN_KEYS, "left_semi")
+    return dataframe(own, loops, *names)
+
+
 def last_of_each_run(schedule: DataFrame) -> DataFrame:
     """The last row of each stretch of rows with one time stamp, ordered by stamp, project and file.
 
@@ -103,11 +127,6 @@ def with_versions(schedule: DataFrame, versions: DataFrame) -> DataFrame:
     return last_of_each_run(schedule).join(first, "tstamp", "inner")
 
 
-def newest_first(versions: DataFrame) -> DataFrame:
-    """Versions numbered from the newest; a bounded listing, so one sorted task is enough."""
-    return versions.withColumn("nth", F.row_number().over(Window.orderBy(F.desc("tstamp"), F.desc("authored"))))
-
-
 def replay_commands(schedule: DataFrame, names: list[str], level: int, outer: str = "epoch", inner: str = "step") -> DataFrame:
     """The command line that would replay each run."""
     parts = [F.lit("python"), F.col("filename"), F.lit("--replay"), F.lit(",".join(names))]

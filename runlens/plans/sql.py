@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..functions import compat
 from ..functions.inference import infer_types
 
 
@@ -24,10 +25,12 @@ def check_read_only(df_or_sql: str, spark) -> None:
 def query(logs: DataFrame, loops: DataFrame, sql: str, typed: bool = True) -> DataFrame:
     """Result of a query over the views ``logs`` and ``loops``; no rows give an empty frame.
 
+    The statement is Spark SQL and may use the lenient functions of ``compat.SQL_FUNCTIONS``.
     With ``typed`` one more aggregate decides the type of every text column.
     """
     spark = logs.sparkSession
     register_views(logs, loops)
+    compat.register(spark)
     check_read_only(sql, spark)
     out = spark.sql(sql)
     return infer_types(out) if typed else out

@@ -257,6 +257,35 @@ def replay_commands(spark, sf_dir):
     return schedule.replay_commands(_costs(spark, sf_dir, 2), ["grad", "acc"], 2)
 
 
+_LOSS = f"SELECT r.o_custkey AS k, max(CAST({_money('l_tax')} AS DOUBLE)) AS most, count(*) AS n FROM r JOIN orders o ON o.o_custkey = r.o_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY r.o_custkey"
+
+
+@_query(f'WITH {_RUNS}, x AS ({_LOSS}) SELECT {_KEYS}, lr, "delta::prefix", "delta::suffix", n * 0.75 + 1 AS composite FROM c WHERE o_custkey IN (SELECT k FROM x WHERE most > 0.07) AND n * 0.75 + 1 > 4')
+def schedule_where_logged(spark, sf_dir):
+    """A condition over a name logged in nested loops, and over the schedule."""
+    logs, loops = adapters.trainings(spark, sf_dir)
+    return schedule.where_logged(schedule.estimate(logs, loops, 0), logs, loops, ["loss"], "loss > 0.07 AND composite > 4")
+
+
+@_query(f'WITH {_RUNS}, x AS ({_LOSS}) SELECT {_KEYS}, lr, "delta::prefix", "delta::suffix", n * 0.75 + 1 AS composite FROM c WHERE o_custkey NOT IN (SELECT k FROM x) OR o_custkey % 3 <> 0')
+def schedule_lacking(spark, sf_dir):
+    """Runs without a loss, or without a grade, which every third run has."""
+    logs, loops = adapters.trainings(spark, sf_dir)
+    graded = logs.where("value_name = 'lr' AND unix_timestamp(CAST(tstamp AS TIMESTAMP)) % 3 = 0").withColumn("value_name", F.lit("grade"))
+    return schedule.lacking(schedule.estimate(logs, loops, 0), logs.unionByName(graded), ["loss", "grade"])
+
+
+@_query(
+    f"WITH {_RUNS} SELECT DISTINCT t.epoch AS epoch, CAST(l_linenumber AS BIGINT) AS step, {_KEYS}, {_money('l_tax')} AS loss, lr FROM c "
+    "JOIN t USING (o_custkey) JOIN lineitem ON l_orderkey = t.o_orderkey WHERE n > 10"
+)
+def schedule_after_replay(spark, sf_dir):
+    """The pivot over the runs that a condition picked."""
+    logs, loops = adapters.trainings(spark, sf_dir)
+    picked = schedule.where(schedule.estimate(logs, loops, 2), "num_epochs > 10")
+    return schedule.after_replay(picked, logs, loops, "loss", "lr")
+
+
 @_query(
     "SELECT o_orderkey, CASE WHEN o_totalprice / 300 < 10 THEN 'under 10 seconds' WHEN o_totalprice / 300 < 100 THEN 'under 2 minutes' WHEN o_totalprice / 300 < 1000 THEN 'up to 15 minutes' ELSE 'more than 15 minutes' END AS phrase FROM orders"
 )
@@ -403,6 +432,45 @@ def infer_types_query(spark, sf_dir):
     return sql.query(logs, loops, "SELECT tstamp, filename, value FROM logs WHERE value_name = 'value'")
 
 
+_LENIENT = """
+SELECT filename, coalesce(sum(cast_real(value)), 0.0D) AS total, count_if(cast_real(value) > 50) AS large, sum(int_div(cast_integer(value), 7)) AS sevenths, sum(cast_integer(concat(cast_integer(value), 'x'))) AS whole,
+  max(max2(cast_real(value), 60)) AS at_least, count_if(glob('*.?5', value)) AS fives, max(sql_quote(filename)) AS quoted, listagg(DISTINCT substr(value, 1, 1), ',') WITHIN GROUP (ORDER BY substr(value, 1, 1)) AS firsts
+FROM logs WHERE value_name = 'value' AND glob('[a-p]*', filename) GROUP BY filename"""
+
+
+@_query(
+    f"""
+WITH {_EVENTS} SELECT filename, sum(CAST("value" AS DOUBLE)) AS total, count(*) FILTER (CAST("value" AS DOUBLE) > 50) AS large, CAST(sum(trunc(CAST("value" AS DOUBLE))::BIGINT // 7) AS BIGINT) AS sevenths,
+  CAST(sum(trunc(CAST("value" AS DOUBLE))::BIGINT) AS BIGINT) AS whole, max(greatest(CAST("value" AS DOUBLE), 60)) AS at_least, count(*) FILTER ("value" GLOB '*.?5') AS fives, chr(39) || filename || chr(39) AS quoted,
+  string_agg(DISTINCT substr("value", 1, 1), ',' ORDER BY substr("value", 1, 1)) AS firsts
+FROM logs WHERE value_name = 'value' AND filename GLOB '[a-p]*' GROUP BY filename"""
+)
+def sql_lenient_text(spark, sf_dir):
+    return _sql(_LENIENT)(spark, sf_dir)
+
+
+@_query(
+    f"""
+WITH {_EVENTS} SELECT strftime(tstamp, '%Y-%m') AS month, strftime(tstamp, '%H:%M:%S') AS clock, count(*) AS n, CAST(min(epoch(tstamp)) AS BIGINT) AS first_second, max(epoch(tstamp) / 86400.0 + 2440587.5) AS last_day
+FROM logs GROUP BY 1, 2"""
+)
+def sql_lenient_dates(spark, sf_dir):
+    return _sql("SELECT strftime('%Y-%m', tstamp) AS month, strftime('%H:%M:%S', tstamp) AS clock, count(*) AS n, min(unixepoch(tstamp)) AS first_second, max(julianday(tstamp)) AS last_day FROM logs GROUP BY 1, 2")(spark, sf_dir)
+
+
+@_query(
+    f"""
+WITH {_EVENTS}, p AS (SELECT filename, "value" AS v FROM logs WHERE value_name = 'props' UNION ALL SELECT filename, '[1, ' || length(filename) || ']' FROM logs WHERE value_name = 'seen' UNION ALL SELECT filename, 'no json' FROM logs WHERE value_name = 'value')
+SELECT filename, CASE WHEN json_valid(v) THEN 1 ELSE 0 END AS ok, CASE WHEN json_valid(v) THEN lower(json_type(v)) END AS kind, count(*) AS n,
+  CAST(count(DISTINCT CASE WHEN json_valid(v) THEN json_extract_string(v, '$.k') END) AS BIGINT) AS ks FROM p GROUP BY 1, 2, 3"""
+)
+def sql_lenient_json(spark, sf_dir):
+    return _sql(
+        "WITH p AS (SELECT filename, value AS v FROM logs WHERE value_name = 'props' UNION ALL SELECT filename, concat('[1, ', length(filename), ']') FROM logs WHERE value_name = 'seen' UNION ALL SELECT filename, 'no json' FROM logs WHERE value_name = 'value') "
+        "SELECT filename, json_valid(v) AS ok, json_type(v) AS kind, count(*) AS n, count(DISTINCT json_extract(v, '$.k')) AS ks FROM p GROUP BY 1, 2, 3"
+    )(spark, sf_dir)
+
+
 # Functions
 
 
@@ -421,7 +489,7 @@ def lenient_functions(spark, sf_dir):
         compat.divide_integers(F.col("user_id"), F.lit(3)).alias("third"),
         compat.trunc(F.col("value")).cast("bigint").alias("whole"),
         compat.greatest(F.col("user_id"), F.col("event_id")).alias("larger"),
-        compat.like(F.col("event_type"), "C%").alias("like_c"),
+        F.ilike(F.col("event_type"), F.lit("C%")).alias("like_c"),
         compat.glob(F.col("event_type"), "c*").alias("glob_c"),
         compat.quote(F.col("event_type")).alias("quoted"),
     )

@@ -3,6 +3,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from runlens.functions.inference import infer_types, inferred_types
 from runlens.plans import paths, pivot, schedule, sql
@@ -171,3 +172,21 @@ def test_costs_without_loops_or_checkpoints_are_empty(spark):
         assert out.collect() == [] and "composite" in out.columns
     with pytest.raises(ValueError):
         schedule.estimate(logs, l, 3)
+
+
+def test_fused_later_equals_joined(spark):
+    """Names of one shape behind a shallower one, each missing in some rounds."""
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    loops = [(k, None, "epoch", k, None) for k in range(1, 5)] + [(10 * k + j, k, "step", j, None) for k in range(1, 5) for j in range(1, 4)]
+    logs = []
+    for run, (k, j) in itertools.product(range(2), itertools.product(range(1, 5), range(4))):
+        for name in ("loss", "grad", "norm") if j else ("acc", "lr"):
+            for _ in range(rng.choice((0, 1, 1, 2))):
+                logs.append(("p", f"2024-01-01 00:00:0{run}", "f.py", 10 * k + j if j else k, name, rng.choice((None, "1", "2")), 1))
+    frames = spark.createDataFrame(logs, "projid string, tstamp string, filename string, ctx_id long, value_name string, value string, value_type int").withColumn("tstamp", F.col("tstamp").cast("timestamp_ntz")), spark.createDataFrame(loops, "ctx_id long, p_ctx_id long, l_name string, iteration long, l_value string")
+    for names in (("acc", "loss", "grad", "norm"), ("loss", "grad", "acc", "lr", "norm"), ("lr", "acc", "norm", "loss")):
+        fused, joined = (sorted(map(repr, pivot.dataframe(*frames, *names, fuse=f).collect())) for f in (True, False))
+        assert fused == joined and fused
