@@ -1,8 +1,8 @@
 """Line deduplication with DataFrame operations only.
 
 Lines travel as 128-bit hashes, written once to the shared folder.  They are dealt
-out by 4096 equal ranges of the hash (hashes are uniform, so the splitters need no
-sample) with a secondary sort by document and position; a running window streams the first occurrence of
+out by equal ranges of the hash, 4096 or one for each ``RANGE_BYTES`` of input (hashes are
+uniform, so the splitters need no sample) with a secondary sort by document and position; a running window streams the first occurrence of
 every hash, and what comes back per document is a sparse bitmap of dropped lines
 (one 64-bit mask for each 64 lines that lose any), never text.
 
@@ -20,9 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_SPACE, ASCII_UPPER, materialise, row_key
+from .common import ASCII_LOWER, ASCII_SPACE, ASCII_UPPER, input_bytes, materialise, row_key
 
-HOT_KEYS = 1000
+HOT_KEYS, RANGE_BYTES = 1000, 1 << 24
 MIN_CHARS = 10
 
 
@@ -53,7 +53,9 @@ def line_occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, text_key, masks map<word, bits>, n_dropped) for documents that lose lines."""
-    occ = materialise(line_occurrences(docs, min_chars), "line-dedup").withColumn("range", F.conv(F.substring(F.hex("hash"), 1, 3), 16, 10).cast("int"))
+    occ = materialise(line_occurrences(docs, min_chars), "line-dedup")
+    n_ranges = max(4096, input_bytes(docs) // RANGE_BYTES)
+    occ = occ.withColumn("range", F.expr(f"cast(conv(substring(hex(hash), 1, 8), 16, 10) as long) * {n_ranges}L div 4294967296L").cast("int"))
     hot = occ.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("hot_doc"))
     hot = hot.orderBy(F.desc("n"), "hash").limit(HOT_KEYS).select("hash", "hot_doc")
     marked = occ.join(F.broadcast(hot), "hash", "left")

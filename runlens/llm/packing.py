@@ -66,8 +66,10 @@ def vocabulary_path(name: str) -> str:
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """text -> ids as uint16, for the byte-level vocabulary file at ``path``."""
+    """text -> ids as uint16, for the byte-level vocabulary file at ``path``, of ``VOCABULARY`` ids at most."""
     exact, quick = Tokenizer.from_file(path), None
+    if (largest := max(exact.get_vocab(with_added_tokens=True).values(), default=0)) >= VOCABULARY:
+        raise ValueError(f"ids up to {largest} don't fit 16 bits; this packing takes vocabularies of {VOCABULARY} ids at most")
     ranked = path.removesuffix(".json") + ".tiktoken"
     if os.path.exists(ranked):
         with open(ranked, "rb") as lines:

@@ -184,10 +184,11 @@ def fit(texts: list, labels: list, epochs: int = 60, rate: float = 3e-3) -> Mode
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_FIT_ROWS) -> Model:
-    """Fits on the ``most`` labelled training rows of smallest id hash."""
+    """Fits on the ``most`` labelled training rows of smallest id hash; of rows that repeat an id, all up to that number."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     picked = usable.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("text")).limit(most).collect()
     rows.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r["doc_id"]).encode()), r["quality"], r["text"] or ""))
     return fit([r["text"] for r in rows], [r["quality"] for r in rows])
 

@@ -38,8 +38,10 @@ from .repeats import LAST_ID, by_block, cover, flatten_ranges
 WINDOW, GRAM, TOKEN = 50, 16, 8
 MOST = WINDOW - GRAM + 1
 WIDTH = MOST - 1 + WINDOW
-#: Anchors of so many blocks, and so many of each, give the splitters.
-SAMPLE_BLOCKS, SAMPLE_EACH = 4, 20_000
+#: Anchors of so many blocks at least, and so many of each, give the splitters; one more block for
+#: each ``RANGES_A_BLOCK`` ranges, of which there are ``MOST_RANGES`` at most.  Beyond that a range is
+#: dealt to several buckets by a hash of the gram, so that buckets stay as small in larger inputs.
+SAMPLE_BLOCKS, SAMPLE_EACH, RANGES_A_BLOCK, MOST_RANGES = 4, 20_000, 1000, 1 << 16
 ENTRY = np.dtype([("length", "u1"), ("offset", "u1"), ("pos", "<u4"), ("id", "<i8")])
 ENTRY_SCHEMA = "bucket int, block int, kind int, content binary, meta binary"
 _TABLE = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -71,19 +73,22 @@ def _leading(data: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def sample_splitters(blocks: DataFrame, n_buckets: int) -> np.ndarray:
-    """``n_buckets - 1`` splitters from a bounded sample of suffixes."""
+    """``n_buckets - 1`` splitters from a sample of suffixes, some twenty for each."""
 
     def sample(block: pa.Table) -> pa.Table:
         _, data, _, _, _, (_, _, place) = _scan(block)
         grams = _leading(data, place[:: max(1, len(place) // SAMPLE_EACH)])
         return pa.table({"grams": pa.array([grams.tobytes()], pa.binary())})
 
-    found = blocks.where(F.col("block") < SAMPLE_BLOCKS).groupBy("block").applyInArrow(sample, "grams binary").collect()
+    sampled = max(SAMPLE_BLOCKS, n_buckets // RANGES_A_BLOCK)
+    found = blocks.where(F.col("block") < sampled).groupBy("block").applyInArrow(sample, "grams binary").collect()
     grams = np.sort(np.concatenate([np.frombuffer(r["grams"], f"S{GRAM}") for r in found] or [np.empty(0, f"S{GRAM}")]))
     return np.unique(grams[np.arange(1, n_buckets) * len(grams) // n_buckets]) if len(grams) else grams
 
 
-def _send_entries(n_filter: int, n_buckets: int, splitters: np.ndarray):
+def _send_entries(n_filter: int, splitters: np.ndarray, parts: int):
+    n_buckets = (len(splitters) + 1) * parts
+
     def send(block: pa.Table, answers: pa.Table) -> pa.Table:
         empty = pa.table({"bucket": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), "kind": pa.array([], pa.int32()), "content": pa.array([], pa.binary()), "meta": pa.array([], pa.binary())})
         if not block.num_rows or not answers.num_rows:
@@ -107,7 +112,7 @@ def _send_entries(n_filter: int, n_buckets: int, splitters: np.ndarray):
             out["bucket"].append(n_buckets + number), out["kind"].append(1), out["content"].append(b"")
             out["meta"].append(repeats.spans_payload(first[late], (first + length)[late]))
         asks = np.flatnonzero(~late)
-        bucket = np.searchsorted(splitters, _leading(data, place[asks]), "right")
+        bucket = np.searchsorted(splitters, _leading(data, place[asks]), "right") * parts + (hashes[place[asks]] % np.uint64(parts)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         asks, bucket = asks[order], bucket[order]
         meta = np.empty(len(asks), ENTRY)
@@ -231,10 +236,10 @@ def _apply(block: pa.Table, answers: pa.Table) -> pa.Table:
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans and the kept bytes."""
     blocks, n_blocks = repeats.into_blocks(docs)
-    n_filter, n_buckets = repeats.filter_buckets(n_blocks), n_blocks
-    splitters = sample_splitters(blocks, n_buckets)
+    n_filter, n_ranges = repeats.filter_buckets(n_blocks), min(n_blocks, MOST_RANGES)
+    splitters = sample_splitters(blocks, n_ranges)
     grouped = lambda df: df.groupBy("block")
     answers = repeats.gram_filter(grouped(blocks).applyInArrow(_send_grams(n_filter), repeats.FILTER_SCHEMA))
-    entries = grouped(blocks).cogroup(grouped(answers)).applyInArrow(_send_entries(n_filter, n_buckets, splitters), ENTRY_SCHEMA)
+    entries = grouped(blocks).cogroup(grouped(answers)).applyInArrow(_send_entries(n_filter, splitters, -(-n_blocks // n_ranges)), ENTRY_SCHEMA)
     spans = entries.groupBy("bucket").applyInArrow(_resolve, repeats.SPAN_SCHEMA)
     return grouped(blocks).cogroup(grouped(spans)).applyInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -85,6 +85,14 @@ def test_suffix_dedup(docs, rows, none):
     assert suffix_dedup.dedup_substrings(none).collect() == []
 
 
+def test_suffix_dedup_in_parts_of_ranges(docs, monkeypatch):
+    """Fewer ranges than buckets: each is dealt to several by the gram's hash."""
+    fields = ("doc_id", "n_removed", "n_spans", "kept")
+    want = by_row(suffix_dedup.dedup_substrings(docs), *fields)
+    monkeypatch.setattr(suffix_dedup, "MOST_RANGES", 2)
+    assert by_row(suffix_dedup.dedup_substrings(docs), *fields) == want
+
+
 def test_multikey_sort_orders_by_tokens():
     data = np.array([[rng.randrange(3) for _ in range(4)] for _ in range(500)], np.uint64)
     order, label = suffix_dedup.multikey_sort(lambda k, items: data[items, k], len(data), 4)
