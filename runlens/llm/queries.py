@@ -66,6 +66,32 @@ QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_suffix_dedup, op3
 
 _SPACE = "[ \\t\\n\\x0B\\f\\r]"
 
+_OP2 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, k, len(h) // 2 AS n, substr(h, 256 * k + 1, 354) AS part FROM (SELECT doc_id, h, unnest(range(0, (len(h) + 255) // 256)) AS k FROM d)),
+s AS (SELECT doc_id, 128 * k + j AS pos, substr(part, 2 * j - 1, 2) AS byte, CASE WHEN 128 * k + j + 49 <= n THEN substr(part, 2 * j - 1, 100) END AS str
+  FROM c, range(1, 129) AS t(j) WHERE 128 * k + j <= n),
+f AS (SELECT str, min(doc_id) AS first_doc FROM s WHERE str IS NOT NULL GROUP BY str HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT doc_id, pos, byte, max(CASE WHEN f.first_doc < s.doc_id THEN s.pos END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM s LEFT JOIN f USING (str)),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS starts FROM r),
+g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans,
+  coalesce(string_agg(byte, '' ORDER BY pos) FILTER (NOT gone), '') AS kept FROM e GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
+"""
+
+_OP3 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+s AS (SELECT doc_id, pos, ws[pos] AS word, CASE WHEN pos + 34 <= len(ws) THEN array_to_string(ws[pos:pos + 34], ' ') END AS win FROM p),
+f AS (SELECT *, win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 AS again FROM s),
+r AS (SELECT *, bool_or(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM f),
+g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM r GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id)
+"""
+
 _OP4 = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -118,6 +144,17 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (n_words - removed < CAST(0.3 AS DOUBLE) * n_words) AS kept FROM b
 """
 
+_OP7 = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_page FROM pages),
+s AS (SELECT *, sha1(body) AS hash FROM p)
+SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(hash, 5 * (k // 4) + 1, 5) AS INTEGER) >> (15 - 5 * (k % 4))) & 31 AS INTEGER) + 1, 1) FOR k IN range(0, 32)], '') AS payload_digest,
+  CASE WHEN page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_page THEN first_page END AS refers_to
+FROM s
+"""
+
 _OP9 = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 i AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE item_id IS NOT NULL),
@@ -144,4 +181,7 @@ r AS (WITH RECURSIVE t(doc_id, c) AS (SELECT doc_id, doc_id FROM w UNION SELECT
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, r.c AS component_id FROM w LEFT JOIN n USING (doc_id) JOIN r USING (doc_id)
 """
 
-ORACLE_SQL = {"op10_jaccard_join": _OP10, "op4_chat_format": _OP4, "op5_line_dedup": _OP5, "op6_quality_rules": _OP6, "op9_decontaminate": _OP9}
+ORACLE_SQL = {
+    "op2_suffix_dedup": _OP2, "op3_substring_dedup": _OP3, "op4_chat_format": _OP4, "op5_line_dedup": _OP5,
+    "op6_quality_rules": _OP6, "op7_warc_index": _OP7, "op9_decontaminate": _OP9, "op10_jaccard_join": _OP10,
+}
