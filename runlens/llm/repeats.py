@@ -1,10 +1,15 @@
 """Finding repeated windows of units (bytes or words) over all documents.
 
 Shared by the suffix-array and the substring deduplication.  A window's minimiser
-is the gram with the smallest hash among those it spans; it depends on the
-window's content alone, so equal windows have equal minimisers.  Consecutive
+is the gram with the smallest hash among those it spans, common grams last; it depends
+on the window's content alone, so equal windows have equal minimisers.  Consecutive
 windows with one minimiser form a run.
 
+Which grams are common is estimated once from a sample of blocks (``common_grams``).  A
+phrase found everywhere is thus a minimiser only of windows that hold common grams alone;
+other windows around it go by a rarer gram, so the phrase fills no single bucket.  The
+estimate changes where windows meet, never which windows are compared.
+
 Work is cut into blocks, bounded sets of documents by a hash of their identity:
 
 1. ``gram_filter``: every block sends each distinct minimiser hash once to a hash
@@ -37,6 +42,8 @@ BLOCK_BYTES, BLOCKS_A_BUCKET = 1 << 20, 8
 _MULT, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _POS = np.uint64((1 << 28) - 1)
 LAST_ID = (1 << 63) - 1
+#: The sample: blocks at least, one more for each ``BLOCKS_A_SAMPLE`` buckets, and places of each block.
+SAMPLE_BLOCKS, BLOCKS_A_SAMPLE, SAMPLE_EACH, LEAST_SEEN = 4, 1000, 20_000, 4
 
 
 def into_blocks(docs: DataFrame, packed: bool = False, least: int = 4) -> tuple[DataFrame, int]:
@@ -101,13 +108,44 @@ def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(have[: len(have) - rest], have[rest:]) if rest else have
 
 
-def find_runs(hashes: np.ndarray, sizes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sampled_blocks(blocks: DataFrame, n_buckets: int) -> DataFrame:
+    return blocks.where(F.col("block") < max(SAMPLE_BLOCKS, n_buckets // BLOCKS_A_SAMPLE))
+
+
+def sample_hashes(hashes: np.ndarray, block: int) -> np.ndarray:
+    """Hashes of ``SAMPLE_EACH`` places of a block, drawn with its number as the seed."""
+    if len(hashes) <= SAMPLE_EACH:
+        return hashes
+    return hashes[np.random.Generator(np.random.PCG64(block)).integers(0, len(hashes), SAMPLE_EACH)]
+
+
+def common_grams(sampled: np.ndarray, n_buckets: int, span: int) -> np.ndarray:
+    """Sorted hashes of the grams that could fill half a bucket as minimisers of windows of ``span`` grams.
+
+    Each was seen ``LEAST_SEEN`` times or more, so there are at most a ``LEAST_SEEN``-th of the sample.
+    """
+    hashes, counts = np.unique(sampled, return_counts=True)
+    return hashes[counts >= max(LEAST_SEEN, len(sampled) / (n_buckets * (span + 1)))]
+
+
+def _is_common(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Places of common grams: most others fail a look at a table of low bits."""
+    low = np.zeros(1 << 20, bool)
+    low[common & np.uint64(len(low) - 1)] = True
+    maybe = np.flatnonzero(low[hashes & np.uint64(len(low) - 1)])
+    at = np.minimum(np.searchsorted(common, hashes[maybe]), len(common) - 1)
+    return maybe[common[at] == hashes[maybe]]
+
+
+def find_runs(hashes: np.ndarray, sizes: np.ndarray, window: int, gram: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs over concatenated documents of ``sizes`` units: first and last window start, minimiser place."""
     total, none = int(sizes.sum()), np.empty(0, np.int64)
     if total < window:
         return none, none, none
     assert total < 1 << 28, "a block holds under 2**28 units"
-    keys = (hashes & ~_POS) | np.arange(len(hashes), dtype=np.uint64)
+    keys = (hashes >> np.uint64(1)) & ~_POS | np.arange(len(hashes), dtype=np.uint64)
+    if common is not None and len(common):
+        keys[_is_common(hashes, common)] |= np.uint64(1 << 63)
     place = (sliding_min(keys, window - gram + 1) & _POS).astype(np.int64)
     ends = np.cumsum(sizes)
     valid = np.ones(len(place), bool)

@@ -7,7 +7,8 @@ ranks windows exactly by doubling: sorting pairs of ranks of 1, 2, 4, 8, 16 and
 words, then 32 + 3 overlapping.  A window counted twice or more is repeated.
 
 Skew: a block sends equal strings once, with their number, so a passage held by a
-third of all documents gives its bucket one string per block.
+third of all documents gives its bucket one string per block.  A common phrase amid ever
+different words is the minimiser of no window that spans a rarer gram (``repeats.common_grams``).
 
 Edge cases: null text has no words; windows never cross documents; repeated rows
 are documents of their own, so each repeats the other; rows without a doc_id are
@@ -27,11 +28,13 @@ from .repeats import by_block, cover, flatten_ranges
 
 WINDOW, GRAM = 35, 6
 MOST = WINDOW - GRAM + 1
+#: The sample of common grams grows with the number of buckets up to this many.
+MOST_KNOWN = 1 << 16
 ENTRY = np.dtype([("hash", "<u8"), ("pos", "<u4"), ("count", "<u4"), ("periodic", "u1")])
 ENTRY_SCHEMA = "bucket int, block int, kind int, content binary, meta binary"
 
 
-def _scan(block: pa.Table) -> tuple:
+def _scan(block: pa.Table, common: np.ndarray | None = None) -> tuple:
     rows = repeats.ordered(block)
     words = [t.encode("utf-8", "surrogatepass").split() for _, t in rows]
     sizes = np.array([len(w) for w in words], np.int64)
@@ -40,24 +43,36 @@ def _scan(block: pa.Table) -> tuple:
     ids = np.fromiter((known.setdefault(w, len(known)) for w in flat), np.int64, len(flat))
     table = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known), np.uint64, len(known))
     hashes = repeats.gram_hashes(table[ids] if len(ids) else np.empty(0, np.uint64), GRAM)
-    return rows, words, flat, sizes, hashes, repeats.find_runs(hashes, sizes, WINDOW, GRAM)
+    return rows, words, flat, sizes, hashes, repeats.find_runs(hashes, sizes, WINDOW, GRAM, common)
 
 
-def _send_grams(n_buckets: int):
+def sample_common(blocks: DataFrame, n_buckets: int) -> np.ndarray:
+    """Common grams, from a sample of blocks."""
+
+    def sample(block: pa.Table) -> pa.Table:
+        *_, hashes, _ = _scan(block)
+        return pa.table({"drawn": pa.array([repeats.sample_hashes(hashes, block.column("block")[0].as_py()).tobytes()], pa.binary())})
+
+    buckets = min(n_buckets, MOST_KNOWN)
+    found = repeats.sampled_blocks(blocks, buckets).groupBy("block").applyInArrow(sample, "drawn binary").collect()
+    return repeats.common_grams(np.concatenate([np.frombuffer(r["drawn"], "<u8") for r in found] or [np.empty(0, np.uint64)]), buckets, MOST)
+
+
+def _send_grams(n_buckets: int, common: np.ndarray):
     def send(block: pa.Table) -> pa.Table:
-        *_, hashes, (_, _, place) = _scan(block)
+        *_, hashes, (_, _, place) = _scan(block, common)
         held, many = repeats.block_grams(hashes[place], place)
         return repeats.spread(held, many, n_buckets, block.column("block")[0].as_py())
 
     return send
 
 
-def _send_entries(n_filter: int, n_buckets: int):
+def _send_entries(n_filter: int, n_buckets: int, common: np.ndarray):
     def send(block: pa.Table, answers: pa.Table) -> pa.Table:
         out: dict = {"bucket": [], "block": [], "kind": [], "content": [], "meta": []}
         if block.num_rows and answers.num_rows:
             number = block.column("block")[0].as_py()
-            *_, flat, _, hashes, (first, last, place) = _scan(block)
+            *_, flat, _, hashes, (first, last, place) = _scan(block, common)
             alive = repeats.survives(hashes[place], answers, n_filter)
             first, last, place = first[alive], last[alive], place[alive]
             places = place
@@ -165,8 +180,9 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_words, n_removed and the kept words joined by one space."""
     blocks, n_blocks = repeats.into_blocks(docs)
     n_filter, n_buckets = repeats.filter_buckets(n_blocks), n_blocks
+    common = sample_common(blocks, n_buckets)
     grouped = lambda df: df.groupBy("block")
-    answers = repeats.gram_filter(grouped(blocks).applyInArrow(_send_grams(n_filter), repeats.FILTER_SCHEMA))
-    entries = grouped(blocks).cogroup(grouped(answers)).applyInArrow(_send_entries(n_filter, n_buckets), ENTRY_SCHEMA)
+    answers = repeats.gram_filter(grouped(blocks).applyInArrow(_send_grams(n_filter, common), repeats.FILTER_SCHEMA))
+    entries = grouped(blocks).cogroup(grouped(answers)).applyInArrow(_send_entries(n_filter, n_buckets, common), ENTRY_SCHEMA)
     spans = entries.groupBy("bucket").applyInArrow(_resolve, repeats.SPAN_SCHEMA)
     return grouped(blocks).cogroup(grouped(spans)).applyInArrow(_apply, "doc_id long, n_words long, n_removed long, kept_text string")

@@ -6,8 +6,8 @@ bytes.  After the filter on repeated grams:
 
 * splitters, taken from the suffixes of a bounded sample of blocks, range-partition
   the suffixes by their leading tokens (eight bytes each);
-* each bucket sorts its suffixes by multikey quicksort, one token at a time and
-  only within groups that are still tied, until equal entries lie together;
+* each bucket sorts its suffixes by multikey quicksort (three-way partitions by one
+  token at a time, all groups of a round at once) until equal entries lie together;
 * neighbours that share the gram are compared window by window, again by multikey
   quicksort, to find for every window the smallest doc_id that holds it.
 
@@ -17,7 +17,8 @@ where boundaries may fall.  A window's text travels with its own anchor, so what
 window needs from beyond its neighbours' range is in the bucket already.
 
 Skew: a block sends equal entries once, with the smallest doc_id, so a passage held
-by a third of all documents gives its bucket one entry per block.
+by a third of all documents gives its bucket one entry per block.  A common gram amid
+ever different text anchors no window that spans a rarer one (``repeats.common_grams``).
 
 Edge cases: null text is empty; matches never cross documents; rows without a
 doc_id count as one last document and lose to all others; repeated rows share an id
@@ -30,7 +31,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import repeats
 from .repeats import LAST_ID, by_block, cover, flatten_ranges
@@ -38,16 +38,15 @@ from .repeats import LAST_ID, by_block, cover, flatten_ranges
 WINDOW, GRAM, TOKEN = 50, 16, 8
 MOST = WINDOW - GRAM + 1
 WIDTH = MOST - 1 + WINDOW
-#: Anchors of so many blocks at least, and so many of each, give the splitters; one more block for
-#: each ``RANGES_A_BLOCK`` ranges, of which there are ``MOST_RANGES`` at most.  Beyond that a range is
-#: dealt to several buckets by a hash of the gram, so that buckets stay as small in larger inputs.
-SAMPLE_BLOCKS, SAMPLE_EACH, RANGES_A_BLOCK, MOST_RANGES = 4, 20_000, 1000, 1 << 16
+#: Anchors of the sampled blocks (see ``repeats``) give the splitters of ``MOST_RANGES`` ranges at most.  Beyond that
+#: a range is dealt to several buckets by a hash of the gram, so that buckets stay as small in larger inputs.
+MOST_RANGES = 1 << 16
 ENTRY = np.dtype([("length", "u1"), ("offset", "u1"), ("pos", "<u4"), ("id", "<i8")])
 ENTRY_SCHEMA = "bucket int, block int, kind int, content binary, meta binary"
 _TABLE = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _scan(block: pa.Table) -> tuple:
+def _scan(block: pa.Table, common: np.ndarray | None = None) -> tuple:
     """A block's bytes, document ids and sizes, gram hashes and runs."""
     rows = repeats.ordered(block)
     raw = [t.encode("utf-8", "surrogatepass") for _, t in rows]
@@ -55,12 +54,12 @@ def _scan(block: pa.Table) -> tuple:
     data = np.frombuffer(b"".join(raw), np.uint8)
     ids = np.array([LAST_ID if i is None else i for i, _ in rows], np.int64)
     hashes = repeats.gram_hashes(_TABLE[data], GRAM)
-    return rows, data, sizes, ids, hashes, repeats.find_runs(hashes, sizes, WINDOW, GRAM)
+    return rows, data, sizes, ids, hashes, repeats.find_runs(hashes, sizes, WINDOW, GRAM, common)
 
 
-def _send_grams(n_buckets: int):
+def _send_grams(n_buckets: int, common: np.ndarray):
     def send(block: pa.Table) -> pa.Table:
-        _, _, sizes, ids, hashes, (first, _, place) = _scan(block)
+        _, _, sizes, ids, hashes, (first, _, place) = _scan(block, common)
         held, many = repeats.block_grams(hashes[place], ids[np.searchsorted(np.cumsum(sizes), first, "right")])
         return repeats.spread(held, many, n_buckets, block.column("block")[0].as_py())
 
@@ -72,21 +71,27 @@ def _leading(data: np.ndarray, place: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(repeats.slices(data, place, np.full(len(place), GRAM), GRAM)).view(f"S{GRAM}").ravel()
 
 
-def sample_splitters(blocks: DataFrame, n_buckets: int) -> np.ndarray:
-    """``n_buckets - 1`` splitters from a sample of suffixes, some twenty for each."""
+def _sample(block: pa.Table) -> pa.Table:
+    """Anchors of a block with their hashes, and the hashes of grams at any places."""
+    _, data, _, _, hashes, (_, _, place) = _scan(block)
+    place = place[:: max(1, len(place) // repeats.SAMPLE_EACH)]
+    drawn = repeats.sample_hashes(hashes, block.column("block")[0].as_py())
+    parts = (_leading(data, place), hashes[place], drawn)
+    return pa.table({k: pa.array([v.tobytes()], pa.binary()) for k, v in zip(("grams", "hashes", "drawn"), parts)})
 
-    def sample(block: pa.Table) -> pa.Table:
-        _, data, _, _, _, (_, _, place) = _scan(block)
-        grams = _leading(data, place[:: max(1, len(place) // SAMPLE_EACH)])
-        return pa.table({"grams": pa.array([grams.tobytes()], pa.binary())})
 
-    sampled = max(SAMPLE_BLOCKS, n_buckets // RANGES_A_BLOCK)
-    found = blocks.where(F.col("block") < sampled).groupBy("block").applyInArrow(sample, "grams binary").collect()
-    grams = np.sort(np.concatenate([np.frombuffer(r["grams"], f"S{GRAM}") for r in found] or [np.empty(0, f"S{GRAM}")]))
-    return np.unique(grams[np.arange(1, n_buckets) * len(grams) // n_buckets]) if len(grams) else grams
+def sample_order(blocks: DataFrame, n_ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``n_ranges - 1`` splitters, some twenty sampled suffixes for each, and the common grams."""
+    found = repeats.sampled_blocks(blocks, n_ranges).groupBy("block").applyInArrow(_sample, "grams binary, hashes binary, drawn binary").collect()
+    grams, hashes, drawn = (
+        np.concatenate([np.frombuffer(r[k], t) for r in found] or [np.empty(0, t)]) for k, t in (("grams", f"S{GRAM}"), ("hashes", "<u8"), ("drawn", "<u8"))
+    )
+    common = repeats.common_grams(drawn, n_ranges, MOST)
+    grams = np.sort(grams[~np.isin(hashes, common)])
+    return (np.unique(grams[np.arange(1, n_ranges) * len(grams) // n_ranges]) if len(grams) else grams), common
 
 
-def _send_entries(n_filter: int, splitters: np.ndarray, parts: int):
+def _send_entries(n_filter: int, splitters: np.ndarray, parts: int, common: np.ndarray):
     n_buckets = (len(splitters) + 1) * parts
 
     def send(block: pa.Table, answers: pa.Table) -> pa.Table:
@@ -94,7 +99,7 @@ def _send_entries(n_filter: int, splitters: np.ndarray, parts: int):
         if not block.num_rows or not answers.num_rows:
             return empty
         number = block.column("block")[0].as_py()
-        _, data, sizes, ids, hashes, (first, last, place) = _scan(block)
+        _, data, sizes, ids, hashes, (first, last, place) = _scan(block, common)
         alive = repeats.survives(hashes[place], answers, n_filter)
         first, last, place = first[alive], last[alive], place[alive]
         if not len(first):
@@ -129,26 +134,36 @@ def _send_entries(n_filter: int, splitters: np.ndarray, parts: int):
 
 
 def multikey_sort(token, n: int, depth: int, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Order of ``n`` items by their tokens, and for each place the start of its group of equals.
+    """Multikey quicksort: order of ``n`` items by their tokens, and for each place the start of its group of equals.
 
-    ``token(k, items)`` gives the k-th tokens.  Each round splits the groups that
-    are still tied by one more token; items alone in their group are done.
+    ``token(levels, items)`` gives each item's token at its level.  A round parts all
+    groups at once in three by a pivot, the median of three of their tokens: the
+    smaller and the larger stay at their level, the equal go on to the next token.
+    Items alone in their group, and groups equal in all tokens, are done.
     ``labels`` are ordered groups to start from, named by the place of their start.
     """
-    order, label = np.arange(n), np.zeros(n, np.int64) if labels is None else labels.copy()
+    order, label, level = np.arange(n), np.zeros(n, np.int64) if labels is None else labels.copy(), np.zeros(n, np.int64)
     active = np.flatnonzero(np.bincount(label, minlength=n)[label] > 1) if n else order
-    for k in range(depth):
-        if not len(active):
-            break
+    while len(active):
         items, group = order[active], label[active]
-        keys = token(k, items)
-        by = np.lexsort((keys, group))
-        items, keys = items[by], keys[by]
-        order[active] = items
-        starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (keys[1:] != keys[:-1])])
+        keys = token(level[active], items)
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         counts = np.diff(np.r_[starts, len(items)])
-        label[active] = np.repeat(active[starts], counts)
-        active = active[np.repeat(counts > 1, counts)]
+        a, b, c = keys[starts], keys[starts + counts // 2], keys[starts + counts - 1]
+        pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), counts)
+        side = (keys >= pivot).astype(np.int64) + (keys > pivot)
+        sizes = np.bincount(np.repeat(np.arange(len(starts)) * 3, counts) + side, minlength=3 * len(starts))
+        begin = np.r_[0, np.cumsum(sizes)[:-1]]
+        target = np.empty(len(items), np.int64)
+        for s in range(3):
+            target[np.flatnonzero(side == s)] = flatten_ranges(begin[s::3], sizes[s::3])
+        moved = np.empty_like(items)
+        moved[target] = items
+        order[active] = moved
+        label[active] = np.repeat(active[np.minimum(begin, len(active) - 1)], sizes)
+        after = (level[active[starts]][:, None] + np.array([0, 1, 0])).ravel()
+        level[active] = np.repeat(after, sizes)
+        active = active[np.repeat((sizes > 1) & (after < depth), sizes)]
     return order, label
 
 
@@ -192,7 +207,7 @@ def _resolve(bucket: pa.Table) -> pa.Table:
         group_at = np.flatnonzero(np.r_[True, np.diff(group[owner]) != 0])
         labels = np.repeat(group_at, np.diff(np.r_[group_at, len(owner)]))
         words = np.lib.stride_tricks.sliding_window_view(data, TOKEN)
-        offsets = [*range(0, WINDOW - TOKEN, TOKEN), WINDOW - TOKEN]
+        offsets = np.array([*range(0, WINDOW - TOKEN, TOKEN), WINDOW - TOKEN])
         worder, wlabel = multikey_sort(lambda k, items: words[at[items] + offsets[k]].copy().view(">u8").ravel().astype(np.uint64), len(at), len(offsets), labels)
         wstarts = np.flatnonzero(wlabel == np.arange(len(wlabel)))
         smallest = np.minimum.reduceat(least[owner[worder]], wstarts)
@@ -237,9 +252,9 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans and the kept bytes."""
     blocks, n_blocks = repeats.into_blocks(docs)
     n_filter, n_ranges = repeats.filter_buckets(n_blocks), min(n_blocks, MOST_RANGES)
-    splitters = sample_splitters(blocks, n_ranges)
+    splitters, common = sample_order(blocks, n_ranges)
     grouped = lambda df: df.groupBy("block")
-    answers = repeats.gram_filter(grouped(blocks).applyInArrow(_send_grams(n_filter), repeats.FILTER_SCHEMA))
-    entries = grouped(blocks).cogroup(grouped(answers)).applyInArrow(_send_entries(n_filter, splitters, -(-n_blocks // n_ranges)), ENTRY_SCHEMA)
+    answers = repeats.gram_filter(grouped(blocks).applyInArrow(_send_grams(n_filter, common), repeats.FILTER_SCHEMA))
+    entries = grouped(blocks).cogroup(grouped(answers)).applyInArrow(_send_entries(n_filter, splitters, -(-n_blocks // n_ranges), common), ENTRY_SCHEMA)
     spans = entries.groupBy("bucket").applyInArrow(_resolve, repeats.SPAN_SCHEMA)
     return grouped(blocks).cogroup(grouped(spans)).applyInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

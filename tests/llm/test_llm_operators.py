@@ -101,6 +101,35 @@ def test_multikey_sort_orders_by_tokens():
     assert [ranked.index(r) for r in ranked] == label.tolist()
 
 
+def test_multikey_sort_from_labels():
+    data = np.array([[rng.randrange(4) for _ in range(3)] for _ in range(300)], np.uint64)
+    labels = np.repeat([0, 100, 101, 102], [100, 1, 1, 198])
+    order, label = suffix_dedup.multikey_sort(lambda k, items: data[items, k], len(data), 3, labels)
+    ranked = [(labels[i], *data[i].tolist()) for i in order]
+    assert ranked == sorted((a, *d) for a, d in zip(labels, data.tolist()))
+    assert [ranked.index(r) for r in ranked] == label.tolist()
+
+
+@pytest.mark.parametrize("operator", [suffix_dedup, substring_dedup])
+def test_common_grams_change_no_result(docs, monkeypatch, operator):
+    want = [tuple(r) for r in operator.dedup_substrings(docs).collect()]
+    for part in (1, 2):  # all grams are common; every other one is
+        monkeypatch.setattr(repeats, "common_grams", lambda sampled, n, span: np.unique(sampled)[::part])
+        assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in operator.dedup_substrings(docs).collect())
+
+
+def test_common_phrase_anchors_few_windows():
+    """A phrase in ever different text, found everywhere, is the minimiser of no window that spans another gram."""
+    phrase, draw = np.arange(1000, 1020), np.random.Generator(np.random.PCG64(1))
+    units = np.concatenate([np.r_[draw.integers(1, 1 << 40, 15), phrase] for _ in range(400)]).astype(np.uint64)
+    hashes = repeats.gram_hashes(repeats.mixed(units), 6)
+    common = repeats.common_grams(repeats.sample_hashes(hashes, 3), 1000, 30)
+    assert set(common.tolist()) == set(hashes[15:30].tolist())
+    plain, ours = (repeats.find_runs(hashes, np.array([len(units)]), 35, 6, c) for c in (None, common))
+    assert np.isin(hashes[plain[2]], common).sum() > 100 and not np.isin(hashes[ours[2]], common).any()
+    assert repeats.common_grams(np.empty(0, np.uint64), 4, 30).tolist() == []
+
+
 def test_substring_dedup(docs, rows, none):
     count, split = Counter(), [(i, (t or "").encode().split()) for i, t in rows]
     for _, w in split:
