@@ -1,11 +1,13 @@
 """Benchmark decontamination with DataFrame operations only.
 
 A prefix-filtered containment join.  Item words are cut into windows of ten
-consecutive words (shorter items are one window).  Words are ordered by rarity
-over all documents; full containment makes one word, the rarest, the necessary
-prefix of a window.  Only document words equal to such a word are probed; length
-and position bounds drop candidates that would leave the document, and the rest
-are verified word by word against the document.
+consecutive words (shorter items are one window).  A window is the set of its
+shingles of ``SHINGLE`` words (of all its words, if it has fewer), ordered by rarity
+over all documents.  Full containment makes one shingle, the rarest, the necessary
+prefix of a window.  One pass over the documents writes down where shingles of
+items occur, from which come both the counts and the probes; length and position
+bounds drop candidates that would leave the document, and the rest are verified word
+by word against the document.
 
 What is broadcast is measured first: windows of more than ``BROADCAST_BYTES`` with
 their items are joined by a shuffle instead.
@@ -21,9 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, row_key
+from .common import ascii_lower, materialise, row_key
 
-WINDOW = 10
+WINDOW, SHINGLE = 10, 3
 BROADCAST_BYTES = 1 << 25
 #: Everything but ASCII letters, digits and what lies beyond ASCII; A-Z are lower-cased word by word.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -37,11 +39,6 @@ def _parts(text: str = "text") -> Column:
     return F.split(F.coalesce(F.col(text), F.lit("")), SEPARATORS, -1)
 
 
-def _lead(text: str = "text") -> Column:
-    """1 where the first part is empty because the text begins with a separator."""
-    return F.coalesce(F.col(text), F.lit("")).rlike("^" + SEPARATORS).cast("int")
-
-
 def raw_words(parts: str) -> Column:
     """A column of parts without the empty ones at its ends."""
     lead = F.when(F.col(parts)[0] == "", 1).otherwise(0)
@@ -62,28 +59,55 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return cut.groupBy("words").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
 
 
-def document_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, pos, word) of every word of every document."""
+def _shingle(words: list) -> Column:
+    """Hash of consecutive words; null where one is missing or not a word."""
+    inside = F.lit(True)
+    for w in words:
+        inside = inside & w.isNotNull() & (w != "")
+    return F.when(inside, F.xxhash64(F.lit(len(words)), *words))
+
+
+def window_shingles(windows: DataFrame) -> DataFrame:
+    """(words, items, at, shingle) of every shingle of every window."""
+    size = F.least(F.size("words"), F.lit(SHINGLE))
+    placed = windows.select("words", "items", size.alias("k"), F.explode(F.sequence(F.lit(0), F.size("words") - size)).alias("at"))
+    each = [F.when(F.col("k") == k, _shingle([F.get("words", F.col("at") + j) for j in range(k)])) for k in range(1, SHINGLE + 1)]
+    return placed.select("words", "items", "at", F.coalesce(*each).alias("shingle"))
+
+
+def document_shingles(docs: DataFrame, sizes: list) -> DataFrame:
+    """(doc_id, text_key, pos, shingle) of every shingle of ``sizes`` words of every document."""
     # keys come first: computed beside the generator, they would make it copy the text to every word
-    keyed = docs.select(*row_key(), _lead().alias("lead"), "text")
-    exploded = keyed.select("doc_id", "text_key", "lead", F.posexplode(_parts()).alias("at", "raw"))
-    return exploded.where("raw <> ''").select("doc_id", "text_key", (F.col("at") - F.col("lead")).alias("pos"), ascii_lower(F.col("raw")).alias("word"))
+    plain = F.octet_length("text") == F.length("text")
+    keyed = docs.select(*row_key(), F.coalesce(plain, F.lit(True)).alias("plain"), "text")
+    keyed = keyed.select("doc_id", "text_key", "plain", F.when(F.col("plain"), F.lower("text")).otherwise(F.col("text")).alias("text"))
+    parts = keyed.select("doc_id", "text_key", "plain", _parts().alias("w0"))
+    names = [f"w{k}" for k in range(max(sizes))]
+    shifted = parts.select("doc_id", "text_key", "plain", F.when(F.col("w0")[0] == "", 1).otherwise(0).alias("lead"), "w0", *[F.slice("w0", k + 1, F.size("w0")).alias(n) for k, n in enumerate(names) if k])
+    exploded = shifted.select("doc_id", "text_key", "plain", "lead", F.posexplode(F.arrays_zip(*names)).alias("at", "z"))
+    words = [F.when(F.col("plain"), F.col(f"z.{n}")).otherwise(ascii_lower(F.col(f"z.{n}"))).alias(n) for n in names]
+    rows = exploded.where("z.w0 <> ''").select("doc_id", "text_key", (F.col("at") - F.col("lead")).alias("pos"), *words)
+    hashes = [_shingle([F.col(n) for n in names[:k]]) for k in sizes]
+    shingle = F.explode(F.array(*hashes)) if len(sizes) > 1 else hashes[0]
+    return rows.select("doc_id", "text_key", "pos", shingle.alias("shingle")).where("shingle is not null")
 
 
 def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text_key, n_words, n_hit, item_ids) for every row; item_ids are sorted strings."""
     windows = item_windows(items, window)
-    vocabulary = windows.select(F.explode("words").alias("word")).distinct()
     length = lambda c: F.octet_length(F.array_join(c, " "))
-    # words, windows and what is made of them below hold no more than a few times these bytes
-    held = windows.agg(F.sum(length("words") + length("items") + 64)).first()[0] or 0
-    counts = document_words(docs).join(_sized(vocabulary, held), "word").groupBy("word").agg(F.count("*").alias("n"))
-    # the rarest word of each window, its place there, and the window's length
-    placed = windows.select("words", "items", F.posexplode("words").alias("at", "word")).join(_sized(counts, held), "word")
-    # a window with a word that no document has can't occur; min_by's key breaks ties by word, then place
-    prefixes = placed.groupBy("words", "items").agg(F.min_by(F.struct("word", "at"), F.struct("n", "word", "at")).alias("p"), F.count("*").alias("found"))
-    prefixes = prefixes.where(F.col("found") == F.size("words")).select(F.col("p.word").alias("word"), F.col("p.at").alias("at"), "words", "items")
-    probes = document_words(docs).join(_sized(prefixes, held), "word").where(F.col("pos") >= F.col("at"))
+    # shingles, windows and what is made of them below hold no more than a few times these bytes
+    facts = windows.agg(F.sum(length("words") + length("items") + 64).alias("held"), F.collect_set(F.least(F.size("words"), F.lit(SHINGLE))).alias("sizes")).first()
+    held, sizes = facts["held"] or 0, sorted(facts["sizes"]) or [SHINGLE]
+    placed = window_shingles(windows)
+    shared = materialise(document_shingles(docs, sizes).join(_sized(placed.select("shingle").distinct(), held), "shingle"), "shared-shingles")
+    counts = shared.groupBy("shingle").agg(F.count("*").alias("n"))
+    # the rarest shingle of each window and its place there; a window with one that no document has can't
+    # occur; min_by's key breaks ties by shingle, then place
+    placed = placed.join(_sized(counts, held), "shingle")
+    prefixes = placed.groupBy("words", "items").agg(F.min_by(F.struct("shingle", "at"), F.struct("n", "shingle", "at")).alias("p"), F.count("*").alias("found"))
+    prefixes = prefixes.where(F.col("found") == F.size("words") - F.least(F.size("words"), F.lit(SHINGLE)) + 1).select(F.col("p.shingle").alias("shingle"), F.col("p.at").alias("at"), "words", "items")
+    probes = shared.join(_sized(prefixes, held), "shingle").where(F.col("pos") >= F.col("at"))
     candidate = F.struct((F.col("pos") - F.col("at")).alias("start"), "words", "items")
     # a set, as rows that repeat id and text have the same candidates
     candidates = probes.groupBy(F.col("doc_id").alias("at_id"), F.col("text_key").alias("at_key")).agg(F.collect_set(candidate).alias("cand"))

@@ -161,16 +161,20 @@ def line_key(line):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in key)
 
 
+def last(i):
+    return (1 << 63) - 1 if i is None else i
+
+
 def test_line_dedup(docs, rows, none):
     first = {}
     for i, t in rows:
         for line in (t or "").split("\n"):
-            if i is not None and len(line_key(line)) >= 10:
-                first[line_key(line)] = min(first.get(line_key(line), i), i)
+            if len(line_key(line)) >= 10:
+                first[line_key(line)] = min(first.get(line_key(line), last(i)), last(i))
     want = []
     for i, t in rows:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if i is None or len(line_key(x)) < 10 or first[line_key(x)] == i]
+        kept = [x for x in lines if len(line_key(x)) < 10 or first[line_key(x)] == last(i)]
         want.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
     found = line_dedup.dedup_lines(docs)
     assert by_row(found, "doc_id", "n_lines", "n_dropped", "kept_text") == sorted(want, key=repr)
@@ -202,12 +206,12 @@ def test_quality_rules(docs, rows, none):
     source = lambda i: "" if i == 4 else f"s{(i or 0) % 2}"
     for i, t in rows:
         for line in (t or "").split("\n"):
-            if i is not None and norm(line):
-                holders[source(i), norm(line)].add(i)
+            if norm(line):
+                holders[source(i), norm(line)].add(last(i))
     want = []
     for i, t in rows:
         m = measures(t)
-        gone = sum(len(norm(x).split()) for x in (t or "").split("\n") if norm(x) and i is not None and len(holders[source(i), norm(x)]) > limit and min(holders[source(i), norm(x)]) < i)
+        gone = sum(len(norm(x).split()) for x in (t or "").split("\n") if norm(x) and len(holders[source(i), norm(x)]) > limit and min(holders[source(i), norm(x)]) < last(i))
         failed = m[0] < 50 or 100 * m[4] > 50 * m[0]
         want.append((i, *m, failed, not failed and not m[0] - gone < 0.3 * m[0]))
     found = quality_rules.apply_rules(docs, max_line_docs=limit)
@@ -221,12 +225,12 @@ def test_quality_rules_keep_one_of_many_copies(spark):
     assert {r["doc_id"] for r in quality_rules.apply_rules(docs).where("kept").collect()} == {0, 99}
 
 
-BENCH = [(1, "The of, and IS x1 longerword"), (2, "one"), (3, None), (4, "..."), (None, "two words"), (10, words(25)), (1, "The of, and IS x1 longerword")]
+BENCH = [(1, "The of, and IS x1 longerword"), (2, "one"), (3, None), (4, "..."), (None, "two words"), (10, words(25)), (1, "The of, and IS x1 longerword"), (11, "Étude ONE"), (12, "a b a b a b a")]
 
 
 def test_decontaminate(spark, rows, none):
     low = lambda t: [w for w in "".join(c.lower() if "A" <= c <= "Z" else c if c.isdigit() and c < "\x80" or "a" <= c <= "z" or c >= "\x80" else " " for c in t or "").split(" ") if w]
-    planted = [(None, "a row without an id: " + BENCH[5][1]), (200, "before. " + BENCH[5][1] + " after " * 3), (201, " ".join(BENCH[5][1].split(" ")[4:16])), (202, "The-of-and!is X1 longerWord"), (203, ", One;")]
+    planted = [(None, "a row without an id: " + BENCH[5][1]), (200, "before. " + BENCH[5][1] + " after " * 3), (201, " ".join(BENCH[5][1].split(" ")[4:16])), (202, "The-of-and!is X1 longerWord"), (203, ", One;"), (204, "étude one Étude One. étude"), (205, "ÉTude one a B a b A b a b a?"), (206, "a b a"), (206, "a b a b")]
     every = [*rows, *planted]
     docs = spark.createDataFrame(every, "doc_id long, text string")
     items = spark.createDataFrame(BENCH, "item_id long, text string")
