@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import materialise, shared_dir
 
-__all__ = ["ascii_lower", "input_bytes", "materialise", "row_key", "shared_dir", "table"]
+__all__ = ["ascii_lower", "input_bytes", "materialise", "rank", "row_key", "shared_dir", "table"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -20,6 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 UNKNOWN_BYTES = 1 << 45
+#: Rows without a doc_id count as one last document where documents are ranked by id.
+LAST_ID = (1 << 63) - 1
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -34,6 +36,11 @@ def input_bytes(df: DataFrame) -> int:
     return (df.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
 
 
+def rank(doc_id: str = "doc_id") -> Column:
+    """The id by which a row's document is ranked; never null."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("rank")
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only.  Pure-ASCII values take the quick built-in."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, ASCII_UPPER, ASCII_LOWER))

@@ -10,8 +10,8 @@ Skew: the ``HOT_KEYS`` most frequent hashes are aggregated map-side and broadcas
 (that many rows at most, whatever the input); every other hash has at most
 ``1 / HOT_KEYS`` of all lines, so no range partition holds an unbounded group.
 
-Edge cases: null text is one empty line; rows without a doc_id keep all lines and
-are not compared; repeated rows get equal results; a document whose lines are all
+Edge cases: null text is one empty line; rows without a doc_id count
+as one last document and lose to all others; repeated rows get equal results; a document whose lines are all
 dropped gets the empty text; an empty table gives an empty result.
 """
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_SPACE, ASCII_UPPER, input_bytes, materialise, row_key
+from .common import ASCII_LOWER, ASCII_SPACE, ASCII_UPPER, input_bytes, materialise, rank, row_key
 
 HOT_KEYS, RANGE_BYTES = 1000, 1 << 24
 MIN_CHARS = 10
@@ -46,27 +46,27 @@ def line_key(line: Column) -> Column:
 
 
 def line_occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(hash, doc_id, text_key, pos) of every line whose key has ``min_chars`` code points."""
-    lines = docs.where(F.col("doc_id").isNotNull()).select(*row_key(), "text").select("doc_id", "text_key", F.posexplode(_lines()).alias("pos", "line"))
-    return lines.select("doc_id", "text_key", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars).select(F.unhex(F.md5("key")).alias("hash"), "doc_id", "text_key", "pos")
+    """(hash, rank, text_key, pos) of every line whose key has ``min_chars`` code points."""
+    lines = docs.select(rank(), row_key()[1], "text").select("rank", "text_key", F.posexplode(_lines()).alias("pos", "line"))
+    return lines.select("rank", "text_key", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars).select(F.unhex(F.md5("key")).alias("hash"), "rank", "text_key", "pos")
 
 
 def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, text_key, masks map<word, bits>, n_dropped) for documents that lose lines."""
+    """(rank, text_key, masks map<word, bits>, n_dropped) for documents that lose lines."""
     occ = materialise(line_occurrences(docs, min_chars), "line-dedup")
     n_ranges = max(4096, input_bytes(docs) // RANGE_BYTES)
     occ = occ.withColumn("range", F.expr(f"cast(conv(substring(hex(hash), 1, 8), 16, 10) as long) * {n_ranges}L div 4294967296L").cast("int"))
-    hot = occ.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("hot_doc"))
+    hot = occ.groupBy("hash").agg(F.count("*").alias("n"), F.min("rank").alias("hot_doc"))
     hot = hot.orderBy(F.desc("n"), "hash").limit(HOT_KEYS).select("hash", "hot_doc")
     marked = occ.join(F.broadcast(hot), "hash", "left")
-    dropped_hot = marked.where(F.col("hot_doc") < F.col("doc_id")).select("doc_id", "text_key", "pos")
+    dropped_hot = marked.where(F.col("hot_doc") < F.col("rank")).select("rank", "text_key", "pos")
     cold = marked.where(F.col("hot_doc").isNull()).drop("hot_doc")
-    ordered = cold.repartition("range").sortWithinPartitions("range", "hash", "doc_id", "pos")
-    first = F.first("doc_id").over(Window.partitionBy("range", "hash").orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, 0))
-    dropped_cold = ordered.withColumn("first_doc", first).where("first_doc < doc_id").select("doc_id", "text_key", "pos")
-    bits = dropped_hot.unionByName(dropped_cold).groupBy("doc_id", "text_key", F.expr("pos div 64").cast("int").alias("word"))
+    ordered = cold.repartition("range").sortWithinPartitions("range", "hash", "rank", "pos")
+    first = F.first("rank").over(Window.partitionBy("range", "hash").orderBy("rank", "pos").rowsBetween(Window.unboundedPreceding, 0))
+    dropped_cold = ordered.withColumn("first_doc", first).where("first_doc < rank").select("rank", "text_key", "pos")
+    bits = dropped_hot.unionByName(dropped_cold).groupBy("rank", "text_key", F.expr("pos div 64").cast("int").alias("word"))
     words = bits.agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("mask"))
-    return words.groupBy("doc_id", "text_key").agg(
+    return words.groupBy("rank", "text_key").agg(
         F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("masks"), F.sum(F.bit_count("mask")).cast("long").alias("n_dropped")
     )
 
@@ -78,8 +78,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     loses all its lines but those of the smallest doc_id that holds it.
     """
     extra = [c for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_dropped", "kept_text")]
-    packed = docs.select("doc_id", "text", *([F.struct(*[F.col(f"`{c}`") for c in extra]).alias("_rest")] if extra else []), row_key()[1])
-    joined = packed.join(drop_bitmaps(docs, min_chars), ["doc_id", "text_key"], "left")
+    packed = docs.select("doc_id", "text", *([F.struct(*[F.col(f"`{c}`") for c in extra]).alias("_rest")] if extra else []), row_key()[1], rank())
+    joined = packed.join(drop_bitmaps(docs, min_chars), ["rank", "text_key"], "left")
     joined = joined.withColumn("_lines", _lines())
     kept = F.expr(
         """array_join(flatten(transform(

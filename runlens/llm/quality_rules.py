@@ -12,7 +12,7 @@ written once to the shared folder; counts are distributed aggregates with
 map-side combination, and a hot (host, line) is joined back under skew-aware joins.
 
 Edge cases: null texts have no words; a null source is a host of its own; rows
-without a doc_id are measured but join no line counts; repeated rows count as one
+without a doc_id count as one last document of their host; repeated rows count as one
 document and get equal results; an empty table gives an empty result.
 """
 
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_UPPER, ASCII_LOWER, materialise
+from .common import ASCII_UPPER, ASCII_LOWER, materialise, rank
 
 MIN_WORDS = 50
 MAX_LINE_DOCS = 20
@@ -98,25 +98,25 @@ def measure_documents(docs: DataFrame) -> DataFrame:
 
 def apply_rules(docs: DataFrame, max_line_docs: int = MAX_LINE_DOCS, min_left: float = MIN_LEFT, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per row of ``docs``: the measures, n_removed_words, removed_lines (hashes, null for none), base_failed, kept."""
-    measured = materialise(measure_documents(docs), "quality-rules")
+    measured = materialise(measure_documents(docs), "quality-rules").withColumn("rank", rank())
     base, repeated = measured.drop("line_hashes", "line_words"), _repeats_ids(measured)
-    lines = measured.where(F.col("doc_id").isNotNull()).select("doc_id", "text_key", "host", F.explode(F.arrays_zip("line_hashes", "line_words")).alias("l"))
-    lines = lines.select("doc_id", "text_key", "host", F.col("l.line_hashes").alias("hash"), F.col("l.line_words").alias("words"))
-    per_doc = lines.groupBy("doc_id", "text_key", "host", "hash").agg(F.max("words").alias("words"), F.count("*").alias("times"))
+    lines = measured.select("rank", "text_key", "host", F.explode(F.arrays_zip("line_hashes", "line_words")).alias("l"))
+    lines = lines.select("rank", "text_key", "host", F.col("l.line_hashes").alias("hash"), F.col("l.line_words").alias("words"))
+    per_doc = lines.groupBy("rank", "text_key", "host", "hash").agg(F.max("words").alias("words"), F.count("*").alias("times"))
     # repeated rows double "times"; the share below is taken of the same doubled total
-    docs_of = per_doc.select("host", "hash", "doc_id").distinct() if repeated else per_doc
-    frequent = docs_of.groupBy("host", "hash").agg(F.count("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc")).where(F.col("n_docs") > max_line_docs).drop("n_docs")
-    removed = per_doc.join(frequent, ["host", "hash"]).where("doc_id > first_doc")
-    removed = removed.groupBy("doc_id", "text_key", "host").agg(F.sum(F.col("words") * F.col("times")).alias("removed"), F.collect_list("hash").alias("removed_lines"))
+    docs_of = per_doc.select("host", "hash", "rank").distinct() if repeated else per_doc
+    frequent = docs_of.groupBy("host", "hash").agg(F.count("*").alias("n_docs"), F.min("rank").alias("first_doc")).where(F.col("n_docs") > max_line_docs).drop("n_docs")
+    removed = per_doc.join(frequent, ["host", "hash"]).where("rank > first_doc")
+    removed = removed.groupBy("rank", "text_key", "host").agg(F.sum(F.col("words") * F.col("times")).alias("removed"), F.collect_list("hash").alias("removed_lines"))
     if repeated:
-        copies = base.groupBy("doc_id", "text_key", "host").agg(F.count("*").alias("copies"))
-        removed = removed.join(copies, ["doc_id", "text_key", "host"]).withColumn("removed", F.col("removed") / F.col("copies")).drop("copies")
-    out = base.join(removed, ["doc_id", "text_key", "host"], "left").withColumn("n_removed_words", F.coalesce("removed", F.lit(0)).cast("long")).drop("removed")
+        copies = base.groupBy("rank", "text_key", "host").agg(F.count("*").alias("copies"))
+        removed = removed.join(copies, ["rank", "text_key", "host"]).withColumn("removed", F.col("removed") / F.col("copies")).drop("copies")
+    out = base.join(removed, ["rank", "text_key", "host"], "left").withColumn("n_removed_words", F.coalesce("removed", F.lit(0)).cast("long")).drop("removed", "rank")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     depleted = (F.col("n_words") - F.col("n_removed_words")) < F.lit(min_left) * F.col("n_words")
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
 def _repeats_ids(measured: DataFrame) -> bool:
-    row = measured.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
+    row = measured.agg(F.count("*").alias("n"), F.count_distinct("rank").alias("d")).first()
     return row["n"] != row["d"]

@@ -35,13 +35,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes
+from .common import LAST_ID, input_bytes
 
 #: Bytes of input files in a block and the most blocks that share one filter bucket.
 BLOCK_BYTES, BLOCKS_A_BUCKET = 1 << 20, 8
 _MULT, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _POS = np.uint64((1 << 28) - 1)
-LAST_ID = (1 << 63) - 1
 #: The sample: blocks at least, one more for each ``BLOCKS_A_SAMPLE`` buckets, and places of each block.
 SAMPLE_BLOCKS, BLOCKS_A_SAMPLE, SAMPLE_EACH, LEAST_SEEN = 4, 1000, 20_000, 4
 
