@@ -50,7 +50,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without the lines above the limit of their host.
 
     A null or empty text has no words and goes; a null source is a host of its own; rows
-    without a doc_id are judged by the base rules alone; of a frequent line the smallest
+    without a doc_id count as one last document; of a frequent line the smallest
     doc_id keeps its copy; repeated rows count once and stay or go together.
     """
     verdicts = quality_rules.apply_rules(docs.select("doc_id", "text", "source"))
@@ -74,8 +74,8 @@ def _cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that an earlier one (by doc_id) has.
 
-    Rows without a doc_id keep their lines; so do all rows of the smallest doc_id that
-    holds a line; a null text stays null; a text that loses all its lines becomes empty.
+    Rows without a doc_id count as one last document; all rows of the smallest doc_id that
+    holds a line keep it; a null text stays null; a text that loses all its lines becomes empty.
     """
     found = line_dedup.dedup_lines(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")))
     return _with_text(docs, found, F.col("kept_text"), F.col("n_dropped") > 0)
