@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, line_dedup, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, warc_index
+from . import chat_format, decontaminate, filter_audit, jaccard_join, language_id, line_dedup, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, vector_codes, warc_index
 from .common import table
 
 
@@ -62,7 +62,27 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_suffix_dedup, op3_substring_dedup, op4_chat_format, op5_line_dedup, op6_quality_rules, op7_warc_index, op8_packing, op9_decontaminate, op10_jaccard_join)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.identify(docs, language_id.learn(docs))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.codebook_digest(books)).alias("codebooks_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier, op2_suffix_dedup, op3_substring_dedup, op4_chat_format, op5_line_dedup, op6_quality_rules, op7_warc_index, op8_packing, op9_decontaminate, op10_jaccard_join,
+        op11_filter_audit, op12_language_id, op13_vector_codes,
+    )
+}
 
 _SPACE = "[ \\t\\n\\x0B\\f\\r]"
 
@@ -181,7 +201,54 @@ r AS (WITH RECURSIVE t(doc_id, c) AS (SELECT doc_id, doc_id FROM w UNION SELECT
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, r.c AS component_id FROM w LEFT JOIN n USING (doc_id) JOIN r USING (doc_id)
 """
 
+_OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first_doc FROM d),
+f AS (SELECT doc_id, part, CAST(len(ws) < 100 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 80 * len(ws) AS INT) + 4 * CAST(100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) AS INT)
+  + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(first_doc < doc_id AS INT) AS mask FROM w),
+g AS (SELECT part, mask, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic FROM f LEFT JOIN labels USING (doc_id) GROUP BY part, mask),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || e.x || h.x AS filter_order FROM l a, l b, l c, l e, l h
+  WHERE a.x NOT IN (b.x, c.x, e.x, h.x) AND b.x NOT IN (c.x, e.x, h.x) AND c.x NOT IN (e.x, h.x) AND e.x <> h.x),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS letter FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+b AS (SELECT *, CAST(1 << (instr('ABCDE', letter) - 1) AS INT) AS bit FROM s),
+m AS (SELECT *, CAST(sum(bit) OVER (PARTITION BY filter_order ORDER BY step) - bit AS INT) AS before FROM b),
+r AS (SELECT part, filter_order, step, letter,
+  sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN mask & before > 0 AND mask & bit > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM g, m GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r
+"""
+
+
+def _op13(rounds: int = 4) -> str:
+    """All rounds written out: assignments a0 to a4 by codebooks c0 to c4."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(
+            f"a{k} AS (SELECT vec_id, part, min(256 * CAST(list_sum([(y[1] - y[2]) * (y[1] - y[2]) FOR y IN list_zip(z, q)]) AS BIGINT) + entry) AS best FROM p JOIN c{k} USING (part) GROUP BY vec_id, part)"
+        )
+        if k < rounds:
+            steps += [
+                f"u{k} AS (SELECT part, best % 256 AS entry, j, floor(CAST(sum(x) AS DOUBLE) / count(*)) AS m FROM (SELECT p.part, a.best, unnest(z) AS x, generate_subscripts(z, 1) AS j FROM p JOIN a{k} a ON a.vec_id = p.vec_id AND a.part = p.part) GROUP BY part, best % 256, j)",
+                f"c{k + 1} AS (SELECT c.part, c.entry, coalesce(g.q, c.q) AS q FROM c{k} c LEFT JOIN (SELECT part, entry, list(CAST(m AS BIGINT) ORDER BY j) AS q FROM u{k} GROUP BY part, entry) g ON g.part = c.part AND g.entry = c.entry)",
+            ]
+    return f"""
+WITH v AS (SELECT vec_id, label, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS z FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (SELECT vec_id, part, z[part * (len(z) // 4) + 1:(part + 1) * (len(z) // 4)] AS z FROM v, (SELECT unnest([0, 1, 2, 3]) AS part)),
+c0 AS (SELECT part, entry, q FROM (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, z AS q FROM p) WHERE entry < 256),
+{", ".join(steps)},
+h AS (SELECT sha256(string_agg(array_to_string(q, ','), ',' ORDER BY part, entry)) AS digest FROM c{rounds}),
+e AS (SELECT vec_id, string_agg(printf('%02x', best % 256), '' ORDER BY part) AS code, CAST(sum(best // 256) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256 FROM e JOIN v USING (vec_id), h
+"""
+
+
 ORACLE_SQL = {
     "op2_suffix_dedup": _OP2, "op3_substring_dedup": _OP3, "op4_chat_format": _OP4, "op5_line_dedup": _OP5,
     "op6_quality_rules": _OP6, "op7_warc_index": _OP7, "op9_decontaminate": _OP9, "op10_jaccard_join": _OP10,
+    "op11_filter_audit": _OP11, "op13_vector_codes": _op13(),
 }

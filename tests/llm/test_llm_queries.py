@@ -30,6 +30,12 @@ def test_query_returns_a_row_for_each_input(spark, sf_dir, name):
     assert set(found) == set(ids) and (name.startswith("op8_") or found == ids)
 
 
+def test_languages_of_held_out_rows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    found = queries.QUERIES["op12_language_id"](spark, sf_dir).join(docs, "doc_id").where("held_out AND lang_pred <> 'und'")
+    assert found.where("lang = lang_pred").count() >= 0.95 * found.count() > 0
+
+
 def test_pipeline_stages(spark, sf_dir):
     """Each stage on its predecessor's rows, against plain versions of its decision."""
     import corpus_pipeline as pipeline
