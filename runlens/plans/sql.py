@@ -6,31 +6,26 @@ from pyspark.sql import DataFrame
 
 from ..functions import compat
 from ..functions.inference import infer_types
-
+from ..scratch import materialise
+from .dialect import respell
+from .readonly import check_read_only
 
 def register_views(logs: DataFrame, loops: DataFrame) -> None:
     logs.createOrReplaceTempView("logs")
     loops.createOrReplaceTempView("loops")
 
 
-def check_read_only(df_or_sql: str, spark) -> None:
-    """Refuses statements that are commands (DDL, DML, SET, ...), by Spark's own parser."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(df_or_sql)
-    classes = spark._jvm.java.lang.Class
-    kinds = [classes.forName(f"org.apache.spark.sql.catalyst.plans.logical.{k}") for k in ("Command", "ParsedStatement")]
-    if any(k.isInstance(plan) for k in kinds):
-        raise ValueError("only queries are accepted; this statement is a command")
-
-
-def query(logs: DataFrame, loops: DataFrame, sql: str, typed: bool = True) -> DataFrame:
+def query(logs: DataFrame, loops: DataFrame, sql: str, typed: bool = True, lenient: bool = True) -> DataFrame:
     """Result of a query over the views ``logs`` and ``loops``; no rows give an empty frame.
 
-    The statement is Spark SQL and may use the lenient functions of ``compat.SQL_FUNCTIONS``.
-    With ``typed`` one more aggregate decides the type of every text column.
+    The statement is in the dialect that ``dialect`` respells, or, if not ``lenient``, Spark
+    SQL as it is; both may use ``compat.SQL_FUNCTIONS``.  With ``typed`` the result is
+    written once, and one more aggregate over it decides the type of every text column.
     """
     spark = logs.sparkSession
     register_views(logs, loops)
     compat.register(spark)
-    check_read_only(sql, spark)
-    out = spark.sql(sql)
-    return infer_types(out) if typed else out
+    statement = respell(spark, sql) if lenient else sql
+    check_read_only(statement, spark)
+    out = spark.sql(statement)
+    return infer_types(materialise(out, "query")) if typed else out

@@ -382,9 +382,9 @@ loops AS (SELECT DISTINCT user_id * 2 + 1 AS ctx_id, CAST(NULL AS BIGINT) AS p_c
 """
 
 
-def _sql(statement: str):
+def _sql(statement: str, adapter: Callable = adapters.events, lenient: bool = False):
     def run(spark, sf_dir):
-        return sql.query(*adapters.events(spark, sf_dir), statement, typed=False)
+        return sql.query(*adapter(spark, sf_dir), statement, typed=False, lenient=lenient)
 
     return run
 
@@ -433,9 +433,9 @@ def infer_types_query(spark, sf_dir):
 
 
 _LENIENT = """
-SELECT filename, coalesce(sum(cast_real(value)), 0.0D) AS total, count_if(cast_real(value) > 50) AS large, sum(int_div(cast_integer(value), 7)) AS sevenths, sum(cast_integer(concat(cast_integer(value), 'x'))) AS whole,
-  max(max2(cast_real(value), 60)) AS at_least, count_if(glob('*.?5', value)) AS fives, max(sql_quote(filename)) AS quoted, listagg(DISTINCT substr(value, 1, 1), ',') WITHIN GROUP (ORDER BY substr(value, 1, 1)) AS firsts
-FROM logs WHERE value_name = 'value' AND glob('[a-p]*', filename) GROUP BY filename"""
+SELECT filename, total(value) AS total, count(*) FILTER (WHERE CAST(value AS REAL) > 50) AS large, sum(CAST(value AS INTEGER) / 7) AS sevenths, sum(CAST(CAST(value AS INTEGER) || 'x' AS INTEGER)) AS whole,
+  max(max(CAST(value AS REAL), 60)) AS at_least, count(*) FILTER (WHERE value GLOB '*.?5') AS fives, quote(filename) AS quoted, group_concat(DISTINCT substr(value, 1, 1) ORDER BY substr(value, 1, 1)) AS firsts
+FROM logs WHERE value_name = 'value' AND filename GLOB '[a-p]*' GROUP BY filename"""
 
 
 @_query(
@@ -446,7 +446,7 @@ WITH {_EVENTS} SELECT filename, sum(CAST("value" AS DOUBLE)) AS total, count(*)
 FROM logs WHERE value_name = 'value' AND filename GLOB '[a-p]*' GROUP BY filename"""
 )
 def sql_lenient_text(spark, sf_dir):
-    return _sql(_LENIENT)(spark, sf_dir)
+    return _sql(_LENIENT, lenient=True)(spark, sf_dir)
 
 
 @_query(
@@ -471,6 +471,85 @@ def sql_lenient_json(spark, sf_dir):
     )(spark, sf_dir)
 
 
+# Statements as users of embedded databases write them
+
+
+def _lenient(oracle: str, statement: str, name: str, adapter: Callable = adapters.events, views: str = _EVENTS) -> None:
+    """Registers a statement that ``plans.dialect`` respells."""
+    run = _sql(statement, adapter, lenient=True)
+    run.__name__ = name
+    _query(f"WITH {views} {oracle}")(run)
+
+
+_ORDERS = f"logs AS (SELECT 'tpch' AS projid, o_orderdate AS tstamp, o_orderpriority AS filename, o_orderkey * 8 AS ctx_id, 'totalprice' AS value_name, {_money('o_totalprice')} AS \"value\" FROM orders)"
+
+_lenient(
+    """SELECT filename, "value", ctx_id FROM logs WHERE value_name = 'seen' AND "value" > '40' AND NOT ("value" BETWEEN '45' AND '47') AND "value" NOT IN ('50', '51') AND ctx_id > 100 AND filename ILIKE 'C%'""",
+    "SELECT filename, value, ctx_id FROM logs WHERE value_name = 'seen' AND value > 40 AND value NOT BETWEEN 45 AND 47 AND value NOT IN (50, 51) AND ctx_id > '100' AND filename LIKE 'C%'",
+    "sql_written_comparisons",
+)
+_INT = "CAST(trunc(CAST(\"value\" AS DOUBLE)) AS BIGINT)"
+_lenient(
+    f"""SELECT filename, "value", {_INT} // 7 AS sevenths, CAST("value" AS DOUBLE) / 4 AS quarter, CAST(length(filename) // 2 // 2 AS BIGINT) AS halves, CAST(NULL AS BIGINT) AS nothing, greatest({_INT}, 100) AS larger,
+  least("value", '3') AS smaller, {_INT} AS digits, 3074457345618258602 AS third, "value" IS NOT DISTINCT FROM '9.99' AS same FROM logs WHERE value_name = 'value'""",
+    """SELECT filename, value, CAST(value AS INTEGER) / 7 AS sevenths, CAST(value AS REAL) / 4 AS quarter, CAST(length(filename) AS INTEGER) / 2 / 2 AS halves, 1 / 0 AS nothing, max(CAST(value AS INTEGER), 100) AS larger,
+  min(value, '3') AS smaller, CAST(value || 'x' AS INTEGER) AS digits, 9223372036854775807 / 3 AS third, value IS '9.99' AS same FROM logs WHERE value_name = 'value'""",
+    "sql_written_numbers",
+)
+_lenient(
+    """SELECT filename, coalesce(sum(TRY_CAST("value" AS DOUBLE)), 0) AS everything, CAST(0 AS DOUBLE) AS nothing FROM logs WHERE value_name <> 'seen' GROUP BY filename""",
+    "SELECT filename, total(value) AS everything, total(value) FILTER (WHERE value_name = 'none') AS nothing FROM logs WHERE value_name <> 'seen' GROUP BY filename",
+    "sql_written_total",
+)
+_lenient(
+    """SELECT filename, tstamp, string_agg("value", '; ' ORDER BY "value") AS listed, string_agg(DISTINCT substr("value", 1, 1), ',' ORDER BY substr("value", 1, 1)) AS firsts FROM logs WHERE value_name = 'value' GROUP BY filename, tstamp""",
+    "SELECT filename, tstamp, group_concat(value, '; ' ORDER BY value) AS listed, group_concat(DISTINCT substr(value, 1, 1) ORDER BY substr(value, 1, 1)) AS firsts FROM logs WHERE value_name = 'value' GROUP BY filename, tstamp",
+    "sql_written_group_concat",
+)
+_lenient(
+    """SELECT filename, arg_max(tstamp, no) AS tstamp, arg_max("value", no) AS "value", max(no) AS newest FROM (SELECT filename, tstamp, "value", CAST("value" AS BIGINT) AS no FROM logs WHERE value_name = 'seen') GROUP BY filename""",
+    "SELECT filename, tstamp, value, max(no) AS newest FROM (SELECT filename, tstamp, value, CAST(value AS INTEGER) AS no FROM logs WHERE value_name = 'seen') AS s GROUP BY filename",
+    "sql_written_bare_columns",
+)
+_MONTH = "CAST(date_trunc('month', {}) AS TIMESTAMP) + to_months({}) + to_days(CAST(day({}) AS INTEGER) - 1)"
+_lenient(
+    f"""SELECT tstamp, count(*) AS n, strftime({_MONTH.format('tstamp', 1, 'tstamp')}, '%Y-%m-%d') AS next_month, strftime({_MONTH.format('tstamp', -13, 'tstamp')}, '%Y-%m-%d') AS before,
+  strftime(CAST(date_trunc('month', tstamp) AS TIMESTAMP) - INTERVAL 1 DAY + INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M:%S') AS eve, strftime(CAST(tstamp AS TIMESTAMP) + to_days(CAST((8 - dayofweek(tstamp)) % 7 AS INTEGER)), '%Y-%m-%d') AS monday,
+  strftime(CAST(tstamp AS TIMESTAMP), '%Y-%m-%dT%H:%M:%SZ, week %W, day %j, year %Y, %w') AS iso, CAST(epoch(CAST(tstamp AS TIMESTAMP)) AS BIGINT) - 129600 AS early FROM logs GROUP BY tstamp""",
+    """SELECT tstamp, count(*) AS n, date(tstamp, '+1 month') AS next_month, date(tstamp, '-13 months') AS before, datetime(tstamp, 'start of month', '-1 day', '+90 minutes') AS eve, date(tstamp, 'weekday 1') AS monday,
+  strftime('%Y-%m-%dT%H:%M:%SZ, week %W, day %j, year %Y, %w', tstamp) AS iso, unixepoch(tstamp, '-36 hours') AS early FROM logs WHERE value_name = 'totalprice' GROUP BY tstamp""",
+    "sql_written_dates",
+    adapters.orders,
+    _ORDERS,
+)
+_lenient(
+    """SELECT filename, 'k' AS key, json_extract_string("value", '$.k') AS "value", 'integer' AS type, '$.k' AS fullkey, count(*) AS n FROM logs WHERE value_name = 'props' GROUP BY ALL""",
+    "SELECT l.filename, e.key, e.value, e.type, e.fullkey, count(*) AS n FROM logs l, json_each(l.value) AS e WHERE l.value_name = 'props' GROUP BY l.filename, e.key, e.value, e.type, e.fullkey",
+    "sql_written_json_each",
+)
+_lenient(
+    """SELECT t.f AS fullkey, t.k AS type, count(*) AS n, CAST(sum(CASE WHEN t.f = '$.list[1].k' THEN CAST(json_extract_string("value", '$.k') AS BIGINT) END) AS BIGINT) AS held
+FROM logs, (VALUES ('$', 'object'), ('$.name', 'text'), ('$.list', 'array'), ('$.list[0]', 'null'), ('$.list[1]', 'object'), ('$.list[1].k', 'integer')) t(f, k) WHERE value_name = 'props' GROUP BY t.f, t.k""",
+    """SELECT t.fullkey, t.type, count(*) AS n, sum(CASE WHEN t.fullkey = '$.list[1].k' THEN CAST(t.atom AS INTEGER) END) AS held
+FROM (SELECT '{"name": "' || filename || '", "list": [null, ' || value || ']}' AS j FROM logs WHERE value_name = 'props') AS p, json_tree(p.j) AS t GROUP BY t.fullkey, t.type""",
+    "sql_written_json_tree",
+)
+_K = "json_extract_string(\"value\", '$.k')"
+_EDITS = {
+    "set": ("json_set(value, '$.k', length(filename), '$.more[0].name', filename)", "'{\"k\":' || length(filename) || ',\"more\":[{\"name\":\"' || filename || '\"}]}'"),
+    "insert": ("json_insert(value, '$.k', 0, '$.list', json('[1,{\"a\":null}]'))", f"'{{\"k\":' || {_K} || ',\"list\":[1,{{\"a\":null}}]}}'"),
+    "replace": ("json_replace('[' || value || ',2]', '$[1]', filename, '$[#-2].k', 1.5, '$[7]', 0)", "'[{\"k\":1.5},\"' || filename || '\"]'"),
+    "remove": ("json_remove('[' || value || ',[1,2,3]]', '$[1][#-1]', '$[0].k', '$.none')", "'[{},[1,2]]'"),
+    "patch": ("json_patch(value, '{\"n\":{\"m\":[1]},\"k\":null}')", "'{\"n\":{\"m\":[1]}}'"),
+}
+for _mode, (_written, _plain) in _EDITS.items():
+    _lenient(
+        f"SELECT filename, {_plain} AS edited, count(*) AS n FROM logs WHERE value_name = 'props' GROUP BY ALL",
+        f"SELECT filename, edited, count(*) AS n FROM (SELECT filename, {_written} AS edited FROM logs WHERE value_name = 'props') AS e GROUP BY filename, edited",
+        f"sql_written_json_{_mode}",
+    )
+
+
 # Functions
 
 
