@@ -37,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("where", nargs="?")
     p.add_argument("--logged", type=lambda s: s.split(","), default=[], help="logged names that the condition uses")
     p.add_argument("--level", type=int, default=1)
+    p.add_argument("--after", action="store_true", help="the names over the scheduled runs, once these are replayed")
     p.add_argument("--mark", choices=("prefix", "suffix"), default="suffix")
     return out
 
@@ -50,18 +51,23 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Da
         store = Store(spark, args.store).create()
         if args.command == "unpack":
             watch(spark, store, args.folder, f"{args.store}/_ingest").awaitTermination()
-            store.compact_loops()
+            store.compact_if_scattered()
             return None
+        held = store.snapshot()  # one version for all that follows
+        logs, loops, paths = held.logs(), held.loops(), held.paths()
         if args.command == "query":
-            out = sql.query(store.logs(), store.loops(), args.q)
+            out = sql.query(logs, loops, args.q)
         elif args.command == "dataframe":
-            out = pivot.dataframe(store.logs(), store.loops(), *args.columns)
+            out = pivot.dataframe(logs, loops, *args.columns, paths=paths)
         else:
-            costs = schedule.estimate(store.logs(), store.loops(), args.level, args.mark)
-            costs = schedule.where_logged(costs, store.logs(), store.loops(), args.logged, args.where) if args.where and args.logged else schedule.where(costs, args.where)
-            costs = schedule.lacking(costs, store.logs(), args.names)
-            schedule.total_cost(costs).select("total", discretize(F.col("total")).alias("estimate")).show(truncate=False)
-            out = schedule.replay_commands(costs, args.names, args.level)
+            costs = schedule.estimate(logs, loops, args.level, args.mark, paths=paths)
+            costs = schedule.where_logged(costs, logs, loops, args.logged, args.where, paths) if args.where and args.logged else schedule.where(costs, args.where)
+            if args.after:
+                out = schedule.after_replay(costs, logs, loops, *args.names, paths=paths)
+            else:
+                costs = schedule.lacking(costs, logs, args.names)
+                schedule.total_cost(costs).select("total", discretize(F.col("total")).alias("estimate")).show(truncate=False)
+                out = schedule.replay_commands(costs, args.names, args.level)
     out.show(truncate=False)
     return out
 

@@ -36,10 +36,6 @@ def greatest(*cs: Column) -> Column:
     return F.when(~reduce(or_, (c.isNull() for c in cs)), F.greatest(*cs))
 
 
-def least(*cs: Column) -> Column:
-    return F.when(~reduce(or_, (c.isNull() for c in cs)), F.least(*cs))
-
-
 def total(c: Column) -> Column:
     """Sum as DOUBLE; 0.0 over no rows, text that is no number counts as 0."""
     return F.coalesce(F.sum(F.coalesce(c.try_cast("double"), F.lit(0.0))), F.lit(0.0))

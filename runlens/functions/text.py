@@ -65,29 +65,6 @@ def checkpoint_name(path: Column, name: Column, extension: Column) -> Column:
     return F.concat(F.array_join(F.concat(F.array(safe(name)), steps), "_"), extension)
 
 
-def commit_stamp(message: Column, marker: str) -> Column:
-    """The time stamp in ``MARKER::kind::stamp``, null where the marker isn't there exactly once."""
-    parts = F.split(F.trim(message), "::")
-    once = F.size(F.split(message, f"{marker}::")) == 2
-    return F.when(once & (F.size(parts) == 3), parts[2])
-
-
-def parse_picks(text: str) -> dict[str, list[str]]:
-    """``a,b epoch=0,1`` as {"VARS": ["a", "b"], "epoch": ["0", "1"]}."""
-    out: dict[str, list[str]] = {}
-    for part in text.split():
-        name, found, value = part.partition("=")
-        if found and "=" in value:
-            raise ValueError(f"{part!r} has more than one '='")
-        out[name if found else "VARS"] = (value if found else name).split(",")
-    return out
-
-
 def parse_settings(c: Column) -> Column:
     """``key=value key=value`` as a map."""
     return F.str_to_map(c, F.lit(" "), F.lit("="))
-
-
-def with_entry(m: Column, key: Column, value: Column) -> Column:
-    """A map with one entry set."""
-    return F.map_concat(F.map_filter(m, lambda k, _: k != key), F.create_map(key, value))

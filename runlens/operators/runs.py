@@ -32,10 +32,6 @@ def best(df: DataFrame, measure: str, k: int = 1, smallest: bool = False, ties:
     return df.withColumn("_n", number).where(F.col("_n").isNotNull()).orderBy(*order).limit(k).drop("_n")
 
 
-def deduplicate(df: DataFrame) -> DataFrame:
-    return df.distinct()
-
-
 def first_and_last(df: DataFrame, keys: list[str], order: list[str], count: int = 10) -> DataFrame:
     """Of each group: the first rows of its first half and the last rows of its second."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -14,25 +14,32 @@ def distinct_loops(loops: DataFrame) -> DataFrame:
     return loops.where(F.col("ctx_id").isNotNull()).dropDuplicates(["ctx_id"])
 
 
-def context_paths(loops: DataFrame) -> DataFrame:
+def context_paths(loops: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(ctx_id, depth, path) of every context whose chain reaches an outermost loop.
 
     A frontier walks down from the outermost loops, one equi-join a level, so each
     context is joined once.  A level is written to the shared folder before the next
     (its emptiness ends the walk).  Contexts with a dangling ancestor, or in a cycle,
-    are never reached.
+    are never reached.  With the paths of ``known`` contexts, the walk also starts below
+    those, and only the given loops are walked.
     """
     own = distinct_loops(loops).select("ctx_id", "p_ctx_id", F.struct(F.col("l_name").alias("name"), F.col("iteration").cast("long").alias("iteration"), F.col("l_value").alias("value")).alias("step"))
     own = materialise(own, "contexts")  # each level reads them again, without the deduplication
     nested = own.where(F.col("p_ctx_id").isNotNull())
-    top = own.where(F.col("p_ctx_id").isNull()).select("ctx_id", F.lit(1).alias("depth"), F.array("step").alias("path"))
-    out = frontier = top
+    out = frontier = own.where(F.col("p_ctx_id").isNull()).select("ctx_id", F.lit(1).alias("depth"), F.array("step").alias("path"))
     if nested.isEmpty():
         return out.select(*PATHS.names)
+
+    def below(above: DataFrame) -> DataFrame:
+        parents = above.select(F.col("ctx_id").alias("p_ctx_id"), "depth", "path")
+        return materialise(nested.join(parents, "p_ctx_id").select("ctx_id", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("step")).alias("path")), "paths")
+
+    if known is not None:
+        outside = nested.select(F.col("p_ctx_id").alias("ctx_id")).distinct().join(own.select("ctx_id"), "ctx_id", "left_anti")
+        hung = below(known.join(outside, "ctx_id", "left_semi"))
+        out = frontier = out.unionByName(hung)
     while True:
-        above = frontier.select(F.col("ctx_id").alias("p_ctx_id"), "depth", "path")
-        deeper = nested.join(above, "p_ctx_id").select("ctx_id", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("step")).alias("path"))
-        frontier = materialise(deeper, "paths")
+        frontier = below(frontier)
         if frontier.isEmpty():
             return out.select(*PATHS.names)
         out = out.unionByName(frontier)

@@ -88,13 +88,13 @@ def where(schedule: DataFrame, clause: str | None) -> DataFrame:
     return schedule if clause is None else schedule.where(F.expr(clause))
 
 
-def where_logged(schedule: DataFrame, logs: DataFrame, loops: DataFrame, names: list[str], clause: str) -> DataFrame:
+def where_logged(schedule: DataFrame, logs: DataFrame, loops: DataFrame, names: list[str], clause: str, paths: DataFrame | None = None) -> DataFrame:
     """The runs of which some row of the pivot of ``names`` satisfies the condition.
 
     The condition may use these names, their loops' columns and the schedule's own;
     values are typed as the pivot infers them.
     """
-    wide = dataframe(logs, loops, *names, typed=True)
+    wide = dataframe(logs, loops, *names, typed=True, paths=paths)
     own = schedule.select(*RUN_KEYS, *(F.col(f"`{c}`") for c in schedule.columns if c not in wide.columns))
     met = own.join(wide, RUN_KEYS, "left").where(F.expr(clause)).select(*RUN_KEYS).distinct()
     return schedule.join(met, RUN_KEYS, "left_semi")
@@ -106,10 +106,10 @@ def lacking(schedule: DataFrame, logs: DataFrame, names: list[str]) -> DataFrame
     return schedule.join(held.where(F.col("_n") >= len(set(names))).drop("_n"), RUN_KEYS, "left_anti")
 
 
-def after_replay(schedule: DataFrame, logs: DataFrame, loops: DataFrame, *names: str) -> DataFrame:
+def after_replay(schedule: DataFrame, logs: DataFrame, loops: DataFrame, *names: str, paths: DataFrame | None = None) -> DataFrame:
     """The pivot of the names over the schedule's runs: what a replay of them ends with."""
     own = logs.join(schedule.select(*RUN_KEYS).distinct(), RUN_KEYS, "left_semi")
-    return dataframe(own, loops, *names)
+    return dataframe(own, loops, *names, paths=paths)
 
 
 def last_of_each_run(schedule: DataFrame) -> DataFrame:

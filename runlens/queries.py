@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,7 @@ from .functions import compat, text
 from .operators import runs
 from .plans import paths, pivot, schedule, sql
 from .schema import RUN_KEYS
+from .scratch import remove, shared_dir
 from .sources import adapters, checkpoints, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -325,14 +328,69 @@ def unpack_newer(spark, sf_dir):
     return tables.unseen(*_ingested(spark, sf_dir), newer_only=True)
 
 
+# A store of several versions
+
+
+def _stored(spark: SparkSession, *batches: tuple[DataFrame, DataFrame], **options) -> tables.Store:
+    """A store in the shared folder, with one commit a batch."""
+    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, root)
+    store = tables.Store(spark, root).create()
+    for logs, loops in batches:
+        store.append(logs, loops, **options)
+    return store
+
+
+def _by_year(spark, sf_dir):
+    """Orders in two batches, cut at a year: the first has the loops of all orders, the second those of all lines."""
+    logs, loops = adapters.orders(spark, sf_dir)
+    early = F.col("tstamp") < F.lit("1996-01-01").cast("timestamp_ntz")
+    return (logs.where(early), loops.where("l_name = 'order'")), (logs.where(~early), loops.where("l_name = 'line'"))
+
+
+@_query(ORACLE_SQL["pivot_order_line"])
+def store_pivot(spark, sf_dir):
+    """The pivot over a store's newest version: chains come from the table kept at ingestion."""
+    held = _stored(spark, *_by_year(spark, sf_dir)).snapshot()
+    return pivot.dataframe(held.logs(), held.loops(), "totalprice", "quantity", paths=held.paths())
+
+
+@_query(f"SELECT 'tpch' AS projid, o_orderdate AS tstamp, count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY o_orderdate")
+def store_snapshot(spark, sf_dir):
+    """An older version stays as it was when its reader opened it."""
+    store = _stored(spark, *_by_year(spark, sf_dir))
+    first = store.snapshot(2)
+    store.compact()
+    return first.logs().where("value_name = 'totalprice'").groupBy("projid", "tstamp").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT o_orderkey * 8 AS ctx_id, CAST(NULL AS BIGINT) AS p_ctx_id, 'order' AS l_name, o_orderkey AS iteration, CAST(NULL AS VARCHAR) AS l_value FROM orders")
+def store_compacted(spark, sf_dir):
+    """Loops that several batches brought in, after compaction."""
+    logs, loops = adapters.orders(spark, sf_dir)
+    own = logs.where("value_name = 'totalprice'"), loops.where("l_name = 'order'")
+    store = _stored(spark, own, own, new_contexts=True)
+    return store.compact().loops()
+
+
+@_query(ORACLE_SQL["unpack_incremental"])
+def store_unpack(spark, sf_dir):
+    """Runs that a store doesn't have, told from its table of runs alone."""
+    logs, known = _ingested(spark, sf_dir)
+    held = _stored(spark, (known, adapters.orders(spark, sf_dir)[1].limit(0))).snapshot()
+    return tables.unseen(logs, tables.near(held.runs(), logs))
+
+
 @_query("SELECT DISTINCT l_orderkey * 8 + l_linenumber AS ctx_id, l_orderkey * 8 AS p_ctx_id, 'line' AS l_name, CAST(l_linenumber AS BIGINT) AS iteration, CAST(NULL AS VARCHAR) AS l_value FROM lineitem")
 def dedupe_loops(spark, sf_dir):
-    return paths.distinct_loops(adapters.orders(spark, sf_dir)[1].where("l_name = 'line'"))
+    loops = adapters.orders(spark, sf_dir)[1].where("l_name = 'line'")
+    return paths.distinct_loops(loops.unionByName(loops.where("iteration < 4")).unionByName(loops))
 
 
 @_query(f"SELECT DISTINCT * FROM ({_FRESH} WHERE o_orderpriority LIKE '1%')")
 def distinct_logs(spark, sf_dir):
-    return tables.distinct_logs(adapters.orders(spark, sf_dir)[0], "value_name = 'totalprice' AND filename LIKE '1%'")
+    logs = adapters.orders(spark, sf_dir)[0]
+    return tables.distinct_logs(logs.unionByName(logs.where("ctx_id % 3 = 0")), "value_name = 'totalprice' AND filename LIKE '1%'")
 
 
 _PATHS = """
@@ -580,10 +638,15 @@ def lenient_total(spark, sf_dir):
     return e.groupBy("event_type").agg(compat.total(F.col("user_id").cast("string")).alias("total"))
 
 
-@_query("SELECT event_id, lower(event_type) IN ('yes', 'y', 'true', 't', '1') AS yes, true AS is_int, true AS is_json, CAST(event_id AS VARCHAR) AS setting FROM events")
+@_query(
+    """
+SELECT event_id, lower(event_type) IN ('yes', 'y', 'true', 't', '1') OR event_id % 3 = 0 AS yes, event_id % 4 < 2 AS is_int, event_id % 5 > 1 AS is_json, CAST(event_id AS VARCHAR) AS setting FROM events"""
+)
 def text_functions(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    settings = text.parse_settings(F.concat(F.lit("lr=0.1 id="), F.col("event_id")))
-    return e.select(
-        "event_id", text.to_bool(F.col("event_type")).alias("yes"), text.is_integer(F.col("event_id").cast("string")).alias("is_int"), text.is_json(F.col("props")).alias("is_json"), F.element_at(settings, "id").alias("setting")
-    )
+    n = F.col("event_id")
+    settings = text.parse_settings(F.concat(F.lit("lr=0.1 id="), n))
+    answer = F.when(n % 3 == 0, F.element_at(F.array(*map(F.lit, ("Yes", "T", "1"))), (n % 9 / 3 + 1).cast("int"))).otherwise(F.col("event_type"))
+    number = F.when(n % 4 == 0, n.cast("string")).when(n % 4 == 1, F.concat(F.lit(" -1_"), n)).when(n % 4 == 2, F.concat(n, F.lit(".0"))).otherwise("x1")
+    value = F.when(n % 5 > 1, F.concat(F.lit('{"k": ['), n, F.lit("]}"))).when(n % 5 == 0, F.concat(F.lit("{k: "), n)).otherwise("")
+    return e.select("event_id", text.to_bool(answer).alias("yes"), text.is_integer(number).alias("is_int"), text.is_json(value).alias("is_json"), F.element_at(settings, "id").alias("setting"))

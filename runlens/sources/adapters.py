@@ -119,5 +119,3 @@ def trainings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     )
     return logs, union(_loops(ranked, epoch, None, "epoch", F.col("at"), None), _loops(lines, step, epoch, "step", F.col("l_linenumber"), None))
 
-
-BY_NAME = {"orders": orders, "events": events, "conversations": conversations, "documents": documents, "trainings": trainings}

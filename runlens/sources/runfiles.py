@@ -59,6 +59,14 @@ def loops_of(records: DataFrame) -> DataFrame:
     return steps.select("s.ctx_id", "s.p_ctx_id", F.col("s.name").alias("l_name"), "s.iteration", F.col("s.value").alias("l_value")).dropDuplicates(["ctx_id"])
 
 
+def paths_of(records: DataFrame) -> DataFrame:
+    """(ctx_id, depth, path) of every context: what its record's chain holds from it outwards, turned round."""
+    at = records.select("chain", F.posexplode("chain").alias("pos", "own"))
+    outwards = F.slice("chain", F.col("pos") + 1, F.size("chain"))
+    steps = F.transform(F.reverse(outwards), lambda s: F.struct(s["name"].alias("name"), s["iteration"].alias("iteration"), s["value"].alias("value")))
+    return at.select("own.ctx_id", F.size(outwards).alias("depth"), steps.alias("path")).dropDuplicates(["ctx_id"])
+
+
 def write_run_file(records: list[dict], path: str) -> None:
     """One run's records as its run file, on the machine that ran it."""
     with open(path, "w") as out:

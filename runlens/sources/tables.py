@@ -1,55 +1,218 @@
-"""The two relations as Parquet tables under one root: create, append, read, compact."""
+"""The store: the two relations and what is derived from them, committed together.
+
+Under the root lie folders of Parquet files, one a table and batch, and ``_versions`` with a
+small manifest a version: which folders make up each table.  A write puts its batch into new
+folders and then publishes the next version by one rename that refuses an existing
+target; until then nobody sees the batch, and a writer that another one overtook is told so.
+Readers keep the version they opened.  Old folders stay until ``vacuum``.
+
+Tables: ``logs`` (by project, sorted by name), ``loops``, ``paths`` (every context's chain of
+steps, so that pivots walk nothing), ``runs`` (one row a run, sorted, with Bloom filters:
+what ingestion compares new runs with) and ``pending`` (contexts whose ancestors aren't there yet).
+
+The rename has to be atomic and to refuse existing targets, as in HDFS; plain object
+stores need a file system that gives this.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..schema import LOGS, LOOPS
+from ..plans.paths import context_paths
+from ..schema import LOGS, LOOPS, PATHS, RUN_KEYS
 from ..scratch import materialise
 
+RUNS = T.StructType([f for f in LOGS if f.name in RUN_KEYS])
+TABLES = {"logs": LOGS, "loops": LOOPS, "paths": PATHS, "runs": RUNS, "pending": LOOPS}
+#: From so many batches on, ``compact_if_scattered`` merges them.
+SCATTERED = 32
+
+
+class Overtaken(RuntimeError):
+    """Another writer published a version first."""
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """One version of all tables."""
+
+    spark: SparkSession
+    version: int
+    folders: dict[str, tuple[str, ...]]
+
+    def table(self, name: str) -> DataFrame:
+        if not self.folders.get(name):
+            return self.spark.createDataFrame([], TABLES[name])
+        base = self.folders[name][0].rpartition("/")[0]
+        return self.spark.read.schema(TABLES[name]).option("basePath", base).parquet(*self.folders[name]).select(*TABLES[name].names)
+
+    def logs(self) -> DataFrame:
+        return self.table("logs")
+
+    def loops(self) -> DataFrame:
+        return self.table("loops")
+
+    def paths(self) -> DataFrame:
+        return self.table("paths")
+
+    def runs(self) -> DataFrame:
+        return self.table("runs")
+
 
 @dataclass
 class Store:
-    """Tables ``logs`` (partitioned by project, sorted by name) and ``loops`` under ``root``."""
+    """Versions of the tables under ``root``."""
 
     spark: SparkSession
     root: str
 
+    # files
+
+    def _path(self, *parts: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([self.root.rstrip("/"), *parts]))
+
+    def _files(self):
+        path = self._path()
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _names(self, *parts: str) -> list[str]:
+        files, path = self._files(), self._path(*parts)
+        return sorted(s.getPath().getName() for s in files.listStatus(path)) if files.exists(path) else []
+
+    def versions(self) -> list[int]:
+        return [int(n.removesuffix(".json")) for n in self._names("_versions") if n.endswith(".json")]
+
+    def _read(self, version: int) -> dict[str, tuple[str, ...]]:
+        stream = self._files().open(self._path("_versions", f"{version:020d}.json"))
+        try:
+            text = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        return {t: tuple(f"{self.root.rstrip('/')}/{x}" for x in held) for t, held in json.loads(text).items()}
+
+    def _publish(self, version: int, folders: dict[str, list[str]]) -> None:
+        """Writes the manifest aside and renames it to its place."""
+        files, jvm = self._files(), self.spark.sparkContext._jvm
+        aside, place = self._path("_versions", f"_{uuid.uuid4().hex}"), self._path("_versions", f"{version:020d}.json")
+        out = files.create(aside, True)
+        try:
+            out.write(bytearray(json.dumps(folders, indent=1).encode()))
+        finally:
+            out.close()
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        none[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            context.rename(aside, place, none)
+        except Exception as why:
+            files.delete(aside, False)
+            if files.exists(place):
+                raise Overtaken(f"version {version} is there already") from why
+            raise
+
+    # versions
+
     def create(self) -> Store:
-        """Writes empty tables where there are none."""
-        for name, schema in (("logs", LOGS), ("loops", LOOPS)):
-            if not self._exists(name):
-                self.spark.createDataFrame([], schema).write.mode("append").parquet(self._path(name))
+        """Publishes an empty first version where there is none."""
+        if not self.versions():
+            try:
+                self._publish(1, {name: [] for name in TABLES})
+            except Overtaken:  # created by another writer just now
+                pass
         return self
 
-    def _path(self, name: str) -> str:
-        return f"{self.root.rstrip('/')}/{name}"
-
-    def _exists(self, name: str) -> bool:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path(name))
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    def snapshot(self, version: int | None = None) -> Snapshot:
+        """The newest version, or an older one that is still there."""
+        found = version or self.versions()[-1]
+        return Snapshot(self.spark, found, self._read(found))
 
     def logs(self) -> DataFrame:
-        return self.spark.read.schema(LOGS).parquet(self._path("logs"))
+        return self.snapshot().logs()
 
     def loops(self) -> DataFrame:
-        return self.spark.read.schema(LOOPS).parquet(self._path("loops"))
-
-    def append(self, logs: DataFrame, loops: DataFrame) -> None:
-        """Adds rows; contexts are deduplicated on the way in.  Rows of a name lie together,
-        so that a filter on names skips row groups.  Loops come first: a run whose logs are
-        there has its contexts, and one that broke off before is still unseen."""
-        ordered = logs.select(*(F.col(f.name).cast(f.dataType) for f in LOGS)).sortWithinPartitions("projid", "value_name")
-        loops.select(*(F.col(f.name).cast(f.dataType) for f in LOOPS)).dropDuplicates(["ctx_id"]).write.mode("append").parquet(self._path("loops"))
-        ordered.write.mode("append").partitionBy("projid").parquet(self._path("logs"))
-
-    def compact_loops(self) -> None:
-        """Rewrites ``loops`` without repeated rows."""
-        distinct = materialise(self.loops().distinct(), "compact")
-        distinct.write.mode("overwrite").parquet(self._path("loops"))
+        return self.snapshot().loops()
+
+    def _write(self, name: str, df: DataFrame, batch: str) -> str:
+        """One table's batch, laid out for its readers; the folder's name."""
+        shaped = df.select(*(F.col(f.name).cast(f.dataType) for f in TABLES[name]))
+        if name == "logs":
+            # files by project, of about the size that adaptive execution advises, also for one large project
+            writer = shaped.hint("rebalance", "projid").sortWithinPartitions("projid", "value_name").write.partitionBy("projid")
+        elif name == "runs":
+            writer = shaped.hint("rebalance", *RUN_KEYS[:2]).sortWithinPartitions(*RUN_KEYS).write.option("parquet.bloom.filter.enabled#projid", "true").option("parquet.bloom.filter.enabled#filename", "true")
+        else:
+            writer = shaped.hint("rebalance").sortWithinPartitions("ctx_id").write
+        writer.parquet(f"{self.root.rstrip('/')}/{name}/{batch}")
+        return f"{name}/{batch}"
+
+    def commit(self, base: Snapshot, added: dict[str, DataFrame], replaced: tuple[str, ...] = ()) -> Snapshot:
+        """The version after ``base``: its tables with the added batches, or made of these alone where replaced."""
+        batch = f"batch=b{uuid.uuid4().hex}"
+        cut = len(self.root.rstrip("/")) + 1
+        folders = {name: [] if name in replaced else [f[cut:] for f in base.folders.get(name, ())] for name in TABLES}
+        for name, df in added.items():
+            folders[name].append(self._write(name, df, batch))
+        self._publish(base.version + 1, folders)
+        return self.snapshot(base.version + 1)
+
+    def append(self, logs: DataFrame, loops: DataFrame, paths: DataFrame | None = None, new_contexts: bool = False, base: Snapshot | None = None) -> Snapshot:
+        """Adds rows of logs and the contexts that aren't there yet, with their chains.
+
+        Chains come from the batch, or start from those of contexts that are there; only
+        contexts of the batch and pending ones are walked.  ``new_contexts`` vouches that none of
+        them is in the store, and ``paths`` that these are all their chains.
+        """
+        base = base or self.snapshot()
+        own = loops.where(F.col("ctx_id").isNotNull()).select(*(F.col(f.name).cast(f.dataType) for f in LOOPS)).dropDuplicates(["ctx_id"])
+        if not new_contexts and base.folders.get("loops"):
+            own = materialise(own, "contexts")
+            low, high = own.agg(F.min("ctx_id"), F.max("ctx_id")).first()
+            held = base.loops().where(F.col("ctx_id").between(low, high)) if low is not None else base.loops().limit(0)
+            own = materialise(own.join(held.select("ctx_id"), "ctx_id", "left_anti"), "contexts")
+        added, replaced = {"logs": logs, "loops": own, "runs": logs.select(*RUN_KEYS).distinct()}, ()
+        if paths is not None:
+            added["paths"] = paths
+        else:
+            walked = own.unionByName(base.table("pending")) if base.folders.get("pending") else own
+            walked = materialise(walked.dropDuplicates(["ctx_id"]), "contexts")
+            found = materialise(context_paths(walked, base.paths() if base.folders.get("paths") else None), "paths")
+            added |= {"paths": found, "pending": walked.join(found.select("ctx_id"), "ctx_id", "left_anti")}
+            replaced = ("pending",)
+        return self.commit(base, added, replaced)
+
+    def compact(self) -> Snapshot:
+        """Merges the batches of every table, without repeated contexts and runs; log rows all stay."""
+        base = self.snapshot()
+        distinct = {"loops": ["ctx_id"], "paths": ["ctx_id"], "runs": RUN_KEYS, "pending": ["ctx_id"]}
+        merged = {name: base.table(name).dropDuplicates(distinct[name]) if name in distinct else base.table(name) for name in TABLES if base.folders.get(name)}
+        return self.commit(base, merged, tuple(merged))
+
+    def compact_if_scattered(self) -> None:
+        if max(map(len, self.snapshot().folders.values()), default=0) >= SCATTERED:
+            self.compact()
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Removes all but the newest ``keep`` versions, and the folders that none of these names; how many folders went.
+
+        Readers of older versions, and writers at work, lose their files: run it alone.
+        """
+        known = self.versions()
+        held = {f for v in known[-keep:] for folders in self._read(v).values() for f in folders}
+        files, gone = self._files(), 0
+        for v in known[:-keep]:
+            files.delete(self._path("_versions", f"{v:020d}.json"), False)
+        for name in TABLES:
+            for batch in self._names(name):
+                if f"{self.root.rstrip('/')}/{name}/{batch}" not in held:
+                    files.delete(self._path(name, batch), True)
+                    gone += 1
+        return gone
 
 
 def distinct_logs(logs: DataFrame, where: str | None = None) -> DataFrame:
@@ -60,17 +223,29 @@ def known_stamps(logs: DataFrame) -> DataFrame:
     return logs.select("tstamp").distinct()
 
 
-RUN = ("projid", "tstamp", "filename")
+#: Up to so many projects are asked for by name.
+FEW_PROJECTS = 100
+
+
+def near(known: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The known rows among which those of the incoming projects and stamps are, by filters that reach the scan."""
+    low, high, blank = incoming.agg(F.min("tstamp"), F.max("tstamp"), F.count_if(F.col("tstamp").isNull())).first()
+    projects = [r[0] for r in incoming.select("projid").distinct().limit(FEW_PROJECTS + 1).collect()]
+    if low is not None and not blank:
+        known = known.where(F.col("tstamp").between(F.lit(low).cast("timestamp_ntz"), F.lit(high).cast("timestamp_ntz")))
+    if projects and len(projects) <= FEW_PROJECTS and None not in projects:
+        known = known.where(F.col("projid").isin(projects))
+    return known
 
 
-def unseen(incoming: DataFrame, logs: DataFrame, newer_only: bool = False) -> DataFrame:
-    """Incoming rows of runs that ``logs`` doesn't have yet; a run is a project, stamp and file.
+def unseen(incoming: DataFrame, known: DataFrame, newer_only: bool = False) -> DataFrame:
+    """Incoming rows of runs that ``known`` (logs, or a store's runs) doesn't have yet; a run is a project, stamp and file.
 
     With ``newer_only``, runs older than the newest known one stay out, too, as if the
     history were walked from the newest run and left at the first known one.
     """
     if not newer_only:
-        known = logs.select(*(F.col(c).alias(f"_{c}") for c in RUN)).distinct()
-        return incoming.join(known, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in RUN], "left_anti")
-    met = incoming.select("tstamp").distinct().join(known_stamps(logs), "tstamp", "left_semi").agg(F.max("tstamp").alias("_met"))
+        held = known.select(*(F.col(c).alias(f"_{c}") for c in RUN_KEYS)).distinct()
+        return incoming.join(held, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in RUN_KEYS], "left_anti")
+    met = incoming.select("tstamp").distinct().join(known_stamps(known), "tstamp", "left_semi").agg(F.max("tstamp").alias("_met"))
     return incoming.join(F.broadcast(met), F.col("_met").isNull() | (F.col("tstamp") > F.col("_met")), "inner").drop("_met")

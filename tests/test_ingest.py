@@ -51,35 +51,6 @@ def test_runs_of_one_second_are_told_apart(spark, tmp_path):
     assert sorted((r["projid"], r["filename"], r["value"]) for r in store.logs().where("value_name = 'acc'").collect()) == [("other", "train.py", "2"), ("proj", "eval.py", "1"), ("proj", "train.py", "0")]
 
 
-def test_batch_that_broke_off_is_completed(spark, tmp_path):
-    """The second of the two tables can't be written the first time."""
-    folder, root = tmp_path / "runs", tmp_path / "store"
-    folder.mkdir()
-    run("2024-01-01T00:00:00").commit(path=str(folder / "1.json"))
-    store = Store(spark, str(root)).create()
-    texts = spark.read.format("text").option("wholetext", "true").load(str(folder))
-    path, asked = Store._path, []
-
-    class Breaks(Store):
-        def _path(self, name):
-            if name not in asked and root.joinpath(name).exists() and self.writing:
-                asked.append(name)
-                if len(asked) == 2:
-                    raise OSError("gone")
-            return path(self, name)
-
-        def append(self, logs, loops):
-            self.writing = True
-            super().append(logs, loops)
-
-    broken = Breaks(spark, str(root))
-    broken.writing = False
-    with pytest.raises(OSError):
-        ingest(broken, texts)
-    ingest(store, texts)
-    assert pivot.dataframe(store.logs(), store.loops(), "lr", "loss", "acc").count() == 4
-
-
 def test_late_replay_rows_join_their_run(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store")).create()
     first = run("2024-01-01T00:00:00")
@@ -91,7 +62,7 @@ def test_late_replay_rows_join_their_run(spark, tmp_path):
     again.commit(store=store)
     out = pivot.dataframe(store.logs(), store.loops(), "grad", "acc")
     assert sorted((r["epoch"], r["grad"], r["acc"] is not None) for r in out.collect()) == [(1, "0", True), (2, "10", True)]
-    store.compact_loops()
+    store.compact()
     assert store.loops().count() == 8
 
 
@@ -138,5 +109,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main([*base, "dataframe", "lr,loss"], spark).count() == 4
     assert cli.main([*base, "query", "SELECT count(*) AS n FROM logs"], spark).first()["n"] > 0
     assert cli.main([*base, "replay", "grad", "num_epochs = 2"], spark).count() == 1
+    after = cli.main([*base, "replay", "lr,acc", "num_epochs = 2", "--after"], spark)
+    assert after.count() == 2 and {"epoch", "lr", "acc"} <= set(after.columns)
     assert cli.main(["stat"], spark).count() == 1
     capsys.readouterr()
