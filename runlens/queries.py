@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from collections.abc import Callable
 
@@ -10,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import compat, text
-from .operators import runs
+from .operators import joins, runs
 from .plans import paths, pivot, schedule, sql
 from .schema import RUN_KEYS
 from .scratch import remove, shared_dir
-from .sources import adapters, checkpoints, tables
+from .sources import adapters, checkpoints, tables, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -249,10 +250,29 @@ def schedule_dims(spark, sf_dir):
 
 @_query("SELECT 'tpch' AS projid, o_orderdate AS tstamp, max(o_orderpriority) AS filename, min_by('v' || o_orderkey, o_orderkey) AS vid FROM orders GROUP BY o_orderdate")
 def schedule_versions(spark, sf_dir):
-    """Version ids looked up by time stamp; the first commit of a stamp wins."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    versions = orders.select(F.col("o_orderdate").alias("tstamp"), F.concat(F.lit("v"), "o_orderkey").alias("vid"), F.col("o_orderkey").alias("authored"))
-    return schedule.with_versions(_pivot(adapters.orders, "totalprice")(spark, sf_dir), versions)
+    """Version ids looked up by time stamp in an exported history; the first commit of a stamp wins."""
+    return schedule.with_versions(_pivot(adapters.orders, "totalprice")(spark, sf_dir), _history(spark, sf_dir))
+
+
+def _history(spark, sf_dir):
+    """Orders as commits of runs, every fifth one with a commit between that belongs to none, written and read back."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    at = F.timestamp_seconds(F.lit(946684800) + F.col("o_orderkey"))
+    stamp = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    commit = lambda vid, message: F.concat_ws("\x1f", vid, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss+00:00"), message)
+    own = commit(F.concat(F.lit("v"), "o_orderkey"), F.concat(F.lit("RUN::auto::"), stamp, F.lit("\n")))
+    other = commit(F.concat(F.lit("x"), "o_orderkey"), F.concat(F.lit("Mend it\n\nRUN:: twice RUN::"), stamp))
+    lines = o.select(F.explode(F.when(F.col("o_orderkey") % 5 == 0, F.array(own, other)).otherwise(F.array(own))).alias("value"))
+    path = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    lines.write.option("lineSep", "\x1e").text(path)
+    return versions.read_versions(spark, path, "RUN")
+
+
+@_query("SELECT 'v' || o_orderkey AS vid, o_orderdate AS tstamp, strftime(TIMESTAMP '2000-01-01' + to_seconds(o_orderkey), '%Y-%m-%dT%H:%M:%S') AS authored FROM orders ORDER BY o_orderkey DESC LIMIT 100")
+def versions_newest(spark, sf_dir):
+    """The hundred newest commits of runs."""
+    return versions.newest_first(_history(spark, sf_dir)).limit(100).select("vid", "tstamp", "authored")
 
 
 @_query(f"WITH {_RUNS} SELECT {_KEYS}, 'python ' || filename || ' --replay grad,acc epoch=' || array_to_string(range(0, num_epochs), ',') || ', step=1' AS command FROM c")
@@ -608,6 +628,44 @@ for _mode, (_written, _plain) in _EDITS.items():
     )
 
 
+_FRAMES = {
+    "groups": "sum(n) OVER (PARTITION BY filename ORDER BY n GROUPS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS around, count(*) OVER (ORDER BY n DESC GROUPS 3 PRECEDING) AS so_far",
+    "exclude_row": "sum(n) OVER (PARTITION BY filename ORDER BY tstamp ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING EXCLUDE CURRENT ROW) AS others, avg(n) OVER (PARTITION BY filename ORDER BY tstamp ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW) AS mean",
+    "exclude_ties": "count(*) OVER (PARTITION BY filename ORDER BY n RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING EXCLUDE TIES) AS like_it, sum(n) OVER (ORDER BY n RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE TIES) AS below",
+    "exclude_group": "count(n) OVER (ORDER BY n GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE GROUP) AS beside, sum(n) OVER (PARTITION BY filename ORDER BY n RANGE BETWEEN 4 PRECEDING AND 4 FOLLOWING EXCLUDE GROUP) AS near_it",
+}
+for _name, _frame in _FRAMES.items():
+    _counts = "SELECT filename, tstamp, n, {} FROM (SELECT filename, tstamp, count(*) AS n FROM logs WHERE value_name = 'value' GROUP BY filename, tstamp) AS g"
+    _lenient(f"SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in re.findall(r'AS (\w+)(?:,|$)', _frame) if c != 'mean')}) FROM ({_counts.format(_frame)})", _counts.format(_frame), f"sql_written_frame_{_name}")
+
+
+_KINDS = """
+SELECT 'left' AS kind, count(*) AS n, count(p.ctx_id) AS met FROM logs l LEFT JOIN loops p ON l.ctx_id = p.ctx_id AND p.iteration < 20
+UNION ALL SELECT 'right', count(*), count(l.value) FROM (SELECT * FROM logs WHERE value_name = 'seen' AND ctx_id < 40) AS l RIGHT JOIN loops p ON l.ctx_id = p.ctx_id
+UNION ALL SELECT 'full', count(*), count(p.ctx_id) FROM (SELECT * FROM logs WHERE value_name <> 'seen' OR ctx_id < 40) AS l FULL JOIN loops p ON l.ctx_id = p.ctx_id
+UNION ALL SELECT 'semi', count(*), count(ctx_id) FROM loops p WHERE EXISTS (SELECT 1 FROM logs l WHERE l.ctx_id = p.ctx_id AND l.filename = 'view')
+UNION ALL SELECT 'anti', count(*), count(ctx_id) FROM loops p WHERE NOT EXISTS (SELECT 1 FROM logs l WHERE l.ctx_id = p.ctx_id AND l.filename = 'view' AND l.value > '5')
+UNION ALL SELECT 'self', count(*), count(b.ctx_id) FROM loops a JOIN loops b ON a.iteration = b.iteration + 1"""
+
+
+@_query(f"WITH {_EVENTS} {_KINDS}")
+def sql_join_kinds(spark, sf_dir):
+    return _sql(_KINDS)(spark, sf_dir)
+
+
+@_query(
+    """SELECT p.event_id, count(v.event_id) AS n, sum(v.event_id) AS ids FROM (SELECT * FROM events WHERE event_type = 'purchase') p JOIN (SELECT * FROM events WHERE event_type = 'view') v
+  ON v.ts BETWEEN p.ts - (CASE WHEN p.user_id % 10 = 0 THEN INTERVAL 6 HOUR ELSE INTERVAL 20 MINUTE END) AND p.ts GROUP BY p.event_id"""
+)
+def join_range(spark, sf_dir):
+    """Views in the minutes, for some users hours, before each purchase: a join by order of time alone."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    bought, seen = e.where("event_type = 'purchase'"), e.where("event_type = 'view'").select(F.col("event_id").alias("seen"), F.col("at").alias("seen_at"))
+    back = F.when(F.col("user_id") % 10 == 0, 6 * 3_600_000_000).otherwise(20 * 60_000_000)
+    pairs = joins.range_join(bought, seen, F.col("at") - back, F.col("at"), F.col("seen_at"))
+    return pairs.groupBy("event_id").agg(F.count("seen").alias("n"), F.sum("seen").alias("ids"))
+
+
 # Functions
 
 

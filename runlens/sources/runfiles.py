@@ -1,8 +1,13 @@
 """Run files: a JSON array of log records, each with its chain of nested contexts.
 
 Contexts nest to any depth, which no fixed Spark schema describes, so a small Python
-helper flattens each file's records into rows that carry the chain as an array; both
-relations are then plain DataFrame operations on these rows.
+helper flattens records into rows that carry the chain as an array; both relations are
+then plain DataFrame operations on these rows.
+
+Run files are written with an indentation of two.  A line break can't lie in a JSON text,
+so a line of that indentation with nothing but an opening brace is where a record begins, and
+Spark's text reader splits files there, large ones into many tasks, each of which
+holds a record at a time.  Files in another layout are still read, each as one piece.
 """
 
 from __future__ import annotations
@@ -30,21 +35,38 @@ def record_row(record: dict) -> tuple:
     return record["projid"], record["tstamp"], record["filename"], record["name"], str(record["value"]), record["type"], chain
 
 
+#: Where a record begins in a file written with an indentation of two.
+SEPARATOR, _END = "\n  {\n", "\n  }"
+
+
+def piece_records(piece: str) -> list[dict]:
+    """The records of a piece: what stands before the first one, one record's lines, or a whole file in another layout."""
+    text = piece.strip()
+    if text in ("", "["):
+        return []
+    if text.startswith("["):
+        return json.loads(text)
+    body, ended, _ = piece.rpartition(_END)
+    if not ended:
+        raise ValueError(f"a record that breaks off: {piece[-80:]!r}")
+    return [json.loads("{" + body + "}")]
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column("value").to_pylist():
-            rows = [record_row(r) for r in json.loads(text)]
+            rows = [record_row(r) for r in piece_records(text)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
 
 
 def records_of(texts: DataFrame) -> DataFrame:
-    """Records of whole run files, one per row of ``value``."""
+    """Records of the pieces of run files, or of whole ones, in ``value``."""
     return texts.select("value").mapInArrow(_parse, RECORDS)
 
 
 def read_run_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return records_of(spark.read.text(paths, wholetext=True))
+    return records_of(spark.read.option("lineSep", SEPARATOR).text(paths))
 
 
 def logs_of(records: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def fresh_records(records: DataFrame, base: Snapshot, replays: bool = False) ->
 
 
 def ingest(store: Store, texts: DataFrame, replays: bool = False, tries: int = 5) -> None:
-    """Appends the runs of whole run files that the store doesn't have, in one commit.
+    """Appends the runs of run files, in pieces or whole, that the store doesn't have, in one commit.
 
     With ``replays``, known stamps are let in and rows the store has already are left out.
     Where another writer was first, what is new is worked out again.
@@ -60,6 +60,6 @@ def ingest(store: Store, texts: DataFrame, replays: bool = False, tries: int = 5
 
 def watch(spark: SparkSession, store: Store, folder: str, checkpoint: str, replays: bool = False, trigger: dict | None = None):
     """A streaming query over the folder's run files; ``trigger`` as for ``DataStreamWriter.trigger``."""
-    texts = spark.readStream.format("text").option("wholetext", "true").load(folder)
+    texts = spark.readStream.format("text").option("lineSep", runfiles.SEPARATOR).load(folder)
     writer = texts.writeStream.foreachBatch(lambda batch, _: ingest(store, batch, replays)).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -79,6 +79,11 @@ STATEMENTS = [
     "SELECT json_set('{\"a\":1}', '$.a', 2, '$.b', 'x', '$.c', NULL), json_set('{\"a\":[1,2]}', '$.a[1]', 9, '$.a[#]', 10, '$.a[#-1]', 11), json_set('{\"a\":1.50}', '$.x.y[0].z', 1.5)",
     "SELECT json_insert('{\"a\":1}', '$.a', 2, '$.b', json('[1, {\"q\": 2}]')), json_replace('{\"a\":1}', '$.a', 'é', '$.b', 2), json_replace('[1,2]', '$[5]', 0)",
     "SELECT json_remove('{\"a\":1,\"b\":[1,2,3]}', '$.a', '$.b[1]', '$.zz'), json_remove('[1]', '$'), json_patch('{\"a\":{\"x\":1,\"y\":2},\"b\":3}', '{\"a\":{\"y\":null,\"z\":[1]},\"b\":null}')",
+    "SELECT ctx_id, value, sum(ctx_id) OVER (PARTITION BY filename ORDER BY ctx_id GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS s, count(*) OVER (ORDER BY ctx_id DESC GROUPS 2 PRECEDING) AS n FROM logs WHERE ctx_id > 0",
+    "SELECT value, max(ctx_id) OVER (ORDER BY value GROUPS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING EXCLUDE NO OTHERS) FROM logs l",
+    "SELECT ctx_id, sum(ctx_id) OVER (PARTITION BY filename ORDER BY ctx_id RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW) AS a, count(value) OVER (ORDER BY ctx_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE TIES) AS b FROM logs WHERE ctx_id IS NOT NULL",
+    "SELECT ctx_id, avg(ctx_id) OVER (ORDER BY ctx_id GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE GROUP) AS a, count(*) OVER (ORDER BY ctx_id GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE TIES) AS b, sum(ctx_id) OVER (ORDER BY ctx_id GROUPS BETWEEN 2 PRECEDING AND 1 PRECEDING EXCLUDE GROUP) AS c FROM (SELECT * FROM logs WHERE ctx_id < 6) AS s",
+    "SELECT iteration, sum(iteration) OVER (ORDER BY ctx_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW) AS s, avg(iteration) OVER (ORDER BY ctx_id ROWS BETWEEN CURRENT ROW AND CURRENT ROW EXCLUDE CURRENT ROW) AS none FROM loops",
 ]
 
 
@@ -153,6 +158,9 @@ def test_statements_with_other_names(spark, both):
     assert sql.query(logs, loops, "SELECT 'a\\b' AS x, 'say \"it''s\"' AS y", typed=False).first() == ("a\\b", 'say "it\'s"')
     with pytest.raises(ValueError):
         respell(spark, "SELECT (1))")
+    for bad in ("SELECT min(a) OVER (ORDER BY a ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW) FROM t", "SELECT sum(a) OVER (ORDER BY a ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE TIES) FROM t", "SELECT sum(a) OVER (ORDER BY a GROUPS 1 PRECEDING) FROM t JOIN u"):
+        with pytest.raises(ValueError):
+            respell(spark, bad)
     with pytest.raises(ValueError):
         respell(spark, "SELECT date('2024-01-01', '+1 fortnight')")
 
