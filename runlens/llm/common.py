@@ -24,7 +24,7 @@ UNKNOWN_BYTES = 1 << 45
 LAST_ID = (1 << 63) - 1
 
 
-def input_bytes(df: DataFrame) -> int:
+def input_bytes(df: DataFrame, text: str = "text") -> int:
     """Size of the scanned files as the optimizer knows it; no job runs.
 
     Where it doesn't know (frames that don't come from files), the texts are measured.
@@ -33,7 +33,7 @@ def input_bytes(df: DataFrame) -> int:
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size < UNKNOWN_BYTES:
         return size
-    return (df.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
+    return (df.agg(F.sum(F.octet_length(text))).first()[0] or 0) // 2
 
 
 def rank(doc_id: str = "doc_id") -> Column:

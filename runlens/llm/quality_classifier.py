@@ -25,7 +25,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 MAX_FIT_ROWS = 4_000
 DIMENSION, NONZERO, NEAR, HIDDEN = 64, 6, 2, 32
-MIN_DOCS, THRESHOLD, CHUNK = 5, 0.7, 256
+MIN_DOCS, THRESHOLD, CHUNK, MOST_WORDS = 5, 0.7, 256, 300_000
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|([^\w\s]|_)\1*")
 RARE, AGAIN, CAPS = "=rare", "=again", "^caps"
 
@@ -68,14 +68,27 @@ class Words:
 
     places: dict
     vectors: np.ndarray
+    met: dict = field(default_factory=dict)  # words that a task has met, with their tokens' places
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"met": {}}
+
+    def places_of(self, word: str) -> list:
+        found = self.met.get(word)
+        if found is None:
+            if len(self.met) >= MOST_WORDS:
+                self.met.clear()
+            rare = self.places[RARE]
+            found = self.met[word] = [self.places.get(t, rare) for t in word_tokens(word)]
+        return found
 
     def pool(self, texts: list) -> np.ndarray:
         split = [(t or "").split() for t in texts]
         sizes = np.array([len(w) for w in split], np.int64)
         known: dict = {}
         ids = np.fromiter((known.setdefault(w, len(known)) for words in split for w in words), np.int64, int(sizes.sum()))
-        rare, of_word = self.places[RARE], np.zeros((len(known), DIMENSION + 1), np.float32)
-        parts = [[self.places.get(t, rare) for t in word_tokens(w)] for w in known]
+        of_word = np.zeros((len(known), DIMENSION + 1), np.float32)
+        parts = [self.places_of(w) for w in known]
         lengths = np.array([len(p) for p in parts], np.int64)
         if lengths.sum():
             flat = self.vectors[np.fromiter((t for p in parts for t in p), np.int64, int(lengths.sum()))]
@@ -96,11 +109,13 @@ class Words:
 
 def word_vectors(texts: list) -> Words:
     """Random indexing over the sample."""
-    streams = []
+    streams, of_word = [], {}
     for text in texts:
         stream, before = [], None
         for word in (text or "").split():
-            stream += word_tokens(word)
+            if word not in of_word:
+                of_word[word] = word_tokens(word)
+            stream += of_word[word]
             if word == before:
                 stream.append(AGAIN)
             before = word
@@ -109,16 +124,20 @@ def word_vectors(texts: list) -> Words:
     names = [RARE, AGAIN, *sorted(t for t, n in held.items() if n >= MIN_DOCS and t != AGAIN)]
     places = {t: k for k, t in enumerate(names)}
     index = index_vectors(names)
-    near, seen = np.zeros_like(index), np.zeros(len(names), np.float32)
-    for stream in streams:
-        ids = np.array([places.get(t, 0) for t in stream], np.int64)
-        own = index[ids]
+    near, seen = np.zeros((len(names), DIMENSION), np.float64), np.zeros(len(names), np.float32)
+    for a in range(0, len(streams), CHUNK):
+        # texts one behind the other, far enough apart that none is near another; the gaps' vector is zero
+        parts = [np.r_[np.array([places.get(t, 0) for t in s], np.int64), np.full(NEAR, len(names))] for s in streams[a : a + CHUNK]]
+        ids = np.concatenate(parts)
+        own = np.concatenate([index, np.zeros((1, DIMENSION), np.float32)])[ids]
         around = np.zeros_like(own)
         for k in range(1, NEAR + 1):
             around[k:] += own[:-k]
             around[:-k] += own[k:]
-        np.add.at(near, ids, around)
-        seen += np.bincount(ids, minlength=len(names))
+        for c in range(DIMENSION):
+            near[:, c] += np.bincount(ids, around[:, c], len(names) + 1)[:-1]
+        seen += np.bincount(ids, minlength=len(names) + 1)[:-1]
+    near = near.astype(np.float32)
     near /= np.maximum(seen, 1)[:, None] * 2 * NEAR
     return Words(places, index + near)
 

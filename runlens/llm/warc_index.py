@@ -42,9 +42,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import input_bytes, shared_dir
 
 BLOCK_LINES = 500
+#: Bytes of the pages' files that make an archive: the number of archives grows with the input, and one is what a task writes or reads.
+ARCHIVE_BYTES = 1 << 30
 DATE = "2024-01-01T00:00:00Z"
 DIRECTORY = "first_key string, last_key string, archive string, blocks string, place long, length long, n_lines int"
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
@@ -167,7 +169,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 
     rows = mark_revisits(captures(pages), min_bytes)
-    ordered = rows.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    n = max(pages.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(pages, "html") // ARCHIVE_BYTES))
+    ordered = rows.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id")
     directory = ordered.mapInArrow(write, DIRECTORY).select("first_key", "last_key", F.concat(F.lit(folder + "/"), "archive").alias("archive"), F.concat(F.lit(folder + "/"), "blocks").alias("blocks"), "place", "length", "n_lines")
     path = f"{folder}/directory"
     directory.write.parquet(path)  # only the files that this names are part of the result

@@ -373,6 +373,22 @@ def test_warc(spark):
     assert warc_index.read_archives(empty).collect() == [] == warc_index.read_captures(empty, pages).collect()
 
 
+def test_warc_archives_grow_with_the_input(spark, tmp_path, monkeypatch):
+    """As many archives, and tasks that write and read them, as the input's bytes ask for, also of one hot URL."""
+    monkeypatch.setattr(warc_index, "ARCHIVE_BYTES", 5_000)
+    made = {}
+    for scale in (1, 10):
+        rows = [(k, "http://one.example/hot" if k % 3 else f"http://h{k % 7}.example/p{k}", hashlib.sha512(str(k).encode()).hexdigest() * 4) for k in range(300 * scale)]
+        path = str(tmp_path / f"pages{scale}")
+        spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(path)
+        pages = spark.read.parquet(path)
+        directory = warc_index.write_archives(pages)
+        made[scale] = directory.select("archive").distinct().count()
+        found = warc_index.read_captures(directory, pages.select("url"))
+        assert sorted(r["page_id"] for r in found.collect()) == list(range(300 * scale))
+    assert made[10] >= 5 * made[1] and made[10] > 20
+
+
 def test_warc_blocks_and_binary_search(spark, monkeypatch):
     monkeypatch.setattr(warc_index, "BLOCK_LINES", 7)
     pages = spark.createDataFrame([(k, f"http://h{k % 5}.net/p{k}", f"page {k}") for k in range(200)] + [(1000 + k, "http://h1.net/same", f"v{k}") for k in range(20)], "page_id long, url string, html string")
