@@ -151,6 +151,19 @@ def natural_full_join(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(renamed, cond, "full").select(*merged, *(F.col(f"`{c}`") for c in right.columns if c not in shared))
 
 
+def run_level_join(deep: DataFrame, flat: DataFrame, deep_runs: DataFrame) -> DataFrame:
+    """The full outer join on the run keys alone, where one side has no loop columns.
+
+    As a left join and the flat side's runs that the deep one lacks, it can be split where one run
+    has very many rounds, or broadcast, which full outer joins can't.  ``deep_runs`` are the run keys of ``deep``.
+    """
+    same = lambda side: [F.col(c).eqNullSafe(F.col(f"{side}{c}")) for c in RUN_KEYS]
+    added = [c for c in flat.columns if c not in RUN_KEYS]
+    both = deep.join(flat.withColumnsRenamed({c: f"_right_{c}" for c in RUN_KEYS}), same("_right_"), "left").select(*(F.col(f"`{c}`") for c in [*deep.columns, *added]))
+    alone = flat.join(deep_runs.select(*(F.col(c).alias(f"_held_{c}") for c in RUN_KEYS)).distinct(), same("_held_"), "left_anti")
+    return both.unionByName(alone, allowMissingColumns=True)
+
+
 def dataframe(logs: DataFrame, loops: DataFrame, *names: str, typed: bool = False, paths: DataFrame | None = None, fuse: bool = True) -> DataFrame:
     """Wide frame of the named values; without names, the star pivot of all top-level ones.
 
@@ -174,20 +187,33 @@ def dataframe(logs: DataFrame, loops: DataFrame, *names: str, typed: bool = Fals
             groups[-1].append(n)
         else:
             groups.append([n])
-    out = None
+    out, there, held = None, set(), F.lit(False)  # the frame, its loop columns, and which of the rows are in it
+
+    def add(part: DataFrame, shape: Shape, own: Column) -> None:
+        nonlocal out, there, held
+        if out is None:
+            out = part
+        elif bool(there) != bool(shape.names) and not there & set(shape.names):
+            deep, flat, runs = (out, part, held) if there else (part, out, own)
+            columns = [*out.columns, *(c for c in part.columns if c not in out.columns)]
+            out = run_level_join(deep, flat, rows.where(runs).select(*RUN_KEYS)).select(*(F.col(f"`{c}`") for c in columns))
+        else:
+            out = natural_full_join(out, part)
+        there, held = there | set(shape.names), held | own
+
     for group in groups:
         shape = found[group[0]]
-        there = set() if out is None else set(out.columns)
+        of = lambda names, depth=shape.depth: F.col("value_name").isin(names) & (F.col("depth") == depth)
         if len(group) == 1 or not (out is None or set(shape.names) <= there or shape.full - there):
-            for part in (_single(rows, n, found[n]) for n in group):
-                out = part if out is None else natural_full_join(out, part)
+            for n in group:
+                add(_single(rows, n, found[n]), found[n], of([n]))
             continue
         fused = _fused(rows, group, shape)
         if out is None or set(shape.names) <= there:
-            out = fused.drop(_FIRST) if out is None else natural_full_join(out, fused.drop(_FIRST))
+            add(fused.drop(_FIRST), shape, of(group))
         else:
             # names after the first join on the new loop column, too: a row without the first meets no earlier row
-            joined = natural_full_join(out, fused.where(_FIRST).drop(_FIRST))
-            out = joined.unionByName(fused.where(~F.col(_FIRST)).drop(_FIRST), allowMissingColumns=True)
+            add(fused.where(_FIRST).drop(_FIRST), shape, of(group[:1]))
+            out, held = out.unionByName(fused.where(~F.col(_FIRST)).drop(_FIRST), allowMissingColumns=True), held | of(group)
     out = out.select(*(F.col(f"`{c}`") for c in [*(c for c in out.columns if c not in wanted), *wanted]))
     return infer_types(out, wanted) if typed else out

@@ -190,3 +190,23 @@ def test_fused_later_equals_joined(spark):
     for names in (("acc", "loss", "grad", "norm"), ("loss", "grad", "acc", "lr", "norm"), ("lr", "acc", "norm", "loss")):
         fused, joined = (sorted(map(repr, pivot.dataframe(*frames, *names, fuse=f).collect())) for f in (True, False))
         assert fused == joined and fused
+
+
+def test_run_level_names_join_without_a_full_join(spark):
+    """A run of very many rounds is no key of a full outer join; the rows are those of one."""
+    import datetime
+
+    stamp = lambda k: datetime.datetime(2024, 1, 1, 0, 0, k)
+    rows = [("p", stamp(r), "f", r * 100 + e, "loss", str(e), 1) for r in (1, 2, 3) for e in range(1, 5)]
+    rows += [("p", stamp(r), "f", None, "lr", v, 1) for r in (2, 3, 4) for v in ("0.1", "0.2")[: r % 2 + 1]] + [(None, None, "f", None, "lr", "0.5", 1), (None, None, "f", 101, "loss", "9", 1)]
+    loops = spark.createDataFrame([(r * 100 + e, None, "epoch", e, None) for r in (1, 2, 3) for e in range(1, 5)], LOOPS)
+    logs = spark.createDataFrame(rows, LOGS)
+    for names in (("loss", "lr"), ("lr", "loss")):
+        found = pivot.dataframe(logs, loops, *names)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "FullOuter" not in plan and "NestedLoop" not in plan
+        alone = [pivot.dataframe(logs, loops, n) for n in names]
+        full = pivot.natural_full_join(*alone)
+        shown = lambda df: sorted((tuple(r[c] for c in ("epoch", "projid", "tstamp", "filename", "loss", "lr")) for r in df.collect()), key=repr)
+        assert shown(found) == shown(full)
+        assert found.columns == [c for c in full.columns if c not in names] + list(names)
