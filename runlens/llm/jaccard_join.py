@@ -456,24 +456,33 @@ def cross_pairs(part: np.ndarray, n: np.ndarray, bits: np.ndarray, most: int, pe
 
 #: Members of a group that one task compares with each other, or with as many others, and
 #: members of groups of one head in a chunk, which one task takes.
-TILE, CHUNK_ROWS = 2048, 8192
+TILE, CHUNK_ROWS = 2048, 2048
 LIKELY = "left long, right long, gid long, low int, high int"
 
 
 def _likely(most: int, percent: int):
-    """Likely pairs within the units of a chunk, and the units (gid, low, high) of which some were put off."""
-
-    def pairs(chunk: pa.Table) -> pa.Table:
-        gid, low, high = (chunk.column(c).to_numpy() for c in ("gid", "low", "high"))
-        order = np.lexsort((chunk.column("ref").to_numpy(), high, low, gid))
-        gid, low, high = gid[order], low[order], high[order]
-        ref, part, n, tile = (chunk.column(c).to_numpy()[order] for c in ("ref", "part", "n", "tile"))
-        raw = chunk.column("bits").to_pylist()
+    """Likely pairs within the units of a chunk, and the units (gid, low, high) of which some were put off.
+
+    A document's bitmap comes once a chunk, however many of its units the document is in.
+    """
+
+    def pairs(chunk: pa.Table, documents: pa.Table) -> pa.Table:
+        gid, low, high, ref, tile = (chunk.column(c).to_numpy() for c in ("gid", "low", "high", "ref", "tile"))
+        order = np.lexsort((ref, high, low, gid))
+        gid, low, high, ref, tile = (c[order] for c in (gid, low, high, ref, tile))
+        known = documents.column("doc").to_numpy()
+        by = np.argsort(known)
+        at = by[np.searchsorted(known[by], ref)]
+        part, n = (documents.column(c).to_numpy()[at] for c in ("part", "n"))
+        raw = [np.frombuffer(v, np.uint8) for v in documents.column("bits").to_pylist()]
         out, put_off = [], []
         starts = np.flatnonzero(np.r_[True, (gid[1:] != gid[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
         for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(gid)]):
-            size = min(len(raw[k]) for k in order[a:z])
-            bits = np.stack([folded(np.frombuffer(raw[k], np.uint8), size) for k in order[a:z]]).view(np.uint64)
+            if (part[a:z] == part[a]).all():
+                continue
+            own = [raw[k] for k in at[a:z].tolist()]
+            size = min(map(len, own))
+            bits = np.stack([folded(v, size) for v in own]).view(np.uint64)
             sides = None if low[a] == high[a] else tile[a:z] == low[a]
             found, more = cross_pairs(part[a:z], n[a:z], bits, most, percent, sides)
             out += [(a + i, a + j) for i, j in found]
@@ -535,20 +544,22 @@ def _components(blocks: DataFrame, found: DataFrame, plans: list, n_blocks: int,
     sent = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_send_all(plans, max(4, n_blocks // 2), n, percent), repeats.FILTER_SCHEMA)
     groups = materialise(_distinct_groups(materialise(sent.groupBy("bucket").applyInArrow(_groups, FOUND), "split")), "groups")
     tiles = F.ceil(F.col("size") / TILE).cast("int")
-    heads = groups.groupBy(F.col("refs")[0].alias("head")).agg(F.ceil(F.sum(F.col("size") * tiles) / CHUNK_ROWS).alias("pieces"))
+    heads = groups.groupBy(F.col("refs")[0].alias("head")).agg(F.ceil(F.sum("size") / CHUNK_ROWS).alias("pieces"))
     groups = groups.withColumn("head", F.col("refs")[0]).join(heads, "head")
-    # groups of one head often meet the same pairs: they go to one chunk as far as its size allows
-    chunk = F.xxhash64("head", F.pmod("gid", "pieces"))
-    members = groups.select("gid", chunk.alias("chunk"), tiles.alias("tiles"), F.explode("refs").alias("ref")).withColumn("tile", F.pmod(F.xxhash64("ref", "gid"), F.col("tiles")).cast("int"))
-    units = members.select("gid", "chunk", "ref", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    units = materialise(units.select("gid", "chunk", "ref", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")), "units")
+    members = groups.select("gid", "head", F.pmod("gid", "pieces").alias("piece"), tiles.alias("tiles"), F.explode("refs").alias("ref"))
+    members = members.withColumn("tile", F.pmod(F.xxhash64("ref", "gid"), F.col("tiles")).cast("int"))
+    units = members.select("gid", "head", "piece", "ref", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    units = units.withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
+    # groups of one head often have the same members: they go to one chunk as far as its size allows, each pair of tiles to one of its own
+    units = materialise(units.select("gid", F.xxhash64("head", "piece", "low", "high").alias("chunk"), "ref", "tile", "low", "high"), "units")
     met = materialise(bitmaps.join(units.select("ref").distinct(), "ref", "left_semi"), "met")
-    key, chunks, most = ["gid", "low", "high"], max(4, -(-8 * units.count() // CHUNK_ROWS)), 16
+    key, chunks, most = ["gid", "low", "high"], max(4, -(-2 * units.count() // CHUNK_ROWS)), 16
+    part = F.coalesce("component", "ref").alias("part")
     while True:
-        named = met.join(parts.withColumnRenamed("id", "ref"), "ref", "left").withColumn("part", F.coalesce("component", "ref")).drop("component")
-        split = units.join(named.select("ref", "part"), "ref").groupBy(*key).agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select(*key)
-        rows = units.join(split, key, "left_semi").join(named, "ref").withColumn("chunk", F.pmod("chunk", F.lit(chunks)))
-        found = materialise(rows.groupBy("chunk").applyInArrow(_likely(most, percent), LIKELY), "likely")
+        labels = parts.withColumnRenamed("id", "ref")
+        dealt = units.withColumn("chunk", F.pmod("chunk", F.lit(chunks)))
+        placed = dealt.select(F.col("chunk").alias("goes_to"), "ref").distinct().join(met.join(labels, "ref", "left").select("ref", "n", "bits", part), "ref").withColumnRenamed("ref", "doc")
+        found = materialise(dealt.groupBy("chunk").cogroup(placed.groupBy("goes_to")).applyInArrow(_likely(most, percent), LIKELY), "likely")
         likely = found.where("gid is null").select("left", "right").distinct().join(tested, ["left", "right"], "left_anti")
         likely = materialise(likely, "likely")
         if not likely.isEmpty():
@@ -559,9 +570,11 @@ def _components(blocks: DataFrame, found: DataFrame, plans: list, n_blocks: int,
         put_off = found.where("gid is not null").select(*key)
         if put_off.isEmpty():
             return parts
-        units, tested, most = units.join(put_off, key, "left_semi"), tested.unionByName(likely), most * 16
-
-
+        # of the units with pairs put off, those that are still split; a unit has two tiles of members at most
+        late = units.join(put_off, key, "left_semi").join(parts.withColumnRenamed("id", "ref"), "ref", "left").withColumn("part", part)
+        late = late.groupBy(*key).agg(F.first("chunk").alias("chunk"), F.min("part").alias("least"), F.max("part").alias("most"), F.collect_list(F.struct("ref", "tile")).alias("members"))
+        units = materialise(late.where("least < most").select(*key, "chunk", F.inline("members")), "units")
+        tested, most = tested.unionByName(likely), most * 16
 
 
 def join_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
