@@ -403,26 +403,37 @@ def verify(likely: DataFrame, blocks: DataFrame, n: int, percent: int) -> DataFr
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable, for every id that has a link.
 
-    Alternating large-star and small-star steps; each round's edges are written to
-    the shared folder, and only a count and a sum come to the driver.
+    Alternating large-star and small-star steps, until every id has one edge, to an id
+    without one; each round's edges are written to the shared folder, and only a count
+    comes to the driver.
     """
     edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = None
+    up, down = (F.struct(F.col(c).alias("id"), F.lit(int(c == "u")).alias("above"), F.lit(int(c == "v")).alias("below")) for c in "uv")
     while True:
+        ends = edges.select(F.inline(F.array(up, down))).groupBy("id").agg(F.sum("above").alias("above"), F.max("below").alias("below"))
+        if not ends.where("above > 1 or (above = 1 and below = 1)").agg(F.count("*")).first()[0]:
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select("u", F.col("m").alias("v")))
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(lowest.select("u", F.col("m").alias("v")))
         edges = materialise(small.distinct(), "links")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
-        if now == before:
-            break
-        before = now
     roots = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
+def grown_by(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """``parts`` (id, component) after further links (a, b), which are followed between components only."""
+    held = [parts.select(F.col("id").alias(side), F.col("component").alias(f"{side}_part")) for side in ("a", "b")]
+    between = materialise(links.join(held[0], "a", "left").join(held[1], "b", "left"), "between")
+    merged = components(between.select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b")))
+    alone = [between.where(F.col(f"{side}_part").isNull()).select(F.col(side).alias("id")) for side in ("a", "b")]
+    members = parts.unionByName(alone[0].union(alone[1]).distinct().select("id", F.col("id").alias("component")))
+    placed = members.join(merged.select(F.col("id").alias("component"), F.col("component").alias("now")), "component", "left")
+    return materialise(placed.select("id", F.coalesce("now", "component").alias("component")), "parts")
+
+
 #: Bitmaps compared at once.
 COMPARED_BYTES = 1 << 22
 
@@ -563,10 +574,9 @@ def _components(blocks: DataFrame, found: DataFrame, plans: list, n_blocks: int,
         likely = found.where("gid is null").select("left", "right").distinct().join(tested, ["left", "right"], "left_anti")
         likely = materialise(likely, "likely")
         if not likely.isEmpty():
-            grown = verify(likely, blocks, n, percent)
-            if not grown.isEmpty():
-                links = links.unionByName(grown)
-                parts = components(links)
+            links = verify(likely, blocks, n, percent)
+            if not links.isEmpty():
+                parts = grown_by(parts, links)
         put_off = found.where("gid is not null").select(*key)
         if put_off.isEmpty():
             return parts
