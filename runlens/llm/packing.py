@@ -54,6 +54,8 @@ SHARD_DOCS, K1, B = 512, 1.2, 0.75
 #: Numbers in a sketch, sampled tails a shard, and the most and the least (in a node that is split) of them.
 DIMS, SAMPLES, MAX_SAMPLE, LEAST_SAMPLE = 64, 16, 1 << 17, 8
 VOCABULARY = 1 << 16
+#: Bits of a sequence's number in its shard, also where repeated rows fill one; shards are under 2**31 as well.
+NUMBER_BITS = 31
 _OTHER = re.compile("[^\x00-\u024f\u2000-\u206f]")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _TOKENIZED = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("terms", pa.binary())])
@@ -259,7 +261,7 @@ def pack_shard(rows: list, idf: np.ndarray, shard: int, mean: float | None = Non
     begin, used, out, number = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool), [], 0
     while not used.all():
         seed = int(np.argmax(np.where(used, -1, left)))
-        sequence, offset = (shard << 20 | number) * 2 + 1, 0
+        sequence, offset = (shard << NUMBER_BITS | number) * 2 + 1, 0
 
         def put(k: int, n: int) -> None:
             nonlocal offset
