@@ -136,16 +136,22 @@ def _is_common(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
     return maybe[common[at] == hashes[maybe]]
 
 
-def find_runs(hashes: np.ndarray, sizes: np.ndarray, window: int, gram: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Windows whose minimisers are found at once; a place among them and their grams fits in ``_POS``.
+PIECE = 1 << 27
+
+
+def find_runs(hashes: np.ndarray, sizes: np.ndarray, window: int, gram: int, common: np.ndarray | None = None, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs over concatenated documents of ``sizes`` units: first and last window start, minimiser place."""
     total, none = int(sizes.sum()), np.empty(0, np.int64)
     if total < window:
         return none, none, none
-    assert total < 1 << 28, "a block holds under 2**28 units"
-    keys = (hashes >> np.uint64(1)) & ~_POS | np.arange(len(hashes), dtype=np.uint64)
-    if common is not None and len(common):
-        keys[_is_common(hashes, common)] |= np.uint64(1 << 63)
-    place = (sliding_min(keys, window - gram + 1) & _POS).astype(np.int64)
+    place = np.empty(total - window + 1, np.int64)
+    for a in range(0, len(place), piece):
+        own = hashes[a : min(a + piece, len(place)) + window - gram]
+        keys = (own >> np.uint64(1)) & ~_POS | np.arange(len(own), dtype=np.uint64)
+        if common is not None and len(common):
+            keys[_is_common(own, common)] |= np.uint64(1 << 63)
+        place[a : a + piece] = (sliding_min(keys, window - gram + 1) & _POS).astype(np.int64) + a
     ends = np.cumsum(sizes)
     valid = np.ones(len(place), bool)
     for a, b in zip(np.maximum(ends - window + 1, ends - sizes), ends):  # windows that would leave their document
