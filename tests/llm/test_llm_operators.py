@@ -156,6 +156,17 @@ def test_runs_cover_all_windows_once():
     assert ((place >= first) & (place <= last + 42)).all()
 
 
+@pytest.mark.parametrize("piece", [1, 7, 64, 1950, 1951])
+def test_runs_do_not_depend_on_the_piece(piece):
+    """Blocks of more units than a piece are scanned piece by piece, with the same runs."""
+    units = np.array([rng.randrange(1, 9) for _ in range(2000)], np.uint64)
+    sizes, hashes = np.array([1500, 500]), repeats.gram_hashes(units, 8)
+    common = np.unique(hashes[::50])
+    for known in (None, common):
+        whole, pieces = (repeats.find_runs(hashes, sizes, 50, 8, known, n) for n in (repeats.PIECE, piece))
+        assert [x.tolist() for x in whole] == [x.tolist() for x in pieces]
+
+
 def line_key(line):
     key = line.strip(" \t\n\x0b\x0c\r")
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in key)
@@ -289,6 +300,35 @@ def test_jaccard_join(docs, rows, none):
     assert jaccard_join.join_components(none).collect() == []
 
 
+def union_find(links):
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        p, q = root(a), root(b)
+        parent[max(p, q)] = min(p, q)
+    return sorted((x, root(x)) for x in list(parent))
+
+
+def test_components_grow(spark):
+    """Chains, stars and loops in one go, and by links that come later: within, between and beside components."""
+    links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(300, 301), (301, 300), (300, 301)]
+    links += [(rng.randrange(400, 700), rng.randrange(400, 700)) for _ in range(200)]
+    links = [(a, b) for a, b in links if a != b]
+    later = [(0, 40), (159, 39), (301, 2), (900, 901), (901, 902), (902, 100), (950, 951)] + [(rng.randrange(400, 900), rng.randrange(400, 900)) for _ in range(80)]
+    later = [(a, b) for a, b in later if a != b]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    parts = jaccard_join.components(frame(links))
+    assert by_row(parts, "id", "component") == sorted(union_find(links), key=repr)
+    assert by_row(jaccard_join.grown_by(parts, frame(later)), "id", "component") == sorted(union_find(links + later), key=repr)
+    nothing = jaccard_join.components(frame([]))
+    assert nothing.collect() == [] and by_row(jaccard_join.grown_by(nothing, frame(later)), "id", "component") == sorted(union_find(later), key=repr)
+
+
 def test_jaccard_join_many_sizes(spark):
     """Copies with a growing number of edits, of all sizes, and chains of near copies."""
     out, k = [], 0
