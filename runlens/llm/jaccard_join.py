@@ -596,7 +596,8 @@ def join_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     parts = _components(blocks, found, plans, n_blocks, n, percent).withColumnRenamed("id", "ref")
     counted = _nodes(found).select("ref", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles")).join(parts, "ref", "left")
     least = counted.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return counted.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # rows without links are joined under their own ref, so that no partition takes all of them
+    return counted.withColumn("component", F.coalesce("component", "ref")).join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def copies_to_drop(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -610,7 +611,7 @@ def copies_to_drop(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) ->
     parts = _components(blocks, found, plans, n_blocks, n, percent).withColumnRenamed("id", "ref")
     nodes = _nodes(found).where("id is not null").select("ref", "id", "key").join(parts, "ref", "left")
     chosen = nodes.where("component is not null").groupBy("component").agg(F.min(F.struct("id", "ref")).alias("one"))
-    judged = nodes.join(chosen, "component", "left").withColumn("kept", F.coalesce(F.col("ref") == F.col("one.ref"), F.lit(True)))
+    judged = nodes.withColumn("component", F.coalesce("component", "ref")).join(chosen, "component", "left").withColumn("kept", F.coalesce(F.col("ref") == F.col("one.ref"), F.lit(True)))
     return judged.groupBy(F.col("id").alias("doc_id"), F.col("key").alias("text_key")).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("rows")).where("not kept or rows > 1")
 
 
