@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import PATHS
-from ..scratch import materialise
+from ..scratch import materialise, settings
 
 
 def distinct_loops(loops: DataFrame) -> DataFrame:
@@ -45,12 +45,15 @@ def context_paths(loops: DataFrame, known: DataFrame | None = None) -> DataFrame
         out = out.unionByName(frontier)
 
 
-def context_paths_sql(loops: DataFrame, levels: int = 100) -> DataFrame:
-    """The same by a recursive CTE: one lazy plan, for modest tables.
+#: Spark stops a recursion of more rows than this setting says; -1 is no limit.
+ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
 
-    Spark bounds recursion by ``spark.sql.cteRecursionRowLimit`` rows.
-    """
-    return loops.sparkSession.sql(
+
+def context_paths_sql(loops: DataFrame, levels: int = 100) -> DataFrame:
+    """The same by a recursive CTE, of any number of rows: written once, while the session's limit of rows is lifted."""
+    spark = loops.sparkSession
+    own = materialise(distinct_loops(loops), "contexts")  # every level reads them again
+    walk = spark.sql(
         f"""
         WITH RECURSIVE walk(ctx_id, depth, path) MAX RECURSION LEVEL {int(levels)} AS (
           SELECT ctx_id, 1, array(named_struct('name', l_name, 'iteration', cast(iteration AS bigint), 'value', l_value)) FROM {{own}} WHERE p_ctx_id IS NULL
@@ -58,5 +61,7 @@ def context_paths_sql(loops: DataFrame, levels: int = 100) -> DataFrame:
           SELECT o.ctx_id, w.depth + 1, concat(w.path, array(named_struct('name', o.l_name, 'iteration', cast(o.iteration AS bigint), 'value', o.l_value)))
           FROM walk w JOIN {{own}} o ON o.p_ctx_id = w.ctx_id)
         SELECT * FROM walk""",
-        own=distinct_loops(loops),
+        own=own,
     )
+    with settings(spark, {ROW_LIMIT: "-1"}):
+        return materialise(walk, "paths")

@@ -36,6 +36,16 @@ def test_paths_two_levels_dangling_and_cycles(spark):
         assert found == {1: ["epoch"], 2: ["epoch"], 11: ["epoch", "step"], 12: ["epoch", "step"], 21: ["epoch", "step"]}
 
 
+def test_recursive_paths_of_more_rows_than_the_session_allows(spark):
+    _, l = frames(spark, [], LOOPS_2)
+    spark.conf.set(paths.ROW_LIMIT, "3")
+    try:
+        assert sorted(r["ctx_id"] for r in paths.context_paths_sql(l).collect()) == [1, 2, 11, 12, 21]
+        assert spark.conf.get(paths.ROW_LIMIT) == "3"
+    finally:
+        spark.conf.unset(paths.ROW_LIMIT)
+
+
 def test_run_level_value_spreads_over_iterations(spark):
     logs, loops = frames(spark, [log("lr", "0.1"), log("loss", "3", 11), log("loss", "2", 12), log("loss", "1", 21)], LOOPS_2)
     out = pivot.dataframe(logs, loops, "lr", "loss")
