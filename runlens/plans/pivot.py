@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.inference import infer_types
 from ..schema import RUN_KEYS, USER
-from ..scratch import materialise
+from ..scratch import spread
 from .paths import context_paths
 
 
@@ -44,11 +44,12 @@ def star(logs: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 @dataclass(frozen=True)
 class Shape:
-    """What one name's frame looks like: its depth and its loop columns, outermost first; ``full`` ones hold no null."""
+    """What one name's frame looks like: its depth and its loop columns, outermost first; ``full`` ones hold no null; its ``rows`` at most."""
 
     depth: int
     columns: tuple[tuple[str, str, str], ...]  # (column, loop, field)
     full: frozenset[str] = frozenset()
+    rows: int = field(default=0, compare=False)
 
     @property
     def names(self) -> list[str]:
@@ -84,7 +85,7 @@ def shapes(rows: DataFrame, names: list[str]) -> dict[str, Shape]:
     """
     steps = rows.select("value_name", "depth", F.posexplode_outer("path").alias("pos", "step"))
     twice = F.max(F.size(F.coalesce("path", F.array())) > F.size(F.array_distinct(F.transform(F.coalesce("path", F.array()), lambda s: s["name"]))))
-    nested = rows.groupBy("value_name", "depth").agg(twice.alias("twice"))
+    nested = rows.groupBy("value_name", "depth").agg(twice.alias("twice"), F.count("*").alias("rows"))
     flags = steps.groupBy("value_name", "depth", "pos", F.col("step.name").alias("loop")).agg(
         F.bool_or(F.col("step.iteration").isNull()).alias("no_number"), F.bool_and(F.col("step.value").isNull()).alias("no_value")
     )
@@ -106,13 +107,23 @@ def shapes(rows: DataFrame, names: list[str]) -> dict[str, Shape]:
                 columns.append((r["loop"], r["loop"], "iteration"))
             if not r["no_value"]:
                 columns.append((f"{r['loop']}_value", r["loop"], "value"))
-        out[name] = Shape(depth, tuple(dict.fromkeys(columns)), full)
+        out[name] = Shape(depth, tuple(dict.fromkeys(columns)), full, max((r["rows"] for r in own if r["depth"] == depth), default=0))
     return out
 
 
+#: Rows that a task groups by their keys, and most tasks: a shuffle into more holds whole splits of its input in memory.
+TASK_ROWS, MOST_TASKS = 1 << 17, 200
+
+
+def _dealt(df: DataFrame, columns: list[Column], rows: int) -> DataFrame:
+    """Rows dealt out by their keys, so that only a partition's rows are grouped at once, not those of a split of the input."""
+    return df.repartition(min(MOST_TASKS, max(1, -(-rows // TASK_ROWS))), *columns)
+
+
 def _single(rows: DataFrame, name: str, shape: Shape) -> DataFrame:
     own = rows.where((F.col("value_name") == name) & (F.col("depth") == shape.depth))
-    return own.select(*(_step(loop, field).alias(c) for c, loop, field in shape.columns), *RUN_KEYS, F.col("value").alias(name)).distinct()
+    out = own.select(*(_step(loop, field).alias(c) for c, loop, field in shape.columns), *RUN_KEYS, F.col("value").alias(name))
+    return _dealt(out, [F.col(f"`{c}`") for c in [*shape.names, *RUN_KEYS]], shape.rows).distinct()
 
 
 #: Column that tells whether a fused row has a value of the first name.
@@ -130,7 +141,7 @@ def _fused(rows: DataFrame, names: list[str], shape: Shape) -> DataFrame:
     sets = [F.collect_set(F.when(F.col("value_name") == n, F.col("held"))).alias(f"_set{k}") for k, n in enumerate(names)]
     keys = [*shape.names, *RUN_KEYS]
     quoted = [F.col(f"`{c}`") for c in keys]
-    out = keyed.groupBy(*quoted).agg(*sets).withColumn(_FIRST, F.size("_set0") > 0)
+    out = _dealt(keyed, quoted, shape.rows * len(names)).groupBy(*quoted).agg(*sets).withColumn(_FIRST, F.size("_set0") > 0)
     done: list[str] = []
     for k, n in enumerate(names):
         rest = [f"_set{j}" for j in range(k + 1, len(names))]
@@ -178,7 +189,7 @@ def dataframe(logs: DataFrame, loops: DataFrame, *names: str, typed: bool = Fals
         return infer_types(star(logs)) if typed else star(logs)
     wanted = list(dict.fromkeys(names))
     # written once: the shapes and every group of names read it again
-    rows = materialise(resolved(logs, context_paths(loops) if paths is None else paths, wanted), "pivot")
+    rows = spread(resolved(logs, context_paths(loops) if paths is None else paths, wanted), "pivot")
     found = shapes(rows, wanted)
     _check_names(wanted, [c for s in found.values() for c in s.names])
     groups: list[list[str]] = []

@@ -51,3 +51,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Shuffled bytes that a task of ``spread`` reads, and the least partitions that adaptive execution starts from.
+#: Tasks sort and group rows uncompressed, which takes ten times these bytes and more; a shuffle
+#: into more partitions than 200 would hold a whole split of its input in memory on the other side.
+TASK_BYTES, PARTITIONS = "8m", 200
+
+
+def spread(df: DataFrame, name: str) -> DataFrame:
+    """``materialise`` by tasks of few rows: until all partitions are in use, their number grows with the input, not the rows of one."""
+    spark = df.sparkSession
+    parts = max(PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    with settings(spark, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": TASK_BYTES, "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts)}):
+        return materialise(df, name)

@@ -32,29 +32,36 @@ def _logs(df: DataFrame, keys: tuple, ctx: Column | None, values: dict[str, Colu
 
 
 def _loops(df: DataFrame, ctx: Column, parent: Column | None, name: str, number: Column, value: Column | None) -> DataFrame:
+    """One row per input row: readers of large tables' loops keep one a context themselves, in one shuffle."""
     return df.select(
         ctx.cast("bigint").alias("ctx_id"),
         (F.lit(None) if parent is None else parent).cast("bigint").alias("p_ctx_id"),
         F.lit(name).alias("l_name"),
         number.cast("bigint").alias("iteration"),
         (F.lit(None) if value is None else value).cast("string").alias("l_value"),
-    ).distinct()
+    )
 
 
 def union(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Orders as rounds of a loop, lines as rounds of a loop nested in it; a run is a day and priority."""
+def orders(spark: SparkSession, sf_dir: str, names: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Orders as rounds of a loop, lines as rounds of a loop nested in it; a run is a day and priority.
+
+    A reader of some ``names`` alone says so: a filter on the exploded names doesn't reach the join and the scans below.
+    """
     o, l = _read(spark, sf_dir, "orders"), _read(spark, sf_dir, "lineitem")
     keys = (F.lit("tpch"), F.col("o_orderdate"), F.col("o_orderpriority"))
     order_ctx, line_ctx = F.col("o_orderkey") * 8, F.col("l_orderkey") * 8 + F.col("l_linenumber")
     lines = l.join(o.select("o_orderkey", "o_orderdate", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
-    logs = union(
-        _logs(o, keys, order_ctx, {"totalprice": money(F.col("o_totalprice")), "shared": money(F.col("o_totalprice"))}),
-        _logs(lines, keys, line_ctx, {"quantity": money(F.col("l_quantity")), "extendedprice": money(F.col("l_extendedprice")), "tax": money(F.col("l_tax")), "shared": money(F.col("l_tax"))}),
-    )
+    logged = [
+        (o, order_ctx, {"totalprice": money(F.col("o_totalprice")), "shared": money(F.col("o_totalprice"))}),
+        (lines, line_ctx, {"quantity": money(F.col("l_quantity")), "extendedprice": money(F.col("l_extendedprice")), "tax": money(F.col("l_tax")), "shared": money(F.col("l_tax"))}),
+    ]
+    if names is not None:
+        logged = [(df, ctx, own) for df, ctx, values in logged if (own := {n: v for n, v in values.items() if n in names})] or [(o.where(F.lit(False)), *logged[0][1:])]
+    logs = union(*(_logs(df, keys, ctx, values) for df, ctx, values in logged))
     loops = union(_loops(o, order_ctx, None, "order", F.col("o_orderkey"), None), _loops(l, line_ctx, F.col("l_orderkey") * 8, "line", F.col("l_linenumber"), None))
     return logs, loops
 
@@ -68,7 +75,7 @@ def events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         _logs(e, keys, None, {"value": money(F.col("value")), "props": F.col("props")}),
         _logs(e, keys, user, {"seen": F.col("event_id")}),
     )
-    return logs, _loops(e, user, None, "user", F.col("user_id"), None)
+    return logs, _loops(e, user, None, "user", F.col("user_id"), None).distinct()
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -81,7 +88,7 @@ def conversations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     width = (c.agg(F.max("turn")).first()[0] or 0) + 2
     top, turn = F.col("conv_id") * width, F.col("conv_id") * width + F.col("turn") + 1
     logs = _logs(c, keys, turn, {"role": F.col("role"), "text": F.col("text")})
-    return logs, union(_loops(c, top, None, "conversation", F.col("conv_id"), None), _loops(c, turn, top, "turn", F.col("turn"), F.concat(F.lit("t"), F.col("turn"))))
+    return logs, union(_loops(c, top, None, "conversation", F.col("conv_id"), None), _loops(c, turn, top, "turn", F.col("turn"), F.concat(F.lit("t"), F.col("turn")))).distinct()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -93,7 +100,7 @@ def documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         _logs(d, keys, F.col("doc_id"), {"lang": F.col("lang"), "n_chars": F.col("n_chars")}),
         _logs(labelled, keys, F.col("doc_id"), {"quality": F.col("quality"), "toxic": F.col("toxic")}),
     )
-    return logs, _loops(d, F.col("doc_id"), None, "document", F.col("doc_id"), None)
+    return logs, _loops(d, F.col("doc_id"), None, "document", F.col("doc_id"), None).distinct()
 
 
 def trainings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

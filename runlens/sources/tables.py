@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from ..plans.paths import context_paths
 from ..schema import LOGS, LOOPS, PATHS, RUN_KEYS
-from ..scratch import materialise
+from ..scratch import spread
 
 RUNS = T.StructType([f for f in LOGS if f.name in RUN_KEYS])
 TABLES = {"logs": LOGS, "loops": LOOPS, "paths": PATHS, "runs": RUNS, "pending": LOOPS}
@@ -171,17 +171,17 @@ class Store:
         base = base or self.snapshot()
         own = loops.where(F.col("ctx_id").isNotNull()).select(*(F.col(f.name).cast(f.dataType) for f in LOOPS)).dropDuplicates(["ctx_id"])
         if not new_contexts and base.folders.get("loops"):
-            own = materialise(own, "contexts")
+            own = spread(own, "contexts")
             low, high = own.agg(F.min("ctx_id"), F.max("ctx_id")).first()
             held = base.loops().where(F.col("ctx_id").between(low, high)) if low is not None else base.loops().limit(0)
-            own = materialise(own.join(held.select("ctx_id"), "ctx_id", "left_anti"), "contexts")
+            own = spread(own.join(held.select("ctx_id"), "ctx_id", "left_anti"), "contexts")
         added, replaced = {"logs": logs, "loops": own, "runs": logs.select(*RUN_KEYS).distinct()}, ()
         if paths is not None:
             added["paths"] = paths
         else:
             walked = own.unionByName(base.table("pending")) if base.folders.get("pending") else own
-            walked = materialise(walked.dropDuplicates(["ctx_id"]), "contexts")
-            found = materialise(context_paths(walked, base.paths() if base.folders.get("paths") else None), "paths")
+            walked = spread(walked.dropDuplicates(["ctx_id"]), "contexts")
+            found = spread(context_paths(walked, base.paths() if base.folders.get("paths") else None), "paths")
             added |= {"paths": found, "pending": walked.join(found.select("ctx_id"), "ctx_id", "left_anti")}
             replaced = ("pending",)
         return self.commit(base, added, replaced)
