@@ -330,7 +330,7 @@ _FRESH = f"SELECT 'tpch' AS projid, o_orderdate AS tstamp, o_orderpriority AS fi
 
 
 def _ingested(spark, sf_dir):
-    logs = adapters.orders(spark, sf_dir)[0].where("value_name = 'totalprice'")
+    logs = adapters.orders(spark, sf_dir, names=("totalprice",))[0]
     year = logs.agg(F.date_trunc("year", F.max("tstamp")).alias("_year"))
     # every third day before the last year is known
     known = logs.join(F.broadcast(year), F.col("tstamp") < F.col("_year")).where("dayofyear(tstamp) % 3 = 0").drop("_year")

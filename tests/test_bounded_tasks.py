@@ -2,7 +2,7 @@
 
 import pytest
 
-from runlens import scratch
+from runlens import queries, scratch
 from runlens.plans import paths, pivot
 from runlens.schema import LOOPS
 from runlens.sources import adapters
@@ -63,3 +63,9 @@ def test_named_orders_read_what_the_names_need(spark, sf_dir):
     assert not any("lineitem" in f for f in some.inputFiles())
     assert adapters.orders(spark, sf_dir, names=("absent",))[0].isEmpty()
     assert sorted(r[0] for r in adapters.orders(spark, sf_dir, names=("shared", "tax"))[0].select("value_name").distinct().collect()) == ["shared", "tax"]
+
+
+def test_ingested_orders_read_no_lines(spark, sf_dir):
+    logs, known = queries._ingested(spark, sf_dir)
+    assert not any("lineitem" in f for df in (logs, known) for f in df.inputFiles())
+    assert logs.count() > known.count() > 0
