@@ -438,10 +438,26 @@ def grown_by(parts: DataFrame, links: DataFrame) -> DataFrame:
 COMPARED_BYTES = 1 << 22
 
 
-def cross_pairs(part: np.ndarray, n: np.ndarray, bits: np.ndarray, most: int, percent: int = PERCENT, sides: np.ndarray | None = None) -> tuple[list, bool]:
+def earlier_groups(lists: list, gid: int) -> np.ndarray | None:
+    """Members' groups below ``gid`` that two of them share, as bits; two members with a bit in common meet in another group."""
+    flat = np.concatenate(lists)
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    below = flat < gid
+    groups, at, counts = np.unique(flat[below], return_inverse=True, return_counts=True)
+    if not (counts > 1).any():
+        return None
+    place = np.cumsum(counts > 1) - 1
+    shared = counts[at] > 1
+    out = np.zeros((len(lists), -(-int((counts > 1).sum()) // 64) * 64), np.uint8)
+    out[row[below][shared], place[at[shared]]] = 1
+    return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
+
+
+def cross_pairs(part: np.ndarray, n: np.ndarray, bits: np.ndarray, most: int, percent: int = PERCENT, sides: np.ndarray | None = None, earlier: np.ndarray | None = None) -> tuple[list, bool]:
     """Likely pairs (i, j) of members of different components, and whether any was put off.
 
-    With ``sides`` only pairs of members on different sides count.
+    With ``sides`` only pairs of members on different sides count, with ``earlier`` only those
+    that share no earlier group: of all groups of a pair, the first one compares it.
 
     A member pairs up with at most ``most`` others of one provisional component (likely
     pairs taken as links); once they are verified, the rest is mostly settled.
@@ -451,6 +467,8 @@ def cross_pairs(part: np.ndarray, n: np.ndarray, bits: np.ndarray, most: int, pe
     for i in range(len(part) - 1):
         apart = part[i + 1 :] != part[i]
         others = i + 1 + np.flatnonzero(apart if sides is None else apart & (sides[i + 1 :] != sides[i]))
+        if earlier is not None:
+            others = others[~(earlier[others] & earlier[i]).any(1)]
         chunks = [others[a : a + step] for a in range(0, len(others), step)]
         others = np.concatenate([c[may_link(bits[i], n[i], bits[c], n[c], percent)] for c in chunks] or [others])
         if not len(others):
@@ -474,7 +492,7 @@ LIKELY = "left long, right long, gid long, low int, high int"
 def _likely(most: int, percent: int):
     """Likely pairs within the units of a chunk, and the units (gid, low, high) of which some were put off.
 
-    A document's bitmap comes once a chunk, however many of its units the document is in.
+    A document's bitmap and groups come once a chunk, however many of its units the document is in.
     """
 
     def pairs(chunk: pa.Table, documents: pa.Table) -> pa.Table:
@@ -486,6 +504,9 @@ def _likely(most: int, percent: int):
         at = by[np.searchsorted(known[by], ref)]
         part, n = (documents.column(c).to_numpy()[at] for c in ("part", "n"))
         raw = [np.frombuffer(v, np.uint8) for v in documents.column("bits").to_pylist()]
+        held = documents.column("groups").combine_chunks()
+        ends, flat = held.offsets.to_numpy(), held.values.to_numpy()
+        groups = [flat[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
         out, put_off = [], []
         starts = np.flatnonzero(np.r_[True, (gid[1:] != gid[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
         for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(gid)]):
@@ -495,7 +516,8 @@ def _likely(most: int, percent: int):
             size = min(map(len, own))
             bits = np.stack([folded(v, size) for v in own]).view(np.uint64)
             sides = None if low[a] == high[a] else tile[a:z] == low[a]
-            found, more = cross_pairs(part[a:z], n[a:z], bits, most, percent, sides)
+            earlier = earlier_groups([groups[k] for k in at[a:z].tolist()], int(gid[a]))
+            found, more = cross_pairs(part[a:z], n[a:z], bits, most, percent, sides, earlier)
             out += [(a + i, a + j) for i, j in found]
             put_off += [a] if more else []
         i, j = np.array(list({(ref[a], ref[z]): (a, z) for a, z in out}.values()), np.int64).reshape(-1, 2).T
@@ -563,13 +585,14 @@ def _components(blocks: DataFrame, found: DataFrame, plans: list, n_blocks: int,
     units = units.withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
     # groups of one head often have the same members: they go to one chunk as far as its size allows, each pair of tiles to one of its own
     units = materialise(units.select("gid", F.xxhash64("head", "piece", "low", "high").alias("chunk"), "ref", "tile", "low", "high"), "units")
-    met = materialise(bitmaps.join(units.select("ref").distinct(), "ref", "left_semi"), "met")
+    # a document's groups tell which of a pair's groups comes first, in every round
+    met = materialise(bitmaps.join(units.groupBy("ref").agg(F.collect_set("gid").alias("groups")), "ref"), "met")
     key, chunks, most = ["gid", "low", "high"], max(4, -(-2 * units.count() // CHUNK_ROWS)), 16
     part = F.coalesce("component", "ref").alias("part")
     while True:
         labels = parts.withColumnRenamed("id", "ref")
         dealt = units.withColumn("chunk", F.pmod("chunk", F.lit(chunks)))
-        placed = dealt.select(F.col("chunk").alias("goes_to"), "ref").distinct().join(met.join(labels, "ref", "left").select("ref", "n", "bits", part), "ref").withColumnRenamed("ref", "doc")
+        placed = dealt.select(F.col("chunk").alias("goes_to"), "ref").distinct().join(met.join(labels, "ref", "left").select("ref", "n", "bits", "groups", part), "ref").withColumnRenamed("ref", "doc")
         found = materialise(dealt.groupBy("chunk").cogroup(placed.groupBy("goes_to")).applyInArrow(_likely(most, percent), LIKELY), "likely")
         likely = found.where("gid is null").select("left", "right").distinct().join(tested, ["left", "right"], "left_anti")
         likely = materialise(likely, "likely")

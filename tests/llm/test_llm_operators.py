@@ -580,3 +580,25 @@ def test_jaccard_large_groups_in_tiles(spark, monkeypatch):
 def test_layouts_reach_any_size():
     plans = jaccard_join.reaching(jaccard_join.layouts(1000), 3_000_000)
     assert plans[-1][1] >= 3_000_000 and all(a[1] + 1 == b[0] for a, b in zip(plans, plans[1:]))
+
+
+def test_pairs_of_many_groups_are_compared_in_one(monkeypatch):
+    """Two documents that share groups in several chunks are one likely pair, found in the first of their groups."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    hashes = [np.unique(rng.integers(0, 1 << 63, 60).astype(np.uint64))] * 4  # all alike, so that every pair is likely
+    members = {-7: [0, 1, 2], 3: [0, 1], 5: [0, 1, 2, 3], 9: [2, 3]}
+    groups = {d: sorted(g for g, held in members.items() if d in held) for d in range(4)}
+    found = []
+    for gid, held in members.items():  # a chunk a group
+        ids = pa.array(held, pa.int64())
+        same = lambda v, kind: pa.array([v] * len(held), kind)
+        chunk = pa.table({"gid": same(gid, pa.int64()), "low": same(0, pa.int32()), "high": same(0, pa.int32()), "ref": ids, "tile": same(0, pa.int32())})
+        documents = pa.table({"doc": ids, "part": ids, "n": same(60, pa.int64()), "bits": pa.array([jaccard_join.bitmap(hashes[d]).tobytes() for d in held], pa.binary()), "groups": pa.array([groups[d] for d in held], pa.list_(pa.int64()))})
+        out = jaccard_join._likely(1 << 20, 85)(chunk, documents).to_pylist()
+        found += [(r["left"], r["right"], gid) for r in out if r["gid"] is None]
+    assert sorted(found) == [(0, 1, -7), (0, 2, -7), (0, 3, 5), (1, 2, -7), (1, 3, 5), (2, 3, 5)]
+    held = jaccard_join.earlier_groups([np.array([1, 2, 8]), np.array([2, 5]), np.array([1, 9])], 8)
+    assert (held[0] & held[1]).any() and (held[0] & held[2]).any() and not (held[1] & held[2]).any()
+    assert jaccard_join.earlier_groups([np.array([1]), np.array([2])], 8) is None
