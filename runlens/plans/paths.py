@@ -26,8 +26,17 @@ def context_paths(loops: DataFrame, known: DataFrame | None = None) -> DataFrame
     are never reached.  With the paths of ``known`` contexts, the walk also starts below
     those, and only the given loops are walked.
     """
-    own = distinct_loops(loops).select("ctx_id", "p_ctx_id", F.struct(F.col("l_name").alias("name"), F.col("iteration").cast("long").alias("iteration"), F.col("l_value").alias("value")).alias("step"))
-    own = spread(own, "contexts")  # each level reads them again, without the deduplication
+    own = spread(_steps(distinct_loops(loops)), "contexts")  # each level reads them again, without the deduplication
+    return walk(own, known)[0]
+
+
+def _steps(loops: DataFrame) -> DataFrame:
+    return loops.select("ctx_id", "p_ctx_id", F.struct(F.col("l_name").alias("name"), F.col("iteration").cast("long").alias("iteration"), F.col("l_value").alias("value")).alias("step"))
+
+
+def walk(own: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """``context_paths`` of written loops, or their steps, with one row a context; and how many of them are never reached."""
+    own = own if "step" in own.columns else _steps(own)
     nested = own.where(F.col("p_ctx_id").isNotNull())
     out = frontier = own.where(F.col("p_ctx_id").isNull()).select("ctx_id", F.lit(1).alias("depth"), F.array("step").alias("path"))
     left = nested.count()
@@ -48,7 +57,7 @@ def context_paths(loops: DataFrame, known: DataFrame | None = None) -> DataFrame
             break
         out = out.unionByName(frontier)
         left -= met
-    return out.select(*PATHS.names)
+    return out.select(*PATHS.names), left
 
 
 #: Spark stops a recursion of more rows than this setting says; -1 is no limit.

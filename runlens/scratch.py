@@ -53,15 +53,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Shuffled bytes that a task of ``spread`` reads, and the least partitions that adaptive execution starts from.
+#: Shuffled bytes that one of ``small_tasks`` reads, and the least partitions that adaptive execution starts from.
 #: Tasks sort and group rows uncompressed, which takes ten times these bytes and more; a shuffle
 #: into more partitions than 200 would hold a whole split of its input in memory on the other side.
 TASK_BYTES, PARTITIONS = "8m", 200
+#: Bytes of a file that such a task scans: what it sends to one partition of a shuffle can't be split on the other side.
+SPLIT_BYTES = "16m"
 
 
-def spread(df: DataFrame, name: str) -> DataFrame:
-    """``materialise`` by tasks of few rows: until all partitions are in use, their number grows with the input, not the rows of one."""
-    spark = df.sparkSession
+@contextmanager
+def small_tasks(spark: SparkSession) -> Iterator[None]:
+    """The session with scans and shuffles by tasks of few rows: until all partitions are in use, their number grows with the input, not the rows of one."""
     parts = max(PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    with settings(spark, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": TASK_BYTES, "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts)}):
+    adaptive = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": TASK_BYTES, "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts)}
+    with settings(spark, {**adaptive, "spark.sql.files.maxPartitionBytes": SPLIT_BYTES}):
+        yield
+
+
+def spread(df: DataFrame, name: str) -> DataFrame:
+    """``materialise`` by tasks of few rows."""
+    with small_tasks(df.sparkSession):
         return materialise(df, name)

@@ -18,20 +18,24 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.paths import context_paths
+from ..plans.paths import distinct_loops, walk
 from ..schema import LOGS, LOOPS, PATHS, RUN_KEYS
-from ..scratch import spread
+from ..scratch import small_tasks, spread
 
 RUNS = T.StructType([f for f in LOGS if f.name in RUN_KEYS])
 TABLES = {"logs": LOGS, "loops": LOOPS, "paths": PATHS, "runs": RUNS, "pending": LOOPS}
 #: From so many batches on, ``compact_if_scattered`` merges them.
 SCATTERED = 32
+#: A batch of so many bytes, in files of so many on average, has nothing to gain from compaction.
+LARGE_BATCH, LARGE_FILE = 64 << 20, 2 << 20
+#: Starts the names of batches whose contexts were compared with all that the store had; older stores' and vouched ones start with b.
+CHECKED, VOUCHED = "batch=c", "batch=b"
 
 
 class Overtaken(RuntimeError):
@@ -139,26 +143,31 @@ class Store:
         return self.snapshot().loops()
 
     def _write(self, name: str, df: DataFrame, batch: str) -> str:
-        """One table's batch, laid out for its readers; the folder's name."""
+        """One table's batch, laid out for its readers; the folder's name.
+
+        Tasks are of few rows; loops and chains stay in the ones that they come from.
+        """
         shaped = df.select(*(F.col(f.name).cast(f.dataType) for f in TABLES[name]))
         if name == "logs":
-            # files by project, of about the size that adaptive execution advises, also for one large project
+            # files by project, also for one large project: of what some tasks sent
             writer = shaped.hint("rebalance", "projid").sortWithinPartitions("projid", "value_name").write.partitionBy("projid")
         elif name == "runs":
             writer = shaped.hint("rebalance", *RUN_KEYS[:2]).sortWithinPartitions(*RUN_KEYS).write.option("parquet.bloom.filter.enabled#projid", "true").option("parquet.bloom.filter.enabled#filename", "true")
         else:
-            writer = shaped.hint("rebalance").sortWithinPartitions("ctx_id").write
-        writer.parquet(f"{self.root.rstrip('/')}/{name}/{batch}")
+            writer = shaped.write
+        with small_tasks(self.spark):
+            writer.parquet(f"{self.root.rstrip('/')}/{name}/{batch}")
         return f"{name}/{batch}"
 
-    def commit(self, base: Snapshot, added: dict[str, DataFrame], replaced: tuple[str, ...] = ()) -> Snapshot:
-        """The version after ``base``: its tables with the added batches, or made of these alone where replaced."""
-        batch = f"batch=b{uuid.uuid4().hex}"
+    def _held(self, folder: str) -> DataFrame:
+        """What was just written to a folder, before any version names it."""
+        name = folder.partition("/")[0]
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root.rstrip('/')}/{folder}")
+
+    def _commit(self, base: Snapshot, added: dict[str, list[str]], replaced: tuple[str, ...]) -> Snapshot:
+        """The version after ``base``: its tables with the added folders, or made of these alone where replaced."""
         cut = len(self.root.rstrip("/")) + 1
-        folders = {name: [] if name in replaced else [f[cut:] for f in base.folders.get(name, ())] for name in TABLES}
-        for name, df in added.items():
-            folders[name].append(self._write(name, df, batch))
-        self._publish(base.version + 1, folders)
+        self._publish(base.version + 1, {name: [*([] if name in replaced else [f[cut:] for f in base.folders.get(name, ())]), *added.get(name, [])] for name in TABLES})
         return self.snapshot(base.version + 1)
 
     def append(self, logs: DataFrame, loops: DataFrame, paths: DataFrame | None = None, new_contexts: bool = False, base: Snapshot | None = None) -> Snapshot:
@@ -166,32 +175,61 @@ class Store:
 
         Chains come from the batch, or start from those of contexts that are there; only
         contexts of the batch and pending ones are walked.  ``new_contexts`` vouches that none of
-        them is in the store, and ``paths`` that these are all their chains.
+        them is in the store, and ``paths`` that these are all their chains.  Runs and chains are
+        derived from the logs and loops as written, so that the given frames are read as rarely as can be.
         """
         base = base or self.snapshot()
-        own = loops.where(F.col("ctx_id").isNotNull()).select(*(F.col(f.name).cast(f.dataType) for f in LOOPS)).dropDuplicates(["ctx_id"])
+        batch = f"{VOUCHED if new_contexts else CHECKED}{uuid.uuid4().hex}"
+        added = {"logs": self._write("logs", logs, batch)}
+        # a folder's name doesn't tell a missing project from an empty one
+        kept = self._held(added["logs"])
+        added["runs"] = self._write("runs", (kept if kept.where(F.col("projid").isNull()).isEmpty() else logs).select(*RUN_KEYS).distinct(), batch)
+        shaped = loops.select(*(F.col(f.name).cast(f.dataType) for f in LOOPS))
+        own = distinct_loops(shaped)
         if not new_contexts and base.folders.get("loops"):
-            own = spread(own, "contexts")
-            low, high = own.agg(F.min("ctx_id"), F.max("ctx_id")).first()
+            low, high = shaped.agg(F.min("ctx_id"), F.max("ctx_id")).first()
             held = base.loops().where(F.col("ctx_id").between(low, high)) if low is not None else base.loops().limit(0)
-            own = spread(own.join(held.select("ctx_id"), "ctx_id", "left_anti"), "contexts")
-        added, replaced = {"logs": logs, "loops": own, "runs": logs.select(*RUN_KEYS).distinct()}, ()
+            own = own.join(held.select("ctx_id"), "ctx_id", "left_anti")
+        added["loops"], replaced = self._write("loops", own, batch), ()
         if paths is not None:
-            added["paths"] = paths
+            added["paths"] = self._write("paths", paths, batch)
         else:
-            walked = own.unionByName(base.table("pending")) if base.folders.get("pending") else own
-            walked = spread(walked.dropDuplicates(["ctx_id"]), "contexts")
-            found = spread(context_paths(walked, base.paths() if base.folders.get("paths") else None), "paths")
-            added |= {"paths": found, "pending": walked.join(found.select("ctx_id"), "ctx_id", "left_anti")}
+            walked = self._held(added["loops"])
+            if base.folders.get("pending") and not base.table("pending").isEmpty():
+                walked = spread(distinct_loops(walked.unionByName(base.table("pending"))), "contexts")
+            found, left = walk(walked, base.paths() if base.folders.get("paths") else None)
+            added["paths"] = self._write("paths", found, batch)
+            added["pending"] = self._write("pending", walked.join(found.select("ctx_id"), "ctx_id", "left_anti") if left else walked.limit(0), batch)
             replaced = ("pending",)
-        return self.commit(base, added, replaced)
+        return self._commit(base, {name: [folder] for name, folder in added.items()}, replaced)
+
+    def _large(self, folder: str) -> bool:
+        held = self._files().getContentSummary(self._path(folder))
+        return held.getLength() >= max(LARGE_BATCH, LARGE_FILE * held.getFileCount())
 
     def compact(self) -> Snapshot:
-        """Merges the batches of every table, without repeated contexts and runs; log rows all stay."""
-        base = self.snapshot()
-        distinct = {"loops": ["ctx_id"], "paths": ["ctx_id"], "runs": RUN_KEYS, "pending": ["ctx_id"]}
-        merged = {name: base.table(name).dropDuplicates(distinct[name]) if name in distinct else base.table(name) for name in TABLES if base.folders.get(name)}
-        return self.commit(base, merged, tuple(merged))
+        """Merges the batches of every table, without repeated contexts and runs; log rows all stay.
+
+        Large batches in large files stay as they are, so that a store isn't written anew each time.
+        Those of contexts do so only where all batches were compared with what was there before them: nothing is repeated then.
+        """
+        base, batch = self.snapshot(), f"{CHECKED}{uuid.uuid4().hex}"
+        cut = len(self.root.rstrip("/")) + 1
+        folders = {}
+        for name in TABLES:
+            found = [f[cut:] for f in base.folders.get(name, ())]
+            checked = all(f.startswith(f"{name}/{CHECKED}") for f in found)
+            stay = [f for f in found if name == "logs" or name in ("loops", "paths") and checked if self._large(f)]
+            merged = [f for f in found if f not in stay]
+            if merged:
+                df = replace(base, folders={name: tuple(f"{self.root.rstrip('/')}/{f}" for f in merged)}).table(name)
+                if name == "runs":
+                    df = df.dropDuplicates(RUN_KEYS)
+                elif name != "logs" and not (checked and name != "pending"):
+                    df = df.repartition("ctx_id").dropDuplicates(["ctx_id"])
+                stay.append(self._write(name, df, batch))
+            folders[name] = stay
+        return self._commit(base, folders, tuple(TABLES))
 
     def compact_if_scattered(self) -> None:
         if max(map(len, self.snapshot().folders.values()), default=0) >= SCATTERED:

@@ -190,3 +190,37 @@ def test_pivot_over_a_store_walks_nothing(spark, tmp_path):
     assert read_files(resolved) == {"logs", "paths"}
     assert rows(pivot.dataframe(held.logs(), held.loops(), "loss", "lr", paths=held.paths())) == rows(pivot.dataframe(held.logs(), held.loops(), "loss", "lr"))
     assert isinstance(held, Snapshot)
+
+
+def test_append_reads_the_logs_once(spark, tmp_path):
+    """Runs come from what was written, also where a project is missing or empty."""
+    store, read = Store(spark, str(tmp_path / "store")).create(), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    logs, loops = frames(spark, 1)
+    store.append(logs.mapInArrow(counted, LOGS), loops)
+    assert read.value == 3 and store.snapshot().runs().count() == 1
+    odd = logs.selectExpr("CASE WHEN value = '1' THEN '' WHEN value = '2' THEN NULL ELSE 'p' END AS projid", "tstamp", "filename", "ctx_id", "value_name", "value", "value_type")
+    store.append(odd, loops)
+    assert sorted((r[0] for r in store.snapshot().runs().collect()), key=repr) == ["", "p", "p", None]
+    assert store.loops().count() == 2 == store.snapshot().paths().count()
+
+
+@pytest.mark.parametrize("vouched", [False, True])
+def test_compaction_leaves_large_batches_unless_contexts_may_repeat(spark, tmp_path, monkeypatch, vouched):
+    store = Store(spark, str(tmp_path / "store")).create()
+    for k in (1, 2, 1):
+        store.append(*frames(spark, k), new_contexts=vouched)
+    before = store.snapshot()
+    held = {name: rows(before.table(name).distinct()) for name in tables.TABLES}
+    monkeypatch.setattr(tables, "LARGE_BATCH", 0)
+    monkeypatch.setattr(tables, "LARGE_FILE", 0)
+    after = store.compact()
+    assert {name: rows(after.table(name).distinct()) for name in tables.TABLES} == held
+    assert after.logs().count() == 9 and after.runs().count() == 2 and after.loops().count() == 4 == after.paths().count()
+    assert after.folders["logs"] == before.folders["logs"] and (after.folders["loops"] == before.folders["loops"]) != vouched
+    assert (len(after.folders["loops"]), len(after.folders["runs"])) == ((1 if vouched else 3), 1)
