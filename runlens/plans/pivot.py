@@ -79,17 +79,18 @@ def resolved(logs: DataFrame, paths: DataFrame, names: list[str]) -> DataFrame:
 
 
 def shapes(rows: DataFrame, names: list[str]) -> dict[str, Shape]:
-    """Depth and loop columns of each name: one aggregate over names, levels and loops.
+    """Depth and loop columns of each name: one pass over the rows, which keeps one row a kind of chain; those are few.
 
     A loop's number is left out if any is missing, its value if all are.
     """
-    steps = rows.select("value_name", "depth", F.posexplode_outer("path").alias("pos", "step"))
-    twice = F.max(F.size(F.coalesce("path", F.array())) > F.size(F.array_distinct(F.transform(F.coalesce("path", F.array()), lambda s: s["name"]))))
-    nested = rows.groupBy("value_name", "depth").agg(twice.alias("twice"), F.count("*").alias("rows"))
-    flags = steps.groupBy("value_name", "depth", "pos", F.col("step.name").alias("loop")).agg(
-        F.bool_or(F.col("step.iteration").isNull()).alias("no_number"), F.bool_and(F.col("step.value").isNull()).alias("no_value")
+    kind = F.transform(F.coalesce("path", F.array()), lambda s: F.struct(s["name"].alias("loop"), s["iteration"].isNull().alias("no_number"), s["value"].isNull().alias("no_value")))
+    kinds = rows.groupBy("value_name", "depth", kind.alias("kind")).agg(F.count("*").alias("rows"))
+    twice = F.size("kind") > F.size(F.array_distinct("kind.loop"))
+    steps = kinds.select("value_name", "depth", "rows", twice.alias("twice"), F.posexplode_outer("kind").alias("pos", "step"))
+    found = steps.groupBy("value_name", "depth", "pos", F.col("step.loop").alias("loop")).agg(
+        F.bool_or("step.no_number").alias("no_number"), F.bool_and("step.no_value").alias("no_value"), F.bool_or("twice").alias("twice"), F.sum("rows").alias("rows")
     )
-    found = flags.join(nested, ["value_name", "depth"]).collect()
+    found = found.collect()
     out = {}
     for name in names:
         own = [r for r in found if r["value_name"] == name]
@@ -97,17 +98,17 @@ def shapes(rows: DataFrame, names: list[str]) -> dict[str, Shape]:
         columns: list[tuple[str, str, str]] = []
         deepest = [r for r in own if r["depth"] == depth and depth]
         at = Counter(r["pos"] for r in deepest)
+        if any(r["twice"] for r in deepest):
+            raise ValueError(f"{name!r} is logged in a loop nested in a loop of the same name")
         full = frozenset(r["loop"] for r in deepest if at[r["pos"]] == 1 and not r["no_number"])
         for r in sorted(deepest, key=lambda r: (r["pos"], r["loop"])):
-            if r["twice"]:
-                raise ValueError(f"{name!r} is logged in a loop nested in a loop of the same name")
             if r["no_number"] and r["no_value"]:
                 raise ValueError(f"iterations of loop {r['loop']!r} have neither number nor value")
             if not r["no_number"]:
                 columns.append((r["loop"], r["loop"], "iteration"))
             if not r["no_value"]:
                 columns.append((f"{r['loop']}_value", r["loop"], "value"))
-        out[name] = Shape(depth, tuple(dict.fromkeys(columns)), full, max((r["rows"] for r in own if r["depth"] == depth), default=0))
+        out[name] = Shape(depth, tuple(dict.fromkeys(columns)), full, sum(r["rows"] for r in own if r["depth"] == depth and not r["pos"]))
     return out
 
 

@@ -69,3 +69,20 @@ def test_ingested_orders_read_no_lines(spark, sf_dir):
     logs, known = queries._ingested(spark, sf_dir)
     assert not any("lineitem" in f for df in (logs, known) for f in df.inputFiles())
     assert logs.count() > known.count() > 0
+
+
+def test_shapes_take_one_pass_over_the_rows(spark):
+    schema = "value_name string, depth int, path array<struct<name:string,iteration:bigint,value:string>>"
+    given = [("a", 2, [("x", 1, None), ("y", 1, "u")]), ("a", 2, [("x", 2, None), ("z", None, "v")]), ("a", 1, [("x", None, None)]), ("b", 0, None), ("c", 1, [("x", 1, None)])]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    found = pivot.shapes(spark.createDataFrame(given, schema).mapInArrow(counted, schema), ["a", "b", "c", "none"])
+    assert read.value == len(given)
+    assert found["a"] == pivot.Shape(2, (("x", "x", "iteration"), ("y", "y", "iteration"), ("y_value", "y", "value"), ("z_value", "z", "value")), frozenset({"x"}))
+    assert found["b"] == found["none"] == pivot.Shape(0, ()) and found["c"] == pivot.Shape(1, (("x", "x", "iteration"),), frozenset({"x"}))
+    assert [found[n].rows for n in ("a", "b", "c", "none")] == [2, 1, 1, 0]
