@@ -69,10 +69,13 @@ def _check_names(names: list[str], loop_columns: list[str]) -> None:
 def resolved(logs: DataFrame, paths: DataFrame, names: list[str]) -> DataFrame:
     """Rows of the names with their path; those with an unknown context are dropped.
 
-    One scan for all names, with the filter at the scan and one equi-join.
+    One scan for all names, with the filter at the scan and one equi-join.  Rows outside
+    of loops meet no path; the second key deals them out, or one task would take them all.
     """
     rows = logs.where(F.col("value_name").isin(names)).select(*RUN_KEYS, "ctx_id", "value_name", "value")
-    joined = rows.join(paths, "ctx_id", "left")
+    dealt = F.coalesce("ctx_id", F.xxhash64(*RUN_KEYS, "value_name", "value"))
+    known = paths.withColumnRenamed("ctx_id", "_known")
+    joined = rows.join(known, (F.col("ctx_id") == F.col("_known")) & (dealt == F.col("_known")), "left")
     flat = F.col("ctx_id").isNull()
     known = joined.where(flat | F.col("depth").isNotNull())
     return known.select(*RUN_KEYS, "value_name", "value", F.when(flat, 0).otherwise(F.col("depth")).alias("depth"), "path")

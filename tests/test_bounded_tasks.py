@@ -1,6 +1,7 @@
 """What a task holds at once: partitions of a shuffle, not splits of the input."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from runlens import queries, scratch
 from runlens.plans import paths, pivot
@@ -86,3 +87,45 @@ def test_shapes_take_one_pass_over_the_rows(spark):
     assert found["a"] == pivot.Shape(2, (("x", "x", "iteration"), ("y", "y", "iteration"), ("y_value", "y", "value"), ("z_value", "z", "value")), frozenset({"x"}))
     assert found["b"] == found["none"] == pivot.Shape(0, ()) and found["c"] == pivot.Shape(1, (("x", "x", "iteration"),), frozenset({"x"}))
     assert [found[n].rows for n in ("a", "b", "c", "none")] == [2, 1, 1, 0]
+
+
+#: Small tables treated as large ones: no broadcast, and no least size of a shuffled partition.
+LIKE_LARGE = {"spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+
+
+def largest_task(written) -> int:
+    """Rows of the largest file of a written step: a task writes one."""
+    return max(r["count"] for r in written.groupBy(F.input_file_name()).count().collect())
+
+
+def test_rows_outside_of_loops_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "TASK_BYTES", "1k")
+    ids = spark.range(4000).withColumn("ctx_id", F.when(F.col("id") < 100, F.col("id")))
+    keys = ["'p' AS projid", "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS tstamp", "'f.py' AS filename"]
+    logs = ids.selectExpr(*keys, "ctx_id", "'a' AS value_name", "CAST(id AS STRING) AS value", "1 AS value_type")
+    known = spark.range(50).selectExpr("id AS ctx_id", "1 AS depth", "array(named_struct('name', 'x', 'iteration', id, 'value', CAST(NULL AS STRING))) AS path")
+    with scratch.settings(spark, LIKE_LARGE):
+        rows = scratch.spread(pivot.resolved(logs, known, ["a"]), "pivot")
+    # contexts 50 to 99 are unknown
+    assert {r["depth"]: r["count"] for r in rows.groupBy("depth").count().collect()} == {0: 3900, 1: 50}
+    assert {r["value"] for r in rows.where("depth = 1").collect()} == {str(r["path"][0]["iteration"]) for r in rows.where("depth = 1").collect()} == {str(k) for k in range(50)}
+    assert largest_task(rows) < 3950 / 8
+
+
+@pytest.mark.parametrize("query", ["ctx_paths", "schedule_dims", "pivot_dup_logs_joined", "cost_level1"])
+def test_no_task_takes_a_large_share_of_a_step(spark, sf_dir, monkeypatch, query):
+    monkeypatch.setattr(scratch, "TASK_BYTES", "1k")
+    monkeypatch.setattr(scratch, "PARTITIONS", 32)
+    monkeypatch.setattr(pivot, "TASK_ROWS", 500)
+    written, plain = [], scratch.materialise
+    monkeypatch.setattr(scratch, "materialise", lambda df, name: (written.append((name, plain(df, name))), written[-1][1])[1])
+    dealt, deal = [], pivot._dealt
+    monkeypatch.setattr(pivot, "_dealt", lambda *given: (dealt.append((deal(*given), given[2])), dealt[-1][0])[1])
+    with scratch.settings(spark, LIKE_LARGE):
+        queries.QUERIES[query](spark, sf_dir)
+    assert [name for name, _ in written][:2] == ["contexts", "paths"]
+    for name, rows in written:
+        assert largest_task(rows) < rows.count() / 8, name
+    assert bool(dealt) == (query != "ctx_paths")
+    for frame, rows in dealt:
+        assert not rows or frame.rdd.getNumPartitions() == min(pivot.MOST_TASKS, -(-rows // 500))
