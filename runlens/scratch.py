@@ -70,7 +70,11 @@ def small_tasks(spark: SparkSession) -> Iterator[None]:
         yield
 
 
+#: Shuffled files of a query are removed when it ends, not when the driver happens to collect its plan.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def spread(df: DataFrame, name: str) -> DataFrame:
-    """``materialise`` by tasks of few rows."""
-    with small_tasks(df.sparkSession):
+    """``materialise`` by tasks of few rows; what it shuffled is gone once it is written."""
+    with small_tasks(df.sparkSession), settings(df.sparkSession, {CLEANUP: "true"}):
         return materialise(df, name)
