@@ -100,13 +100,22 @@ _PAIR = T.StructType([LOGS["value_name"], LOGS["value"]])
 _PACKED = T.StructType([*(LOGS[c] for c in RUN_KEYS), LOGS["ctx_id"], T.StructField("held", T.ArrayType(_PAIR))])
 
 
+#: Fewest names for which long rows are packed: with fewer, passing them through Arrow costs more than it saves.
+PACKED_NAMES = 3
+
+
 def packed(logs: DataFrame, names: list[str]) -> DataFrame:
     """Rows of the names, with neighbouring ones of a run and round as one: ``held`` has their names and values.
 
     What a round logs stands together, so that runs, contexts and paths are shuffled and written
     once a round, not once a value.  Nothing is sorted or held back: rows that stand apart stay apart.
+    Logs whose source has several values a record come with ``held`` already.
     """
-    return _named(logs, names).mapInArrow(_pack, _PACKED)
+    if "held" in logs.columns:
+        asked = F.filter("held", lambda h: h["value_name"].isin(names))
+        return logs.select(*RUN_KEYS, "ctx_id", asked.alias("held")).where(F.size("held") > 0)
+    rows = _named(logs, names)
+    return rows.mapInArrow(_pack, _PACKED) if len(names) >= PACKED_NAMES else _held(rows).drop("value_name", "value")
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +143,7 @@ def _held(rows: DataFrame) -> DataFrame:
 
 
 def _values(name: str) -> Column:
-    return F.transform(F.filter("held", lambda h: h["value_name"] == F.lit(name)), lambda h: h["value"])
+    return F.filter("held", lambda h: h["value_name"] == F.lit(name))["value"]
 
 
 def _has(names: list[str]) -> Column:
@@ -217,7 +226,7 @@ _FIRST = "_has_first"
 def _sets(rows: DataFrame, names: list[str], shape: Shape, by: list[str] | None = None, most: int = 0) -> DataFrame:
     """Names of one shape by one aggregation instead of a chain of full outer joins: a row a key, with each name's distinct values."""
     own = _held(rows).where(_has(names) & (F.col("depth") == shape.depth))
-    values = [F.array_distinct(_values(n)).alias(f"_values{k}") for k, n in enumerate(names)]
+    values = [_values(n).alias(f"_values{k}") for k, n in enumerate(names)]
     keys, shown = _keys(shape, by or [])
     keyed = own.select(*keys, *values)
     grouped = [F.col(f"`{c}`") for c in keyed.columns[: len(keys)]]

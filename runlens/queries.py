@@ -33,7 +33,7 @@ def _query(oracle: str | None = None):
 
 def _pivot(adapter: Callable, *names: str, **options) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        given = {"names": names} if adapter is adapters.orders else {}
+        given = {"names": names, "packed": True} if adapter is adapters.orders else {}
         return pivot.dataframe(*adapter(spark, sf_dir, **given), *names, **options)
 
     return run

@@ -21,14 +21,15 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _logs(df: DataFrame, keys: tuple, ctx: Column | None, values: dict[str, Column], kind: int = USER) -> DataFrame:
-    """One row per input row and value: a single pass that explodes an array of pairs."""
-    pairs = F.array(*(F.struct(F.lit(n).alias("n"), v.cast("string").alias("v")) for n, v in values.items()))
+def _logs(df: DataFrame, keys: tuple, ctx: Column | None, values: dict[str, Column], kind: int = USER, packed: bool = False) -> DataFrame:
+    """One row per input row and value: a single pass that explodes an array of pairs; or one per input row with that array as ``held``."""
+    pairs = F.array(*(F.struct(F.lit(n).alias("value_name"), v.cast("string").alias("value")) for n, v in values.items()))
     projid, tstamp, filename = keys
     picked = df.select(
-        projid.alias("projid"), tstamp.cast("timestamp_ntz").alias("tstamp"), filename.alias("filename"), (F.lit(None).cast("bigint") if ctx is None else ctx.cast("bigint")).alias("ctx_id"), F.explode(pairs).alias("p")
+        projid.alias("projid"), tstamp.cast("timestamp_ntz").alias("tstamp"), filename.alias("filename"), (F.lit(None).cast("bigint") if ctx is None else ctx.cast("bigint")).alias("ctx_id"), (pairs if packed else F.explode(pairs)).alias("held")
     )
-    return picked.select("projid", "tstamp", "filename", "ctx_id", F.col("p.n").alias("value_name"), F.col("p.v").alias("value"), F.lit(kind).alias("value_type"))
+    own = ["held"] if packed else ["held.value_name", "held.value"]
+    return picked.select("projid", "tstamp", "filename", "ctx_id", *own, F.lit(kind).alias("value_type"))
 
 
 def _loops(df: DataFrame, ctx: Column, parent: Column | None, name: str, number: Column, value: Column | None) -> DataFrame:
@@ -46,10 +47,11 @@ def union(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def orders(spark: SparkSession, sf_dir: str, names: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+def orders(spark: SparkSession, sf_dir: str, names: tuple[str, ...] | None = None, packed: bool = False) -> tuple[DataFrame, DataFrame]:
     """Orders as rounds of a loop, lines as rounds of a loop nested in it; a run is a day and priority.
 
     A reader of some ``names`` alone says so: a filter on the exploded names doesn't reach the join and the scans below.
+    With ``packed``, the values of an order or line stay one row, as the pivot takes them.
     """
     o, l = _read(spark, sf_dir, "orders"), _read(spark, sf_dir, "lineitem")
     keys = (F.lit("tpch"), F.col("o_orderdate"), F.col("o_orderpriority"))
@@ -61,7 +63,7 @@ def orders(spark: SparkSession, sf_dir: str, names: tuple[str, ...] | None = Non
     ]
     if names is not None:
         logged = [(df, ctx, own) for df, ctx, values in logged if (own := {n: v for n, v in values.items() if n in names})] or [(o.where(F.lit(False)), *logged[0][1:])]
-    logs = union(*(_logs(df, keys, ctx, values) for df, ctx, values in logged))
+    logs = union(*(_logs(df, keys, ctx, values, packed=packed) for df, ctx, values in logged))
     loops = union(_loops(o, order_ctx, None, "order", F.col("o_orderkey"), None), _loops(l, line_ctx, F.col("l_orderkey") * 8, "line", F.col("l_linenumber"), None))
     return logs, loops
 

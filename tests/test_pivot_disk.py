@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from runlens import queries, scratch
 from runlens.plans import pivot
-from runlens.schema import LOGS, LOOPS
+from runlens.schema import LOGS, LOOPS, RUN_KEYS
 from runlens.scratch import settings
+from runlens.sources import adapters
 
 
 def shown(df, columns):
@@ -23,10 +24,27 @@ def test_neighbouring_values_of_a_round_are_one_row(spark):
     given = [(*key(1), "a", "1"), (*key(1), "b", None), (*key(1), "a", "1"), (*key(2), "a", "2"), (*key(None), "b", "3"), (*key(None), "a", "4"), (*key(None, None), "a", "5"), (*key(1), "a", "6")]
     given += [(*key(3), "a", str(n % 5)) for n in range(pivot.MOST_PACKED + 1)] + [(*key(4), "other", "x"), (*key(4), "b", "7")]
     logs = spark.createDataFrame([(*r, 1) for r in given], LOGS).coalesce(1)
-    rows = [(*(r[c] for c in ("projid", "tstamp", "filename", "ctx_id")), [tuple(h) for h in r["held"]]) for r in pivot.packed(logs, ["a", "b"]).collect()]
+    rows = [(*(r[c] for c in ("projid", "tstamp", "filename", "ctx_id")), [tuple(h) for h in r["held"]]) for r in pivot.packed(logs, ["a", "b", "c"]).collect()]
     want = [(*key(1), [("a", "1"), ("b", None), ("a", "1")]), (*key(2), [("a", "2")]), (*key(None), [("b", "3"), ("a", "4")]), (*key(None, None), [("a", "5")]), (*key(1), [("a", "6")])]
     assert rows == [*want, *((*key(3), [("a", str(n % 5))]) for n in range(pivot.MOST_PACKED + 1)), (*key(4), [("b", "7")])]
-    assert pivot.packed(logs, ["none"]).collect() == []
+    assert pivot.packed(logs, ["none", "of", "these"]).collect() == []
+    # few names are not passed through Arrow: their rows stay apart
+    assert sorted(r["held"][0]["value"] for r in pivot.packed(logs, ["a"]).where("ctx_id = 1").collect()) == ["1", "1", "6"]
+
+
+def test_values_that_a_source_packs_are_those_of_its_rows(spark, sf_dir, monkeypatch):
+    names = ("totalprice", "quantity", "tax", "shared")
+    long, loops = adapters.orders(spark, sf_dir, names=names)
+    packed = adapters.orders(spark, sf_dir, packed=True)[0]
+    assert set(packed.columns) ^ set(long.columns) == {"held", "value_name", "value"}
+    asked = pivot.packed(packed, list(names))
+    assert asked.count() == packed.count() and asked.where("exists(held, h -> h.value_name = 'extendedprice')").isEmpty()
+    values = asked.select(*RUN_KEYS, "ctx_id", F.inline("held"))
+    assert values.exceptAll(long.select(values.columns)).isEmpty() and values.count() == long.count()
+    kept = pivot.packed(packed, ["totalprice"])
+    assert 0 < kept.count() < packed.count()
+    one, two = (pivot.dataframe(logs, loops, *names) for logs in (packed, long))
+    assert one.columns == two.columns and shown(one, one.columns) == shown(two, one.columns)
 
 
 def test_five_names_are_written_by_rounds_and_joined_before_they_pair_up(spark, sf_dir, monkeypatch):
