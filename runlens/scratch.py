@@ -72,9 +72,10 @@ def small_tasks(spark: SparkSession) -> Iterator[None]:
 
 #: Shuffled files of a query are removed when it ends, not when the driver happens to collect its plan.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+CODEC = "spark.sql.parquet.compression.codec"
 
 
 def spread(df: DataFrame, name: str) -> DataFrame:
-    """``materialise`` by tasks of few rows; what it shuffled is gone once it is written."""
-    with small_tasks(df.sparkSession), settings(df.sparkSession, {CLEANUP: "true"}):
+    """``materialise`` by tasks of few rows, in smaller files; what it shuffled is gone once it is written."""
+    with small_tasks(df.sparkSession), settings(df.sparkSession, {CLEANUP: "true", CODEC: "zstd"}):
         return materialise(df, name)

@@ -93,3 +93,10 @@ def test_what_a_step_shuffled_is_gone_once_it_is_written(spark):
     while (left := files() - before) and time.time() < end:
         time.sleep(0.2)
     assert not left and rows.count() == 1000
+
+
+def test_steps_are_written_in_small_files_and_the_session_stays_as_it_was(spark):
+    before = spark.conf.get(scratch.CODEC), spark.conf.get(scratch.CLEANUP, None)
+    rows = scratch.spread(spark.range(1000), "small")
+    assert rows.count() == 1000 and all(f.endswith(".zstd.parquet") for f in rows.inputFiles())
+    assert before == (spark.conf.get(scratch.CODEC), spark.conf.get(scratch.CLEANUP, None))
